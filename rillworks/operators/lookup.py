@@ -1,0 +1,21 @@
+"""Joins of large tables with dimensions."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The dimension with a broadcast hint if it has at most `max_rows` rows.
+
+    Counting stops at the limit. A larger dimension is returned unhinted: the join is then a shuffle
+    join whose hot keys adaptive execution splits.
+    """
+    small = dim.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(dim) if small else dim
+
+
+def lookup(facts: DataFrame, dim: DataFrame, on: str | list[str] | Column, how: str = "left",
+           max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    return facts.join(sized(dim, max_rows), on, how)

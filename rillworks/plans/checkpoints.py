@@ -1,0 +1,20 @@
+"""Checkpoint folder of the session."""
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the shared folder the cluster names; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = spark.conf.get(SETTING, None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a shared folder on a cluster")
+        named = tempfile.mkdtemp(prefix="rillworks-checkpoints-")
+    context.setCheckpointDir(named)
