@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillworks.model import CHECKPOINT_STRUCT, ROLL_BYTES, ROLL_SECONDS
-from rillworks.operators.lookup import sized
+from rillworks.operators.lookup import BROADCAST_ROWS, sized
 from rillworks.operators.ordered import block_of, neighbour, running_sums
 
 
@@ -76,27 +76,43 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, event, from_path) between two listings (path, size, mtime, content).
 
     A file is MOVED when its content is that of exactly one file that went and exactly one that came;
-    copies that cannot be told apart stay DELETED and CREATED. Contents are hashed only for files on
-    one side, and candidates are counted per content, never paired."""
-    old, new = before.alias("o"), after.alias("n")
-    both = old.join(new, F.col("o.path") == F.col("n.path"), "full")
-    came, went = F.col("o.path").isNull(), F.col("n.path").isNull()
+    copies that cannot be told apart stay DELETED and CREATED. The listings meet without their
+    contents. Only files on one side whose size occurs on both are hashed, and candidates are counted
+    per content, never paired."""
+    listing = lambda df, name: df.select("path", "size", "mtime").alias(name)
+    both = listing(before, "o").join(listing(after, "n"), F.col("o.path") == F.col("n.path"), "full")
     touched = (F.col("o.size") != F.col("n.size")) | (F.col("o.mtime") != F.col("n.mtime"))
-    event = F.when(came, "CREATED").when(went, "DELETED").when(touched, "MODIFIED")
-    digest = F.when(came, F.sha2("n.content", 256)).when(went, F.sha2("o.content", 256))
+    event = (F.when(F.col("o.path").isNull(), "CREATED").when(F.col("n.path").isNull(), "DELETED")
+             .when(touched, "MODIFIED"))
     events = both.select(F.coalesce("n.path", "o.path").alias("path"), event.alias("event"),
-                         F.coalesce("n.size", "o.size").alias("size"), digest.alias("digest")).filter("event IS NOT NULL")
-    sides = events.filter("event <> 'MODIFIED'").groupBy("size", "digest").agg(
-        F.count_if(F.col("event") == "CREATED").alias("_came"), F.count_if(F.col("event") == "DELETED").alias("_went"),
-        F.min(F.when(F.col("event") == "CREATED", F.col("path"))).alias("to_path"),
-        F.min(F.when(F.col("event") == "DELETED", F.col("path"))).alias("from_path"))
-    moves = sides.filter("_came = 1 AND _went = 1").select("to_path", "from_path")
+                         F.coalesce("n.size", "o.size").alias("size")).filter("event IS NOT NULL")
+    count = lambda name: F.count_if(F.col("event") == name)
+    sizes = events.groupBy("size").agg(count("CREATED").alias("_came"), count("DELETED").alias("_went")).filter(
+        "_came > 0 AND _went > 0").select("size")
+    candidates = events.filter("event <> 'MODIFIED'").join(sizes, "size")
+    came = _digests(after, candidates.filter("event = 'CREATED'"))
+    went = _digests(before, candidates.filter("event = 'DELETED'"))
+    path_of = lambda name: F.min(F.when(F.col("event") == name, F.col("path")))
+    moves = came.unionByName(went).groupBy("size", "digest").agg(
+        count("CREATED").alias("_came"), count("DELETED").alias("_went"),
+        path_of("CREATED").alias("to_path"), path_of("DELETED").alias("from_path")).filter(
+        "_came = 1 AND _went = 1").select("to_path", "from_path")
     gone = moves.select(F.col("from_path").alias("path"))
     settled = events.join(gone, "path", "left_anti").join(moves, F.col("path") == F.col("to_path"), "left")
     return settled.select("path", F.when(F.col("to_path").isNotNull(), "MOVED").otherwise(F.col("event")).alias("event"),
                           "from_path")
 
 
+def _digests(files: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`wanted` with the content digest of its files. Few wanted files are broadcast, so that only their
+    contents are hashed; many are joined to digests, so that contents are not shuffled."""
+    digest = F.sha2("content", 256).alias("digest")
+    few = wanted.limit(max_rows + 1).count() <= max_rows
+    if few:
+        return files.select("path", "content").join(F.broadcast(wanted), "path").select(*wanted.columns, digest)
+    return files.select("path", digest).join(wanted, "path")
+
+
 def glob_regex(pattern: Column) -> Column:
     """Regular expression of a path glob: `*` and `?` stay within a directory, `**` does not, `[..]`
     is a character class."""
@@ -118,9 +134,8 @@ def match_files(files: DataFrame, patterns: DataFrame, excludes: list[str] | Non
     kept = files
     for name in excludes or []:
         kept = kept.filter(~F.regexp_extract("path", r"([^/]*)$", 1).rlike(_literal_regex(name)))
-    depth = F.size(F.split("path", "/")) - 1
-    ancestors = F.transform(F.sequence(F.lit(1), depth),
-                            lambda i: F.concat(F.substring_index("path", "/", i), F.lit("/")))
+    ancestors = F.expr(
+        "transform(sequence(1, size(split(path, '/')) - 1), i -> concat(substring_index(path, '/', i), '/'))")
     placed = kept.select("path", F.explode(ancestors).alias("_dir"))
     return placed.join(dim, "_dir").filter(F.expr("path RLIKE _regex")).select("task_id", "path").distinct()
 

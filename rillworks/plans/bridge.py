@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 BASES = ("events", "documents", "orders", "customer")
 
 _FUNCTIONS = {
-    "spark": {"@bytes(": "octet_length(", "@char(": "char("},
-    "duck": {"@bytes(": "strlen(", "@char(": "chr("},
+    "spark": {"@bytes(": "octet_length(", "@lf": "char(10)"},
+    "duck": {"@bytes(": "strlen(", "@lf": "chr(10)"},
 }
 
 _EV = {
@@ -133,12 +133,52 @@ FROM documents WHERE doc_id % 17 <> 1""",
   text AS content FROM documents WHERE doc_id % 11 <> 0""",
     "v_checkpoints": """SELECT doc_id, path, size // 2 AS offset,
   CASE WHEN doc_id % 14 = 0 THEN size + 1 ELSE size END AS file_size FROM v_files WHERE doc_id % 7 <> 3""",
+    "v_task_docs": """SELECT o_orderkey, o_orderkey AS doc_id, o_custkey, o_orderstatus,
+  '{"tasks": [{"task_id": ' || CASE WHEN o_orderkey % 13 = 0 THEN '' || o_custkey ELSE '"' || o_custkey || '"' END ||
+  ', "log_path_pattern": "' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '/var/log/' || o_orderkey || '/*.log' END ||
+  '", "kafka_topic": "t-' || o_orderstatus || '", "properties": {"kafka_cluster_id": "c1", "p": ' ||
+  CASE WHEN o_orderkey % 11 = 0 THEN '5' ELSE '"5"' END || '}}, {"task_id": "' || (o_custkey + o_orderkey % 2) ||
+  '", "log_path_pattern": "/data/b.log", "kafka_topic": "u"' ||
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE ', "properties": {"kafka_cluster_id": "c2"}' END ||
+  '}, {"task_id": "z", "log_path_pattern": "/data/z.log", "kafka_topic": "v", "properties": {"kafka_cluster_id": "c3"}}]' ||
+  CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE '}' END AS document FROM orders""",
+    "v_control_docs": """SELECT o_orderkey, o_orderkey AS doc_id, o_custkey, o_orderstatus,
+  '{' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '"cversion": ' || o_orderkey || ', ' END ||
+  '"tasks": [{"task_id": ' || CASE WHEN o_orderkey % 13 = 0 THEN '"' || o_custkey || '"' ELSE '' || o_custkey END ||
+  ', "task_name": "task ' || o_custkey || '", "log_path_pattern": "/var/log/a.log", "version": ' || (o_orderkey % 4) ||
+  ', "message_queue": {' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '"type": "pulsar", ' END ||
+  '"version": "3.x", "cluster_id": "c-' || o_orderstatus || '", "topic": "t"}, "properties": {"x": 1}}, ' ||
+  '{"log_path_pattern": "/b.log"}]' || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE '}' END AS document FROM orders""",
+    "v_task_sets": """SELECT o_orderkey, 'agent-' || o_custkey AS agent, 't-' || o_orderkey AS task_id,
+  '/var/log/' || o_orderkey || '.log' AS log_path_pattern, 'topic-' || o_orderstatus AS kafka_topic, o_orderstatus FROM orders""",
+    "v_prop_files": """SELECT c_custkey, c_nationkey, c_name AS host, '# Router ' || c_custkey || @lf || @lf ||
+  'router.id = router-' || c_custkey || @lf || 'server.io_threads = 1' || @lf || '  server.io_threads =  ' ||
+  CASE c_custkey % 4 WHEN 0 THEN '16x' WHEN 1 THEN 'abc' WHEN 2 THEN '4' ELSE '99999999999' END || '  ' || @lf ||
+  '! note' || @lf || 'noequals' || @lf || 'kafka.enable_compression = ' ||
+  CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN '0' ELSE 'TRUE' END || @lf || 'zookeeper.hosts = a:1, b:2,,c' || c_nationkey ||
+  ':3 ' || @lf || 'kafka.default_props.acks=1=x' || @lf || 'mq.kafka.cluster.kc-' || c_nationkey || '.brokers = k1:9092,k2:9092' ||
+  @lf || 'mq.kafka.cluster.kc-' || c_nationkey || '.version = 3.x' || @lf || 'mq.kafka.cluster.kc-' || c_nationkey ||
+  '.props.compression.type = snappy' || @lf || 'mq.rabbitmq.cluster.rb-1.hosts = rabbit1:5672' AS content FROM customer""",
+    "v_log_text": """SELECT event_id, '[' || t_ms || '] ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' ' ||
+  CASE event_id % 9 WHEN 0 THEN 'Request processed: method=GET, path=/api/' || event_type || ', status=200, latency=' || k || 'ms'
+    WHEN 1 THEN 'Database query: query=SELECT * FROM table_' || user_id || ' WHERE id = ' || event_id || ', duration=' || k || 'ms, rows=' || (k % 7)
+    WHEN 2 THEN 'Cache operation: operation=SET, key=cache:key:' || user_id || ', hit=true'
+    WHEN 3 THEN 'User action: user_id=user_' || user_id || ', action=' || event_type || ', ip=10.0.0.' || k
+    WHEN 4 THEN 'System metric: cpu=' || k || '%, memory=' || (k % 50) || '%, disk=' || (k % 9) || '%'
+    WHEN 5 THEN 'Network traffic: src=10.0.0.1, dst=10.0.0.2, bytes=' || event_id || ', protocol=TCP'
+    WHEN 6 THEN 'Error occurred: error_type=TimeoutError, message=Error message ' || k || ', stack=stack_trace_' || k
+    WHEN 7 THEN 'Authentication: user=user_' || user_id || ', result=success, method=token'
+    ELSE 'Default log entry ' || event_id END AS line FROM ev""",
+    "v_ops_lines": """SELECT event_id, us, task_id, CASE event_id % 11 WHEN 0 THEN 'Backpressure applied to session'
+  WHEN 1 THEN 'send BUFFER is now full' WHEN 2 THEN 'slow kafka consumer group' WHEN 3 THEN 'kafka too slow, reconnecting'
+  WHEN 4 THEN 'Reconnect attempt ' || k WHEN 5 THEN 'Connection to router lost' WHEN 6 THEN 'connection was restored'
+  WHEN 7 THEN 'buffer low' WHEN 8 THEN 'full buffer' ELSE line END AS line FROM v_lines""",
 }
 
 _NEEDS = {
     "v_lines": ["ev"], "v_chunks": ["v_lines"], "v_frame_parts": ["v_lines"], "v_frame_digits": ["v_frame_parts"], "v_frame_hex": ["v_frame_digits"],
     "v_frames": ["v_frame_hex"], "v_messages": ["ev"], "v_json_logs": ["ev"], "v_reports": ["ev"],
-    "v_checkpoints": ["v_files"],
+    "v_checkpoints": ["v_files"], "v_log_text": ["ev"], "v_ops_lines": ["v_lines"],
 }
 
 

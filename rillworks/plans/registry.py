@@ -4,7 +4,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["audit_queries", "frame_queries"]
+_MODULES = ["audit_queries", "frame_queries", "offset_queries", "metric_queries", "config_queries", "log_queries"]
 
 
 def prepare(spark: SparkSession) -> None:
