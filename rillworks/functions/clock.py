@@ -11,8 +11,16 @@ ISO_PATTERN = (
 )
 
 
+FULL_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+
+
 def iso_instant(text: Column) -> Column:
-    """Instant of an ISO stamp, NULL when malformed; stamps without zone are in the session zone."""
-    full = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"^(.{10}[T ][0-9]{2})(?=$|Z|[+-])", "$1:00")
-    zoned = F.regexp_replace(full, r"(.{11}[+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    return F.when(text.rlike(ISO_PATTERN), F.try_to_timestamp(F.when(F.length(text) == 10, text).otherwise(zoned)))
+    """Instant of an ISO stamp, NULL when malformed; stamps without zone are in the session zone.
+
+    Most stamps are written in full; only the others have their left-out parts filled in."""
+    filled = F.replace(text, F.lit(","), F.lit("."))
+    for part in (r"^(.{10}[T ][0-9]{2})(?=$|Z|[+-])", r"^(.{10}[T ][0-9]{2}:[0-9]{2})(?=$|Z|[+-])"):
+        filled = F.regexp_replace(filled, part, "$1:00")
+    filled = F.regexp_replace(filled, r"(.{11}.*[+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    return F.when(text.rlike(FULL_PATTERN), F.try_to_timestamp(text)).when(
+        text.rlike(ISO_PATTERN), F.try_to_timestamp(filled))

@@ -79,13 +79,12 @@ def classify(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     flags = ["problem", "oversize", "late", *[c for c in carried if c != "arrival"]]
     placed = checked.select(*POSITION, "arrival", *flags, digest).repartition(*POSITION)
 
-    order = F.struct("arrival", "partition", "offset", *flags)
+    order = F.struct("arrival", "partition", "offset", *flags, "topic")
     firsts = (
         placed.groupBy("topic", "digest")
         .agg(F.min(F.when(F.col("problem").isNull(), order)).alias("_p"))
         .filter(F.col("_p").isNotNull())
-        .select("topic", F.col("_p.partition").alias("partition"), F.col("_p.offset").alias("offset"),
-                F.lit(True).alias("_first"))
+        .select(*[F.col(f"_p.{c}").alias(c) for c in POSITION], F.lit(True).alias("_first"))
     )
     repeats = F.col("_first").isNull() & F.col("arrival").isNotNull() & F.col("digest").isNotNull()
     reason = (

@@ -8,13 +8,16 @@ segment is combined per stream.
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rillworks.model import HEADER_BYTES, MAGIC, VERSION
 from rillworks.operators.ordered import block_of, running_sums
 
 SEGMENT_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 _START = MAGIC.to_bytes(4, "little") + VERSION.to_bytes(2, "little")
 
 
@@ -45,27 +48,46 @@ def _frame_end(body: bytes, at: int) -> int | None:
     return at + HEADER_BYTES + int.from_bytes(body[at + 8:at + 12], "little")
 
 
-def _exits(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for stream, segment, body in zip(batch["stream"], batch["segment"], batch["body"]):
-                starts, at = [], body.find(_START)
-                while 0 <= at < size:
-                    starts.append(at)
-                    at = body.find(_START, at + 1)
-                leaves: dict[int, int] = {}
-                for at in reversed(starts):
-                    end = _frame_end(body, at)
-                    if end is not None:
-                        leaves[at] = end if end >= size else leaves.get(end, -1)
-                base = segment * size
-                yield pd.DataFrame({
-                    "stream": [stream] * len(leaves), "segment": [segment] * len(leaves),
-                    "start": [base + a for a in leaves],
-                    "leave": [base + e if e >= 0 else -1 for e in leaves.values()],
-                })
-
-    return run
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size; the last column may be large."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(stream, segment, entry or None, body) of each segment row."""
+    for batch in batches:
+        entries = batch.column("entry") if "entry" in batch.schema.names else None
+        for i in range(batch.num_rows):
+            yield (batch.column("stream")[i].as_py(), batch.column("segment")[i].as_py(),
+                   entries[i].as_py() if entries is not None else None, batch.column("body")[i].as_py())
+
+
+def _exits(size: int, key: pa.DataType):
+    def hops(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for stream, segment, _, body in _bodies(batches):
+            starts, at = [], body.find(_START)
+            while 0 <= at < size:
+                starts.append(at)
+                at = body.find(_START, at + 1)
+            leaves: dict[int, int] = {}
+            for at in reversed(starts):
+                end = _frame_end(body, at)
+                if end is not None:
+                    leaves[at] = end if end >= size else leaves.get(end, -1)
+            base = segment * size
+            for at, end in leaves.items():
+                yield stream, segment, base + at, base + end if end >= 0 else -1
+
+    schema = pa.schema([("stream", key), ("segment", pa.int64()), ("start", pa.int64()), ("leave", pa.int64())])
+    return lambda batches: _batches(hops(batches), schema)
 
 
 def _walk(group: pd.DataFrame) -> pd.DataFrame:
@@ -79,22 +101,20 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["stream", "segment", "entry"])
 
 
-def _cut(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for stream, segment, body, entry in zip(
-                    batch["stream"], batch["segment"], batch["body"], batch["entry"]):
-                base, rows = segment * size, []
-                at = entry - base
-                while at < size:
-                    end = _frame_end(body, at)
-                    if end is None:
-                        break
-                    rows.append((stream, base + at, base + end, body[at:end] if end <= len(body) else None))
-                    at = end
-                yield pd.DataFrame(rows, columns=["stream", "position", "until", "raw"])
+def _cut(size: int, key: pa.DataType):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for stream, segment, entry, body in _bodies(batches):
+            base = segment * size
+            at = entry - base
+            while at < size:
+                end = _frame_end(body, at)
+                if end is None:
+                    break
+                yield stream, base + at, base + end, body[at:end] if end <= len(body) else None
+                at = end
 
-    return run
+    schema = pa.schema([("stream", key), ("position", pa.int64()), ("until", pa.int64()), ("raw", pa.binary())])
+    return lambda batches: _batches(found(batches), schema)
 
 
 def frames(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SEGMENT_BYTES,
@@ -109,13 +129,14 @@ def frames(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SEGM
     """
     kind = chunks.schema[stream].dataType.simpleString()
     cut = segments(chunks, stream, seq, data, size, block_bits)
-    hops = cut.mapInPandas(_exits(size), f"stream {kind}, segment bigint, start bigint, leave bigint")
+    key = to_arrow_type(chunks.schema[stream].dataType)
+    hops = cut.mapInArrow(_exits(size, key), f"stream {kind}, segment bigint, start bigint, leave bigint")
     entered = hops.filter("leave >= 0").select("stream", F.col("leave").alias("start")).distinct()
     path = (hops.filter("start > 0").join(entered, ["stream", "start"], "left_semi")
             .unionByName(hops.filter("start = 0"))
             .groupBy("stream").applyInPandas(_walk, f"stream {kind}, segment bigint, entry bigint"))
-    found = cut.join(path, ["stream", "segment"]).select("stream", "segment", "body", "entry").mapInPandas(
-        _cut(size), f"stream {kind}, position bigint, until bigint, raw binary")
+    found = cut.join(path, ["stream", "segment"]).select("stream", "segment", "body", "entry").mapInArrow(
+        _cut(size, key), f"stream {kind}, position bigint, until bigint, raw binary")
 
     long = found.filter("raw IS NULL").select("stream", "position", "until", F.explode(F.expr(
         f"sequence(position div {size}, (until - 1) div {size})")).alias("segment"))

@@ -1,13 +1,11 @@
 """Load shedding and session closing on buffer watermarks."""
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.model import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
-from rillworks.operators.ordered import BLOCK, block_of, running_sums
+from rillworks.operators.ordered import BLOCK, block_of, neighbour, running_sums
 
 
 def shed_cumulative(rows: DataFrame, session: str, seq: str, size: Column, block: Column | None = None,
@@ -38,30 +36,97 @@ def quota_breaches(rows: DataFrame, key: str, time: str, size: Column, bytes_per
     return sums.filter(F.col("bytes") > bytes_per_second).select(key, F.col("_w.start").alias("second_start"), "bytes")
 
 
-def step(level: int, shedding: bool, elapsed_us: int, size: int, drain: int, high: int, low: int):
-    """Buffer state after one message: (level, shedding, accepted). The buffer drains with time."""
-    level = max(0, level - elapsed_us * drain // 1_000_000)
-    if shedding and level < low:
-        shedding = False
-    elif not shedding and level > high:
-        shedding = True
+def step(level: int, shedding: bool, drained: int, size: int, high: int, low: int) -> tuple[int, bool, bool]:
+    """Buffer state after one message: (level, shedding, accepted)."""
+    level = max(0, level - drained)
+    shedding = level >= low if shedding else level > high
     return (level if shedding else level + size), shedding, not shedding
 
 
-def _replay(drain: int, high: int, low: int, rows_out: bool):
+Piece = tuple[int, int, int, int, bool]  # entry levels lo..hi give level = slope * entry + add, shedding
+FULL_RANGE = 2**62
+
+
+def _drained(piece: Piece, amount: int) -> list[Piece]:
+    lo, hi, slope, add, full = piece
+    empty_to = amount - add
+    if not slope:
+        return [(lo, hi, 0, max(0, add - amount), full)]
+    parts = []
+    if lo <= empty_to:
+        parts.append((lo, min(hi, empty_to), 0, 0, full))
+    if hi > empty_to:
+        parts.append((max(lo, empty_to + 1), hi, 1, add - amount, full))
+    return parts
+
+
+def _switched(piece: Piece, high: int, low: int) -> list[Piece]:
+    """Cuts a piece where its level passes the mark that matters in its mode."""
+    lo, hi, slope, add, full = piece
+    last_accepting = low - 1 if full else high
+    if not slope:
+        return [(lo, hi, 0, add, add > last_accepting)]
+    border = last_accepting - add
+    parts = []
+    if lo <= border:
+        parts.append((lo, min(hi, border), 1, add, False))
+    if hi > border:
+        parts.append((max(lo, border + 1), hi, 1, add, True))
+    return parts
+
+
+def transition(drains: list[int], sizes: list[int], shedding: bool, high: int, low: int) -> list[Piece]:
+    """Exit state of a run of messages as a function of the entry level, for one entry mode."""
+    pieces: list[Piece] = [(0, FULL_RANGE, 1, 0, shedding)]
+    for amount, size in zip(drains, sizes):
+        merged: list[Piece] = []
+        for piece in pieces:
+            for part in _drained(piece, amount):
+                for lo, hi, slope, add, full in _switched(part, high, low):
+                    state = (slope, add if full else add + size, full)
+                    if merged and merged[-1][2:] == state:
+                        merged[-1] = (merged[-1][0], hi, *state)
+                    else:
+                        merged.append((lo, hi, *state))
+        pieces = merged
+    return pieces
+
+
+def _transitions(high: int, low: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq")
-        level, shedding, last = (int(group["_level"].iloc[0]), bool(group["_shedding"].iloc[0]), int(group["_at"].iloc[0]))
-        kept = []
-        for us, size in zip(group["us"], group["size"]):
-            level, shedding, accepted = step(level, shedding, int(us) - last if last >= 0 else 0, int(size), drain, high, low)
-            last = int(us)
+        drains, sizes = group["drain"].tolist(), group["size"].tolist()
+        rows = [(group["session"].iloc[0], group[BLOCK].iloc[0], mode, *piece)
+                for mode in (False, True) for piece in transition(drains, sizes, mode, high, low)]
+        return pd.DataFrame(rows, columns=["session", BLOCK, "entry_mode", "lo", "hi", "slope", "add", "exit_mode"])
+
+    return run
+
+
+def _entries(group: pd.DataFrame) -> pd.DataFrame:
+    """Entry state of each block of a session, walking its block functions in order."""
+    group = group.sort_values([BLOCK, "lo"])
+    level, shedding, rows = 0, False, []
+    for block, mode, lo, hi, slope, add, leaves in group[
+            [BLOCK, "entry_mode", "lo", "hi", "slope", "add", "exit_mode"]].itertuples(index=False):
+        if not rows or rows[-1][1] != block:
+            if rows:
+                level, shedding = after
+            rows.append((group["session"].iloc[0], block, level, shedding))
+        if mode == shedding and lo <= level <= hi:
+            after = (slope * level + add, leaves)
+    return pd.DataFrame(rows, columns=["session", BLOCK, "level_in", "shedding_in"])
+
+
+def _replay(high: int, low: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq")
+        level, shedding, kept = int(group["level_in"].iloc[0]), bool(group["shedding_in"].iloc[0]), []
+        for amount, size in zip(group["drain"].tolist(), group["size"].tolist()):
+            level, shedding, accepted = step(level, shedding, amount, size, high, low)
             kept.append((accepted, level))
-        if rows_out:
-            return pd.DataFrame({"session": group["session"], "seq": group["seq"],
-                                 "accepted": [a for a, _ in kept], "level": [v for _, v in kept]})
-        return pd.DataFrame({"session": [group["session"].iloc[0]], BLOCK: [group[BLOCK].iloc[0]],
-                             "_out_level": [level], "_out_shedding": [shedding], "_out_at": [last]})
+        return pd.DataFrame({"session": group["session"], "seq": group["seq"],
+                             "accepted": [a for a, _ in kept], "level": [v for _, v in kept]})
 
     return run
 
@@ -69,49 +134,30 @@ def _replay(drain: int, high: int, low: int, rows_out: bool):
 def shed_hysteresis(rows: DataFrame, session: str, seq: str, us: str, size: str, drain_bytes_per_second: int,
                     high: int = HIGH_WATERMARK_BYTES, low: int = LOW_WATERMARK_BYTES,
                     block: Column | None = None) -> DataFrame:
-    """(session, seq, accepted, level): shed from above the high mark until below the low mark.
-
-    The state of a session depends on all its rows before. To keep a hot session out of one task,
-    its blocks are replayed independently, each from the exit state the block before had in the last
-    round (first round: empty buffer). A block whose entry state did not change is final, so only
-    blocks with a changed entry are replayed again, until none is left. Block k is final after k
-    rounds at the latest; since an empty or drained buffer forgets its past, a few rounds are usual.
+    """(session, seq, accepted, level): shed from above the high mark until below the low mark, while the
+    buffer drains with time.
+
+    The state of a session depends on all its rows before. To keep a hot session out of one task, each
+    block of it is first turned into a function from the buffer level at its start to the state at its
+    end. That function has few pieces: levels keep their distance until a mark or the empty buffer
+    makes them equal. Walking these functions gives every block its entry state, and the blocks are
+    then replayed independently. `seq` is unique per session.
     """
-    block = block_of(seq) if block is None else block
+    block = block_of(seq, 18) if block is None else block
     kind = rows.schema[session].dataType.simpleString()
     base = rows.select(F.col(session).alias("session"), F.col(seq).cast("bigint").alias("seq"),
                        F.col(us).cast("bigint").alias("us"), F.col(size).cast("bigint").alias("size"),
-                       block.cast("bigint").alias(BLOCK))
-    marks = (drain_bytes_per_second, high, low)
-    replay = _replay(*marks, rows_out=False)
-    shape = f"session {kind}, {BLOCK} bigint, _out_level bigint, _out_shedding boolean, _out_at bigint"
+                       block.cast("bigint").alias("part"))
+    linked = neighbour(base, ["session"], ["seq"], {"before": F.col("us")}, F.col("part"))
+    elapsed = F.coalesce(F.col("us") - F.col("before"), F.lit(0)).cast("decimal(38,0)")
+    drain = F.floor(elapsed * F.lit(drain_bytes_per_second).cast("decimal(18,0)") / 1_000_000).cast("bigint")
+    ready = linked.select("session", "seq", "size", drain.alias("drain"), F.col("part").alias(BLOCK))
     key = ["session", BLOCK]
-    fresh = base.withColumns({"_level": F.lit(0).cast("bigint"), "_shedding": F.lit(False), "_at": F.lit(-1).cast("bigint")})
-    state = fresh.select(*key, "_level", "_shedding", "_at").distinct().join(
-        fresh.groupBy(*key).applyInPandas(replay, shape), key)
-    state = _cut(state)
-    while True:
-        order = Window.partitionBy("session").orderBy(BLOCK)
-        entry = lambda out, first: F.coalesce(F.lag(out).over(order), F.lit(first))
-        linked = state.withColumns({"_in_level": entry("_out_level", 0), "_in_shedding": entry("_out_shedding", False),
-                                    "_in_at": entry("_out_at", -1)})
-        same = ((F.col("_in_level") == F.col("_level")) & (F.col("_in_shedding") == F.col("_shedding"))
-                & (F.col("_in_at") == F.col("_at")))
-        renamed = [F.col("_in_level").alias("_level"), F.col("_in_shedding").alias("_shedding"), F.col("_in_at").alias("_at")]
-        changed = linked.filter(~same).select(*key, *renamed)
-        if changed.isEmpty():
-            break
-        again = changed.join(base.join(changed, key).groupBy(*key).applyInPandas(replay, shape), key)
-        state = _cut(linked.filter(same).select(*state.columns).unionByName(again))
-    final = base.join(state.select(*key, "_level", "_shedding", "_at"), key)
-    out = final.groupBy(*key).applyInPandas(
-        _replay(*marks, rows_out=True), f"session {kind}, seq bigint, accepted boolean, level bigint")
+    functions = ready.groupBy(*key).applyInPandas(
+        _transitions(high, low), f"session {kind}, {BLOCK} bigint, entry_mode boolean, lo bigint, hi bigint, "
+                                 "slope bigint, add bigint, exit_mode boolean")
+    entries = functions.groupBy("session").applyInPandas(
+        _entries, f"session {kind}, {BLOCK} bigint, level_in bigint, shedding_in boolean")
+    out = ready.join(entries, key).groupBy(*key).applyInPandas(
+        _replay(high, low), f"session {kind}, seq bigint, accepted boolean, level bigint")
     return out.withColumnRenamed("session", session).withColumnRenamed("seq", seq)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small state table between rounds."""
-    from rillworks.plans.checkpoints import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
