@@ -7,17 +7,16 @@ segment is combined per stream.
 
 from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rillworks.model import HEADER_BYTES, MAGIC, VERSION
+from rillworks.operators.carried import as_batches, rows_of, walk
 from rillworks.operators.ordered import block_of, running_sums
 
 SEGMENT_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
 _START = MAGIC.to_bytes(4, "little") + VERSION.to_bytes(2, "little")
 
 
@@ -48,73 +47,57 @@ def _frame_end(body: bytes, at: int) -> int | None:
     return at + HEADER_BYTES + int.from_bytes(body[at + 8:at + 12], "little")
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of bounded size; the last column may be large."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
-        if size > BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-
-
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(stream, segment, entry or None, body) of each segment row."""
-    for batch in batches:
-        entries = batch.column("entry") if "entry" in batch.schema.names else None
-        for i in range(batch.num_rows):
-            yield (batch.column("stream")[i].as_py(), batch.column("segment")[i].as_py(),
-                   entries[i].as_py() if entries is not None else None, batch.column("body")[i].as_py())
-
-
-def _exits(size: int, key: pa.DataType):
-    def hops(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for stream, segment, _, body in _bodies(batches):
+def _marks(size: int):
+    """For each segment: (stream, at, segment, last, leave) for every place that looks like a header, where
+    `leave` is where the frames from there leave the segment and `last` the frame that does; and
+    (stream, leave, NULL, NULL, NULL) for each such exit, once."""
+    def marks(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for stream, segment, body in rows:
             starts, at = [], body.find(_START)
             while 0 <= at < size:
                 starts.append(at)
                 at = body.find(_START, at + 1)
-            leaves: dict[int, int] = {}
+            leaves: dict[int, tuple[int, int]] = {}
             for at in reversed(starts):
                 end = _frame_end(body, at)
                 if end is not None:
-                    leaves[at] = end if end >= size else leaves.get(end, -1)
+                    leaves[at] = (at, end) if end >= size else leaves.get(end, (at, -1))
             base = segment * size
-            for at, end in leaves.items():
-                yield stream, segment, base + at, base + end if end >= 0 else -1
+            for at, (last, end) in leaves.items():
+                yield stream, base + at, segment, base + last, base + end if end >= 0 else -1
+            for end in {end for _, end in leaves.values() if end >= 0}:
+                yield stream, base + end, None, None, None
 
-    schema = pa.schema([("stream", key), ("segment", pa.int64()), ("start", pa.int64()), ("leave", pa.int64())])
-    return lambda batches: _batches(hops(batches), schema)
+    return marks
 
 
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """Entry position per segment along the stream, from position 0."""
-    hops = dict(zip(group["start"], zip(group["segment"], group["leave"])))
-    at, found = 0, []
-    while at in hops:
-        segment, leave = hops[at]
-        found.append((group["stream"].iloc[0], segment, at))
-        at = leave
-    return pd.DataFrame(found, columns=["stream", "segment", "entry"])
+def _path(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The places that are reached from position 0."""
+    reached = 0
+    for at, segment, last, leave in rows:
+        if at == reached:
+            yield (*key, segment, at, last, leave)
+            reached = leave
 
 
-def _cut(size: int, key: pa.DataType):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for stream, segment, entry, body in _bodies(batches):
-            base = segment * size
-            at = entry - base
+def _cut(size: int):
+    """The frames that lie within their segment, from the segment's entry on."""
+    def found(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for stream, segment, entry, body in rows:
+            at = entry - segment * size
             while at < size:
                 end = _frame_end(body, at)
-                if end is None:
+                if end is None or end > size:
                     break
-                yield stream, base + at, base + end, body[at:end] if end <= len(body) else None
+                yield stream, segment * size + at, body[at:end]
                 at = end
 
-    schema = pa.schema([("stream", key), ("position", pa.int64()), ("until", pa.int64()), ("raw", pa.binary())])
-    return lambda batches: _batches(found(batches), schema)
+    return found
+
+
+def _mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    return df.mapInArrow(lambda batches: as_batches(function(rows_of(batches)), out), schema)
 
 
 def frames(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SEGMENT_BYTES,
@@ -123,33 +106,34 @@ def frames(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SEGM
 
     A frame start is only known once the frame before it is, so it is found in two passes over the
     segments. Pass one computes, for every place in a segment that looks like a header, where the
-    frames from there leave the segment. Almost all places share one exit, so the exits, looked up as
-    starts, form a short path per stream. Pass two cuts each segment from its entry on the path.
-    Frames longer than their segment are put together from the segments they cover.
+    frames from there leave the segment. Almost all places share one exit, so the places that are
+    themselves exits form a short path per stream. Pass two cuts each segment from its entry on the
+    path. The frame that leaves a segment is put together from the segments it covers.
     """
     kind = chunks.schema[stream].dataType.simpleString()
-    cut = segments(chunks, stream, seq, data, size, block_bits)
-    key = to_arrow_type(chunks.schema[stream].dataType)
-    hops = cut.mapInArrow(_exits(size, key), f"stream {kind}, segment bigint, start bigint, leave bigint")
-    entered = hops.filter("leave >= 0").select("stream", F.col("leave").alias("start")).distinct()
-    path = (hops.filter("start > 0").join(entered, ["stream", "start"], "left_semi")
-            .unionByName(hops.filter("start = 0"))
-            .groupBy("stream").applyInPandas(_walk, f"stream {kind}, segment bigint, entry bigint"))
-    found = cut.join(path, ["stream", "segment"]).select("stream", "segment", "body", "entry").mapInArrow(
-        _cut(size, key), f"stream {kind}, position bigint, until bigint, raw binary")
-
-    long = found.filter("raw IS NULL").select("stream", "position", "until", F.explode(F.expr(
-        f"sequence(position div {size}, (until - 1) div {size})")).alias("segment"))
+    cut = segments(chunks, stream, seq, data, size, block_bits).select("stream", "segment", "body")
+    marks = _mapped(cut, _marks(size), f"stream {kind}, at bigint, segment bigint, last bigint, leave bigint")
+    places = marks.groupBy("stream", "at").agg(
+        F.max("segment").alias("segment"), F.max("last").alias("last"), F.max("leave").alias("leave"),
+        F.bool_or(F.col("segment").isNull()).alias("is_exit")).filter("segment IS NOT NULL AND (is_exit OR at = 0)")
+    path = walk(places, ["stream"], ["at"], ["at", "segment", "last", "leave"], _path,
+                f"stream {kind}, segment bigint, entry bigint, last bigint, leave bigint")
+    inside = _mapped(cut.join(path, ["stream", "segment"]).select("stream", "segment", "entry", "body"), _cut(size),
+                     f"stream {kind}, position bigint, raw binary")
+
+    crossing = path.filter(F.col("leave") > (F.col("segment") + 1) * size).select(
+        "stream", F.col("last").alias("position"), "leave",
+        F.explode(F.expr(f"sequence(last div {size}, (leave - 1) div {size})")).alias("segment"))
     lo = F.greatest("position", F.col("segment") * size)
-    hi = F.least("until", (F.col("segment") + 1) * size)
+    hi = F.least("leave", (F.col("segment") + 1) * size)
     piece = F.substring("body", (lo - F.col("segment") * size + 1).cast("int"), (hi - lo).cast("int"))
-    joined = (long.join(cut, ["stream", "segment"])
-              .groupBy("stream", "position", "until")
+    joined = (cut.join(crossing, ["stream", "segment"])
+              .groupBy("stream", "position", "leave")
               .agg(F.array_sort(F.collect_list(F.struct("segment", F.hex(piece).alias("digits")))).alias("parts"))
               .withColumn("raw", F.unhex(F.array_join(F.transform("parts", lambda p: p["digits"]), "")))
-              .filter(F.octet_length("raw") == F.col("until") - F.col("position")))
+              .filter(F.octet_length("raw") == F.col("leave") - F.col("position")))
     columns = [F.col("stream").alias(stream), "position", "raw"]
-    return found.filter("raw IS NOT NULL").select(*columns).unionByName(joined.select(*columns))
+    return inside.select(*columns).unionByName(joined.select(*columns))
 
 
 def lines(chunks: DataFrame, keys: list[str], seq: str, data: str, block_bits: int = 16) -> DataFrame:

@@ -1,11 +1,13 @@
 """Load shedding and session closing on buffer watermarks."""
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.model import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
-from rillworks.operators.ordered import BLOCK, block_of, neighbour, running_sums
+from rillworks.operators.carried import walk
+from rillworks.operators.ordered import block_of, neighbour, running_sums
 
 
 def shed_cumulative(rows: DataFrame, session: str, seq: str, size: Column, block: Column | None = None,
@@ -75,10 +77,10 @@ def _switched(piece: Piece, high: int, low: int) -> list[Piece]:
     return parts
 
 
-def transition(drains: list[int], sizes: list[int], shedding: bool, high: int, low: int) -> list[Piece]:
-    """Exit state of a run of messages as a function of the entry level, for one entry mode."""
+def transition(messages: Iterator[tuple[int, int]], shedding: bool, high: int, low: int) -> list[Piece]:
+    """Exit state of a run of (drained, size) messages as a function of the entry level, for one entry mode."""
     pieces: list[Piece] = [(0, FULL_RANGE, 1, 0, shedding)]
-    for amount, size in zip(drains, sizes):
+    for amount, size in messages:
         merged: list[Piece] = []
         for piece in pieces:
             for part in _drained(piece, amount):
@@ -93,42 +95,36 @@ def transition(drains: list[int], sizes: list[int], shedding: bool, high: int, l
 
 
 def _transitions(high: int, low: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        drains, sizes = group["drain"].tolist(), group["size"].tolist()
-        rows = [(group["session"].iloc[0], group[BLOCK].iloc[0], mode, *piece)
-                for mode in (False, True) for piece in transition(drains, sizes, mode, high, low)]
-        return pd.DataFrame(rows, columns=["session", BLOCK, "entry_mode", "lo", "hi", "slope", "add", "exit_mode"])
+    def step_block(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        messages = list(rows)
+        for mode in (False, True):
+            for piece in transition(messages, mode, high, low):
+                yield (*key, mode, *piece)
 
-    return run
+    return step_block
 
 
-def _entries(group: pd.DataFrame) -> pd.DataFrame:
+def _entries(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
     """Entry state of each block of a session, walking its block functions in order."""
-    group = group.sort_values([BLOCK, "lo"])
-    level, shedding, rows = 0, False, []
-    for block, mode, lo, hi, slope, add, leaves in group[
-            [BLOCK, "entry_mode", "lo", "hi", "slope", "add", "exit_mode"]].itertuples(index=False):
-        if not rows or rows[-1][1] != block:
-            if rows:
-                level, shedding = after
-            rows.append((group["session"].iloc[0], block, level, shedding))
-        if mode == shedding and lo <= level <= hi:
-            after = (slope * level + add, leaves)
-    return pd.DataFrame(rows, columns=["session", BLOCK, "level_in", "shedding_in"])
+    state, after, current = (0, False), (0, False), None
+    for block, mode, lo, hi, slope, add, leaves in rows:
+        if block != current:
+            state, current = after, block
+            yield (*key, block, *state)
+        if mode == state[1] and lo <= state[0] <= hi:
+            after = (slope * state[0] + add, leaves)
 
 
 def _replay(high: int, low: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        level, shedding, kept = int(group["level_in"].iloc[0]), bool(group["shedding_in"].iloc[0]), []
-        for amount, size in zip(group["drain"].tolist(), group["size"].tolist()):
+    def step_block(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        level = shedding = None
+        for seq, amount, size, level_in, shedding_in in rows:
+            if level is None:
+                level, shedding = level_in, shedding_in
             level, shedding, accepted = step(level, shedding, amount, size, high, low)
-            kept.append((accepted, level))
-        return pd.DataFrame({"session": group["session"], "seq": group["seq"],
-                             "accepted": [a for a, _ in kept], "level": [v for _, v in kept]})
+            yield key[0], seq, accepted, level
 
-    return run
+    return step_block
 
 
 def shed_hysteresis(rows: DataFrame, session: str, seq: str, us: str, size: str, drain_bytes_per_second: int,
@@ -151,13 +147,14 @@ def shed_hysteresis(rows: DataFrame, session: str, seq: str, us: str, size: str,
     linked = neighbour(base, ["session"], ["seq"], {"before": F.col("us")}, F.col("part"))
     elapsed = F.coalesce(F.col("us") - F.col("before"), F.lit(0)).cast("decimal(38,0)")
     drain = F.floor(elapsed * F.lit(drain_bytes_per_second).cast("decimal(18,0)") / 1_000_000).cast("bigint")
-    ready = linked.select("session", "seq", "size", drain.alias("drain"), F.col("part").alias(BLOCK))
-    key = ["session", BLOCK]
-    functions = ready.groupBy(*key).applyInPandas(
-        _transitions(high, low), f"session {kind}, {BLOCK} bigint, entry_mode boolean, lo bigint, hi bigint, "
-                                 "slope bigint, add bigint, exit_mode boolean")
-    entries = functions.groupBy("session").applyInPandas(
-        _entries, f"session {kind}, {BLOCK} bigint, level_in bigint, shedding_in boolean")
-    out = ready.join(entries, key).groupBy(*key).applyInPandas(
-        _replay(high, low), f"session {kind}, seq bigint, accepted boolean, level bigint")
+    ready = linked.select("session", "part", "seq", drain.alias("drain"), "size")
+    key = ["session", "part"]
+    functions = walk(ready, key, ["seq"], ["drain", "size"], _transitions(high, low),
+                     f"session {kind}, part bigint, entry_mode boolean, lo bigint, hi bigint, slope bigint, "
+                     "add bigint, exit_mode boolean")
+    entries = walk(functions.withColumnRenamed("part", "in_part"), ["session"], ["in_part", "lo"],
+                   ["in_part", "entry_mode", "lo", "hi", "slope", "add", "exit_mode"], _entries,
+                   f"session {kind}, part bigint, level_in bigint, shedding_in boolean")
+    out = walk(ready.join(entries, key), key, ["seq"], ["seq", "drain", "size", "level_in", "shedding_in"],
+               _replay(high, low), f"session {kind}, seq bigint, accepted boolean, level bigint")
     return out.withColumnRenamed("session", session).withColumnRenamed("seq", seq)
