@@ -24,7 +24,9 @@ def routed(spark, sf):
     return routing.route(data_frames(spark, sf), view(spark, sf, "v_tasks"), view(spark, sf, "v_clusters"))
 
 
-DELIVERED = F.col("event_id") % 20 != 0
+def delivered():
+    """The queue confirmed all but every twentieth event."""
+    return F.col("event_id") % 20 != 0
 
 
 def frames_built(spark, sf):
@@ -127,7 +129,7 @@ def unroutable(spark, sf):
 
 def acks(spark, sf):
     r = routed(spark, sf)
-    tagged = lambda mode: routing.acks(r, mode, DELIVERED).select(
+    tagged = lambda mode: routing.acks(r, mode, delivered()).select(
         F.lit(mode).alias("mode"), F.col("task_id").cast("string").alias("task_id"), F.col("offset").cast("string").alias("offset"))
     return tagged("on_route").unionByName(tagged("on_delivery"))
 
@@ -135,7 +137,7 @@ def acks(spark, sf):
 def unacked(spark, sf):
     r = routed(spark, sf)
     sent = r.select("task_id", "offset", "event_id")
-    return routing.unacked(sent, routing.acks(r, "on_delivery", DELIVERED), ["task_id", "offset"]).select("event_id")
+    return routing.unacked(sent, routing.acks(r, "on_delivery", delivered()), ["task_id", "offset"]).select("event_id")
 
 
 def mq_rows(spark, sf):
@@ -154,7 +156,7 @@ def fanout_counts(spark, sf):
 
 
 def mq_counts(spark, sf):
-    return routing.queue_counts(routed(spark, sf), DELIVERED)
+    return routing.queue_counts(routed(spark, sf), delivered())
 
 
 def config_history(spark, sf):
@@ -168,8 +170,8 @@ def route_asof(spark, sf):
     lines = view(spark, sf, "v_lines").select("event_id", "us", "user_id", "d", "task_id")
     sessions = lines.groupBy("user_id", "d").agg(F.timestamp_micros(F.min("us")).alias("armed_at"))
     versioned = routing.session_versions(sessions, routing.version_spans(config_history(spark, sf)))
-    history = config_history(spark, sf).select("version").join(
-        F.broadcast(view(spark, sf, "v_tasks").filter("task_id <> '1004'")), F.lit(True)).select(
+    listed = config_history(spark, sf).select("version", F.explode(F.array(*map(F.lit, ("1001", "1002", "1003")))).alias("task_id"))
+    history = routing.lookup(listed, view(spark, sf, "v_tasks"), "task_id").select(
         "version", "task_id", F.concat("topic", F.lit("-v"), F.col("version")).alias("topic"))
     placed = lines.join(versioned.select("user_id", "d", "version"), ["user_id", "d"])
     return routing.lookup(placed, history, ["version", "task_id"]).select("event_id", "version", "task_id", "topic")
