@@ -76,41 +76,38 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, event, from_path) between two listings (path, size, mtime, content).
 
     A file is MOVED when its content is that of exactly one file that went and exactly one that came;
-    copies that cannot be told apart stay DELETED and CREATED. The listings meet without their
-    contents. Only files on one side whose size occurs on both are hashed, and candidates are counted
-    per content, never paired."""
-    listing = lambda df, name: df.select("path", "size", "mtime").alias(name)
-    both = listing(before, "o").join(listing(after, "n"), F.col("o.path") == F.col("n.path"), "full")
-    touched = (F.col("o.size") != F.col("n.size")) | (F.col("o.mtime") != F.col("n.mtime"))
-    event = (F.when(F.col("o.path").isNull(), "CREATED").when(F.col("n.path").isNull(), "DELETED")
-             .when(touched, "MODIFIED"))
-    events = both.select(F.coalesce("n.path", "o.path").alias("path"), event.alias("event"),
-                         F.coalesce("n.size", "o.size").alias("size")).filter("event IS NOT NULL")
-    count = lambda name: F.count_if(F.col("event") == name)
-    sizes = events.groupBy("size").agg(count("CREATED").alias("_came"), count("DELETED").alias("_went")).filter(
-        "_came > 0 AND _went > 0").select("size")
-    candidates = events.filter("event <> 'MODIFIED'").join(sizes, "size")
-    came = _digests(after, candidates.filter("event = 'CREATED'"))
-    went = _digests(before, candidates.filter("event = 'DELETED'"))
+    copies that cannot be told apart stay DELETED and CREATED. Paths meet without their contents, only
+    files on one side are hashed, and they are counted per content, never paired."""
+    listing = lambda df, name: df.select("path", F.struct("size", "mtime").alias("stat"), F.lit(name).alias("side"))
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("stat")))
+    both = listing(before, "old").unionByName(listing(after, "new")).groupBy("path").agg(
+        of("old").alias("old"), of("new").alias("new"))
+    event = (F.when(F.col("old").isNull(), "CREATED").when(F.col("new").isNull(), "DELETED")
+             .when(F.col("old") != F.col("new"), "MODIFIED"))
+    events = both.select("path", event.alias("event")).filter("event IS NOT NULL")
+    hashed = _digests(before, after, events.filter("event <> 'MODIFIED'"))
     path_of = lambda name: F.min(F.when(F.col("event") == name, F.col("path")))
-    moves = came.unionByName(went).groupBy("size", "digest").agg(
+    count = lambda name: F.count_if(F.col("event") == name)
+    moves = hashed.groupBy("digest").agg(
         count("CREATED").alias("_came"), count("DELETED").alias("_went"),
-        path_of("CREATED").alias("to_path"), path_of("DELETED").alias("from_path")).filter(
-        "_came = 1 AND _went = 1").select("to_path", "from_path")
-    gone = moves.select(F.col("from_path").alias("path"))
-    settled = events.join(gone, "path", "left_anti").join(moves, F.col("path") == F.col("to_path"), "left")
-    return settled.select("path", F.when(F.col("to_path").isNotNull(), "MOVED").otherwise(F.col("event")).alias("event"),
-                          "from_path")
-
-
-def _digests(files: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`wanted` with the content digest of its files. Few wanted files are broadcast, so that only their
-    contents are hashed; many are joined to digests, so that contents are not shuffled."""
+        path_of("CREATED").alias("to"), path_of("DELETED").alias("gone")).filter("_came = 1 AND _went = 1")
+    settled = moves.select(F.inline(F.array(
+        F.struct(F.col("to").alias("path"), F.col("gone").alias("from_path")),
+        F.struct(F.col("gone").alias("path"), F.lit(None).cast("string").alias("from_path"))))).withColumn("_moved", F.lit(True))
+    return events.join(settled, "path", "left").filter("_moved IS NULL OR from_path IS NOT NULL").select(
+        "path", F.when(F.col("_moved"), "MOVED").otherwise(F.col("event")).alias("event"), "from_path")
+
+
+def _digests(before: DataFrame, after: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(path, event, digest) of the wanted files (path, event). Few wanted files are broadcast, so that only
+    their contents are hashed; many are joined to digests, so that contents are not shuffled."""
+    contents = before.select("path", "content", F.lit("DELETED").alias("event")).unionByName(
+        after.select("path", "content", F.lit("CREATED").alias("event")))
     digest = F.sha2("content", 256).alias("digest")
     few = wanted.limit(max_rows + 1).count() <= max_rows
     if few:
-        return files.select("path", "content").join(F.broadcast(wanted), "path").select(*wanted.columns, digest)
-    return files.select("path", digest).join(wanted, "path")
+        return contents.join(F.broadcast(wanted), ["path", "event"]).select("path", "event", digest)
+    return contents.select("path", "event", digest).join(wanted, ["path", "event"])
 
 
 def glob_regex(pattern: Column) -> Column:

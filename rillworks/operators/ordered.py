@@ -20,21 +20,35 @@ def block_of(sequence: str | Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(F.col(sequence) if isinstance(sequence, str) else sequence, bits)
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
-                 block: Column, inclusive: bool = False) -> DataFrame:
-    """Adds the sum of each value over the rows before (or up to) the row, within the keys."""
+# How two parts of a running value are combined; NULL stands for no value yet.
+_COMBINE = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
+            block: Column, inclusive: bool = False) -> DataFrame:
+    """Adds the sum, min or max of each value over the rows before (or up to) the row, within the keys.
+
+    `values` maps a new column to (kind, value)."""
     part = [*keys, BLOCK]
     tagged = df.withColumn(BLOCK, block)
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = tagged.select("*", *[
-        F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{n}") for n, v in values.items()])
-    totals = tagged.groupBy(*part).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
+    rows = tagged.select("*", *[_COMBINE[k][0](v).over(inside).alias(f"_in_{n}") for n, (k, v) in values.items()])
+    totals = tagged.groupBy(*part).agg(*[_COMBINE[k][0](v).alias(f"_of_{n}") for n, (k, v) in values.items()])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*part, *[
-        F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_at_{n}") for n in values])
+    starts = totals.select(*part, *[_COMBINE[k][0](f"_of_{n}").over(before).alias(f"_at_{n}") for n, (k, _) in values.items()])
     return rows.join(starts, part).select(
-        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_at_{n}")).alias(n) for n in values])
+        *df.columns, *[_COMBINE[k][1](F.col(f"_in_{n}"), F.col(f"_at_{n}")).alias(n) for n, (k, _) in values.items()])
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
+                 block: Column, inclusive: bool = False) -> DataFrame:
+    """Adds running sums; 0 where there is no row before."""
+    return running(df, keys, order, {n: ("sum", v) for n, v in values.items()}, block, inclusive)
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],

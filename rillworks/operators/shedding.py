@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillworks.model import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
 from rillworks.operators.carried import walk
-from rillworks.operators.ordered import block_of, neighbour, running_sums
+from rillworks.operators.ordered import block_of, neighbour, running, running_sums
 
 
 def shed_cumulative(rows: DataFrame, session: str, seq: str, size: Column, block: Column | None = None,
@@ -19,17 +19,15 @@ def shed_cumulative(rows: DataFrame, session: str, seq: str, size: Column, block
     return summed.withColumn("accepted", F.col("_before") <= high).drop("_before")
 
 
-def session_close(rows: DataFrame, session: str, time: str, dropped: Column,
-                  seconds: int = FULL_SECONDS) -> DataFrame:
+def session_close(rows: DataFrame, session: str, seq: str, time: str, dropped: Column,
+                  seconds: int = FULL_SECONDS, block: Column | None = None) -> DataFrame:
     """Adds `closed`: true for rows after the drop that found the buffer full for more than `seconds`
-    since the session's first drop."""
-    limit = F.expr(f"INTERVAL {int(seconds)} SECONDS")
-    drops = rows.filter(dropped)
-    first = drops.groupBy(session).agg(F.min(time).alias("_full_since"))
-    closing = (drops.join(first, session).filter(F.col(time) - F.col("_full_since") > limit)
-               .groupBy(session).agg(F.min(time).alias("closed_at")))
-    return rows.join(closing, session, "left").withColumn(
-        "closed", F.coalesce(F.col(time) > F.col("closed_at"), F.lit(False)))
+    since the session's first drop, that is, when the drops before a row span more than that."""
+    drop_time = F.when(dropped, F.col(time))
+    spanned = running(rows, [session], [seq], {"_first": ("min", drop_time), "_last": ("max", drop_time)},
+                      block_of(seq) if block is None else block)
+    long = F.col("_last") - F.col("_first") > F.expr(f"INTERVAL {int(seconds)} SECONDS")
+    return spanned.withColumn("closed", F.coalesce(long, F.lit(False))).drop("_first", "_last")
 
 
 def quota_breaches(rows: DataFrame, key: str, time: str, size: Column, bytes_per_second: int = 102_400) -> DataFrame:

@@ -127,7 +127,7 @@ def shed_cumulative(spark, sf):
 def session_close(spark, sf):
     rows = shedding.shed_cumulative(sized_rows(spark, sf), "user_id", "seq", F.col("size"), high=HIGH)
     timed = rows.withColumn("ts", F.timestamp_micros("us"))
-    return shedding.session_close(timed, "user_id", "ts", ~F.col("accepted"), CLOSE_SECONDS).groupBy("user_id").agg(
+    return shedding.session_close(timed, "user_id", "seq", "ts", ~F.col("accepted"), CLOSE_SECONDS).groupBy("user_id").agg(
         F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted") & ~F.col("closed")).alias("dropped"),
         F.count_if("closed").alias("after_close"))
 

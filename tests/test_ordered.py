@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillworks.operators.ordered import block_of, neighbour, running_sums
+from rillworks.operators.ordered import block_of, neighbour, running, running_sums
 
 
 def rows_with_hot_key(n=600):
@@ -36,3 +36,18 @@ def test_neighbour(spark, bits, ahead):
         want[i] = last.get(k)
         last[k] = v
     assert {r.i: r.n for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("bits", [0, 4])
+def test_running_extremes(spark, bits):
+    rows = rows_with_hot_key()
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint")
+    odd = F.when(F.col("v") % 2 == 1, F.col("v"))
+    out = running(df, ["k"], ["i"], {"lo": ("min", odd), "hi": ("max", odd)}, block_of("i", bits))
+    seen, want = {}, {}
+    for k, i, v in rows:
+        before = seen.setdefault(k, [])
+        want[i] = (min(before, default=None), max(before, default=None))
+        if v % 2:
+            before.append(v)
+    assert {r.i: (r.lo, r.hi) for r in out.collect()} == want

@@ -47,7 +47,7 @@ def test_cumulative_equals_one_by_one(spark):
 def test_close_after_thirty_seconds(spark):
     data = [("s", t, t < 5) for t in (0, 1, 5, 20, 35, 36, 40)] + [("u", 1, False)]
     df = spark.createDataFrame(data, "s string, t bigint, ok boolean").withColumn("ts", F.timestamp_seconds("t"))
-    out = shedding.session_close(df, "s", "ts", ~F.col("ok"))
+    out = shedding.session_close(df, "s", "t", "ts", ~F.col("ok"), block=block_of("t", 2))
     assert sorted((r.s, r.t) for r in out.filter("closed").collect()) == [("s", 40)]
 
 
