@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillworks.operators.frames import encode, message
 from rillworks.operators.lookup import lookup, sized
 
 TOPIC_KEYED = "logs"
@@ -13,6 +14,23 @@ def task_key(task_id: Column) -> Column:
     return task_id.cast("decimal(20,0)").cast("string")
 
 
+def wire_task(task_id: Column) -> Column:
+    """Configured task id as the unsigned 64-bit number used on the wire, NULL when it is not one."""
+    number = F.when(task_id.rlike("^[0-9]{1,20}$"), task_id.cast("decimal(20,0)"))
+    return F.when(number <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), number)
+
+
+def wire_tasks(rows: DataFrame, task_id: str = "task_id") -> tuple[DataFrame, DataFrame]:
+    """Rows with `wire_task`, and the rows whose task id cannot go on the wire."""
+    numbered = rows.withColumn("wire_task", wire_task(F.col(task_id)))
+    return numbered.filter("wire_task IS NOT NULL"), numbered.filter("wire_task IS NULL").drop("wire_task")
+
+
+def ack_frames(acked: DataFrame) -> DataFrame:
+    """Acknowledgements as frame bytes."""
+    return acked.select("task_id", "offset", encode(message("ACK", F.col("task_id"), F.col("offset"))).alias("raw"))
+
+
 def route(frames: DataFrame, tasks: DataFrame, clusters: DataFrame) -> DataFrame:
     """Adds topic, cluster_id and status: 'ok', 'no_producer' (cluster unknown) or 'no_task'.
 

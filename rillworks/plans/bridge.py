@@ -149,6 +149,8 @@ FROM documents WHERE doc_id % 17 <> 1""",
   ', "message_queue": {' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '"type": "pulsar", ' END ||
   '"version": "3.x", "cluster_id": "c-' || o_orderstatus || '", "topic": "t"}, "properties": {"x": 1}}, ' ||
   '{"log_path_pattern": "/b.log"}]' || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE '}' END AS document FROM orders""",
+    "v_task_ids": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '' || (o_orderkey + 1) WHEN 1 THEN '18446744073709551615'
+  WHEN 2 THEN '00' || (o_custkey + 1) WHEN 3 THEN '18446744073709551616' ELSE 'task-' || o_custkey END AS task_id FROM orders""",
     "v_task_sets": """SELECT o_orderkey, 'agent-' || o_custkey AS agent, 't-' || o_orderkey AS task_id,
   '/var/log/' || o_orderkey || '.log' AS log_path_pattern, 'topic-' || o_orderstatus AS kafka_topic, o_orderstatus FROM orders""",
     "v_prop_files": """SELECT c_custkey, c_nationkey, c_name AS host, '# Router ' || c_custkey || @lf || @lf ||

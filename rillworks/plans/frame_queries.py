@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rillworks.functions.once import once
-from rillworks.operators import bytestreams, codecs, frames, offsets, routing
+from rillworks.operators import bytestreams, codecs, frames, metrics, routing
 from rillworks.plans.bridge import ctes, table, view
 
 
@@ -193,10 +193,38 @@ def duplicate_delivery(spark, sf):
         F.sum(F.col("deliveries") - 1).alias("repeated"))
 
 
+def ack_frames(spark, sf):
+    acked = routing.acks(routed(spark, sf))
+    return routing.ack_frames(acked).select(
+        F.col("task_id").cast("string").alias("task_id"), F.col("offset").cast("string").alias("offset"), F.hex("raw").alias("raw_hex"))
+
+
+def frame_metrics(spark, sf):
+    """METRICS frames, decoded, as the latest values per agent."""
+    reports = frames.dispatch(good_frames(spark, sf))["METRICS"].select(
+        "agent_id", "us", "event_id", F.col("payload").cast("string").alias("document"))
+    return metrics.last_values(reports, "agent_id", ["us", "event_id"], "document")
+
+
+def _task_ids(spark, sf):
+    return view(spark, sf, "v_task_ids")
+
+
+def task_wire_ids(spark, sf):
+    good, _ = routing.wire_tasks(_task_ids(spark, sf))
+    return good.select("o_orderkey", "task_id", F.col("wire_task").cast("string").alias("wire_task"))
+
+
+def task_id_rejects(spark, sf):
+    _, rejected = routing.wire_tasks(_task_ids(spark, sf))
+    return rejected.select("o_orderkey", "task_id")
+
+
 QUERIES = {f.__name__: f for f in (
     frames_built, frame_roundtrip, frame_decode, frame_rejects, type_dispatch, frame_reassembly, chunk_lines,
     codec_roundtrip, codec_ratio, route, route_status, unroutable, acks, unacked, mq_rows, mq_rows_keyed,
-    fanout_counts, mq_counts, route_asof, active_tasks, duplicate_delivery)}
+    fanout_counts, mq_counts, route_asof, active_tasks, duplicate_delivery,
+    ack_frames, frame_metrics, task_wire_ids, task_id_rejects)}
 
 _GOOD = ctes("v_frame_parts", "v_tasks", "v_clusters") + """,
 expected AS (SELECT *, cast(strlen(payload) AS bigint) AS n, CASE
@@ -262,4 +290,14 @@ SELECT task_id, topic FROM v_tasks WHERE task_id IN (SELECT task_id FROM v_lines
     "duplicate_delivery": ctes("v_lines") + """
 SELECT task_id, count(*) AS chunks, count(*) + count(*) FILTER (event_id % 101 = 0) AS deliveries,
   count(*) FILTER (event_id % 101 = 0) AS repeated FROM v_lines GROUP BY task_id""",
+    "ack_frames": ctes("v_frame_hex") + """
+SELECT wire_task AS task_id, cast(wire_offset AS varchar) AS "offset",
+  'BEBAFECA0001020000000000' || substr(clean_hex, 25, 32) AS raw_hex
+FROM v_frame_hex WHERE mtype = 1 AND defect NOT IN (0, 1, 2, 3) AND event_type <> 'view'""",
+    "frame_metrics": _GOOD + """
+SELECT agent_id, cast(arg_max(k, event_id) AS bigint) AS lines_collected, cast(arg_max(k * 10, event_id) AS bigint) AS bytes_collected,
+  cast(0 AS bigint) AS error_count, cast(0 AS bigint) AS files_watched FROM good WHERE mtype = 4 GROUP BY agent_id""",
+    "task_wire_ids": ctes("v_task_ids") + """
+SELECT o_orderkey, task_id, ltrim(task_id, '0') AS wire_task FROM v_task_ids WHERE o_orderkey % 5 IN (0, 1, 2)""",
+    "task_id_rejects": ctes("v_task_ids") + "SELECT o_orderkey, task_id FROM v_task_ids WHERE o_orderkey % 5 IN (3, 4)",
 }

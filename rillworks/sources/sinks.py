@@ -44,3 +44,9 @@ def rolled_files(lines: DataFrame, folder: str, time: str, max_records: int = 1_
     """Files per date and hour, a new one after `max_records` rows."""
     lines.withColumns({"date": F.to_date(time), "hour": F.hour(time)}).write.mode("append").option(
         "maxRecordsPerFile", max_records).partitionBy("date", "hour").parquet(folder)
+
+
+def rolled_by_size(indexed: DataFrame, folder: str, keys: list[str]) -> None:
+    """One file per roll index (see `offsets.roll_index`), so a hot key is written by many tasks."""
+    parts = [*keys, "hour_index", "size_index"]
+    indexed.repartition(*parts).write.mode("append").partitionBy(*parts).parquet(folder)

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_frames import chop, streams, wire
 
-from rillworks.operators import bytestreams, frames
+from rillworks.operators import bytestreams, frames, offsets, routing
+from rillworks.operators.ordered import block_of
 from rillworks.sources import readers, sinks, tail
 from rillworks.streaming import jobs
 
@@ -164,3 +165,27 @@ def test_readers_and_rolled_files(spark, tmp_path):
     sinks.rolled_files(lines.coalesce(1), str(tmp_path / "rolled"), "ts", 2)
     files = spark.read.parquet(str(tmp_path / "rolled")).groupBy("hour", F.input_file_name()).count()
     assert files.agg(F.max("count")).first()[0] == 2 and files.count() == 7
+
+
+def test_files_rolled_by_hour_and_size(spark, tmp_path):
+    rows = spark.range(40).select(F.lit("a").alias("k"), "id", F.lit("x" * 9).alias("line"))
+    indexed = offsets.roll_index(rows, ["k"], ["id"], F.col("id") * 200, (F.length("line") + 1).cast("bigint"), block_of("id", 3), 100)
+    sinks.rolled_by_size(indexed, str(tmp_path / "out"), ["k"])
+    out = spark.read.parquet(str(tmp_path / "out")).withColumn("file", F.col("_metadata.file_path"))
+    files = out.groupBy("hour_index", "size_index").agg(F.countDistinct("file").alias("files"), F.count("id").alias("n"))
+    assert files.agg(F.max("files"), F.max("n"), F.sum("n")).first() == (1, 10, 40)
+    assert out.filter("id = 25").select("hour_index", "size_index").first() == (1, 2)
+
+
+@pytest.mark.parametrize("text, number", [
+    ("1001", 1001), ("18446744073709551615", 2**64 - 1), ("18446744073709551616", None), ("task-001", None), ("", None),
+    ("12x", None), ("-1", None), (None, None)])
+def test_task_ids_on_the_wire(spark, text, number):
+    good, bad = routing.wire_tasks(spark.createDataFrame([(text,)], "task_id string"))
+    assert [int(r.wire_task) for r in good.collect()] == ([] if number is None else [number])
+    assert bad.count() == (number is None)
+
+
+def test_acknowledgement_frames(spark):
+    acked = spark.createDataFrame([(999, 50)], "task_id bigint, offset bigint")
+    assert bytes(routing.ack_frames(acked).first().raw) == wire(999, 50, b"", kind=2)
