@@ -24,9 +24,15 @@ def _keyed(chunks: DataFrame, stream: str | Column, seq: str, data: str):
     return chunks.select(key.cast("string").alias("stream"), F.col(seq).alias("seq"), F.col(data).alias("data")).groupBy("stream")
 
 
-def frames(chunks: DataFrame, stream: str | Column, seq: str, data: str) -> DataFrame:
+def _time_mode(idle_ms: int | None) -> str:
+    """State that expires needs processing time. Such a query has always another batch to run, so it is for
+    continuous triggers, not for `availableNow`."""
+    return "none" if idle_ms is None else "processingTime"
+
+
+def frames(chunks: DataFrame, stream: str | Column, seq: str, data: str, idle_ms: int | None = None) -> DataFrame:
     return _keyed(chunks, stream, seq, data).transformWithStateInPandas(
-        FrameAssembler(), "stream string, raw binary", "append", "none")
+        FrameAssembler(idle_ms), "stream string, raw binary", "append", _time_mode(idle_ms))
 
 
 def lines(chunks: DataFrame, stream: str | Column = "file_path", seq: str = "offset", data: str = "data") -> DataFrame:
@@ -36,12 +42,13 @@ def lines(chunks: DataFrame, stream: str | Column = "file_path", seq: str = "off
 
 
 def shed(rows: DataFrame, session: str, seq: str, us: str, size: str, drain_bytes_per_second: int,
-         high: int = HIGH_WATERMARK_BYTES, low: int = LOW_WATERMARK_BYTES, full_seconds: int = FULL_SECONDS) -> DataFrame:
+         high: int = HIGH_WATERMARK_BYTES, low: int = LOW_WATERMARK_BYTES, full_seconds: int = FULL_SECONDS,
+         idle_ms: int | None = None) -> DataFrame:
     keyed = rows.select(F.col(session).cast("string").alias("session"), F.col(seq).cast("bigint").alias("seq"),
                         F.col(us).cast("bigint").alias("us"), F.col(size).cast("bigint").alias("size")).groupBy("session")
     return keyed.transformWithStateInPandas(
-        Shedder(drain_bytes_per_second, high, low, full_seconds),
-        "session string, seq bigint, accepted boolean, level bigint, closed boolean", "append", "none")
+        Shedder(drain_bytes_per_second, high, low, full_seconds, idle_ms),
+        "session string, seq bigint, accepted boolean, level bigint, closed boolean", "append", _time_mode(idle_ms))
 
 
 def report_intervals(reports: DataFrame, by: list[str], time: str, sums: dict[str, str], seconds: int = 10,

@@ -20,10 +20,15 @@ def _ordered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
 
 
 class FrameAssembler(StatefulProcessor):
-    """(stream, raw) of complete frames from (stream, seq, data) chunks; a bad header closes the stream."""
+    """(stream, raw) of complete frames from (stream, seq, data) chunks; a bad header closes the stream.
+
+    With `idle_ms`, a connection without data for that long is gone, and its state with it."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "data binary, closed boolean")
+        self.tail = handle.getValueState("tail", "data binary, closed boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pending, closed = self.tail.get() if self.tail.exists() else (b"", False)
@@ -39,14 +44,16 @@ class FrameAssembler(StatefulProcessor):
             out.append(data[at:end])
             at = end
         self.tail.update((b"" if closed else data[at:], closed))
-        yield pd.DataFrame({"stream": [key[0]] * len(out), "raw": out})
+        if out:
+            yield pd.DataFrame({"stream": [key[0]] * len(out), "raw": out})
 
     def close(self) -> None:
         pass
 
 
 class LineAssembler(StatefulProcessor):
-    """(stream, line) of complete lines from (stream, seq, data) chunks; bytes are kept until the line feed."""
+    """(stream, line) of complete lines from (stream, seq, data) chunks; bytes are kept until the line feed,
+    however long the file is idle; nothing is kept for a file that ends with a line feed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", "data binary")
@@ -54,8 +61,12 @@ class LineAssembler(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pending = bytes(self.tail.get()[0]) if self.tail.exists() else b""
         *whole, rest = (pending + b"".join(bytes(d) for d in _ordered(rows, "seq")["data"])).split(b"\n")
-        self.tail.update((rest,))
-        yield pd.DataFrame({"stream": [key[0]] * len(whole), "line": whole})
+        if rest:
+            self.tail.update((rest,))
+        else:
+            self.tail.clear()
+        if whole:
+            yield pd.DataFrame({"stream": [key[0]] * len(whole), "line": whole})
 
     def close(self) -> None:
         pass
@@ -63,15 +74,18 @@ class LineAssembler(StatefulProcessor):
 
 class Shedder(StatefulProcessor):
     """(session, seq, accepted, level, closed) with hysteresis; a session that sheds for longer than
-    `full_seconds` without a break is closed."""
+    `full_seconds` without a break is closed. With
+    `idle_ms`, state goes when a session has no rows for that long."""
 
-    def __init__(self, drain: int, high: int, low: int, full_seconds: int):
+    def __init__(self, drain: int, high: int, low: int, full_seconds: int, idle_ms: int | None = None):
         self.drain = drain
+        self.idle_ms = idle_ms
         self.marks = (high, low)
         self.full_us = full_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getValueState("buffer", "level long, shedding boolean, last long, full_since long, closed boolean")
+        self.buffer = handle.getValueState(
+            "buffer", "level long, shedding boolean, last long, full_since long, closed boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         level, shedding, last, since, closed = self.buffer.get() if self.buffer.exists() else (0, False, -1, -1, False)

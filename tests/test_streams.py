@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,35 @@ def test_stream_shedding(spark, tmp_path):
     assert [r.seq for r in out if r.closed] == list(range(first_drop + 32, 120))
 
 
+def test_batches_without_a_complete_frame_or_line(spark, tmp_path):
+    whole = wire(1, 0, b"abc")
+    rows = [("c", i, whole[i:i + 1]) for i in range(len(whole))]
+    chunks = feed(spark, tmp_path / "in", rows, "c string, i bigint, data binary", 3)
+    assert [bytes(r.raw) for r in run(jobs.frames(chunks, "c", "i", "data"), tmp_path, "f").collect()] == [whole]
+    rows = [("c", i, b"%d" % i if i < 5 else b"\n") for i in range(6)]
+    chunks = feed(spark, tmp_path / "in2", rows, "c string, i bigint, data binary", 3)
+    assert [r.line for r in run(jobs.lines(chunks, "c", "i", "data"), tmp_path, "l").collect()] == ["01234"]
+
+
+def test_idle_connections_expire(spark, tmp_path):
+    whole = wire(1, 0, b"abc")
+    chunks = feed(spark, tmp_path / "in", [("c", 0, whole[:9])], "c string, i bigint, data binary", 1)
+    query = jobs.frames(chunks, "c", "i", "data", idle_ms=1).writeStream.format("memory").queryName("idle").option(
+        "checkpointLocation", str(tmp_path / "checkpoint")).start()
+    def wait(done):
+        end = time.time() + 25
+        while not done() and time.time() < end:
+            time.sleep(0.3)
+
+    try:
+        wait(lambda: sum(p.numInputRows for p in query.recentProgress) == 1)
+        spark.createDataFrame([("c", 1, whole)], "c string, i bigint, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        wait(lambda: spark.table("idle").count() == 1)
+        assert [bytes(r.raw) for r in spark.table("idle").collect()] == [whole]
+    finally:
+        query.stop()
+
+
 def test_stream_intervals_and_sessions(spark, tmp_path):
     rows = [("a", t, 1) for t in (0, 5, 12, 100, 101, 1000)]
     stream = feed(spark, tmp_path / "in", rows, "k string, t bigint, n bigint", 2).withColumn("ts", F.timestamp_seconds("t"))
