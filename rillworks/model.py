@@ -8,7 +8,6 @@ VERSION = 0x0100
 HEADER_BYTES = 28
 MESSAGE_TYPES = {1: "DATA", 2: "ACK", 3: "HEARTBEAT", 4: "METRICS"}
 CODEC_TYPES = {0: "NONE", 1: "ZLIB", 2: "SNAPPY"}
-ZLIB_OUTPUT_LIMIT = 1024 * 1024
 
 # Audit rules.
 REQUIRED_FIELDS = ["timestamp", "level", "message"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillworks.functions import jsontext
+from rillworks.operators.offsets import cut_by_share
 from rillworks.functions.once import once
 from rillworks.functions.clock import iso_instant
 from rillworks.model import LATE_SECONDS, MAX_MESSAGE_CHARS, PASS_RATE, REQUIRED_FIELDS
@@ -145,18 +146,20 @@ def throughput(messages: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def bounded_read(messages: DataFrame, seconds: int, max_messages: int) -> DataFrame:
-    """Per topic: the first `max_messages` that arrive within `seconds` of the topic's first message.
+def bounded_read(messages: DataFrame, seconds: int, max_messages: int | None = None) -> DataFrame:
+    """Per topic: the first `max_messages` that arrive within `seconds` of the topic's first message; all of them if None.
 
-    The row-number filter is applied per task before the shuffle as well, so a topic ships at most
-    `max_messages` rows per task.
+    Rows are cut within shares of a topic before they meet per topic, whatever the limit. `read_no` is
+    given with a limit only.
     """
     opened = messages.groupBy("topic").agg(F.min("arrival").alias("_opened"))
     inside = messages.join(opened, "topic").filter(
         F.col("arrival") <= F.col("_opened") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
-    order = Window.partitionBy("topic").orderBy("arrival", "partition", "offset")
-    return (inside.withColumn("read_no", F.row_number().over(order))
-            .filter(F.col("read_no") <= max_messages).drop("_opened"))
+    inside = inside.drop("_opened")
+    if max_messages is None:
+        return inside
+    by = ["arrival", "partition", "offset"]
+    return cut_by_share(inside, ["topic"], [F.col(c) for c in by], max_messages, "read_no", 64, by)
 
 
 def topic_positions(snapshots: DataFrame) -> DataFrame:

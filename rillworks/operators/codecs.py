@@ -2,13 +2,12 @@
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillworks.model import ZLIB_OUTPUT_LIMIT
-
 
 def codec_name(column: Column) -> Column:
     """NONE, ZLIB or SNAPPY from a configured name, whatever its case; unknown names mean NONE."""
@@ -37,15 +36,24 @@ def _deflate(codec: str, data: bytes, level: int, snappy) -> bytes:
     return zlib.compress(data, level) if codec == "ZLIB" else snappy.compress(data, asbytes=True)
 
 
-def _inflate(codec: str, data: bytes, level: int, snappy) -> bytes:
+class _TooLarge(ValueError):
+    pass
+
+
+def _inflate(codec: str, data: bytes, level: int, snappy, most: int | None) -> bytes:
     if not data or codec == "NONE":
         return data
     if codec == "SNAPPY":
-        return snappy.decompress(data, _snappy_size(data), asbytes=True)
+        size = _snappy_size(data)
+        if most is not None and size > most:
+            raise _TooLarge
+        return snappy.decompress(data, size, asbytes=True)
     stream = zlib.decompressobj()
-    out = stream.decompress(data, ZLIB_OUTPUT_LIMIT)
+    out = stream.decompress(data, 0 if most is None else most + 1)
+    if most is not None and len(out) > most:
+        raise _TooLarge
     if not stream.eof:
-        raise ValueError("incomplete or too large")
+        raise ValueError("incomplete")
     return out
 
 
@@ -54,13 +62,19 @@ def _apply(step, codec_col: str, data_col: str, level: int):
         snappy = pa.Codec("snappy")
         for batch in batches:
             out: list[bytes | None] = []
+            reasons: list[str | None] = []
             for codec, data in zip(batch.column(codec_col).to_pylist(), batch.column(data_col).to_pylist()):
+                result, reason = None, None
                 try:
-                    out.append(None if data is None else step(codec, data, level, snappy))
+                    result = None if data is None else step(codec, data, level, snappy)
+                except _TooLarge:
+                    reason = "too_large"
                 except (ValueError, OSError, zlib.error):
-                    out.append(None)
+                    reason = "damaged"
+                out.append(result)
+                reasons.append(reason)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "output"])
+                [*batch.columns, pa.array(out, pa.binary()), pa.array(reasons, pa.string())], names=[*batch.schema.names, "output", "output_reason"])
 
     return run
 
@@ -68,17 +82,21 @@ def _apply(step, codec_col: str, data_col: str, level: int):
 def _job(df: DataFrame, step, codec: str, data: str, level: int) -> DataFrame:
     named = df.withColumn("codec_used", codec_name(F.col(codec)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    return named.mapInArrow(_apply(step, "codec_used", data, level), f"{fields}, output binary")
+    return named.mapInArrow(_apply(step, "codec_used", data, level), f"{fields}, output binary, output_reason string")
 
 
 def compress(df: DataFrame, codec: str, data: str, level: int = 6) -> DataFrame:
     """Adds `codec_used` and `output`; the zlib level is held within 1 to 9."""
-    return _job(df, _deflate, codec, data, max(1, min(9, level)))
+    return _job(df, _deflate, codec, data, max(1, min(9, level))).drop("output_reason")
+
 
+def decompress(df: DataFrame, codec: str, data: str, max_bytes: int | None = None) -> DataFrame:
+    """Adds `codec_used`, `output` and `output_reason`.
 
-def decompress(df: DataFrame, codec: str, data: str) -> DataFrame:
-    """Adds `codec_used` and `output`; NULL where the data is damaged or inflates beyond the limit."""
-    return _job(df, _inflate, codec, data, 0)
+    Data that can't be read gives a NULL output and the reason `damaged`. A caller may set `max_bytes`;
+    what inflates beyond it gives a NULL output and the reason `too_large`.
+    """
+    return _job(df, partial(_inflate, most=max_bytes), codec, data, 0)
 
 
 def compression_ratio(df: DataFrame, by: list[str], original: Column, compressed: Column) -> DataFrame:

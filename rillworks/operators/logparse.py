@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillworks.functions.jsontext import with_document
 from rillworks.functions.once import once
 from rillworks.model import JSON_LOG_STRUCT, LEVELS
 from rillworks.operators.ordered import neighbour
@@ -60,7 +61,9 @@ def parse_shell(df: DataFrame, line: str) -> DataFrame:
 
 def parse_json(df: DataFrame, line: str) -> DataFrame:
     """Adds the members of a JSON log line; NULL where not JSON."""
-    return once(df, _log=F.from_json(line, JSON_LOG_STRUCT)).select(*df.columns, "_log.*")
+    strict = with_document(df, F.col(line), "_whole")
+    whole = F.col("_whole").isNotNull()
+    return once(strict, _log=F.when(whole, F.from_json(line, JSON_LOG_STRUCT))).select(*df.columns, "_log.*")
 
 
 def level_counts(logs: DataFrame, by: list[str]) -> DataFrame:

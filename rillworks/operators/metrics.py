@@ -35,7 +35,8 @@ def accumulate(reports: DataFrame, agent: str, order: list[str], document: str)
     A member that a report does not have leaves the old value; reports that are not JSON are ignored."""
     number = "BIGINT"
     fields = ", ".join(f"{c}: {number}" for c in COUNTERS + GAUGES)
-    parsed = reports.select(agent, *order, F.from_json(
+    strict = jsontext.with_document(reports.select(agent, *order, document), F.col(document)).filter("_doc IS NOT NULL")
+    parsed = strict.select(agent, *order, F.from_json(
         document, f"STRUCT<tasks: ARRAY<STRUCT<task_id: STRING, {fields}>>>").alias("_doc"))
     rows = parsed.select(agent, *order, F.posexplode("_doc.tasks").alias("_pos", "_t"))
     latest = lambda c: F.max_by(F.col(f"_t.{c}"), F.when(F.col(f"_t.{c}").isNotNull(), F.struct(*order, "_pos")))
@@ -45,32 +46,35 @@ def accumulate(reports: DataFrame, agent: str, order: list[str], document: str)
 
 
 def last_values(reports: DataFrame, agent: str, order: list[str], document: str) -> DataFrame:
-    """Latest flat report per agent; missing members are 0, reports that are not JSON are ignored."""
+    """Latest flat report per agent; missing members are 0; reports that are not JSON or have a member that is no number are ignored."""
     names = [*COUNTERS, "files_watched"]
     doc = F.col("_doc")
     parsed = jsontext.with_document(reports.select(agent, *order, document), F.col(document)).filter(
         doc.isNotNull() & (jsontext.kind(doc) == "OBJECT"))
     values = F.struct(*[F.coalesce(jsontext.member(doc, f".{c}", "bigint"), F.lit(0)).alias(c) for c in names])
+    for c in names:  # a member that is no number rejects its report
+        shape = F.schema_of_variant(jsontext.member(doc, f".{c}", "variant"))
+        parsed = parsed.filter(F.coalesce(shape.isin("BIGINT", "DOUBLE", "VOID") | shape.startswith("DECIMAL"), F.lit(True)))
     last = parsed.groupBy(agent).agg(F.max_by(values, F.struct(*order)).alias("_last"))
     return last.select(agent, *[F.col(f"_last.{c}").alias(c) for c in names])
 
 
-def connection_gauge(changes: DataFrame, router: str, order: list[str], block: Column) -> DataFrame:
+def connection_gauge(changes: DataFrame, relay: str, order: list[str], block: Column) -> DataFrame:
     """Adds `active`, the open connections after each change (+1 open, -1 close)."""
-    return running_sums(changes, [router], order, {"active": F.col("change").cast("bigint")}, block, inclusive=True)
+    return running_sums(changes, [relay], order, {"active": F.col("change").cast("bigint")}, block, inclusive=True)
 
 
-def connection_summary(gauge: DataFrame, router: str, order: list[str]) -> DataFrame:
-    return gauge.groupBy(router).agg(
+def connection_summary(gauge: DataFrame, relay: str, order: list[str]) -> DataFrame:
+    return gauge.groupBy(relay).agg(
         F.count_if(F.col("change") > 0).alias("opened"), F.count_if(F.col("change") < 0).alias("closed"),
         F.max("active").alias("peak"), F.max_by("active", F.struct(*order)).alias("active"))
 
 
-def status_rows(gauge: DataFrame, router: str, time: str, order: list[str], seconds: int = 30) -> DataFrame:
-    """Last gauge value per router and tumbling interval."""
-    return gauge.groupBy(router, F.window(time, f"{seconds} seconds").alias("_w")).agg(
+def status_rows(gauge: DataFrame, relay: str, time: str, order: list[str], seconds: int = 30) -> DataFrame:
+    """Last gauge value per relay and tumbling interval."""
+    return gauge.groupBy(relay, F.window(time, f"{seconds} seconds").alias("_w")).agg(
         F.max_by("active", F.struct(*order)).alias("active")).select(
-        router, F.col("_w.start").alias("interval_start"), "active")
+        relay, F.col("_w.start").alias("interval_start"), "active")
 
 
 def report_intervals(reports: DataFrame, by: list[str], time: str, sums: dict[str, str], seconds: int = 10) -> DataFrame:
@@ -123,7 +127,7 @@ def _escaped(value: Column) -> Column:
 
 
 def metrics_json(agents: DataFrame, queues: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON document per key (a router, or a page of its agents) with agent and queue arrays, both
+    """One JSON document per key (a relay, or a page of its agents) with agent and queue arrays, both
     in id order."""
     agent = F.struct("agent_id", *COUNTERS, "files_watched")
     queue = F.struct("cluster_id", "messages_sent", "messages_failed")

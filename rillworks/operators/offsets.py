@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillworks.functions.jsontext import kind, with_document
 from rillworks.model import CHECKPOINT_STRUCT, ROLL_BYTES, ROLL_SECONDS
-from rillworks.operators.lookup import BROADCAST_ROWS, sized
 from rillworks.operators.ordered import block_of, neighbour, running_sums
 
 
@@ -55,16 +55,19 @@ def latest_checkpoints(log: DataFrame, key: str, seq: str, deleted: str, columns
 
 def checkpoint_documents(checkpoints: DataFrame, agent: str, key: str) -> DataFrame:
     """One JSON document per agent, key -> checkpoint, in key order. A document holds the files of one
-    agent host."""
+    agent host. Of rows with the same key the one modified last counts (of those, the one read furthest)."""
     entry = F.struct("offset", "file_path", "inode", "file_size", "last_modified")
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), entry.alias("value"))))
-    return checkpoints.groupBy(agent).agg(F.to_json(F.map_from_entries(entries)).alias("document"))
+    single = checkpoints.groupBy(agent, key).agg(F.max_by(entry, F.struct("last_modified", "offset", "file_size", "inode", "file_path")).alias("_entry"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("_entry").alias("value"))))
+    return single.groupBy(agent).agg(F.to_json(F.map_from_entries(entries)).alias("document"))
 
 
 def parse_checkpoint_documents(documents: DataFrame, agent: str, document: str) -> DataFrame:
     """Checkpoint rows from the documents; missing members get their defaults, and a document that
     does not parse gives one row with `failed`."""
-    parsed = documents.select(agent, F.from_json(document, f"MAP<STRING, {CHECKPOINT_STRUCT}>").alias("_map"))
+    strict = with_document(documents.select(agent, document), F.col(document))
+    whole = F.col("_doc").isNotNull() & (kind(F.col("_doc")) == "OBJECT")
+    parsed = strict.select(agent, F.when(whole, F.from_json(document, f"MAP<STRING, {CHECKPOINT_STRUCT}>")).alias("_map"))
     opened = parsed.select(agent, F.col("_map").isNull().alias("failed"), F.explode_outer("_map").alias("key", "_c"))
     number = lambda name: F.coalesce(F.col(f"_c.{name}"), F.lit(0)).cast("bigint").alias(name)
     text = lambda name: F.coalesce(F.col(f"_c.{name}"), F.lit("")).alias(name)
@@ -98,16 +101,11 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         "path", F.when(F.col("_moved"), "MOVED").otherwise(F.col("event")).alias("event"), "from_path")
 
 
-def _digests(before: DataFrame, after: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(path, event, digest) of the wanted files (path, event). Few wanted files are broadcast, so that only
-    their contents are hashed; many are joined to digests, so that contents are not shuffled."""
+def _digests(before: DataFrame, after: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, event, digest) of the wanted files (path, event). Contents are hashed where they are read and never shuffled."""
     contents = before.select("path", "content", F.lit("DELETED").alias("event")).unionByName(
         after.select("path", "content", F.lit("CREATED").alias("event")))
-    digest = F.sha2("content", 256).alias("digest")
-    few = wanted.limit(max_rows + 1).count() <= max_rows
-    if few:
-        return contents.join(F.broadcast(wanted), ["path", "event"]).select("path", "event", digest)
-    return contents.select("path", "event", digest).join(wanted, ["path", "event"])
+    return contents.select("path", "event", F.sha2("content", 256).alias("digest")).join(wanted, ["path", "event"])
 
 
 def glob_regex(pattern: Column) -> Column:
@@ -127,7 +125,7 @@ def match_files(files: DataFrame, patterns: DataFrame, excludes: list[str] | Non
     A file meets the patterns by equality on the directory part before the first wildcard, which is
     one of the file's ancestor directories; the regular expression is only checked on those."""
     fixed = F.regexp_extract("pattern", r"^([^*?\[]*/)", 1)
-    dim = sized(patterns.select("task_id", fixed.alias("_dir"), glob_regex(F.col("pattern")).alias("_regex")))
+    dim = patterns.select("task_id", fixed.alias("_dir"), glob_regex(F.col("pattern")).alias("_regex"))
     kept = files
     for name in excludes or []:
         kept = kept.filter(~F.regexp_extract("path", r"([^/]*)$", 1).rlike(_literal_regex(name)))
@@ -159,10 +157,21 @@ def roll_index(lines: DataFrame, keys: list[str], order: list[str], epoch_second
         "size_index", F.floor(F.col("_written") / roll_bytes)).drop("_start", "_written")
 
 
-def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The last n rows per key, oldest first in `row_from_end` = n .. 1; cut per task before the shuffle."""
-    backwards = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("row_from_end", F.row_number().over(backwards)).filter(F.col("row_from_end") <= n)
+def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, shares: int = 64) -> DataFrame:
+    """The last n rows per key, oldest first in `row_from_end` = n .. 1.
+
+    Each key is dealt to `shares` shares by a hash of the order columns; a share hands on its last n rows
+    at most, so for any n the last step meets n rows per share of a key, not the key.
+    """
+    return cut_by_share(df, keys, [F.desc(c) for c in order], n, "row_from_end", shares, order)
+
+
+def cut_by_share(df: DataFrame, keys: list[str], order: list[Column], n: int, number: str, shares: int, by: list[str]) -> DataFrame:
+    """Rows numbered 1 to n per key in `order`, cut within shares of a key first."""
+    dealt = df.withColumn("_share", F.pmod(F.xxhash64(*by), F.lit(shares)))
+    inside = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_share").orderBy(*order)))
+    few = inside.filter(F.col("_place") <= n).drop("_share", "_place")
+    return few.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(number) <= n)
 
 
 def since_start(samples: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:

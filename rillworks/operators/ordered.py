@@ -1,6 +1,6 @@
 """Order-dependent logic that does not put a whole key into one task.
 
-One file, session or router may hold a large share of all rows, so a window over the key alone would
+One file, session or relay may hold a large share of all rows, so a window over the key alone would
 sort that share in a single task. Here each key is cut into blocks that follow the order: a window runs
 inside (key, block), one small row per block is combined over the key, and the two are joined on
 (key, block), which the rows are already partitioned by.

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillworks.operators.frames import encode, message
-from rillworks.operators.lookup import lookup, sized
 
 TOPIC_KEYED = "logs"
 
@@ -38,8 +37,8 @@ def route(frames: DataFrame, tasks: DataFrame, clusters: DataFrame) -> DataFrame
     keyed = frames.withColumn("_task", task_key(F.col("task_id")))
     known = clusters.select(F.col("cluster_id"), F.lit(True).alias("_producer"))
     configured = tasks.select(F.col("task_id").alias("_task"), "topic", "cluster_id")
-    targets = configured.join(sized(known), "cluster_id", "left").withColumn("_known", F.lit(True))
-    joined = lookup(keyed, targets, "_task").drop("_task")
+    targets = configured.join(known, "cluster_id", "left").withColumn("_known", F.lit(True))
+    joined = keyed.join(targets, "_task", "left").drop("_task")
     status = (F.when(F.col("_known").isNull(), "no_task")
               .when(F.col("_producer").isNull(), "no_producer").otherwise("ok"))
     return joined.withColumn("status", status).drop("_producer", "_known")
@@ -47,7 +46,7 @@ def route(frames: DataFrame, tasks: DataFrame, clusters: DataFrame) -> DataFrame
 
 def unroutable(frames: DataFrame, tasks: DataFrame) -> DataFrame:
     keyed = frames.withColumn("_task", task_key(F.col("task_id")))
-    return lookup(keyed, tasks.select(F.col("task_id").alias("_task")), "_task", "left_anti").drop("_task")
+    return keyed.join(tasks.select(F.col("task_id").alias("_task")), "_task", "left_anti").drop("_task")
 
 
 def acks(routed: DataFrame, mode: str = "on_route", delivered: str | Column = "delivered") -> DataFrame:
@@ -113,7 +112,7 @@ def session_versions(sessions: DataFrame, spans: DataFrame, bucket_seconds: int
     tagged = sessions.withColumn("_bucket", F.least(bucket(F.col("armed_at")), last)).alias("s")
     inside = (F.col("s.armed_at") >= F.col("v.valid_from")) & (
         F.col("v.valid_to").isNull() | (F.col("s.armed_at") < F.col("v.valid_to")))
-    return tagged.join(sized(listed).alias("v"), (F.col("s._bucket") == F.col("v._bucket")) & inside, "left").select(
+    return tagged.join(listed.alias("v"), (F.col("s._bucket") == F.col("v._bucket")) & inside, "left").select(
         *[F.col(f"s.{c}") for c in sessions.columns], F.col("v.version"))
 
 

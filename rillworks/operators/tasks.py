@@ -51,14 +51,7 @@ def agent_tasks(documents: DataFrame, key: str, document: str) -> DataFrame:
     """(key, task_id, log_path_pattern, kafka_topic, properties). Missing members default to "", tasks
     without id or pattern are left out, and any member of a wrong type fails the whole document."""
     opened = _with_tasks(documents, document)
-
-    def valid(e: Column) -> Column:
-        values = F.map_values(F.try_variant_get(e, "$.properties", "map<string, variant>"))
-        strings = F.forall(values, lambda v: F.coalesce(jsontext.is_string(v), F.lit(False)))
-        texts = [_is(e, f, "STRING", "ABSENT") for f in ("task_id", "log_path_pattern", "kafka_topic")]
-        return _is_object(e) & texts[0] & texts[1] & texts[2] & F.coalesce(strings, F.lit(True))
-
-    sound = opened.filter(F.forall("_tasks", valid))
+    sound = opened.filter(F.forall("_tasks", _valid))
     rows = sound.select(key, F.explode("_tasks").alias("_t"))
     t = F.col("_t")
     return rows.select(
@@ -68,12 +61,28 @@ def agent_tasks(documents: DataFrame, key: str, document: str) -> DataFrame:
     ).filter("task_id <> '' AND log_path_pattern <> ''")
 
 
-def failed_documents(documents: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
-    """Keys of documents that gave no task."""
-    return documents.select(key).join(parsed.select(key).distinct(), key, "left_anti")
+def _valid(e: Column) -> Column:
+    """An object whose texts are strings or absent, and whose properties are strings."""
+    values = F.map_values(F.try_variant_get(e, "$.properties", "map<string, variant>"))
+    strings = F.forall(values, lambda v: F.coalesce(jsontext.is_string(v), F.lit(False)))
+    texts = [_is(e, f, "STRING", "ABSENT") for f in ("task_id", "log_path_pattern", "kafka_topic")]
+    return _is_object(e) & texts[0] & texts[1] & texts[2] & F.coalesce(strings, F.lit(True))
+
+
+def document_status(documents: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, status) of task documents: `ok`, `not_json`, or `wrong_type`. A document without tasks, or with none to collect, is ok."""
+    opened = _with_tasks(documents, document)
+    sound = F.when(F.col("_tasks").isNotNull(), F.forall("_tasks", _valid)).otherwise(~jsontext.has_member(F.col("_doc"), "tasks"))
+    status = F.when(F.col("_doc").isNull(), "not_json").when((jsontext.kind(F.col("_doc")) == "OBJECT") & F.coalesce(sound, F.lit(False)), "ok").otherwise("wrong_type")
+    return opened.select(key, status.alias("status"))
+
+
+def failed_documents(documents: DataFrame, key: str, document: str) -> DataFrame:
+    """Keys of documents that are no JSON or have a member of a wrong type."""
+    return document_status(documents, key, document).filter("status <> 'ok'").select(key)
 
 
-def router_tasks(documents: DataFrame, key: str, document: str) -> DataFrame:
+def required_tasks(documents: DataFrame, key: str, document: str) -> DataFrame:
     """(key, task_id, log_path, topic, cluster_id). All members are required: the tasks before the first
     bad one are kept. A repeated id keeps its last task."""
     opened = _with_tasks(documents, document)

@@ -18,11 +18,11 @@ def tasks_agent(spark, sf):
 
 def tasks_agent_failed(spark, sf):
     docs = view(spark, sf, "v_task_docs")
-    return tasks.failed_documents(docs, tasks.agent_tasks(docs, "doc_id", "document"), "doc_id")
+    return tasks.failed_documents(docs, "doc_id", "document")
 
 
-def tasks_router(spark, sf):
-    return tasks.router_tasks(view(spark, sf, "v_task_docs"), "doc_id", "document")
+def tasks_required(spark, sf):
+    return tasks.required_tasks(view(spark, sf, "v_task_docs"), "doc_id", "document")
 
 
 def tasks_control(spark, sf):
@@ -92,7 +92,7 @@ def config_layers(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    tasks_agent, tasks_agent_failed, tasks_router, tasks_control, task_diff, task_sets, config_since, props_scan,
+    tasks_agent, tasks_agent_failed, tasks_required, tasks_control, task_diff, task_sets, config_since, props_scan,
     props_typed, cluster_dim, config_layers)}
 
 _FIRST = "o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0"
@@ -124,7 +124,7 @@ UNION ALL SELECT doc_id, cast(o_custkey + o_orderkey % 2 AS varchar), '/data/b.l
 UNION ALL SELECT doc_id, 'z', '/data/z.log', 'v', 'kafka_cluster_id=c3' FROM ok""",
     "tasks_agent_failed": ctes("v_task_docs") + """
 SELECT doc_id FROM v_task_docs WHERE o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 17 = 0""",
-    "tasks_router": ctes("v_task_docs") + f""",
+    "tasks_required": ctes("v_task_docs") + f""",
 ok AS (SELECT * FROM v_task_docs WHERE {_FIRST})
 SELECT doc_id, cast(o_custkey AS varchar) AS task_id, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '/var/log/' || o_orderkey || '/*.log' END
   AS log_path, 't-' || o_orderstatus AS topic, 'c1' AS cluster_id FROM ok WHERE o_orderkey % 7 = 0 OR o_orderkey % 2 = 1

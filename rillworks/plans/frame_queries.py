@@ -112,7 +112,8 @@ def codec_roundtrip(spark, sf):
 
 def codec_ratio(spark, sf):
     packed = codecs.compress(codec_rows(spark, sf), "codec", "payload")
-    return codecs.compression_ratio(packed, ["codec_used"], F.octet_length("payload"), F.octet_length("output"))
+    sums = codecs.compression_ratio(packed, ["codec_used"], F.octet_length("payload"), F.octet_length("output"))
+    return sums.select("codec_used", "original_bytes", (F.col("compressed_bytes") < F.col("original_bytes")).alias("smaller"), F.when(F.col("codec_used") == "NONE", F.col("ratio")).alias("none_ratio"))
 
 
 def route(spark, sf):
@@ -171,10 +172,10 @@ def route_asof(spark, sf):
     sessions = lines.groupBy("user_id", "d").agg(F.timestamp_micros(F.min("us")).alias("armed_at"))
     versioned = routing.session_versions(sessions, routing.version_spans(config_history(spark, sf)))
     listed = config_history(spark, sf).select("version", F.explode(F.array(*map(F.lit, ("1001", "1002", "1003")))).alias("task_id"))
-    history = routing.lookup(listed, view(spark, sf, "v_tasks"), "task_id").select(
+    history = listed.join(view(spark, sf, "v_tasks"), "task_id", "left").select(
         "version", "task_id", F.concat("topic", F.lit("-v"), F.col("version")).alias("topic"))
     placed = lines.join(versioned.select("user_id", "d", "version"), ["user_id", "d"])
-    return routing.lookup(placed, history, ["version", "task_id"]).select("event_id", "version", "task_id", "topic")
+    return placed.join(history, ["version", "task_id"], "left").select("event_id", "version", "task_id", "topic")
 
 
 def active_tasks(spark, sf):
@@ -258,6 +259,9 @@ SELECT user_id, cast(coalesce(sum(28 + n) OVER (PARTITION BY user_id ORDER BY ev
     "chunk_lines": ctes("v_lines") + """
 SELECT task_id, file_path, row_number() OVER (PARTITION BY task_id, file_path ORDER BY event_id) - 1 AS line_no,
   line, true AS complete FROM v_lines""",
+    "codec_ratio": """
+SELECT codec_used, cast(sum(strlen(text)) AS bigint) AS original_bytes, codec_used <> 'NONE' AS smaller, CASE WHEN codec_used = 'NONE' THEN 100.0::double END AS none_ratio
+FROM (SELECT text, ['ZLIB', 'SNAPPY', 'NONE', 'NONE', 'NONE'][doc_id % 5 + 1] AS codec_used FROM documents) GROUP BY codec_used""",
     "codec_roundtrip": """
 SELECT codec, CASE codec WHEN 'zlib' THEN 'ZLIB' WHEN 'Snappy' THEN 'SNAPPY' ELSE 'NONE' END AS codec_used,
   codec = 'gzip' AS warned, count(*) AS payloads, count(*) AS lossless, cast(sum(strlen(text)) AS bigint) AS bytes

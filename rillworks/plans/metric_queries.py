@@ -56,19 +56,19 @@ def metrics_last(spark, sf):
 def connections(spark, sf):
     moved = reports(spark, sf).filter("event_type IN ('signup', 'error')")
     changes = moved.select(
-        (F.col("user_id") % 3).alias("router_id"), "seq", "us",
+        (F.col("user_id") % 3).alias("relay_id"), "seq", "us",
         F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("change"))
-    return metrics.connection_gauge(changes, "router_id", ["seq"], block_of("seq"))
+    return metrics.connection_gauge(changes, "relay_id", ["seq"], block_of("seq"))
 
 
 def active_connections(spark, sf):
-    return metrics.connection_summary(connections(spark, sf), "router_id", ["seq"])
+    return metrics.connection_summary(connections(spark, sf), "relay_id", ["seq"])
 
 
 def status_30s(spark, sf):
     gauge = connections(spark, sf).withColumn("ts", F.timestamp_micros("us"))
-    return metrics.status_rows(gauge, "router_id", "ts", ["seq"]).select(
-        "router_id", F.unix_seconds("interval_start").alias("interval_start"), "active")
+    return metrics.status_rows(gauge, "relay_id", "ts", ["seq"]).select(
+        "relay_id", F.unix_seconds("interval_start").alias("interval_start"), "active")
 
 
 def report_window(spark, sf):
@@ -110,9 +110,9 @@ def exposition_lines(spark, sf):
 
 
 def metrics_json(spark, sf):
-    """A document per router and page of 500 users."""
-    keys = ["router_id", "page"]
-    rows = reports(spark, sf).withColumn("router_id", F.col("user_id") % 3).withColumn("page", F.expr("user_id div 500"))
+    """A document per relay and page of 500 users."""
+    keys = ["relay_id", "page"]
+    rows = reports(spark, sf).withColumn("relay_id", F.col("user_id") % 3).withColumn("page", F.expr("user_id div 500"))
     agents = rows.groupBy(*keys, "agent_id").agg(
         F.sum("lines").alias("lines_collected"), F.sum("bytes").alias("bytes_collected"), F.sum("errors").alias("error_count"),
         F.max("fast_files").alias("files_watched"))
@@ -174,9 +174,9 @@ runs AS (SELECT d AS run, count(*) AS total, count(*) FILTER (k % 30 <> 4) AS va
   cast(max(us) - min(us) AS decimal(20,0)) / 1000000 AS secs FROM v_reports GROUP BY d)
 """
 _CONNECTIONS = _REPORTS + """,
-changes AS (SELECT user_id % 3 AS router_id, seq, us, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS change
+changes AS (SELECT user_id % 3 AS relay_id, seq, us, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS change
   FROM v_reports WHERE event_type IN ('signup', 'error')),
-gauge AS (SELECT *, cast(sum(change) OVER (PARTITION BY router_id ORDER BY seq) AS bigint) AS active FROM changes)
+gauge AS (SELECT *, cast(sum(change) OVER (PARTITION BY relay_id ORDER BY seq) AS bigint) AS active FROM changes)
 """
 _BEATS = _REPORTS + """,
 beats AS (SELECT agent_id, us, us - lag(us) OVER (PARTITION BY agent_id ORDER BY us, seq) AS silence
@@ -209,10 +209,10 @@ last AS (SELECT agent_id, arg_max(k, seq) AS k, arg_max(lines, seq) AS lines, ar
 SELECT agent_id, lines AS lines_collected, CASE WHEN k % 4 = 0 THEN 0 ELSE bytes END AS bytes_collected,
   cast(0 AS bigint) AS error_count, cast(f AS bigint) AS files_watched FROM last""",
     "active_connections": _CONNECTIONS + """
-SELECT router_id, count(*) FILTER (change > 0) AS opened, count(*) FILTER (change < 0) AS closed, max(active) AS peak,
-  arg_max(active, seq) AS active FROM gauge GROUP BY router_id""",
+SELECT relay_id, count(*) FILTER (change > 0) AS opened, count(*) FILTER (change < 0) AS closed, max(active) AS peak,
+  arg_max(active, seq) AS active FROM gauge GROUP BY relay_id""",
     "status_30s": _CONNECTIONS + """
-SELECT router_id, us // 30000000 * 30 AS interval_start, arg_max(active, seq) AS active FROM gauge GROUP BY ALL""",
+SELECT relay_id, us // 30000000 * 30 AS interval_start, arg_max(active, seq) AS active FROM gauge GROUP BY ALL""",
     "report_window": _REPORTS + """
 SELECT task_id, us // 10000000 * 10 AS interval_start, cast(sum(lines) AS bigint) AS lines_collected,
   cast(sum(bytes) AS bigint) AS bytes_collected FROM v_reports GROUP BY ALL""",
@@ -228,14 +228,14 @@ UNION ALL SELECT cast(i AS int), 1, '# TYPE ' || name || ' ' || kind FROM heads
 UNION ALL SELECT cast(i AS int), 2, name || '{agent_id="' || agent_id || '",task_id="' || task_id || '"} ' ||
   CASE i WHEN 0 THEN l WHEN 1 THEN b WHEN 2 THEN e ELSE ff END FROM counters, heads""",
     "metrics_json": _REPORTS + """,
-base AS (SELECT *, user_id % 3 AS router_id, user_id // 500 AS page FROM v_reports),
-a AS (SELECT router_id, page, string_agg('{"agent_id":"' || agent_id || '","lines_collected":' || l || ',"bytes_collected":' || b ||
+base AS (SELECT *, user_id % 3 AS relay_id, user_id // 500 AS page FROM v_reports),
+a AS (SELECT relay_id, page, string_agg('{"agent_id":"' || agent_id || '","lines_collected":' || l || ',"bytes_collected":' || b ||
   ',"error_count":' || e || ',"files_watched":' || f || '}', ',' ORDER BY agent_id) AS agents FROM (
-  SELECT router_id, page, agent_id, sum(lines) AS l, sum(bytes) AS b, sum(errors) AS e, max(fast_files) AS f FROM base GROUP BY ALL) GROUP BY ALL),
-q AS (SELECT router_id, page, string_agg('{"cluster_id":"' || task_id || '","messages_sent":' || s || ',"messages_failed":' || f || '}', ','
-  ORDER BY task_id) AS queues FROM (SELECT router_id, page, task_id, count(*) FILTER (ok) AS s, count(*) FILTER (NOT ok) AS f
+  SELECT relay_id, page, agent_id, sum(lines) AS l, sum(bytes) AS b, sum(errors) AS e, max(fast_files) AS f FROM base GROUP BY ALL) GROUP BY ALL),
+q AS (SELECT relay_id, page, string_agg('{"cluster_id":"' || task_id || '","messages_sent":' || s || ',"messages_failed":' || f || '}', ','
+  ORDER BY task_id) AS queues FROM (SELECT relay_id, page, task_id, count(*) FILTER (ok) AS s, count(*) FILTER (NOT ok) AS f
   FROM base GROUP BY ALL) GROUP BY ALL)
-SELECT router_id, page, '{"agent_metrics":[' || agents || '],"mq_metrics":[' || queues || ']}' AS document FROM a JOIN q USING (router_id, page)""",
+SELECT relay_id, page, '{"agent_metrics":[' || agents || '],"mq_metrics":[' || queues || ']}' AS document FROM a JOIN q USING (relay_id, page)""",
     "topic_positions": ctes("v_messages") + """,
 ends AS (SELECT topic, partition, coalesce(max("offset") FILTER (us < 1705276800000000) + 1, 0) AS b, max("offset") + 1 AS a
   FROM v_messages GROUP BY ALL)

@@ -32,6 +32,9 @@ def fan_out(routed: DataFrame, clusters: list[dict], writers: dict[str, Writer])
 
     The cluster list is configuration. The routed rows are computed once: they are kept (memory, then
     disk; lost parts are recomputed) while the writes run."""
+    missing = sorted({c["kind"] for c in clusters} - set(writers))
+    if missing:
+        raise ValueError(f"no writer for cluster kinds: {', '.join(missing)}")
     rows = queue_rows(routed).persist()
     try:
         for cluster in clusters:

@@ -14,39 +14,6 @@ def messages(spark, values, topic="t", step=1.0):
     return spark.createDataFrame(rows, "topic string, partition int, offset bigint, arrival timestamp, value string")
 
 
-def expected(values):
-    """The rules, one message at a time."""
-    seen, out = set(), []
-    for v in values:
-        out.append(rule(v, seen))
-    return out
-
-
-def rule(v, seen):
-    if not v:
-        return "empty"
-    try:
-        doc = json.loads(v)
-    except json.JSONDecodeError:
-        if not v.strip():
-            return "blank"
-    else:
-        try:
-            for f in ("timestamp", "level", "message"):
-                if f not in doc:
-                    return f"missing:{f}"
-            try:
-                dt.datetime.fromisoformat(doc["timestamp"].replace("Z", "+00:00"))
-            except ValueError:
-                return "bad_timestamp"
-        except (TypeError, AttributeError):
-            return "exception"
-    if v in seen:
-        return "duplicate"
-    seen.add(v)
-    return "oversize" if len(v) > 1024 * 1024 else "valid"
-
-
 def doc(ts):
     return json.dumps({"timestamp": ts, "level": "INFO", "message": "m"})
 
@@ -64,11 +31,21 @@ VALUES = [
     "2024-01-01T10:11:12.5+02:00", "2024-01-01T10:11:12-0330", "2024-13-01", "2024-02-30", "2024-01-01T25:00", "2024", "2024-01", "",
     "2024-01-01T10:11:12 ", "not a date", "2024-01-01T10Z", "2024-01-01T10:61", "01/02/2024", "2024-1-1", "2024-02-29T00:00:00", "2023-02-29")]
 
+#: What each of the values is, in order.
+REASONS = [
+    "empty", "empty", "blank", "valid", "duplicate", "valid", "valid", "valid", "valid", "valid", "valid", "missing:timestamp", "exception",
+    "missing:message", "exception", "missing:level", "exception", "exception", "exception", "exception", "exception", "exception",
+    "missing:timestamp", "missing:level", "missing:message", "valid", "valid", "exception", "missing:timestamp", "missing:timestamp", "valid",
+    "oversize", "duplicate", "valid", "valid", "valid", "valid", "valid", "valid", "valid", "valid", "valid", "valid", "valid", "valid", "valid",
+    "valid", "bad_timestamp", "bad_timestamp", "bad_timestamp", "bad_timestamp", "bad_timestamp", "bad_timestamp", "bad_timestamp", "bad_timestamp",
+    "valid", "bad_timestamp", "bad_timestamp", "bad_timestamp", "valid", "bad_timestamp",
+]
+
 
 def test_rules(spark):
+    assert len(VALUES) == len(REASONS)
     got = {r.offset: r.reason for r in audit.classify(messages(spark, VALUES)).collect()}
-    want = dict(enumerate(expected(VALUES)))
-    assert {i: (VALUES[i] and VALUES[i][:60], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert {i: (VALUES[i] and VALUES[i][:60], got[i], want) for i, want in enumerate(REASONS) if got[i] != want} == {}
 
 
 def test_duplicates_count_per_topic_and_follow_arrival(spark):

@@ -29,10 +29,10 @@ def test_agent_documents(spark):
     assert {(r.n, r.task_id): r.properties for r in out.collect()}[(0, "1001")] == {"kafka_cluster_id": "c", "x": "y"}
 
 
-def test_router_documents(spark):
+def test_documents_with_required_members(spark):
     df = docs(spark, {"tasks": [task(task_id="1"), task(task_id="1", kafka_topic="last"), task(task_id="2", kafka_topic=...), task(task_id="3")]},
               {"tasks": [task(task_id=1)]}, {"tasks": [task(properties={})]}, "broken", {"tasks": []}, {"tasks": [task(), "x"]})
-    assert ids(tasks.router_tasks(df, "n", "d"), "task_id", "topic") == [(0, "1", "last"), (5, "1001", "t")]
+    assert ids(tasks.required_tasks(df, "n", "d"), "task_id", "topic") == [(0, "1", "last"), (5, "1001", "t")]
 
 
 def test_control_documents(spark):
@@ -74,3 +74,9 @@ def test_typed_values(spark, text, number, flag, parts):
 def test_versions(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("b", 2, "z")], "t string, v bigint, p string")
     assert tasks.changed_since(rows, "t", "v", 2, ["p"]).collect() == [("a", 4, "y")]
+
+
+def test_valid_empty_documents_are_not_failed(spark):
+    docs = [(1, '{"tasks": []}'), (2, '{"tasks": [{"log_path_pattern": "/a"}]}'), (3, "{}"), (4, "nope"), (5, '{"tasks": []} x'), (6, '{"tasks": 5}'), (7, '{"tasks": [{"task_id": 5}]}'), (8, "[]"), (9, None)]
+    got = {r["n"]: r["status"] for r in tasks.document_status(spark.createDataFrame(docs, "n int, d string"), "n", "d").collect()}
+    assert got == {1: "ok", 2: "ok", 3: "ok", 4: "not_json", 5: "not_json", 6: "wrong_type", 7: "wrong_type", 8: "wrong_type", 9: "not_json"}

@@ -139,12 +139,24 @@ def test_codec_roundtrip(spark, codec):
     assert df.select(codecs.codec_warned(F.col("codec"))).first()[0] == (codec == "lz4")
 
 
-def test_zlib_output_limit_and_damage(spark):
+def test_zlib_damage_and_no_output_limit(spark):
     import zlib
     limit = 1024 * 1024
     values = [zlib.compress(b"a" * limit), zlib.compress(b"a" * (limit + 1)), b"damaged"]
     df = raws(spark, values).withColumn("codec", F.lit("zlib"))
     sizes = [r.output and len(r.output) for r in codecs.decompress(df, "codec", "raw").orderBy("n").collect()]
-    assert sizes == [limit, None, None]
-    snappy = raws(spark, [b"\xff\xff"]).withColumn("codec", F.lit("snappy"))
-    assert codecs.decompress(snappy, "codec", "raw").first().output is None
+    assert sizes == [limit, limit + 1, None]
+
+
+def test_decompress_has_no_cap_unless_asked_and_says_why(spark):
+    from rillworks.operators import codecs
+
+    big = b"five megabytes " * 350_000
+    rows = [(1, "zlib", big), (2, "snappy", big), (3, "none", big), (4, "zlib", None)]
+    packed = codecs.compress(spark.createDataFrame(rows, "n int, codec string, data binary"), "codec", "data").drop("codec_used").withColumnRenamed("output", "packed")
+    broken = packed.union(spark.createDataFrame([(5, "zlib", b"", b"\x78\x9cxx")], packed.schema))
+    opened = {r["n"]: r for r in codecs.decompress(broken, "codec", "packed").collect()}
+    assert all(bytes(opened[n]["output"]) == big and opened[n]["output_reason"] is None for n in (1, 2, 3))
+    assert (opened[4]["output"], opened[4]["output_reason"]) == (None, None) and opened[5]["output_reason"] == "damaged"
+    capped = {r["n"]: r["output_reason"] for r in codecs.decompress(packed, "codec", "packed", max_bytes=1000).collect()}
+    assert capped[1] == capped[2] == "too_large"
