@@ -81,10 +81,9 @@ QUERIES = {f.__name__: f for f in (op1_near_copies, op2_leaks, op3_pages, op4_pa
 _SPLIT = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
-    # coverage by template windows equals coverage by plain windows here: the given items hold no numbers, units or capitals inside sentences
     "op6_hosts": f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter({_SPLIT}, x -> x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter({_SPLIT}, lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
   runs AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
   twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
   covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(8)) AS p FROM twice) GROUP BY doc_id),
