@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
 next stage's documents. All but the last return the columns of documents. NULL texts and texts without a
-letter go in the first stage; NULL keys stay, except that a near-copy group needs a key to choose by.
+letter go in the first stage; NULL keys stay.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-copy group: the one with the least key (all rows without a key that are in no group of keys)."""
+    """Keeps one document of each near-copy group: the one with the least key.
+
+    Rows without a key can't be chosen by it: of those, one of each distinct text stays.
+    """
     rows = near_copies.classes(docs).filter("key = component").select(F.col("key").alias("_keep")).distinct()
     kept = docs.filter("doc_id IS NOT NULL").join(rows, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(COLUMNS)
+    return kept.union(docs.filter("doc_id IS NULL").dropDuplicates(["text"])).select(COLUMNS)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

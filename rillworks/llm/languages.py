@@ -23,7 +23,7 @@ FAMILIES = {
     "fi": "uralic", "et": "uralic", "hu": "uralic", "lt": "baltic", "lv": "baltic", "hi": "indic", "bn": "indic", "ur": "indic",
     "tr": "turkic", "az": "turkic", "kk": "turkic", "id": "malayic", "ms": "malayic",
 }
-SAMPLE = 2000
+SAMPLE = 1200
 DIMENSIONS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
