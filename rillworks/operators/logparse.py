@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rillworks.functions.jsontext import with_document
 from rillworks.functions.once import once
 from rillworks.model import JSON_LOG_STRUCT, LEVELS
-from rillworks.operators.ordered import neighbour
+from rillworks.operators.ordered import neighbour, time_block
 
 # Text layouts as (name, start of the message, fields in order).
 TEXT_LAYOUTS = [
@@ -97,9 +97,9 @@ def resource_breaches(samples: DataFrame, run: str) -> DataFrame:
         F.max("cpu_percent").alias("cpu_peak"), F.max("memory_used_mb").alias("memory_peak"))
 
 
-def recoveries(rows: DataFrame, key: str, time: str, seq: str, block: Column, outage_seconds: int) -> DataFrame:
+def recoveries(rows: DataFrame, key: str, time: str, seq: str, outage_seconds: int, block_seconds: int = 3600) -> DataFrame:
     """Outages (no row for longer than `outage_seconds`) with the time to the first row after them."""
-    linked = neighbour(rows, [key], [time, seq], {"before": F.col(time)}, block)
+    linked = neighbour(rows, [key], [time, seq], {"before": F.col(time)}, time_block(time, block_seconds))
     gap = (F.unix_micros(time) - F.unix_micros("before")) / 1e6
     return linked.filter(gap > outage_seconds).select(
         key, F.col("before").alias("outage_start"), F.col(time).alias("outage_end"), gap.alias("recovery_seconds"),

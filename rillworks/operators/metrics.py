@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.functions import jsontext
-from rillworks.operators.ordered import neighbour, running_sums
+from rillworks.operators.ordered import neighbour, running_sums, time_block
 
 COUNTERS = ["lines_collected", "bytes_collected", "error_count"]
 GAUGES = ["fast_files", "slow_files"]
@@ -70,11 +70,19 @@ def connection_summary(gauge: DataFrame, relay: str, order: list[str]) -> DataFr
         F.max("active").alias("peak"), F.max_by("active", F.struct(*order)).alias("active"))
 
 
-def status_rows(gauge: DataFrame, relay: str, time: str, order: list[str], seconds: int = 30) -> DataFrame:
-    """Last gauge value per relay and tumbling interval."""
-    return gauge.groupBy(relay, F.window(time, f"{seconds} seconds").alias("_w")).agg(
+def status_rows(gauge: DataFrame, relay: str, time: str, order: list[str], seconds: int = 30,
+                until: Column | None = None) -> DataFrame:
+    """Gauge value at the end of every tumbling interval from a relay's first change to its last one, or to
+    the interval that holds `until`; an interval without a change has the value of the one before."""
+    changed = gauge.groupBy(relay, F.window(time, f"{seconds} seconds").alias("_w")).agg(
         F.max_by("active", F.struct(*order)).alias("active")).select(
-        relay, F.col("_w.start").alias("interval_start"), "active")
+        relay, (F.unix_seconds("_w.start")).alias("_start"), "active")
+    linked = neighbour(changed, [relay], ["_start"], {"_next": F.col("_start")},
+                       F.floor(F.col("_start") / F.lit(seconds << 16)).cast("bigint"), ahead=True)
+    end = F.col("_start") if until is None else F.greatest("_start", F.unix_seconds(until))
+    last = F.coalesce(F.col("_next") - seconds, end)
+    filled = linked.select(relay, "active", F.explode(F.sequence("_start", last, F.lit(seconds).cast("bigint"))).alias("_at"))
+    return filled.select(relay, F.timestamp_seconds("_at").alias("interval_start"), "active")
 
 
 def report_intervals(reports: DataFrame, by: list[str], time: str, sums: dict[str, str], seconds: int = 10) -> DataFrame:
@@ -83,9 +91,9 @@ def report_intervals(reports: DataFrame, by: list[str], time: str, sums: dict[st
         *[F.sum(c).alias(n) for n, c in sums.items()]).select(*by, F.col("_w.start").alias("interval_start"), *sums)
 
 
-def liveness(beats: DataFrame, agent: str, time: str, seq: str, block: Column, gap_seconds: int = 60) -> DataFrame:
+def liveness(beats: DataFrame, agent: str, time: str, seq: str, gap_seconds: int = 60, block_seconds: int = 3600) -> DataFrame:
     """Beats, silences longer than two missed beats, the longest one, and the last beat per agent."""
-    linked = neighbour(beats, [agent], [time, seq], {"_before": F.col(time)}, block)
+    linked = neighbour(beats, [agent], [time, seq], {"_before": F.col(time)}, time_block(time, block_seconds))
     silence = F.unix_micros(time) - F.unix_micros("_before")
     return linked.groupBy(agent).agg(
         F.count(F.lit(1)).alias("beats"),

@@ -5,7 +5,8 @@ sort that share in a single task. Here each key is cut into blocks that follow t
 inside (key, block), one small row per block is combined over the key, and the two are joined on
 (key, block), which the rows are already partitioned by.
 
-`block` must not decrease along the order, and keys must not be NULL.
+`block` must not decrease along the order (blocks whose first order column overlaps fail the job), and
+keys must not be NULL.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,17 +21,38 @@ def block_of(sequence: str | Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(F.col(sequence) if isinstance(sequence, str) else sequence, bits)
 
 
+def time_block(time: str | Column, seconds: int) -> Column:
+    """Block number of a time, for rows ordered by time."""
+    return F.floor(F.unix_micros(time) / F.lit(seconds * 1_000_000)).cast("bigint")
+
+
 # How two parts of a running value are combined; NULL stands for no value yet.
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "min": (F.min, F.least),
     "max": (F.max, F.greatest),
+    "last": (lambda v: F.last(v, ignorenulls=True), F.coalesce),
 }
 
 
+def _total(kind: str, value: Column, order: list[str]) -> Column:
+    """The value of a whole block; the last one is that of the greatest order that has one."""
+    return F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if kind == "last" else _COMBINE[kind][0](value)
+
+
+def _bounds(order: list[str]) -> list[Column]:
+    return [F.min(order[0]).alias("_low"), F.max(order[0]).alias("_high")]
+
+
+def _checked_block(keys: list[str]) -> Column:
+    """The block number, or an error where an earlier block reaches beyond this block's start."""
+    earlier = F.max("_high").over(Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    return F.when(earlier > F.col("_low"), F.raise_error(F.lit("blocks do not follow the order of the rows"))).otherwise(F.col(BLOCK))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
             block: Column, inclusive: bool = False) -> DataFrame:
-    """Adds the sum, min or max of each value over the rows before (or up to) the row, within the keys.
+    """Adds the sum, min, max or last non-NULL of each value over the rows before (or up to) the row, within the keys.
 
     `values` maps a new column to (kind, value)."""
     part = [*keys, BLOCK]
@@ -38,9 +60,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     rows = tagged.select("*", *[_COMBINE[k][0](v).over(inside).alias(f"_in_{n}") for n, (k, v) in values.items()])
-    totals = tagged.groupBy(*part).agg(*[_COMBINE[k][0](v).alias(f"_of_{n}") for n, (k, v) in values.items()])
+    totals = tagged.groupBy(*part).agg(*_bounds(order), *[_total(k, v, order).alias(f"_of_{n}") for n, (k, v) in values.items()])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*part, *[_COMBINE[k][0](f"_of_{n}").over(before).alias(f"_at_{n}") for n, (k, _) in values.items()])
+    starts = totals.select(*keys, _checked_block(keys).alias(BLOCK), *[_COMBINE[k][0](f"_of_{n}").over(before).alias(f"_at_{n}") for n, (k, _) in values.items()])
     return rows.join(starts, part).select(
         *df.columns, *[_COMBINE[k][1](F.col(f"_in_{n}"), F.col(f"_at_{n}")).alias(n) for n, (k, _) in values.items()])
 
@@ -59,7 +81,7 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
     tagged = df.withColumn(BLOCK, block)
     rows = tagged.select("*", shift(packed).over(Window.partitionBy(*part).orderBy(*order)).alias("_near"))
-    edges = tagged.groupBy(*part).agg(edge(packed, F.struct(*order)).alias("_edge"))
-    far = edges.select(*part, shift("_edge").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_far"))
+    edges = tagged.groupBy(*part).agg(*_bounds(order), edge(packed, F.struct(*order)).alias("_edge"))
+    far = edges.select(*keys, _checked_block(keys).alias(BLOCK), shift("_edge").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_far"))
     found = F.coalesce("_near", "_far")
     return rows.join(far, part).select(*df.columns, *[found.getField(n).alias(n) for n in values])

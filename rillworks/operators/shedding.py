@@ -1,13 +1,10 @@
 """Load shedding and session closing on buffer watermarks."""
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.model import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
-from rillworks.operators.carried import walk
-from rillworks.operators.ordered import block_of, neighbour, running, running_sums
+from rillworks.operators.ordered import block_of, running, running_sums
 
 
 def shed_cumulative(rows: DataFrame, session: str, seq: str, size: Column, block: Column | None = None,
@@ -36,123 +33,17 @@ def quota_breaches(rows: DataFrame, key: str, time: str, size: Column, bytes_per
     return sums.filter(F.col("bytes") > bytes_per_second).select(key, F.col("_w.start").alias("second_start"), "bytes")
 
 
-def step(level: int, shedding: bool, drained: int, size: int, high: int, low: int) -> tuple[int, bool, bool]:
-    """Buffer state after one message: (level, shedding, accepted)."""
-    level = max(0, level - drained)
-    shedding = level >= low if shedding else level > high
-    return (level if shedding else level + size), shedding, not shedding
-
-
-Piece = tuple[int, int, int, int, bool]  # entry levels lo..hi give level = slope * entry + add, shedding
-FULL_RANGE = 2**62
-
-
-def _drained(piece: Piece, amount: int) -> list[Piece]:
-    lo, hi, slope, add, full = piece
-    empty_to = amount - add
-    if not slope:
-        return [(lo, hi, 0, max(0, add - amount), full)]
-    parts = []
-    if lo <= empty_to:
-        parts.append((lo, min(hi, empty_to), 0, 0, full))
-    if hi > empty_to:
-        parts.append((max(lo, empty_to + 1), hi, 1, add - amount, full))
-    return parts
-
-
-def _switched(piece: Piece, high: int, low: int) -> list[Piece]:
-    """Cuts a piece where its level passes the mark that matters in its mode."""
-    lo, hi, slope, add, full = piece
-    last_accepting = low - 1 if full else high
-    if not slope:
-        return [(lo, hi, 0, add, add > last_accepting)]
-    border = last_accepting - add
-    parts = []
-    if lo <= border:
-        parts.append((lo, min(hi, border), 1, add, False))
-    if hi > border:
-        parts.append((max(lo, border + 1), hi, 1, add, True))
-    return parts
-
-
-def transition(messages: Iterator[tuple[int, int]], shedding: bool, high: int, low: int) -> list[Piece]:
-    """Exit state of a run of (drained, size) messages as a function of the entry level, for one entry mode."""
-    pieces: list[Piece] = [(0, FULL_RANGE, 1, 0, shedding)]
-    for amount, size in messages:
-        merged: list[Piece] = []
-        for piece in pieces:
-            for part in _drained(piece, amount):
-                for lo, hi, slope, add, full in _switched(part, high, low):
-                    state = (slope, add if full else add + size, full)
-                    if merged and merged[-1][2:] == state:
-                        merged[-1] = (merged[-1][0], hi, *state)
-                    else:
-                        merged.append((lo, hi, *state))
-        pieces = merged
-    return pieces
-
-
-def _transitions(high: int, low: int):
-    def step_block(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
-        messages = list(rows)
-        for mode in (False, True):
-            for piece in transition(messages, mode, high, low):
-                yield (*key, mode, *piece)
-
-    return step_block
-
-
-def _entries(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Entry state of each block of a session, walking its block functions in order."""
-    state, after, current = (0, False), (0, False), None
-    for block, mode, lo, hi, slope, add, leaves in rows:
-        if block != current:
-            state, current = after, block
-            yield (*key, block, *state)
-        if mode == state[1] and lo <= state[0] <= hi:
-            after = (slope * state[0] + add, leaves)
-
-
-def _replay(high: int, low: int):
-    def step_block(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
-        level = shedding = None
-        for seq, amount, size, level_in, shedding_in in rows:
-            if level is None:
-                level, shedding = level_in, shedding_in
-            level, shedding, accepted = step(level, shedding, amount, size, high, low)
-            yield key[0], seq, accepted, level
-
-    return step_block
-
-
-def shed_hysteresis(rows: DataFrame, session: str, seq: str, us: str, size: str, drain_bytes_per_second: int,
-                    high: int = HIGH_WATERMARK_BYTES, low: int = LOW_WATERMARK_BYTES,
-                    block: Column | None = None) -> DataFrame:
-    """(session, seq, accepted, level): shed from above the high mark until below the low mark, while the
-    buffer drains with time.
-
-    The state of a session depends on all its rows before. To keep a hot session out of one task, each
-    block of it is first turned into a function from the buffer level at its start to the state at its
-    end. That function has few pieces: levels keep their distance until a mark or the empty buffer
-    makes them equal. Walking these functions gives every block its entry state, and the blocks are
-    then replayed independently. `seq` is unique per session.
-    """
-    block = block_of(seq, 18) if block is None else block
-    kind = rows.schema[session].dataType.simpleString()
-    base = rows.select(F.col(session).alias("session"), F.col(seq).cast("bigint").alias("seq"),
-                       F.col(us).cast("bigint").alias("us"), F.col(size).cast("bigint").alias("size"),
-                       block.cast("bigint").alias("part"))
-    linked = neighbour(base, ["session"], ["seq"], {"before": F.col("us")}, F.col("part"))
-    elapsed = F.coalesce(F.col("us") - F.col("before"), F.lit(0)).cast("decimal(38,0)")
-    drain = F.floor(elapsed * F.lit(drain_bytes_per_second).cast("decimal(18,0)") / 1_000_000).cast("bigint")
-    ready = linked.select("session", "part", "seq", drain.alias("drain"), "size")
-    key = ["session", "part"]
-    functions = walk(ready, key, ["seq"], ["drain", "size"], _transitions(high, low),
-                     f"session {kind}, part bigint, entry_mode boolean, lo bigint, hi bigint, slope bigint, "
-                     "add bigint, exit_mode boolean")
-    entries = walk(functions.withColumnRenamed("part", "in_part"), ["session"], ["in_part", "lo"],
-                   ["in_part", "entry_mode", "lo", "hi", "slope", "add", "exit_mode"], _entries,
-                   f"session {kind}, part bigint, level_in bigint, shedding_in boolean")
-    out = walk(ready.join(entries, key), key, ["seq"], ["seq", "drain", "size", "level_in", "shedding_in"],
-               _replay(high, low), f"session {kind}, seq bigint, accepted boolean, level bigint")
-    return out.withColumnRenamed("session", session).withColumnRenamed("seq", seq)
+def shed_hysteresis(rows: DataFrame, session: str, order: list[str], change: str, high: int = HIGH_WATERMARK_BYTES,
+                    low: int = LOW_WATERMARK_BYTES, block: Column | None = None) -> DataFrame:
+    """Adds `level`, the bytes a session holds before the row, and `accepted`: shed from above the high mark
+    until below the low mark.
+
+    `change` is what the row recorded: bytes of a message that was buffered (0 if it was not), or minus the
+    bytes that were delivered; NULL counts as 0. The level is its running sum, and the mode is that of the
+    last mark passed. `accepted` is NULL for deliveries."""
+    block = block_of(order[0]) if block is None else block
+    held = running_sums(rows, [session], order, {"level": F.coalesce(F.col(change), F.lit(0)).cast("bigint")}, block)
+    passed = F.when(F.col("level") > high, True).when(F.col("level") < low, False)
+    told = running(held, [session], order, {"_shedding": ("last", passed)}, block, inclusive=True)
+    verdict = F.when(F.coalesce(F.col(change), F.lit(0)) >= 0, ~F.coalesce("_shedding", F.lit(False)))
+    return told.withColumn("accepted", verdict).drop("_shedding")

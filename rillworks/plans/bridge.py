@@ -30,12 +30,12 @@ FROM events""",
 
 # One pair of (columns, rows) for the small dimensions.
 TASKS = """SELECT * FROM (VALUES
-  ('1001', '/var/log/app/*.log', 'log-test-topic', 'local_kafka'),
-  ('1002', '/var/log/app/err*.log', 'error-logs', 'local_kafka'),
-  ('1003', '/var/log/orders/*.log', 'orders', 'kafka-cluster-1'),
-  ('1004', '/var/log/signups/*.log', 'signups', 'rabbit-1')) AS t(task_id, log_path, topic, cluster_id)"""
+  ('1001', '/var/log/app/*.log', 'clicks', 'near'),
+  ('1002', '/var/log/app/err*.log', 'faults', 'near'),
+  ('1003', '/var/log/orders/*.log', 'orders', 'far'),
+  ('1004', '/var/log/signups/*.log', 'signups', 'other')) AS t(task_id, log_path, topic, cluster_id)"""
 CLUSTERS = """SELECT * FROM (VALUES
-  ('local_kafka', 'kafka'), ('kafka-cluster-1', 'kafka')) AS t(cluster_id, kind)"""
+  ('near', 'kafka'), ('far', 'kafka')) AS t(cluster_id, kind)"""
 
 
 def _swapped(digits: str, size: int) -> str:
@@ -100,7 +100,7 @@ FROM v_lines""",
     WHEN 2 THEN substr(clean_hex, 1, 40) WHEN 3 THEN substr(clean_hex, 1, length(clean_hex) - 2)
     WHEN 4 THEN clean_hex || 'FFFF' ELSE clean_hex END AS raw_hex FROM v_frame_hex""",
     "v_messages": """SELECT event_id, user_id, us, k, event_type,
-  CASE event_type WHEN 'click' THEN 'log-test-topic' WHEN 'error' THEN 'error-logs'
+  CASE event_type WHEN 'click' THEN 'clicks' WHEN 'error' THEN 'faults'
     WHEN 'purchase' THEN 'orders' WHEN 'signup' THEN 'signups' ELSE 'views' END AS topic,
   cast(user_id % 3 AS int) AS partition, event_id AS offset, us + k * 100000 AS arrival_us,
   CASE WHEN event_id % 5000 = 9 THEN t_iso || ' ' || repeat('x', 1048577 - 27)

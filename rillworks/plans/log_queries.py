@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from rillworks.functions.once import once
 from rillworks.operators import logparse
-from rillworks.operators.ordered import block_of
 from rillworks.plans.bridge import ctes, view
 from rillworks.plans.config_queries import pairs_text
 
@@ -52,7 +51,7 @@ def resource_breaches(spark, sf):
 
 def recoveries(spark, sf):
     rows = view(spark, sf, "v_reports").select("task_id", "seq", F.timestamp_micros("us").alias("ts"))
-    out = logparse.recoveries(rows, "task_id", "ts", "seq", block_of("seq"), 3600)
+    out = logparse.recoveries(rows, "task_id", "ts", "seq", 3600)
     return out.select("task_id", F.unix_micros("outage_start").alias("outage_start"),
                       F.unix_micros("outage_end").alias("outage_end"), "recovery_seconds", "within_limit")
 

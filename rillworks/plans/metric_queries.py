@@ -67,7 +67,7 @@ def active_connections(spark, sf):
 
 def status_30s(spark, sf):
     gauge = connections(spark, sf).withColumn("ts", F.timestamp_micros("us"))
-    return metrics.status_rows(gauge, "relay_id", "ts", ["seq"]).select(
+    return metrics.status_rows(gauge, "relay_id", "ts", ["seq"], until=F.timestamp_micros(F.lit(NOW_US))).select(
         "relay_id", F.unix_seconds("interval_start").alias("interval_start"), "active")
 
 
@@ -83,7 +83,7 @@ def agent_liveness(spark, sf):
 
 def _alive(spark, sf):
     beats = reports(spark, sf).filter("event_type = 'click'").select("agent_id", "seq", F.timestamp_micros("us").alias("ts"))
-    return metrics.liveness(beats, "agent_id", "ts", "seq", block_of("seq"), gap_seconds=86_400)
+    return metrics.liveness(beats, "agent_id", "ts", "seq", gap_seconds=86_400)
 
 
 def agent_registry(spark, sf):
@@ -95,10 +95,10 @@ def agent_registry(spark, sf):
 
 
 FAMILIES = {
-    "agent_lines_collected_total": ("counter", "Total number of lines collected by agents"),
-    "agent_bytes_collected_total": ("counter", "Total number of bytes collected by agents"),
-    "agent_error_count_total": ("counter", "Total number of errors on agents"),
-    "agent_fast_files": ("gauge", "Files watched fast"),
+    "agent_lines_collected_total": ("counter", "Lines read so far per agent and task"),
+    "agent_bytes_collected_total": ("counter", "Bytes read so far per agent and task"),
+    "agent_error_count_total": ("counter", "Failed reads so far per agent and task"),
+    "agent_fast_files": ("gauge", "Files polled at the short interval now"),
 }
 
 
@@ -211,8 +211,11 @@ SELECT agent_id, lines AS lines_collected, CASE WHEN k % 4 = 0 THEN 0 ELSE bytes
     "active_connections": _CONNECTIONS + """
 SELECT relay_id, count(*) FILTER (change > 0) AS opened, count(*) FILTER (change < 0) AS closed, max(active) AS peak,
   arg_max(active, seq) AS active FROM gauge GROUP BY relay_id""",
-    "status_30s": _CONNECTIONS + """
-SELECT relay_id, us // 30000000 * 30 AS interval_start, arg_max(active, seq) AS active FROM gauge GROUP BY ALL""",
+    "status_30s": _CONNECTIONS + f""",
+ends AS (SELECT relay_id, unnest(generate_series(min(us) // 30000000 * 30, greatest(max(us), {NOW_US}) // 30000000 * 30, 30)) AS interval_start
+  FROM changes GROUP BY relay_id)
+SELECT e.relay_id, interval_start, active FROM ends e ASOF JOIN (SELECT relay_id, us, arg_max(active, seq) AS active FROM gauge GROUP BY ALL) g
+  ON e.relay_id = g.relay_id AND (e.interval_start + 30) * 1000000 > g.us""",
     "report_window": _REPORTS + """
 SELECT task_id, us // 10000000 * 10 AS interval_start, cast(sum(lines) AS bigint) AS lines_collected,
   cast(sum(bytes) AS bigint) AS bytes_collected FROM v_reports GROUP BY ALL""",

@@ -8,7 +8,7 @@ from rillworks.plans.bridge import ctes, view
 
 # Parameters of the queries; the same values are in the SQL below.
 ROLL_BYTES = 16_384
-HIGH, LOW, DRAIN = 2_000, 1_000, 1
+HIGH = 2_000
 CLOSE_SECONDS = 86_400
 QUOTA = 60
 
@@ -133,8 +133,13 @@ def session_close(spark, sf):
 
 
 def shed_hysteresis(spark, sf):
-    return shedding.shed_hysteresis(sized_rows(spark, sf), "user_id", "seq", "us", "size",
-                                    DRAIN, 150, 60, block=block_of("seq", 12))
+    """Two records per event: k + 1 MiB are buffered at its time and delivered k times 8 minutes later."""
+    size = (F.col("k").cast("bigint") + 1) * F.lit(1 << 20)
+    record = lambda side, at, change: F.struct((F.col("event_id") * 2 + side).alias("seq"), at.alias("at"), change.alias("change"))
+    records = view(spark, sf, "ev").select("user_id", F.inline(F.array(
+        record(0, F.col("us"), size), record(1, F.col("us") + F.col("k").cast("bigint") * 480_000_000, -size))))
+    return shedding.shed_hysteresis(records, "user_id", ["at", "seq"], "change", block=block_of("at", 38)).select(
+        "user_id", "seq", "accepted", "level")
 
 
 def quota_breach(spark, sf):
@@ -227,16 +232,14 @@ SELECT user_id, count(*) FILTER (accepted) AS accepted,
   count(*) FILTER (NOT accepted AND NOT coalesce(us > closed_at, false)) AS dropped,
   count(*) FILTER (coalesce(us > closed_at, false)) AS after_close
 FROM shed LEFT JOIN c USING (user_id) GROUP BY user_id""",
-    "shed_hysteresis": ctes("v_lines") + """,
-r AS (SELECT user_id, event_id AS seq, us, strlen(line) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM v_lines),
-walk AS (SELECT user_id, seq, us, rn, true AS accepted, cast(size AS bigint) AS level FROM r WHERE rn = 1
-  UNION ALL
-  SELECT user_id, seq, us, rn, NOT shed, CASE WHEN shed THEN drained ELSE drained + size END FROM (
-    SELECT *, CASE WHEN NOT was THEN drained > 150 ELSE NOT drained < 60 END AS shed FROM (
-      SELECT r.user_id, r.seq, r.us, r.rn, r.size, NOT w.accepted AS was,
-        greatest(0, w.level - (r.us - w.us) // 1000000) AS drained
-      FROM walk w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1)))
-SELECT user_id, seq, accepted, level FROM walk""",
+    "shed_hysteresis": ctes("ev") + """,
+records AS (SELECT user_id, event_id * 2 AS seq, us AS moment, (k + 1) * 1048576::bigint AS change FROM ev
+  UNION ALL SELECT user_id, event_id * 2 + 1, us + k * 480000000::bigint, -(k + 1) * 1048576::bigint FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, seq) AS rn FROM records),
+walk AS (SELECT user_id, seq, rn, change, cast(0 AS bigint) AS level, false AS shed FROM r WHERE rn = 1
+  UNION ALL SELECT user_id, seq, rn, change, level, CASE WHEN was THEN level >= 33554432 ELSE level > 67108864 END FROM (
+    SELECT r.*, w.level + w.change AS level, w.shed AS was FROM walk w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1))
+SELECT user_id, seq, CASE WHEN change >= 0 THEN NOT shed END AS accepted, level FROM walk""",
     "quota_breach": ctes("v_lines") + f"""
 SELECT task_id, us // 1000000 AS second, cast(sum(strlen(line)) AS bigint) AS bytes FROM v_lines GROUP BY ALL HAVING sum(strlen(line)) > {QUOTA}""",
 }

@@ -35,19 +35,21 @@ def frames(chunks: DataFrame, stream: str | Column, seq: str, data: str, idle_ms
         FrameAssembler(idle_ms), "stream string, raw binary", "append", _time_mode(idle_ms))
 
 
-def lines(chunks: DataFrame, stream: str | Column = "file_path", seq: str = "offset", data: str = "data") -> DataFrame:
+def lines(chunks: DataFrame, stream: str | Column = "file_path", seq: str = "offset", data: str = "data",
+          keep_cut: bool = True) -> DataFrame:
+    """Complete lines per stream; `keep_cut` tells whether the last line of a file that was replaced is one."""
     out = _keyed(chunks, stream, seq, data).transformWithStateInPandas(
-        LineAssembler(), "stream string, line binary", "append", "none")
+        LineAssembler(keep_cut), "stream string, line binary", "append", "none")
     return out.withColumn("line", F.decode("line", "UTF-8"))
 
 
-def shed(rows: DataFrame, session: str, seq: str, us: str, size: str, drain_bytes_per_second: int,
+def shed(rows: DataFrame, session: str, seq: str, us: str, change: str,
          high: int = HIGH_WATERMARK_BYTES, low: int = LOW_WATERMARK_BYTES, full_seconds: int = FULL_SECONDS,
          idle_ms: int | None = None) -> DataFrame:
     keyed = rows.select(F.col(session).cast("string").alias("session"), F.col(seq).cast("bigint").alias("seq"),
-                        F.col(us).cast("bigint").alias("us"), F.col(size).cast("bigint").alias("size")).groupBy("session")
+                        F.col(us).cast("bigint").alias("us"), F.coalesce(F.col(change), F.lit(0)).cast("bigint").alias("change")).groupBy("session")
     return keyed.transformWithStateInPandas(
-        Shedder(drain_bytes_per_second, high, low, full_seconds, idle_ms),
+        Shedder(high, low, full_seconds, idle_ms),
         "session string, seq bigint, accepted boolean, level bigint, closed boolean", "append", _time_mode(idle_ms))
 
 

@@ -1,4 +1,4 @@
-"""Keyed state for streams: unfinished frames and lines, load shedding.
+"""Keyed state for streams: unfinished frames and lines, the state of shedding.
 
 Within a micro-batch the rows of a key come in no certain order, so they are sorted by their sequence
 number; a micro-batch bounds what is sorted. State is only the unfinished tail or a few numbers.
@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rillworks.model import HEADER_BYTES, MAGIC, VERSION
-from rillworks.operators.shedding import step
 
 _START = MAGIC.to_bytes(4, "little") + VERSION.to_bytes(2, "little")
 
@@ -53,54 +52,62 @@ class FrameAssembler(StatefulProcessor):
 
 class LineAssembler(StatefulProcessor):
     """(stream, line) of complete lines from (stream, seq, data) chunks; bytes are kept until the line feed,
-    however long the file is idle; nothing is kept for a file that ends with a line feed."""
+    however long the file is idle; nothing is kept for a file that ends with a line feed.
+
+    A chunk that does not come after the one that left the kept bytes begins a new file at the same place: the
+    kept bytes are then a line of their own, or are dropped with `keep_cut` false."""
+
+    def __init__(self, keep_cut: bool = True):
+        self.keep_cut = keep_cut
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "data binary")
+        self.tail = handle.getValueState("tail", "data binary, seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending = bytes(self.tail.get()[0]) if self.tail.exists() else b""
-        *whole, rest = (pending + b"".join(bytes(d) for d in _ordered(rows, "seq")["data"])).split(b"\n")
+        pending, last = self.tail.get() if self.tail.exists() else (b"", None)
+        chunks = _ordered(rows, "seq")
+        lines = []
+        if last is not None and int(chunks["seq"].iloc[0]) <= last:
+            lines, pending = [bytes(pending)] if self.keep_cut else [], b""
+        *whole, rest = (bytes(pending) + b"".join(bytes(d) for d in chunks["data"])).split(b"\n")
         if rest:
-            self.tail.update((rest,))
+            self.tail.update((rest, int(chunks["seq"].iloc[-1])))
         else:
             self.tail.clear()
-        if whole:
-            yield pd.DataFrame({"stream": [key[0]] * len(whole), "line": whole})
+        lines += whole
+        if lines:
+            yield pd.DataFrame({"stream": [key[0]] * len(lines), "line": lines})
 
     def close(self) -> None:
         pass
 
 
 class Shedder(StatefulProcessor):
-    """(session, seq, accepted, level, closed) with hysteresis; a session that sheds for longer than
-    `full_seconds` without a break is closed. With
-    `idle_ms`, state goes when a session has no rows for that long."""
+    """(session, seq, accepted, level, closed) from recorded changes of a session's buffer, as the batch forms
+    `shed_hysteresis` and `session_close` have it. With `idle_ms`, state goes when a session has no rows for
+    that long."""
 
-    def __init__(self, drain: int, high: int, low: int, full_seconds: int, idle_ms: int | None = None):
-        self.drain = drain
+    def __init__(self, high: int, low: int, full_seconds: int, idle_ms: int | None = None):
         self.idle_ms = idle_ms
         self.marks = (high, low)
         self.full_us = full_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getValueState(
-            "buffer", "level long, shedding boolean, last long, full_since long, closed boolean", self.idle_ms)
+        self.buffer = handle.getValueState("buffer", "level long, shedding boolean, first_drop long, closed boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        level, shedding, last, since, closed = self.buffer.get() if self.buffer.exists() else (0, False, -1, -1, False)
+        level, shedding, first, closed = self.buffer.get() if self.buffer.exists() else (0, False, -1, False)
+        high, low = self.marks
         out = []
-        for seq, us, size in _ordered(rows, "seq")[["seq", "us", "size"]].itertuples(index=False):
-            if closed:
-                out.append((key[0], seq, False, level, True))
-                continue
-            drained = (us - last) * self.drain // 1_000_000 if last >= 0 else 0
-            level, shedding, accepted = step(level, shedding, drained, size, *self.marks)
-            last = us
-            since = us if shedding and since < 0 else since if shedding else -1
-            out.append((key[0], seq, accepted, level, False))
-            closed = shedding and us - since > self.full_us
-        self.buffer.update((int(level), bool(shedding), int(last), int(since), bool(closed)))
+        for seq, us, change in _ordered(rows, "seq")[["seq", "us", "change"]].itertuples(index=False):
+            shedding = level >= low if shedding else level > high
+            message = change >= 0
+            out.append((key[0], seq, not shedding if message else None, level, closed))
+            level += change
+            if message and shedding:
+                first = us if first < 0 else first
+                closed = closed or us - first > self.full_us
+        self.buffer.update((int(level), bool(shedding), int(first), bool(closed)))
         yield pd.DataFrame(out, columns=["session", "seq", "accepted", "level", "closed"])
 
     def close(self) -> None:

@@ -16,21 +16,30 @@ def rows(seed, n=400):
     return out
 
 
-@pytest.mark.parametrize("seed, bits, drain", [(1, 3, 8), (2, 5, 5), (3, 16, 10), (4, 2, 0)])
-def test_hysteresis_equals_one_by_one(spark, seed, bits, drain):
-    data, high, low = rows(seed, 400 if drain else 60), 300, 120
-    df = spark.createDataFrame(data, "session string, seq bigint, us bigint, size bigint")
-    out = shedding.shed_hysteresis(df, "session", "seq", "us", "size", drain, high, low, block_of("seq", bits))
+@pytest.mark.parametrize("seed, bits, delivered", [(1, 3, 0.6), (2, 5, 0.5), (3, 16, 0.5), (4, 2, 0)])
+def test_hysteresis_equals_one_by_one(spark, seed, bits, delivered):
+    rng, high, low, held = random.Random(seed + 10), 300, 120, {}
+    data = []
+    for session, seq, _, size in rows(seed):
+        back = min(held.get(session, 0), 2 * size) if rng.random() < delivered else 0
+        change = rng.choice([None, 0]) if rng.random() < 0.05 else -back if back else size
+        held[session] = held.get(session, 0) + (change or 0)
+        data.append((session, seq, change))
+    df = spark.createDataFrame(data, "session string, seq bigint, change bigint")
+    out = shedding.shed_hysteresis(df, "session", ["seq"], "change", high, low, block_of("seq", bits))
     state, want = {}, {}
-    for session, seq, us, size in data:
-        level, full, last = state.get(session, (0, False, us))
-        level = max(0, level - (us - last) * drain // 1_000_000)
+    for session, seq, change in data:
+        level, full = state.get(session, (0, False))
         full = level >= low if full else level > high
-        level += 0 if full else size
-        state[session] = (level, full, us)
-        want[seq] = (not full, level)
+        want[seq] = (None if (change or 0) < 0 else not full, level)
+        state[session] = (level + (change or 0), full)
     assert {r.seq: (r.accepted, r.level) for r in out.collect()} == want
-    assert len({a for a, _ in want.values()}) == 2
+    assert {True, False} <= {a for a, _ in want.values()}
+
+
+def test_hysteresis_of_nothing(spark):
+    df = spark.createDataFrame([], "session string, seq bigint, change bigint")
+    assert shedding.shed_hysteresis(df, "session", ["seq"], "change").count() == 0
 
 
 def test_cumulative_equals_one_by_one(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_frames import chop, streams, wire
 
-from rillworks.operators import bytestreams, frames, offsets, routing
+from rillworks.operators import bytestreams, frames, offsets, routing, shedding
 from rillworks.operators.ordered import block_of
 from rillworks.sources import readers, sinks, tail
 from rillworks.streaming import jobs
@@ -107,13 +107,29 @@ def test_stream_frames_equal_batch(spark, tmp_path):
     assert frames.decode(out).filter("reject IS NOT NULL").count() == 0
 
 
-def test_stream_shedding(spark, tmp_path):
-    rows = [("s", i, i * 1_000_000, 50) for i in range(120)]
-    stream = feed(spark, tmp_path / "in", rows, "s string, i bigint, us bigint, n bigint", 3)
-    out = run(jobs.shed(stream, "s", "i", "us", "n", 1, 200, 100, full_seconds=30), tmp_path, "shed").sort("seq").collect()
-    first_drop = next(r.seq for r in out if not r.accepted)
-    assert len(out) == 120 and first_drop > 0
-    assert [r.seq for r in out if r.closed] == list(range(first_drop + 32, 120))
+def test_stream_shedding_equals_batch(spark, tmp_path):
+    rows = [("s", i, i * 1_000_000, 50 if i % 3 else -60 if i else 0) for i in range(120)]
+    schema = "s string, i bigint, us bigint, n bigint"
+    stream = feed(spark, tmp_path / "in", rows, schema, 3)
+    out = run(jobs.shed(stream, "s", "i", "us", "n", 200, 100, full_seconds=30), tmp_path, "shed")
+    told = shedding.shed_hysteresis(spark.createDataFrame(rows, schema), "s", ["i"], "n", 200, 100, block_of("i", 3))
+    batch = shedding.session_close(told.withColumn("ts", F.timestamp_micros("us")), "s", "i", "ts", ~F.col("accepted"), 30, block_of("i", 3))
+    want = sorted((r.i, r.accepted, r.level, r.closed) for r in batch.collect())
+    assert sorted((r.seq, r.accepted, r.level, r.closed) for r in out.collect()) == want
+    assert {True, False, None} == {w[1] for w in want} and {True, False} == {w[3] for w in want}
+
+
+@pytest.mark.parametrize("keep_cut", [True, False])
+def test_lines_are_not_glued_across_a_rotation(spark, tmp_path, keep_cut):
+    log = tmp_path / "a.log"
+    stream = jobs.lines(tailing(spark, log), keep_cut=keep_cut)
+    log.write_bytes(b"old 1\nunfinished")
+    run(stream, tmp_path, "lines")
+    log.write_bytes(b"new 1\nnew")
+    run(stream, tmp_path, "lines")
+    log.write_bytes(b"new 1\nnew 2\n")
+    out = run(stream, tmp_path, "lines")
+    assert sorted(r.line for r in out.collect()) == ["new 1", "new 2", "old 1"] + ["unfinished"] * keep_cut
 
 
 def test_batches_without_a_complete_frame_or_line(spark, tmp_path):
