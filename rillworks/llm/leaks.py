@@ -73,13 +73,14 @@ def _plain(tokens: str, i: Column, window: int) -> Column:
 
 
 def items(benchmark: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(item_id, item_words, item_tokens, place, h, n_windows): the usable windows of each distinct text, under its least key."""
+    """(item_id, place, h, slots, n_windows): the usable windows of each distinct text, under its least key; slots are those in the window."""
     one = benchmark.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.min(key).alias("item_id"))
     made = templates(one, "_text").select("item_id", F.col("words").alias("item_words"), F.col("tokens").alias("item_tokens"))
     exploded = made.select("*", F.posexplode(_windows("item_tokens", window)).alias("place", "h"))
     usable = exploded.filter(_plain("item_tokens", F.col("place") + 1, window))
     counts = usable.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    return usable.join(counts, "item_id")
+    slots = F.filter(F.transform(F.slice("item_words", F.col("place") + 1, window), lambda w, i: F.struct(i.alias("i"), w.alias("own"))), lambda s: F.get("item_tokens", F.col("place") + s["i"]).startswith("\x01"))
+    return usable.select("item_id", "place", "h", slots.alias("slots")).join(counts, "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -87,9 +88,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """(key, item_id, coverage, n_slots, n_changed): pairs of a document and an item that it holds, given or re-parameterised.
 
     coverage is the share of the item's distinct template windows that the document has; pairs below `coverage`
-    are left out. For the rest, item and document are lined up at each shared window; n_slots of the best
-    alignment are its slots, n_changed those with other words. Pairs for which no alignment is consistent
-    (an item's slot word always the same word in the document) are left out.
+    are left out. For the rest, item and document are lined up at each shared window, and slots within shared
+    windows compared. n_slots of the best alignments are their slots, n_changed those with other words. Pairs
+    are left out if no consistent alignments (an item's slot word always the same word in the document) hold
+    `coverage` of the windows.
 
     Items with the same text count as the one with the least key. Items shorter than a window can't be judged
     and match nothing; NULL texts and keys of items are passed over. Documents with NULL texts hold nothing;
@@ -104,18 +106,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     # the documents of pairs only are read once more and lined up with their items
     again = rows.join(pairs.select("key").distinct(), rows["key"].eqNullSafe(pairs["key"]), "left_semi")
-    lined = templates(again, "_text").select("key", "words", "tokens", F.posexplode(_windows("tokens", window)).alias("at", "h"))
+    n = F.size("tokens")
+    starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
+    lined = templates(again, "_text")
+    lined = lined.select("key", F.inline(F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("tokens", i, window)).alias("h"), F.slice("words", i, window).alias("others")))))
     found = lined.join(index, "h")
     found = found.join(pairs.withColumnRenamed("key", "_key").withColumnRenamed("item_id", "_item"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("item_id") == F.col("_item")), "left_semi")
-    found = found.withColumn("shift", F.col("at") - F.col("place")).groupBy("key", "item_id", "shift").agg(F.countDistinct("place").alias("met"), F.first("words").alias("words"), F.first("item_words").alias("item_words"), F.first("item_tokens").alias("item_tokens"))
-    slots = F.filter(F.transform("item_tokens", lambda t, i: F.struct(t.startswith("\x01").alias("slot"), F.get("item_words", i).alias("own"), F.get("words", i + F.col("shift")).alias("other"))),
-                     lambda s: s["slot"] & s["other"].isNotNull())
-    found = once(found, slots=slots)
-    own = F.array_distinct(F.transform("slots", lambda s: s["own"]))
-    both = F.array_distinct(F.transform("slots", lambda s: F.struct(s["own"], s["other"])))
-    consistent = found.filter(F.size(own) == F.size(both))
-    changed = F.size(F.filter("slots", lambda s: s["own"] != s["other"]))
-    best = consistent.groupBy("key", "item_id").agg(F.max(F.struct("met", -changed, F.size("slots").alias("n_slots"), changed.alias("n_changed"))).alias("b"))
+    slots = F.transform("slots", lambda s: F.struct((F.col("place") + s["i"]).alias("p"), s["own"].alias("own"), F.get("others", s["i"]).alias("other")))
+    shifts = found.groupBy("key", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
+        F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(slots)))).alias("slots"), F.first("n_windows").alias("n_windows"))
+    return _consistent(pairs, shifts, coverage)
+
+
+def _fits(slots: Column) -> Column:
+    """True if equal words of the item are equal words of the document."""
+    return F.size(F.array_distinct(F.transform(slots, lambda s: s["own"]))) == F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["own"], s["other"]))))
+
+
+def _consistent(pairs: DataFrame, shifts: DataFrame, coverage: float) -> DataFrame:
+    """Pairs whose alignments hold `coverage` of the item's windows without contradiction, with slots and changed slots.
+
+    An edited item is spread over several shifts. From each shift that fits by itself the others are added, those with
+    most windows first, as long as their slots don't contradict those taken; equal shifts count once.
+    """
+    one = shifts.filter(_fits(F.col("slots"))).groupBy("key", "item_id", "hs", "slots").agg(F.first("n_windows").alias("n_windows"))
+    all_of = one.groupBy("key", "item_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct(F.size("hs").alias("n"), "hs", "slots")))).alias("parts"), F.first("n_windows").alias("n_windows"))
+
+    def chain(seed: Column) -> Column:
+        start = F.struct(seed["hs"].alias("hs"), seed["slots"].alias("slots"))
+
+        def step(now: Column, part: Column) -> Column:
+            both = F.array_union(now["slots"], part["slots"])
+            return F.when(_fits(both), F.struct(F.array_union(now["hs"], part["hs"]).alias("hs"), both.alias("slots"))).otherwise(now)
+
+        return F.aggregate("parts", start, step)
+
+    # where one shift has enough windows the others needn't be chained from each
+    enough = lambda hs: F.size(hs) >= F.lit(coverage) * F.col("n_windows")
+    seeds = F.when(enough(F.get("parts", F.lit(0))["hs"]), F.slice("parts", 1, 1)).otherwise(F.col("parts"))
+    chains = all_of.withColumn("_seeds", seeds).select("key", "item_id", "n_windows", F.explode(F.transform("_seeds", chain)).alias("c")).filter(enough(F.col("c.hs")))
+    told = once(chains, _slots=F.array_distinct(F.transform("c.slots", lambda s: F.struct(s["p"], s["own"] != s["other"]))))
+    told = told.withColumn("n_slots", F.size("_slots")).withColumn("n_changed", F.size(F.filter("_slots", lambda s: s["col2"])))
+    best = told.groupBy("key", "item_id").agg(F.max(F.struct(F.size("c.hs"), -F.col("n_changed"), "n_slots", "n_changed")).alias("b"))
     best = best.select(F.col("key").alias("_key"), F.col("item_id").alias("_item"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.n_changed").cast("long").alias("n_changed"))
     return pairs.join(best, pairs["key"].eqNullSafe(best["_key"]) & (pairs["item_id"] == best["_item"])).select("key", "item_id", "coverage", "n_slots", "n_changed")
 

@@ -49,3 +49,17 @@ def test_given_leaks_equal_brute_force(spark):
     plain = {r["item_id"]: r["text"] for r in items.collect()}
     want = {(r["doc_id"], k) for r in docs.collect() for k, t in plain.items() if t in (r["text"] or "")}
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
+
+
+def pairs(spark, docs, items):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r["key"], r["item_id"]) for r in leaks.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_leaks_partly_copied_and_edited(spark):
+    around = " ".join(f"other{i}" for i in range(40))
+    part, edited = " ".join(ITEM.split()[:16]), ITEM.replace("and later", "and then later")
+    other = edited.replace("Anna", "Maria").replace("10", "7")
+    mixed = other.replace("later Maria", "later Peter")
+    docs = [(1, f"{around}. {part} {around}"), (2, f"{around}. {edited} {around}"), (3, f"{around}. {other} {around}"), (4, f"{around}. {mixed} {around}"), (5, f"{mixed} {around} {other}")]
+    assert pairs(spark, docs, [(1, ITEM)]) == {(1, 1), (2, 1), (3, 1), (5, 1)}
