@@ -33,54 +33,96 @@ _AROUND = "\\p{Punct}«»„“”‘’…"
 #: Each begins with what is rare and looks back only from there.
 _NAME_AT = "\\p{Lu}(?<=[^\\s.!?:…][\\x20\\x09-\\x0D]\\p{Lu})[^\\x20\\x09-\\x0D]*+"
 _NUMBER_AT = f"[0-9](?<![^\\x20\\x09-\\x0D{_AROUND}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+(?=[\\x20\\x09-\\x0D{_AROUND}]|$)"
+#: Any other word with a capital: it begins a text or sentence or stands behind a quote or bracket, and may be a name.
+_CAPITAL_AT = "\\p{Lu}(?<![^\\x20\\x09-\\x0D]\\p{Lu})[^\\x20\\x09-\\x0D]*+"
 _UNIT_AT = f"(?i)({NUMBER}[\\x20\\x09-\\x0D])(?:{'|'.join(re.escape(u) for u in UNITS)})(?=[\\x20\\x09-\\x0D{_AROUND}]|$)"
 
 
-def template(text: Column) -> Column:
-    """The text with placeholders for its slots, in small letters and without punctuation.
+def marked(text: Column) -> Column:
+    """The text with placeholders for its slots: names, numbers and units.
 
     A name is a word with a capital that doesn't begin a text or follow the end of a sentence; a unit is a
-    unit's sign or name right after a number. A word stays one word here and in `bare`, or goes in both.
+    unit's sign or name right after a number. White space stays as it is.
     """
     named = F.regexp_replace(text, _NAME_AT, NAME)
     numbered = F.regexp_replace(named, _NUMBER_AT, NUMBER)
-    units = F.regexp_replace(numbered, _UNIT_AT, f"$1{UNIT}")
-    return bare(units)
+    return F.regexp_replace(numbered, _UNIT_AT, f"$1{UNIT}")
 
 
-def bare(text: Column) -> Column:
-    """Small letters without punctuation."""
-    return F.lower(F.translate(text, _PUNCTUATION, ""))
+def plain(text: Column) -> Column:
+    """The text without punctuation."""
+    return F.translate(text, _PUNCTUATION, "")
 
 
 def templates(rows: DataFrame, text: str, with_words: bool = True) -> DataFrame:
-    """Adds tokens, the template's words, and words, those of the text in the same places."""
+    """Adds tokens and named, the words of the template, and words, those of the text in the same places.
+
+    Words with a capital that may or may not be names are words in tokens and names in named.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    made = once(rows, _template=template(t), **({"_bare": bare(t)} if with_words else {}))
-    made = once(made, tokens=split_words(F.col("_template")), **({"words": split_words(F.col("_bare"))} if with_words else {}))
-    return made.drop("_template", "_bare")
+    if not with_words:
+        made = once(rows, _plain=plain(marked(t)))
+        made = once(made, tokens=split_words(F.lower("_plain")), named=split_words(F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME))))
+        return made.drop("_plain")
+    made = once(rows, _plain=plain(marked(t)), _bare=F.lower(plain(t)))
+    made = once(made, tokens=split_words(F.lower("_plain")), named=split_words(F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME))), words=split_words(F.col("_bare")))
+    return made.drop("_plain", "_bare")
+
+
+def _starts(words: str, window: int) -> Column:
+    n = F.size(words)
+    return F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
 
 
 def _windows(tokens: str, window: int) -> Column:
     """Hashes of all runs of template words."""
-    n = F.size(tokens)
-    starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, window)))
+    return F.transform(_starts(tokens, window), lambda i: F.xxhash64(F.slice(tokens, i, window)))
+
 
+def _exact_windows(words: str, length: int) -> Column:
+    """Hashes of all runs of `length` words as they are, other than those of any template."""
+    return F.transform(_starts(words, length), lambda i: F.xxhash64(F.lit(f"exact {length}"), F.slice(words, i, length)))
 
-def _plain(tokens: str, i: Column, window: int) -> Column:
-    return 2 * F.size(F.filter(F.slice(tokens, i, window), lambda w: w.startswith("\x01"))) <= window
+
+def _exact_words(text: str) -> Column:
+    return split_words(F.lower(plain(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _usable(tokens: Column, window: int) -> Column:
+    return 2 * F.size(F.filter(tokens, lambda w: w.startswith("\x01"))) <= window
 
 
 def items(benchmark: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(item_id, place, h, slots, n_windows): the usable windows of each distinct text, under its least key; slots are those in the window."""
+    """(item_id, place, reading, h, wid, slots, length, n_windows): the windows of each distinct text, under its least key.
+
+    A window wid has up to two hashes h: capitals that may be names are words (reading 0) or names (1). slots
+    are those in the window. Texts without a usable window of either reading have runs of their own words
+    (reading 2), `window` words each or all if there are fewer; length is that of the runs.
+    """
     one = benchmark.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.min(key).alias("item_id"))
-    made = templates(one, "_text").select("item_id", F.col("words").alias("item_words"), F.col("tokens").alias("item_tokens"))
-    exploded = made.select("*", F.posexplode(_windows("item_tokens", window)).alias("place", "h"))
-    usable = exploded.filter(_plain("item_tokens", F.col("place") + 1, window))
-    counts = usable.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    slots = F.filter(F.transform(F.slice("item_words", F.col("place") + 1, window), lambda w, i: F.struct(i.alias("i"), w.alias("own"))), lambda s: F.get("item_tokens", F.col("place") + s["i"]).startswith("\x01"))
-    return usable.select("item_id", "place", "h", slots.alias("slots")).join(counts, "item_id")
+    made = shared.stored(templates(one, "_text").withColumn("exact", _exact_words("_text")).drop("_text"))
+
+    def reading(number: int, tokens: str) -> Column:
+        def window_at(i: Column) -> Column:
+            run = F.slice(tokens, i, window)
+            slots = F.zip_with(run, F.slice("words", i, window), lambda t, w: F.struct(t.alias("t"), w.alias("w")))
+            slots = F.transform(slots, lambda s, j: F.struct(j.alias("i"), s["w"].alias("own"), s["t"].startswith("\x01").alias("slot")))
+            slots = F.transform(F.filter(slots, lambda s: s["slot"]), lambda s: F.struct(s["i"].alias("i"), s["own"].alias("own")))
+            return F.struct((i - 1).alias("place"), F.lit(number).alias("reading"), F.xxhash64(run).alias("h"), F.xxhash64(F.slice("tokens", i, window)).alias("wid"), slots.alias("slots"), _usable(run, window).alias("usable"))
+        return F.transform(_starts(tokens, window), window_at)
+
+    read = made.select("item_id", F.inline(F.concat(reading(0, "tokens"), reading(1, "named")))).filter("usable").drop("usable").withColumn("length", F.lit(window))
+    read = read.filter("reading = 0 OR h <> wid")
+    rest = made.join(read.select("item_id").distinct(), "item_id", "left_anti").filter(F.size("exact") > 0)
+    lengths = F.least(F.size("exact"), F.lit(window))
+    no_slots = F.array().cast(read.schema["slots"].dataType)
+    runs = None
+    for n in range(1, window + 1):
+        part = rest.filter(lengths == n).select("item_id", F.posexplode(_exact_windows("exact", n)).alias("place", "h"))
+        part = part.select("item_id", "place", F.lit(2).alias("reading"), "h", F.col("h").alias("wid"), no_slots.alias("slots"), F.lit(n).alias("length"))
+        runs = part if runs is None else runs.union(part)
+    every = read.union(runs)
+    return every.join(every.groupBy("item_id").agg(F.countDistinct("wid").alias("n_windows")), "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -93,29 +135,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     are left out if no consistent alignments (an item's slot word always the same word in the document) hold
     `coverage` of the windows.
 
-    Items with the same text count as the one with the least key. Items shorter than a window can't be judged
-    and match nothing; NULL texts and keys of items are passed over. Documents with NULL texts hold nothing;
+    Items without a usable template window, short or mostly numbers, are found as given only: by all their words,
+    or runs of `window` of them. Items with the same text count as the one with the least key; NULL texts and keys
+    of items are passed over, and items without words match nothing. Documents with NULL texts hold nothing;
     pairs of NULL document keys are found per key, not per row, as for repeated keys.
     """
     index = shared.stored(items(benchmark, item_key, item_text, window))
+    exact = sorted(r[0] for r in index.filter("reading = 2").select("length").distinct().collect())
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    hashed = templates(rows, "_text", with_words=False).select("key", F.array_distinct(_windows("tokens", window)).alias("hs"))
-    met = hashed.select("key", F.explode("hs").alias("h")).join(index.select("item_id", "h", "n_windows").distinct(), "h")
-    shares = met.groupBy("key", "item_id").agg((F.countDistinct("h") / F.first("n_windows")).alias("coverage")).filter(F.col("coverage") >= coverage)
-    pairs = shared.stored(shares)
+    made = templates(rows, "_text", with_words=False)
+    if exact:
+        made = once(made, _exact=_exact_words("_text"))
+    hashed = made.select("key", F.array_distinct(F.concat(_windows("tokens", window), _windows("named", window), *[_exact_windows("_exact", n) for n in exact])).alias("hs"))
+    met = hashed.select("key", F.explode("hs").alias("h")).join(index.select("item_id", "h", "wid", "n_windows", (F.col("reading") == 2).alias("exact")).distinct(), "h")
+    shares = met.groupBy("key", "item_id").agg((F.countDistinct("wid") / F.first("n_windows")).alias("coverage"), F.first("exact").alias("exact")).filter(F.col("coverage") >= coverage)
+    found_pairs = shared.stored(shares)
+    pairs = found_pairs.filter("NOT exact").drop("exact")
+    given = found_pairs.filter("exact").select("key", "item_id", "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
 
     # the documents of pairs only are read once more and lined up with their items
     again = rows.join(pairs.select("key").distinct(), rows["key"].eqNullSafe(pairs["key"]), "left_semi")
-    n = F.size("tokens")
-    starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
     lined = templates(again, "_text")
-    lined = lined.select("key", F.inline(F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("tokens", i, window)).alias("h"), F.slice("words", i, window).alias("others")))))
-    found = lined.join(index, "h")
+    each = [F.transform(_starts(tokens, window), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, window)).alias("h"), F.slice("words", i, window).alias("others"))) for tokens in ("tokens", "named")]
+    lined = lined.select("key", F.inline(F.array_distinct(F.concat(*each))))
+    found = lined.join(index.filter("reading < 2"), "h")
     found = found.join(pairs.withColumnRenamed("key", "_key").withColumnRenamed("item_id", "_item"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("item_id") == F.col("_item")), "left_semi")
     slots = F.transform("slots", lambda s: F.struct((F.col("place") + s["i"]).alias("p"), s["own"].alias("own"), F.get("others", s["i"]).alias("other")))
-    shifts = found.groupBy("key", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.sort_array(F.collect_set("h")).alias("hs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(slots)))).alias("slots"), F.first("n_windows").alias("n_windows"))
-    return _consistent(pairs, shifts, coverage)
+    # a window that fits with its capitals as words isn't read with names
+    found = found.groupBy("key", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place").agg(F.min(F.struct("reading", "wid", slots.alias("slots"), "n_windows")).alias("w"))
+    shifts = found.groupBy("key", "item_id", "shift").agg(
+        F.sort_array(F.collect_set("w.wid")).alias("hs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("w.slots")))).alias("slots"), F.first("w.n_windows").alias("n_windows"))
+    return _consistent(pairs, shifts, coverage).union(given)
 
 
 def _fits(slots: Column) -> Column:

@@ -63,3 +63,14 @@ def test_leaks_partly_copied_and_edited(spark):
     mixed = other.replace("later Maria", "later Peter")
     docs = [(1, f"{around}. {part} {around}"), (2, f"{around}. {edited} {around}"), (3, f"{around}. {other} {around}"), (4, f"{around}. {mixed} {around}"), (5, f"{mixed} {around} {other}")]
     assert pairs(spark, docs, [(1, ITEM)]) == {(1, 1), (2, 1), (3, 1), (5, 1)}
+
+
+def test_leaks_names_that_begin_sentences_and_items_without_template_windows(spark):
+    around = " ".join(f"other{i}" for i in range(40))
+    tom = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have now?"
+    sums = "12 + 30 = 42, 42 + 18 = 60, 60 + 12 = 72"
+    items = [(1, tom), (2, "What is the capital of France?"), (3, sums), (4, ITEM), (5, "?!")]
+    docs = [(1, f"{around}. {tom.replace('Tom', 'Sarah').replace('5', '9')} {around}"), (2, f"{around} what is the capital of France? {around}"), (3, f"{around}. {sums}"),
+            (4, f"{around} {' '.join(ITEM.split()[:16])} {around}"), (5, f"{around} What is the capital of Spain? {around}"), (6, f"{around}. {sums.replace('18', '19')[8:]}"), (7, f'{around}: "{tom}" {around}'),
+            (8, f"{around}. {tom.replace('Tom buys', 'Eva buys').replace('Tom has', 'Sarah has')} {around}")]
+    assert pairs(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 1)}
