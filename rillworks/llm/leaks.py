@@ -64,9 +64,12 @@ def templates(rows: DataFrame, text: str, with_words: bool = True) -> DataFrame:
         made = once(rows, _plain=plain(marked(t)))
         made = once(made, tokens=split_words(F.lower("_plain")), named=split_words(F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME))))
         return made.drop("_plain")
-    made = once(rows, _plain=plain(marked(t)), _bare=F.lower(plain(t)))
-    made = once(made, tokens=split_words(F.lower("_plain")), named=split_words(F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME))), words=split_words(F.col("_bare")))
-    return made.drop("_plain", "_bare")
+    # one split of the text: placeholders leave its white space, so both arrays have the same places
+    made = once(rows, _marked=F.transform(split_words(marked(t)), plain), _raw=split_words(t))
+    both = F.zip_with("_marked", "_raw", lambda m, w: F.struct(m.alias("m"), F.lower(F.coalesce(F.nullif(plain(w), F.lit("")), w)).alias("w")))
+    made = once(made, _both=F.filter(both, lambda x: x["m"] != ""))
+    made = once(made, tokens=F.transform("_both", lambda x: F.lower(x["m"])), named=F.transform("_both", lambda x: F.lower(F.regexp_replace(x["m"], _CAPITAL_AT, NAME))), words=F.col("_both.w"))
+    return made.drop("_marked", "_raw", "_both")
 
 
 def _starts(words: str, window: int) -> Column:

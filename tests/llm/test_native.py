@@ -74,3 +74,12 @@ def test_leaks_names_that_begin_sentences_and_items_without_template_windows(spa
             (4, f"{around} {' '.join(ITEM.split()[:16])} {around}"), (5, f"{around} What is the capital of Spain? {around}"), (6, f"{around}. {sums.replace('18', '19')[8:]}"), (7, f'{around}: "{tom}" {around}'),
             (8, f"{around}. {tom.replace('Tom buys', 'Eva buys').replace('Tom has', 'Sarah has')} {around}")]
     assert pairs(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 1)}
+
+
+def test_leaks_behind_free_standing_signs(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Rates rose by 5 % again. " + ITEM, "It cost 5 $ then - 7 %, and 3 €. " + ITEM, "- 5 % of % and 8 $ (net) …", ""]
+    made = leaks.templates(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert made.filter((F.size("tokens") != F.size("words")) | (F.size("tokens") != F.size("named"))).count() == 0
+    assert pairs(spark, list(enumerate(texts)), [(1, ITEM)]) == {(0, 1), (1, 1)}
