@@ -128,6 +128,12 @@ def items(benchmark: DataFrame, key: str, text: str, window: int) -> DataFrame:
     return every.join(every.groupBy("item_id").agg(F.countDistinct("wid").alias("n_windows")), "item_id")
 
 
+def _text_id(text: str) -> Column:
+    """128 bits of a text, the same wherever and how often it is read: rows of one text are judged as one."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit("second"), t).alias("b"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
           window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(key, item_id, coverage, n_slots, n_changed): pairs of a document and an item that it holds, given or re-parameterised.
@@ -140,33 +146,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     Items without a usable template window, short or mostly numbers, are found as given only: by all their words,
     or runs of `window` of them. Items with the same text count as the one with the least key; NULL texts and keys
-    of items are passed over, and items without words match nothing. Documents with NULL texts hold nothing;
-    pairs of NULL document keys are found per key, not per row, as for repeated keys.
+    of items are passed over, and items without words match nothing. Documents with NULL texts hold nothing.
+    Each text is judged by itself; a key (NULL too) with several texts has one row per item, that of the text
+    that holds most of it.
     """
+    found = shared.stored(_text_pairs(docs, benchmark, text, item_key, item_text, window, coverage))
+    rows = docs.select(F.col(key).alias("key"), _text_id(text).alias("id"))
+    best = rows.join(found, "id").groupBy("key", "item_id").agg(F.max(F.struct("coverage", -F.col("n_changed"), "n_slots", "n_changed")).alias("b"))
+    return best.select("key", "item_id", "b.coverage", "b.n_slots", "b.n_changed")
+
+
+def _text_pairs(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, window: int, coverage: float) -> DataFrame:
+    """(id, item_id, coverage, n_slots, n_changed): as `leaks`, for each distinct text."""
     index = shared.stored(items(benchmark, item_key, item_text, window))
     exact = sorted(r[0] for r in index.filter("reading = 2").select("length").distinct().collect())
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
+    rows = docs.select(_text_id(text).alias("id"), F.col(text).alias("_text"))
     made = templates(rows, "_text", with_words=False)
     if exact:
         made = once(made, _exact=_exact_words("_text"))
-    hashed = made.select("key", F.array_distinct(F.concat(_windows("tokens", window), _windows("named", window), *[_exact_windows("_exact", n) for n in exact])).alias("hs"))
-    met = hashed.select("key", F.explode("hs").alias("h")).join(index.select("item_id", "h", "wid", "n_windows", (F.col("reading") == 2).alias("exact")).distinct(), "h")
-    shares = met.groupBy("key", "item_id").agg((F.countDistinct("wid") / F.first("n_windows")).alias("coverage"), F.first("exact").alias("exact")).filter(F.col("coverage") >= coverage)
+    hashed = made.select("id", F.array_distinct(F.concat(_windows("tokens", window), _windows("named", window), *[_exact_windows("_exact", n) for n in exact])).alias("hs"))
+    met = hashed.select("id", F.explode("hs").alias("h")).join(index.select("item_id", "h", "wid", "n_windows", (F.col("reading") == 2).alias("exact")).distinct(), "h")
+    shares = met.groupBy("id", "item_id").agg((F.countDistinct("wid") / F.first("n_windows")).alias("coverage"), F.first("exact").alias("exact")).filter(F.col("coverage") >= coverage)
     found_pairs = shared.stored(shares)
     pairs = found_pairs.filter("NOT exact").drop("exact")
-    given = found_pairs.filter("exact").select("key", "item_id", "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
+    given = found_pairs.filter("exact").select("id", "item_id", "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
 
     # the documents of pairs only are read once more and lined up with their items
-    again = rows.join(pairs.select("key").distinct(), rows["key"].eqNullSafe(pairs["key"]), "left_semi")
+    again = rows.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     lined = templates(again, "_text")
     each = [F.transform(_starts(tokens, window), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, window)).alias("h"), F.slice("words", i, window).alias("others"))) for tokens in ("tokens", "named")]
-    lined = lined.select("key", F.inline(F.array_distinct(F.concat(*each))))
+    lined = lined.select("id", F.inline(F.array_distinct(F.concat(*each))))
     found = lined.join(index.filter("reading < 2"), "h")
-    found = found.join(pairs.withColumnRenamed("key", "_key").withColumnRenamed("item_id", "_item"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("item_id") == F.col("_item")), "left_semi")
+    found = found.join(pairs.select("id", "item_id"), ["id", "item_id"], "left_semi")
     slots = F.transform("slots", lambda s: F.struct((F.col("place") + s["i"]).alias("p"), s["own"].alias("own"), F.get("others", s["i"]).alias("other")))
     # a window that fits with its capitals as words isn't read with names
-    found = found.groupBy("key", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place").agg(F.min(F.struct("reading", "wid", slots.alias("slots"), "n_windows")).alias("w"))
-    shifts = found.groupBy("key", "item_id", "shift").agg(
+    found = found.groupBy("id", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place").agg(F.min(F.struct("reading", "wid", slots.alias("slots"), "n_windows")).alias("w"))
+    shifts = found.groupBy("id", "item_id", "shift").agg(
         F.sort_array(F.collect_set("w.wid")).alias("hs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("w.slots")))).alias("slots"), F.first("w.n_windows").alias("n_windows"))
     return _consistent(pairs, shifts, coverage).union(given)
 
@@ -182,8 +197,8 @@ def _consistent(pairs: DataFrame, shifts: DataFrame, coverage: float) -> DataFra
     An edited item is spread over several shifts. From each shift that fits by itself the others are added, those with
     most windows first, as long as their slots don't contradict those taken; equal shifts count once.
     """
-    one = shifts.filter(_fits(F.col("slots"))).groupBy("key", "item_id", "hs", "slots").agg(F.first("n_windows").alias("n_windows"))
-    all_of = one.groupBy("key", "item_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct(F.size("hs").alias("n"), "hs", "slots")))).alias("parts"), F.first("n_windows").alias("n_windows"))
+    one = shifts.filter(_fits(F.col("slots"))).groupBy("id", "item_id", "hs", "slots").agg(F.first("n_windows").alias("n_windows"))
+    all_of = one.groupBy("id", "item_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct(F.size("hs").alias("n"), "hs", "slots")))).alias("parts"), F.first("n_windows").alias("n_windows"))
 
     def chain(seed: Column) -> Column:
         start = F.struct(seed["hs"].alias("hs"), seed["slots"].alias("slots"))
@@ -197,15 +212,18 @@ def _consistent(pairs: DataFrame, shifts: DataFrame, coverage: float) -> DataFra
     # where one shift has enough windows the others needn't be chained from each
     enough = lambda hs: F.size(hs) >= F.lit(coverage) * F.col("n_windows")
     seeds = F.when(enough(F.get("parts", F.lit(0))["hs"]), F.slice("parts", 1, 1)).otherwise(F.col("parts"))
-    chains = all_of.withColumn("_seeds", seeds).select("key", "item_id", "n_windows", F.explode(F.transform("_seeds", chain)).alias("c")).filter(enough(F.col("c.hs")))
+    chains = all_of.withColumn("_seeds", seeds).select("id", "item_id", "n_windows", F.explode(F.transform("_seeds", chain)).alias("c")).filter(enough(F.col("c.hs")))
     told = once(chains, _slots=F.array_distinct(F.transform("c.slots", lambda s: F.struct(s["p"], s["own"] != s["other"]))))
     told = told.withColumn("n_slots", F.size("_slots")).withColumn("n_changed", F.size(F.filter("_slots", lambda s: s["col2"])))
-    best = told.groupBy("key", "item_id").agg(F.max(F.struct(F.size("c.hs"), -F.col("n_changed"), "n_slots", "n_changed")).alias("b"))
-    best = best.select(F.col("key").alias("_key"), F.col("item_id").alias("_item"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.n_changed").cast("long").alias("n_changed"))
-    return pairs.join(best, pairs["key"].eqNullSafe(best["_key"]) & (pairs["item_id"] == best["_item"])).select("key", "item_id", "coverage", "n_slots", "n_changed")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose key is in no pair of `leaks`."""
-    bad = leaks(docs, benchmark, key, text, **options).select(F.col("key").alias("_leaked")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_leaked")), "left_anti")
+    best = told.groupBy("id", "item_id").agg(F.max(F.struct(F.size("c.hs"), -F.col("n_changed"), "n_slots", "n_changed")).alias("b"))
+    best = best.select("id", "item_id", F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.n_changed").cast("long").alias("n_changed"))
+    return pairs.join(best, ["id", "item_id"]).select("id", "item_id", "coverage", "n_slots", "n_changed")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                  window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of `docs` whose text holds no item; other rows of the same key, NULL or not, stay."""
+    bad = _text_pairs(docs, benchmark, text, item_key, item_text, window, coverage).select("id").distinct()
+    bad = shared.stored(bad).select(F.col("id.a").alias("_a"), F.col("id.b").alias("_b"))
+    rows = docs.withColumn("_id", _text_id(text))
+    return rows.join(bad, (F.col("_id.a") == F.col("_a")) & (F.col("_id.b") == F.col("_b")), "left_anti").drop("_id")

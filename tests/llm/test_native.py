@@ -83,3 +83,13 @@ def test_leaks_behind_free_standing_signs(spark):
     made = leaks.templates(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     assert made.filter((F.size("tokens") != F.size("words")) | (F.size("tokens") != F.size("named"))).count() == 0
     assert pairs(spark, list(enumerate(texts)), [(1, ITEM)]) == {(0, 1), (1, 1)}
+
+
+def test_leaks_of_rows_that_share_a_key(spark):
+    words, around = ITEM.split(), " ".join(f"other{i}" for i in range(40))
+    halves = [f"{around}. {' '.join(words[:12])}", f"{around}. {' '.join(words[12:])}"]
+    docs = [(k, t) for k in (None, 7) for t in (f"{around}. {ITEM}", f"{around} clean", *halves)] + [(8, halves[0]), (8, halves[1])]
+    assert pairs(spark, docs, [(1, ITEM)]) == {(None, 1), (7, 1)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = leaks.without_leaks(frame, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(k), t) for k, t in docs if ITEM not in t)
