@@ -27,13 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-copy group: the one with the least key.
+    """Keeps one row of each near-copy group, whatever the keys: the one with the least key, then the least text hash.
 
-    Rows without a key can't be chosen by it: of those, one of each distinct text stays.
+    Rows that share a key but not a group stay, and rows without a key count in their groups like any other, after those with keys.
     """
-    rows = near_copies.classes(docs).filter("key = component").select(F.col("key").alias("_keep")).distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(rows, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id IS NULL").dropDuplicates(["text"])).select(COLUMNS)
+    rows = near_copies.grouped(docs.select(COLUMNS))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")]))
+    least = rows.groupBy("component").agg(F.min(F.struct(first.alias("order"), "number")).alias("_least")).select(F.col("_least.number").alias("number"))
+    return rows.join(least, "number", "left_semi").select(COLUMNS)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

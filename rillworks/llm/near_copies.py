@@ -185,3 +185,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     named = distinct.join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(named, "fp", "left").select("key", "fp", "component")
+
+
+def grouped(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """All columns of `docs`, number (a stored number of each row) and component, the least number of its class; keys play no part."""
+    numbered = shared.stored(docs.withColumn("number", F.monotonically_increasing_id()))
+    named = classes(numbered, "number", text, shingle, radius).select(F.col("key").alias("number"), "component")
+    return numbered.join(named, "number")

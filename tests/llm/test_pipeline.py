@@ -30,3 +30,12 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF)
     assert now.count() == 0
+
+
+def test_near_copies_by_row_not_by_key(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    word = lambda n: " ".join(f"{n}word{i}" for i in range(60))
+    rows = [(1, word("a")), (1, word("b")), (1, word("c")), (2, word("c")), (None, word("b")), (None, word("d")), (None, word("d").upper()), (None, word("e")), (0, word("f")), (0, word("f"))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], schema)
+    kept = sorted((str(r["doc_id"]), r["text"][:2].lower()) for r in corpus_pipeline.near_copies_out(spark, docs, SF).collect())
+    assert kept == [("0", "fw"), ("1", "aw"), ("1", "bw"), ("1", "cw"), ("None", "dw"), ("None", "ew")]
