@@ -62,14 +62,15 @@ def templates(rows: DataFrame, text: str, with_words: bool = True) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     if not with_words:
         made = once(rows, _plain=plain(marked(t)))
-        made = once(made, tokens=split_words(F.lower("_plain")), named=split_words(F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME))))
-        return made.drop("_plain")
+        made = once(made, _low=F.lower("_plain"), _named=F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME)))
+        made = once(made, tokens=split_words(F.col("_low")), named=split_words(F.col("_named")))
+        return made.drop("_plain", "_low", "_named")
     # one split of the text: placeholders leave its white space, so both arrays have the same places
-    made = once(rows, _marked=F.transform(split_words(marked(t)), plain), _raw=split_words(t))
+    made = once(once(rows, _text_marked=marked(t), _t=t), _marked=F.transform(split_words(F.col("_text_marked")), plain), _raw=split_words(F.col("_t")))
     both = F.zip_with("_marked", "_raw", lambda m, w: F.struct(m.alias("m"), F.lower(F.coalesce(F.nullif(plain(w), F.lit("")), w)).alias("w")))
     made = once(made, _both=F.filter(both, lambda x: x["m"] != ""))
     made = once(made, tokens=F.transform("_both", lambda x: F.lower(x["m"])), named=F.transform("_both", lambda x: F.lower(F.regexp_replace(x["m"], _CAPITAL_AT, NAME))), words=F.col("_both.w"))
-    return made.drop("_marked", "_raw", "_both")
+    return made.drop("_text_marked", "_t", "_marked", "_raw", "_both")
 
 
 def _starts(words: str, window: int) -> Column:
@@ -175,7 +176,7 @@ def _text_pairs(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str,
     again = rows.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     lined = templates(again, "_text")
     each = [F.transform(_starts(tokens, window), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, window)).alias("h"), F.slice("words", i, window).alias("others"))) for tokens in ("tokens", "named")]
-    lined = lined.select("id", F.inline(F.array_distinct(F.concat(*each))))
+    lined = lined.select("id", F.inline(F.concat(*each)))
     found = lined.join(index.filter("reading < 2"), "h")
     found = found.join(pairs.select("id", "item_id"), ["id", "item_id"], "left_semi")
     slots = F.transform("slots", lambda s: F.struct((F.col("place") + s["i"]).alias("p"), s["own"].alias("own"), F.get("others", s["i"]).alias("other")))
