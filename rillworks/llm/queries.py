@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillworks.llm import hosts, languages, leaks, near_copies, packing, pages, quality, repeats, scoring, shared, tokenfiles
+from rillworks.llm import blob_ledger, hosts, languages, leaks, merkle, near_copies, packing, pages, quality, repeats, scoring, shared, spellings, sql, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,31 @@ def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_copies, op2_leaks, op3_pages, op4_packing, op5_language, op6_hosts, op7_tokenfiles, op8_scoring, op9_repeats, op10_quality)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = blob_ledger.findings(docs, blob_ledger.scan(docs, shared.new_path(spark)))
+    base = [r.kind for r in blob_ledger.BASE]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return rows.select("doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in base],
+                       F.sha2(blob_ledger.shown(of(*base)), 256).alias("base_sha256"), blob_ledger.shown(F.col("spans")).alias("spans"))
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spellings.variants(_table(spark, sf_dir, "documents"), slip=97)
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    rows = docs.select("doc_id", "lang", merkle.leaf(*[F.col(c) for c in columns]).alias("leaf"), F.when(tampered, changed).alias("claim"))
+    return merkle.proofs(rows, "lang", "doc_id", "leaf", "claim")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_copies, op2_leaks, op3_pages, op4_packing, op5_language, op6_hosts, op7_tokenfiles, op8_scoring, op9_repeats, op10_quality,
+                                      op11_secrets, op12_spellings, op13_manifest)}
 
 _SPLIT = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 
@@ -99,3 +123,4 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter({_SPLIT},
   q AS (SELECT source, (bad + weight * mean) / (n + weight) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate, 0) <= 0.5 AS kept FROM f LEFT JOIN q USING (source)""",
 }
+ORACLE |= sql.ORACLE
