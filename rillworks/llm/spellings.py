@@ -99,7 +99,8 @@ def _signatures(parts: list[str], keep: int, shorter: Column) -> Column:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n), both ways, of all pairs one edit apart. `words` (word, n) are distinct, of two characters at least."""
     names = [f"_p{j}" for j in range(PARTS)]
-    split = words.select("word", "n", F.length("word").alias("_l"), *[p.alias(n) for n, p in zip(names, _parts(F.col("word")))])
+    # written once: the parts take longer than all that follows, and are read four times
+    split = shared.stored(words.select("word", "n", F.length("word").alias("_l"), *[F.xxhash64(p).alias(n) for n, p in zip(names, _parts(F.col("word")))]))
     meet = lambda keep, shorter: split.select("word", "n", F.explode(_signatures(names, keep, shorter)).alias("sig"))
     same, short, long = meet(PARTS - 2, F.col("_l")), meet(PARTS - 1, F.col("_l")), meet(PARTS - 1, F.col("_l") - 1)
     right = lambda df: df.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "sig")
