@@ -9,6 +9,9 @@ HEADER_BYTES = 28
 MESSAGE_TYPES = {1: "DATA", 2: "ACK", 3: "HEARTBEAT", 4: "METRICS"}
 CODEC_TYPES = {0: "NONE", 1: "ZLIB", 2: "SNAPPY"}
 
+#: Bytes of a frame at most, header included: a longer one can be no row and ends its stream.
+LARGEST_FRAME = 1 << 30
+
 # Audit rules.
 REQUIRED_FIELDS = ["timestamp", "level", "message"]
 MAX_MESSAGE_CHARS = 1024 * 1024

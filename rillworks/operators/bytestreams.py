@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from rillworks.model import HEADER_BYTES, MAGIC, VERSION
+from rillworks.model import HEADER_BYTES, LARGEST_FRAME, MAGIC, VERSION
 from rillworks.operators.carried import as_batches, rows_of, walk
 from rillworks.operators.ordered import block_of, running_sums
 
@@ -41,10 +41,11 @@ def segments(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SE
 
 
 def _frame_end(body: bytes, at: int) -> int | None:
-    """End of the frame at a local position, None where no header of this version starts."""
+    """End of the frame at a local position, None where no header of this version starts, or of too long a frame."""
     if body[at:at + 6] != _START or at + HEADER_BYTES > len(body):
         return None
-    return at + HEADER_BYTES + int.from_bytes(body[at + 8:at + 12], "little")
+    size = HEADER_BYTES + int.from_bytes(body[at + 8:at + 12], "little")
+    return at + size if size <= LARGEST_FRAME else None
 
 
 def _marks(size: int):

@@ -88,7 +88,11 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     event = (F.when(F.col("old").isNull(), "CREATED").when(F.col("new").isNull(), "DELETED")
              .when(F.col("old") != F.col("new"), "MODIFIED"))
     events = both.select("path", event.alias("event")).filter("event IS NOT NULL")
-    hashed = _digests(before, after, events.filter("event <> 'MODIFIED'"))
+    return _with_moves(events, _digests(before, after, events.filter("event <> 'MODIFIED'")))
+
+
+def _with_moves(events: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(path, event, from_path): pairs of a file that came and one that went, alone with their content, become MOVED."""
     path_of = lambda name: F.min(F.when(F.col("event") == name, F.col("path")))
     count = lambda name: F.count_if(F.col("event") == name)
     moves = hashed.groupBy("digest").agg(
@@ -101,6 +105,26 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         "path", F.when(F.col("_moved"), "MOVED").otherwise(F.col("event")).alias("event"), "from_path")
 
 
+def listing_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, event, from_path, start, stop) between two listings (path, size, mtime, digest), with the bytes to read.
+
+    Events are those of `file_changes`, from stored digests; a file without one is never MOVED. A new file is read from 0, a
+    grown one from its old size, one that shrank was rotated and is read from 0, a moved one has nothing new, and a
+    deleted one has no range. A file of the same size with another time is MODIFIED without new bytes."""
+    side = lambda df, name: df.select("path", F.struct("size", "mtime", "digest").alias(name))
+    both = side(before, "old").join(side(after, "new"), "path", "full")
+    event = (F.when(F.col("old").isNull(), "CREATED").when(F.col("new").isNull(), "DELETED").when(
+        (F.col("old.size") != F.col("new.size")) | (F.col("old.mtime") != F.col("new.mtime")), "MODIFIED"))
+    stop = F.col("new.size")
+    start = F.when(F.col("old").isNull() | (stop < F.col("old.size")), F.lit(0).cast("bigint")).otherwise(F.col("old.size"))
+    rows = both.select("path", event.alias("event"), F.when(stop.isNotNull(), start).alias("start"), stop.alias("stop"),
+                       F.coalesce("new.digest", "old.digest").alias("digest")).filter("event IS NOT NULL")
+    hashed = rows.filter("event <> 'MODIFIED' AND digest IS NOT NULL").select("path", "event", "digest")
+    told = _with_moves(rows.select("path", "event"), hashed)
+    ranged = told.join(rows.select("path", "start", "stop"), "path")
+    return ranged.withColumn("start", F.when(F.col("event") == "MOVED", F.col("stop")).otherwise(F.col("start")))
+
+
 def _digests(before: DataFrame, after: DataFrame, wanted: DataFrame) -> DataFrame:
     """(path, event, digest) of the wanted files (path, event). Contents are hashed where they are read and never shuffled."""
     contents = before.select("path", "content", F.lit("DELETED").alias("event")).unionByName(

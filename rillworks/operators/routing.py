@@ -1,11 +1,14 @@
 """Routing of frames to topics and clusters, acknowledgement and delivery accounting."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.operators.frames import encode, message
+from rillworks.operators.ordered import balanced_block, neighbour, running
 
 TOPIC_KEYED = "logs"
+#: Blocks of a timeline that has no key.
+BLOCKS = 256
 
 
 def task_key(task_id: Column) -> Column:
@@ -91,29 +94,28 @@ def queue_counts(routed: DataFrame, delivered: Column) -> DataFrame:
         F.count_if(~((F.col("status") == "ok") & delivered)).alias("messages_failed"))
 
 
-def version_spans(versions: DataFrame) -> DataFrame:
-    """(version, valid_from, valid_to) of a configuration history, valid_to NULL for the last.
-
-    The history is one timeline of configuration changes and does not grow with the frames."""
+def version_spans(versions: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(version, valid_from, valid_to) of a configuration history, valid_to NULL for the last."""
     starts = versions.select("version", "valid_from").distinct()
-    return starts.withColumn("valid_to", F.lead("valid_from").over(Window.orderBy("valid_from")))
-
-
-def session_versions(sessions: DataFrame, spans: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
-    """Adds the version in force when each session was armed, NULL before the first version.
-
-    Rows: sessions (.., armed_at TIMESTAMP), spans as from `version_spans`. Each version is listed
-    under every time bucket it covers and met by equality on the bucket, so a session only sees the
-    few versions of its bucket. Sessions after the last change share the bucket of that change."""
-    bucket = lambda c: F.floor(F.unix_seconds(c) / bucket_seconds)
-    last = bucket(spans.agg(F.max("valid_from")).scalar())
-    listed = spans.select("version", "valid_from", "valid_to", F.explode(F.sequence(
-        bucket(F.col("valid_from")), F.coalesce(bucket(F.col("valid_to")), last))).alias("_bucket"))
-    tagged = sessions.withColumn("_bucket", F.least(bucket(F.col("armed_at")), last)).alias("s")
-    inside = (F.col("s.armed_at") >= F.col("v.valid_from")) & (
-        F.col("v.valid_to").isNull() | (F.col("s.armed_at") < F.col("v.valid_to")))
-    return tagged.join(listed.alias("v"), (F.col("s._bucket") == F.col("v._bucket")) & inside, "left").select(
-        *[F.col(f"s.{c}") for c in sessions.columns], F.col("v.version"))
+    return neighbour(starts.withColumn("_all", F.lit(0)), ["_all"], ["valid_from", "version"], {"valid_to": F.col("valid_from")},
+                     balanced_block(starts, "valid_from", blocks), ahead=True).drop("_all")
+
+
+def session_versions(sessions: DataFrame, versions: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Adds the version in force when each session was armed, NULL before the first version; of versions that begin at the same
+    time the greatest.
+
+    Rows: sessions (.., armed_at TIMESTAMP), versions (version, valid_from). Both stand in one timeline, and the last version is carried
+    along it: over the rows inside each of `blocks` blocks of about as many rows, and over one row per block. So neither
+    a burst of versions nor the sessions after the last change meet in one task."""
+    columns = sessions.columns
+    event = versions.select("version", F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"))
+    asked = sessions.select(F.struct(*columns).alias("_row"), F.col("armed_at").alias("_at"), F.lit(1).alias("_kind"))
+    timeline = event.unionByName(asked, allowMissingColumns=True).filter("_at IS NOT NULL").withColumn("_all", F.lit(0))
+    placed = running(timeline, ["_all"], ["_at", "_kind", "version"], {"_last": ("last", F.col("version"))}, balanced_block(timeline.select("_at"), "_at", blocks))
+    known = placed.filter("_kind = 1").select("_row.*", F.col("_last").alias("version"))
+    kind = versions.schema["version"].dataType
+    return known.unionByName(sessions.filter("armed_at IS NULL").withColumn("version", F.lit(None).cast(kind)))
 
 
 def active_tasks(tasks: DataFrame, data: DataFrame) -> DataFrame:

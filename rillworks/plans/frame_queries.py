@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from rillworks.functions.once import once
-from rillworks.operators import bytestreams, codecs, frames, metrics, routing
+from rillworks.operators import bytestreams, codecs, frames, metrics, offsets, ranges, routing
 from rillworks.plans.bridge import ctes, table, view
 
+#: Small blocks, so that files of the given tables have several.
+RANGE_BITS = 12
+
 
 def raw_frames(spark, sf):
     framed = view(spark, sf, "v_frames").select("event_id", "us", "user_id", "agent_id", "raw_hex")
@@ -170,7 +173,7 @@ def config_history(spark, sf):
 def route_asof(spark, sf):
     lines = view(spark, sf, "v_lines").select("event_id", "us", "user_id", "d", "task_id")
     sessions = lines.groupBy("user_id", "d").agg(F.timestamp_micros(F.min("us")).alias("armed_at"))
-    versioned = routing.session_versions(sessions, routing.version_spans(config_history(spark, sf)))
+    versioned = routing.session_versions(sessions, config_history(spark, sf))
     listed = config_history(spark, sf).select("version", F.explode(F.array(*map(F.lit, ("1001", "1002", "1003")))).alias("task_id"))
     history = listed.join(view(spark, sf, "v_tasks"), "task_id", "left").select(
         "version", "task_id", F.concat("topic", F.lit("-v"), F.col("version")).alias("topic"))
@@ -194,6 +197,35 @@ def duplicate_delivery(spark, sf):
         F.sum(F.col("deliveries") - 1).alias("repeated"))
 
 
+def sent_ranges(spark, sf):
+    """The bytes of each line in its file."""
+    placed = offsets.line_offsets(view(spark, sf, "v_lines").select("task_id", "file_path", "event_id", "line"), "file_path", "event_id", "line")
+    return placed.select("task_id", "file_path", "event_id", F.col("byte_offset").alias("start"), (F.col("byte_offset") + F.octet_length("line") + 1).alias("stop"))
+
+
+def arrived_ranges(spark, sf):
+    """Deliveries: some lines don't arrive, some arrive again together with the bytes around them."""
+    rows = sent_ranges(spark, sf)
+    again = rows.filter("event_id % 101 = 0").select("file_path", F.greatest(F.col("start") - 100, F.lit(0)).alias("start"), (F.col("stop") + 40).alias("stop"))
+    return rows.filter("event_id % 20 <> 0").select("file_path", "start", "stop").unionByName(again)
+
+
+def delivered_ranges(spark, sf):
+    return ranges.union(arrived_ranges(spark, sf), ["file_path"], block_bits=RANGE_BITS)
+
+
+def unacked_ranges(spark, sf):
+    return ranges.missing(sent_ranges(spark, sf), arrived_ranges(spark, sf), ["file_path"], block_bits=RANGE_BITS)
+
+
+def repeated_ranges(spark, sf):
+    return ranges.repeated(arrived_ranges(spark, sf), ["file_path"], block_bits=RANGE_BITS)
+
+
+def delivery_accounts(spark, sf):
+    return ranges.accounts(sent_ranges(spark, sf), arrived_ranges(spark, sf), ["file_path"], block_bits=RANGE_BITS)
+
+
 def ack_frames(spark, sf):
     acked = routing.acks(routed(spark, sf))
     return routing.ack_frames(acked).select(
@@ -224,7 +256,7 @@ def task_id_rejects(spark, sf):
 QUERIES = {f.__name__: f for f in (
     frames_built, frame_roundtrip, frame_decode, frame_rejects, type_dispatch, frame_reassembly, chunk_lines,
     codec_roundtrip, codec_ratio, route, route_status, unroutable, acks, unacked, mq_rows, mq_rows_keyed,
-    fanout_counts, mq_counts, route_asof, active_tasks, duplicate_delivery,
+    fanout_counts, mq_counts, route_asof, active_tasks, duplicate_delivery, delivered_ranges, unacked_ranges, repeated_ranges, delivery_accounts,
     ack_frames, frame_metrics, task_wire_ids, task_id_rejects)}
 
 _GOOD = ctes("v_frame_parts", "v_tasks", "v_clusters") + """,
@@ -241,7 +273,29 @@ _FIELDS = """event_id, cast(3405691582 AS bigint) AS magic, 256 AS version, mtyp
  wire_task AS task_id, cast(wire_offset AS varchar) AS "offset", payload"""
 _OK = "status = 'ok'"
 
+_SENT = """SELECT file_path, unnest([{'p': start, 's': 1, 'a': 0}, {'p': stop, 's': -1, 'a': 0}]) AS x FROM sent UNION ALL """
+_RANGES = ctes("v_lines") + """,
+sent AS (SELECT file_path, event_id, cast(stop - n AS bigint) AS start, cast(stop AS bigint) AS stop FROM (SELECT file_path, event_id, strlen(line) + 1 AS n,
+  sum(strlen(line) + 1) OVER (PARTITION BY file_path ORDER BY event_id) AS stop FROM v_lines)),
+arrived AS (SELECT file_path, start, stop FROM sent WHERE event_id % 20 <> 0
+  UNION ALL SELECT file_path, greatest(start - 100, 0), stop + 40 FROM sent WHERE event_id % 101 = 0),
+edges AS (SELECT file_path, x.p AS p, sum(x.s) AS s, sum(x.a) AS a FROM (
+  """ + _SENT + """SELECT file_path, unnest([{'p': start, 's': 0, 'a': 1}, {'p': stop, 's': 0, 'a': -1}]) AS x FROM arrived) GROUP BY ALL),
+pieces AS (SELECT file_path, p AS start, lead(p) OVER w AS stop, sum(s) OVER w AS sent, sum(a) OVER w AS arrived FROM edges WINDOW w AS (PARTITION BY file_path ORDER BY p))
+"""
+_JOINED = """SELECT file_path, min(start) AS start, max(stop) AS stop FROM (
+  SELECT *, sum(CASE WHEN before = start THEN 0 ELSE 1 END) OVER (PARTITION BY file_path ORDER BY start) AS run FROM (
+    SELECT *, lag(stop) OVER (PARTITION BY file_path ORDER BY start) AS before FROM pieces WHERE stop IS NOT NULL AND {})) GROUP BY file_path, run"""
+
 ORACLE = {
+    "delivered_ranges": _RANGES + _JOINED.format("arrived > 0"),
+    "unacked_ranges": _RANGES + _JOINED.format("sent > 0 AND arrived = 0"),
+    "repeated_ranges": _RANGES.replace(_SENT, "") + """
+SELECT file_path, start, stop, cast(arrived AS bigint) AS deliveries FROM pieces WHERE arrived > 1 AND stop IS NOT NULL""",
+    "delivery_accounts": _RANGES + """
+SELECT file_path, cast(coalesce(sum(stop - start) FILTER (sent > 0), 0) AS bigint) AS sent, cast(coalesce(sum(stop - start) FILTER (sent > 0 AND arrived > 0), 0) AS bigint) AS delivered,
+  cast(coalesce(sum(stop - start) FILTER (sent > 0 AND arrived = 0), 0) AS bigint) AS missing, cast(coalesce(sum((arrived - 1) * (stop - start)) FILTER (arrived > 0), 0) AS bigint) AS repeated,
+  cast(coalesce(sum(stop - start) FILTER (sent = 0 AND arrived > 0), 0) AS bigint) AS unexpected FROM pieces WHERE stop IS NOT NULL GROUP BY file_path""",
     "frames_built": _GOOD + f"SELECT {_FIELDS} FROM expected WHERE mtype <= 4",
     "frame_roundtrip": ctes("v_frame_hex") + """
 SELECT event_id, clean_hex AS raw_hex, wire_task AS task_id, cast(wire_offset AS varchar) AS "offset", payload

@@ -74,6 +74,11 @@ def file_changes(spark, sf):
     return offsets.file_changes(view(spark, sf, "v_files_prev"), view(spark, sf, "v_files"))
 
 
+def listing_changes(spark, sf):
+    listing = lambda name: view(spark, sf, name).select("path", "size", "mtime", F.sha2("content", 256).alias("digest"))
+    return offsets.listing_changes(listing("v_files_prev"), listing("v_files"))
+
+
 def task_file_match(spark, sf):
     rows = [("1001", "/var/log/app/src1/*.log"), ("1002", "/var/log/app/*/1?.log"), ("1003", "/var/log/app/**"),
             ("1004", "/var/log/app/src[2-4]/*9.log"), ("1005", "/opt/none/*.log")]
@@ -150,7 +155,7 @@ def quota_breach(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     line_offsets, collect_totals, offset_gaps, resume_plan, checkpoint_latest, checkpoint_doc, checkpoint_parse,
-    file_changes, task_file_match, files_watched, roll_index, tail_lines, last_samples, sample_delta,
+    file_changes, listing_changes, task_file_match, files_watched, roll_index, tail_lines, last_samples, sample_delta,
     shed_cumulative, session_close, shed_hysteresis, quota_breach)}
 
 _OFFSETS = ctes("v_lines") + """,
@@ -167,6 +172,17 @@ cp AS (SELECT 'agent-' || (doc_id // 50) AS agent, doc_id // 50 AS number, 'k' |
   "offset", path AS file_path, file_size, cast(doc_id AS varchar) AS last_modified FROM v_checkpoints)
 """
 
+_CHANGES = ctes("v_files", "v_files_prev") + """,
+came AS (SELECT path, size, sha256(content) AS h FROM v_files ANTI JOIN v_files_prev USING (path)),
+went AS (SELECT path, size, sha256(content) AS h FROM v_files_prev ANTI JOIN v_files USING (path)),
+moved AS (SELECT c.path, w.path AS from_path FROM
+  (SELECT size, h, min(path) AS path FROM came GROUP BY ALL HAVING count(*) = 1) c JOIN
+  (SELECT size, h, min(path) AS path FROM went GROUP BY ALL HAVING count(*) = 1) w USING (size, h)),
+changes AS (SELECT path, CASE WHEN from_path IS NULL THEN 'CREATED' ELSE 'MOVED' END AS event, from_path FROM came LEFT JOIN moved USING (path)
+UNION ALL SELECT path, 'DELETED', NULL FROM went WHERE path NOT IN (SELECT from_path FROM moved)
+UNION ALL SELECT n.path, 'MODIFIED', NULL FROM v_files n JOIN v_files_prev o USING (path) WHERE n.size <> o.size OR n.mtime <> o.mtime)
+"""
+
 ORACLE = {
     "line_offsets": _OFFSETS + "SELECT file_path, event_id, byte_offset FROM placed",
     "collect_totals": ctes("v_lines") + """
@@ -194,15 +210,11 @@ FROM cp GROUP BY agent""",
 SELECT agent, false AS failed, key, "offset", file_path, cast(0 AS bigint) AS inode, file_size, last_modified
 FROM cp WHERE number % 7 <> 3
 UNION ALL SELECT DISTINCT agent, true, NULL, cast(0 AS bigint), '', cast(0 AS bigint), cast(0 AS bigint), '' FROM cp WHERE number % 7 = 3""",
-    "file_changes": ctes("v_files", "v_files_prev") + """,
-came AS (SELECT path, size, sha256(content) AS h FROM v_files ANTI JOIN v_files_prev USING (path)),
-went AS (SELECT path, size, sha256(content) AS h FROM v_files_prev ANTI JOIN v_files USING (path)),
-moved AS (SELECT c.path, w.path AS from_path FROM
-  (SELECT size, h, min(path) AS path FROM came GROUP BY ALL HAVING count(*) = 1) c JOIN
-  (SELECT size, h, min(path) AS path FROM went GROUP BY ALL HAVING count(*) = 1) w USING (size, h))
-SELECT path, CASE WHEN from_path IS NULL THEN 'CREATED' ELSE 'MOVED' END AS event, from_path FROM came LEFT JOIN moved USING (path)
-UNION ALL SELECT path, 'DELETED', NULL FROM went WHERE path NOT IN (SELECT from_path FROM moved)
-UNION ALL SELECT n.path, 'MODIFIED', NULL FROM v_files n JOIN v_files_prev o USING (path) WHERE n.size <> o.size OR n.mtime <> o.mtime""",
+    "file_changes": _CHANGES + "SELECT * FROM changes",
+    "listing_changes": _CHANGES + """
+SELECT c.path, event, from_path, CASE event WHEN 'DELETED' THEN NULL WHEN 'CREATED' THEN 0 WHEN 'MOVED' THEN n.size
+    ELSE CASE WHEN n.size < o.size THEN 0 ELSE o.size END END::bigint AS start, n.size AS stop
+FROM changes c LEFT JOIN v_files n USING (path) LEFT JOIN v_files_prev o ON c.path = o.path""",
     "task_file_match": ctes("v_files") + """,
 p AS (SELECT * FROM (VALUES ('1001', '^/var/log/app/src1/[^/]*[.]log$'), ('1002', '^/var/log/app/[^/]*/1[^/][.]log$'),
   ('1003', '^/var/log/app/.*$'), ('1004', '^/var/log/app/src[2-4]/[^/]*9[.]log$')) t(task_id, re))

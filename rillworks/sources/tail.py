@@ -5,9 +5,13 @@ recursive, split_bytes (largest byte range per task), row_bytes (largest chunk p
 batch read start_offsets (JSON, path -> byte). Paths may be of any file system pyarrow opens; on a
 cluster they must be readable from every executor.
 
-As a stream, the position is {path: size}. It is kept in Spark's checkpoint, so a restart goes on where
-the last committed batch ended. A file smaller than its last position was rotated and is read from 0.
-New bytes are never capped; long ranges become several tasks and bounded rows.
+As a stream, the position is {path: [bytes read, size seen]}. It is kept in Spark's checkpoint, so a restart goes on
+where the last batch ended. A file smaller than when it was last seen was rotated and is read from 0; one that is gone
+at the time of reading gives nothing. With max_bytes a batch takes that many new bytes at most (a byte per file with
+news at least), dealt evenly over the files: what a file doesn't need of its share goes to the others, so a large
+backlog is many batches and no file waits for another. Nothing is left out: what was not admitted comes next. The
+trigger `availableNow` takes one batch per run; use a processing-time trigger to catch up. Long ranges become several
+tasks and bounded rows. For more files than a position should list, see `listing`.
 """
 
 import json
@@ -66,6 +70,23 @@ def list_sizes(options: dict) -> dict[str, int]:
     return found
 
 
+def admitted(position: dict, sizes: dict[str, int], limit: int | None) -> dict[str, list[int]]:
+    """The position after the next batch: {path: [bytes read, size seen]}."""
+    starts = {}
+    for path, size in sizes.items():
+        read, seen = position.get(path, (0, 0))
+        starts[path] = 0 if size < seen else read
+    left, stops = limit, {}
+    waiting = sorted(sizes, key=lambda p: (sizes[p] - starts[p], p))
+    for i, path in enumerate(waiting):
+        pending = sizes[path] - starts[path]
+        if limit is not None and pending:
+            pending = min(pending, max(1, left // (len(waiting) - i)))
+            left = max(0, left - pending)
+        stops[path] = [starts[path] + pending, sizes[path]]
+    return stops
+
+
 def ranges(path: str, start: int, stop: int, split: int) -> list[Range]:
     return [Range(path, at, min(at + split, stop)) for at in range(start, stop, split)]
 
@@ -79,7 +100,11 @@ class _Reader:
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("task_id", pa.string()), ("file_path", pa.string()), ("offset", pa.int64()), ("data", pa.binary())])
         system, path = fs.FileSystem.from_uri(part.path)
-        with system.open_input_file(path) as file:
+        try:
+            opened = system.open_input_file(path)
+        except FileNotFoundError:  # gone since it was listed
+            return
+        with opened as file:
             file.seek(part.start)
             at = part.start
             while at < part.stop:
@@ -103,15 +128,28 @@ class TailReader(_Reader, DataSourceReader):
 
 
 class TailStreamReader(_Reader, DataSourceStreamReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        limit = self.options.get("max_bytes")
+        self.limit = None if limit is None else int(limit)
+        self.position: dict | None = None
+
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        return list_sizes(self.options)
+        # after a restart, `partitions` of the last batch comes first and tells where it ended
+        self.position = admitted(self.position or {}, list_sizes(self.options), self.limit)
+        return self.position
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [r for path, size in end.items()
-                for r in ranges(path, 0 if size < start.get(path, 0) else start.get(path, 0), size, self.split)]
+        if self.position is None:
+            self.position = end
+        parts = []
+        for path, (stop, size) in end.items():
+            read, seen = start.get(path, (0, 0))
+            parts += ranges(path, 0 if size < seen else read, stop, self.split)
+        return parts
 
     def commit(self, end: dict) -> None:
         """Nothing to release: the position lives in Spark's checkpoint."""

@@ -9,14 +9,19 @@ from rillworks.operators import metrics, routing
 from rillworks.operators.audit import content_checks
 from rillworks.operators.shedding import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
 from rillworks.sources import sinks
-from rillworks.streaming.processors import FrameAssembler, LineAssembler, Shedder
+from rillworks.streaming.processors import HELD_BYTES, FrameAssembler, LineAssembler, Shedder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Bytes that a Python worker gets at once, whatever the number of rows.
+ARROW_BYTES = 8 << 20
+
+
 def use_keyed_state(spark) -> None:
-    """The keyed processors need this state store."""
+    """The keyed processors need this state store, and batches bounded by bytes: chunks may be large."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def _keyed(chunks: DataFrame, stream: str | Column, seq: str, data: str):
@@ -30,16 +35,17 @@ def _time_mode(idle_ms: int | None) -> str:
     return "none" if idle_ms is None else "processingTime"
 
 
-def frames(chunks: DataFrame, stream: str | Column, seq: str, data: str, idle_ms: int | None = None) -> DataFrame:
+def frames(chunks: DataFrame, stream: str | Column, seq: str, data: str, idle_ms: int | None = None, held: int = HELD_BYTES) -> DataFrame:
+    """Complete frames per stream. A key's chunks of a micro-batch are ordered with at most `held` bytes in memory."""
     return _keyed(chunks, stream, seq, data).transformWithStateInPandas(
-        FrameAssembler(idle_ms), "stream string, raw binary", "append", _time_mode(idle_ms))
+        FrameAssembler(idle_ms, held), "stream string, raw binary", "append", _time_mode(idle_ms))
 
 
 def lines(chunks: DataFrame, stream: str | Column = "file_path", seq: str = "offset", data: str = "data",
-          keep_cut: bool = True) -> DataFrame:
-    """Complete lines per stream; `keep_cut` tells whether the last line of a file that was replaced is one."""
+          keep_cut: bool = True, held: int = HELD_BYTES) -> DataFrame:
+    """Complete lines per stream, ordered as in `frames`; `keep_cut` tells whether the last line of a file that was replaced is one."""
     out = _keyed(chunks, stream, seq, data).transformWithStateInPandas(
-        LineAssembler(keep_cut), "stream string, line binary", "append", "none")
+        LineAssembler(keep_cut, held), "stream string, line binary", "append", "none")
     return out.withColumn("line", F.decode("line", "UTF-8"))
 
 

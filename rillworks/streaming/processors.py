@@ -1,50 +1,168 @@
-"""Keyed state for streams: unfinished frames and lines, the state of shedding.
+"""Keyed state for streams: unfinished frames and lines, the state of shedding, silent agents, contents seen.
 
-Within a micro-batch the rows of a key come in no certain order, so they are sorted by their sequence
-number; a micro-batch bounds what is sorted. State is only the unfinished tail or a few numbers.
+Within a micro-batch the rows of a key come in no certain order and may be many, so the byte streams order them by
+sorted runs that are merged: beyond `held` bytes, runs stand in map state and not in memory. What is unfinished stands
+there as numbered pieces, which are read once they are complete. Results leave in batches of bounded size.
 """
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from rillworks.model import HEADER_BYTES, MAGIC, VERSION
+from rillworks.model import HEADER_BYTES, LARGEST_FRAME, MAGIC, VERSION
 
 _START = MAGIC.to_bytes(4, "little") + VERSION.to_bytes(2, "little")
+HELD_BYTES = 32 << 20
+PIECE_BYTES = 1 << 20
+_BLOCK_BYTES = 64 << 10
+_OUT_BYTES = 4 << 20
+_ROW_BYTES = 64  # besides its data, about
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by)
 
 
+class _Runs:
+    """Orders the chunks of a key's micro-batch by sequence number, with at most `held` bytes and a block per run in memory."""
+
+    def __init__(self, handle: StatefulProcessorHandle, held: int, ttl: int | None):
+        self.held = held
+        self.blocks = handle.getMapState("runs", "run int, block int", "seqs array<long>, ends array<int>, data binary", ttl)
+
+    def ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bytes]]:
+        runs, chunks, size = [], [], 0
+        for frame in rows:
+            for seq, data in zip(frame["seq"], frame["data"]):
+                chunks.append((int(seq), bytes(data)))
+                size += len(data) + _ROW_BYTES
+                if size > self.held:
+                    runs.append(self._written(len(runs), chunks))
+                    chunks, size = [], 0
+        chunks.sort(key=lambda c: c[0])
+        return heapq.merge(*[self._read(run, n) for run, n in enumerate(runs)], chunks, key=lambda c: c[0]) if runs else iter(chunks)
+
+    def _written(self, run: int, chunks: list[tuple[int, bytes]]) -> int:
+        """Number of the run's blocks."""
+        chunks.sort(key=lambda c: c[0])
+        n, block, size = 0, [], 0
+        for i, (seq, data) in enumerate(chunks):
+            block.append((seq, data))
+            size += len(data) + _ROW_BYTES
+            if size >= _BLOCK_BYTES or i + 1 == len(chunks):
+                ends, at = [], 0
+                for _, d in block:
+                    at += len(d)
+                    ends.append(at)
+                self.blocks.updateValue((run, n), ([q for q, _ in block], ends, b"".join(d for _, d in block)))
+                n, block, size = n + 1, [], 0
+        return n
+
+    def _read(self, run: int, n: int) -> Iterator[tuple[int, bytes]]:
+        for i in range(n):
+            seqs, ends, data = self.blocks.getValue((run, i))
+            self.blocks.removeKey((run, i))
+            at = 0
+            for seq, end in zip(seqs, ends):
+                yield seq, bytes(data[at:end])
+                at = end
+
+
+class _Unfinished:
+    """Bytes that wait for more: numbered pieces in map state, and less than a piece in memory."""
+
+    def __init__(self, handle: StatefulProcessorHandle, ttl: int | None):
+        self.pieces = handle.getMapState("pieces", "piece int", "data binary", ttl)
+
+    def open(self, stored: int) -> None:
+        self.stored, self.parts, self.size = stored, [], 0
+
+    def add(self, data: bytes) -> None:
+        if data:
+            self.parts.append(data)
+            self.size += len(data)
+        if self.size >= PIECE_BYTES:
+            self.store()
+
+    def store(self) -> None:
+        if self.parts:
+            self.pieces.updateValue((self.stored,), (b"".join(self.parts),))
+            self.open(self.stored + 1)
+
+    def take(self) -> bytes:
+        """All of them, in order; nothing is kept."""
+        stored = []
+        for i in range(self.stored):
+            stored.append(bytes(self.pieces.getValue((i,))[0]))
+            self.pieces.removeKey((i,))
+        data = b"".join(stored + self.parts)
+        self.open(0)
+        return data
+
+    def drop(self) -> None:
+        for i in range(self.stored):
+            self.pieces.removeKey((i,))
+        self.open(0)
+
+
+def _batched(stream: str, values: Iterable[bytes], column: str) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for value in values:
+        held.append(value)
+        size += len(value) + _ROW_BYTES
+        if size >= _OUT_BYTES:
+            yield pd.DataFrame({"stream": [stream] * len(held), column: held})
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame({"stream": [stream] * len(held), column: held})
+
+
 class FrameAssembler(StatefulProcessor):
-    """(stream, raw) of complete frames from (stream, seq, data) chunks; a bad header closes the stream.
+    """(stream, raw) of complete frames from (stream, seq, data) chunks; a bad header, or one that announces more than
+    LARGEST_FRAME bytes, closes the stream.
 
     With `idle_ms`, a connection without data for that long is gone, and its state with it."""
 
-    def __init__(self, idle_ms: int | None = None):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int | None = None, held: int = HELD_BYTES):
+        self.idle_ms, self.held = idle_ms, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "data binary, closed boolean", self.idle_ms)
+        self.place = handle.getValueState("place", "header binary, missing long, stored int, closed boolean", self.idle_ms)
+        self.runs = _Runs(handle, self.held, self.idle_ms)
+        self.payload = _Unfinished(handle, self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending, closed = self.tail.get() if self.tail.exists() else (b"", False)
-        data = bytes(pending) + b"".join(bytes(d) for d in _ordered(rows, "seq")["data"])
-        out, at = [], 0
-        while not closed and len(data) - at >= HEADER_BYTES:
-            if data[at:at + 6] != _START:
-                closed = True
-                break
-            end = at + HEADER_BYTES + int.from_bytes(data[at + 8:at + 12], "little")
-            if end > len(data):
-                break
-            out.append(data[at:end])
-            at = end
-        self.tail.update((b"" if closed else data[at:], closed))
-        if out:
-            yield pd.DataFrame({"stream": [key[0]] * len(out), "raw": out})
+        header, missing, stored, closed = self.place.get() if self.place.exists() else (b"", 0, 0, False)
+        self.header, self.missing, self.closed = bytes(header), missing, closed
+        self.payload.open(stored)
+        yield from _batched(key[0], self._frames(self.runs.ordered(rows)), "raw")
+        self.payload.store()
+        self.place.update((self.header, self.missing, self.payload.stored, self.closed))
+
+    def _frames(self, chunks: Iterator[tuple[int, bytes]]) -> Iterator[bytes]:
+        for _, data in chunks:
+            at = 0
+            while at < len(data) and not self.closed:
+                if len(self.header) < HEADER_BYTES:
+                    part = data[at:at + HEADER_BYTES - len(self.header)]
+                    self.header += part
+                    at += len(part)
+                    if len(self.header) < HEADER_BYTES:
+                        break
+                    self.missing = int.from_bytes(self.header[8:12], "little")
+                    self.closed = self.header[:6] != _START or self.missing + HEADER_BYTES > LARGEST_FRAME
+                    if self.closed:
+                        self.header, self.missing = b"", 0
+                        break
+                part = data[at:at + self.missing]
+                self.payload.add(part)
+                at += len(part)
+                self.missing -= len(part)
+                if not self.missing:
+                    yield self.header + self.payload.take()
+                    self.header = b""
 
     def close(self) -> None:
         pass
@@ -57,26 +175,38 @@ class LineAssembler(StatefulProcessor):
     A chunk that does not come after the one that left the kept bytes begins a new file at the same place: the
     kept bytes are then a line of their own, or are dropped with `keep_cut` false."""
 
-    def __init__(self, keep_cut: bool = True):
-        self.keep_cut = keep_cut
+    def __init__(self, keep_cut: bool = True, held: int = HELD_BYTES):
+        self.keep_cut, self.held = keep_cut, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "data binary, seq long")
+        self.place = handle.getValueState("place", "stored int, seq long")
+        self.runs = _Runs(handle, self.held, None)
+        self.tail = _Unfinished(handle, None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending, last = self.tail.get() if self.tail.exists() else (b"", None)
-        chunks = _ordered(rows, "seq")
-        lines = []
-        if last is not None and int(chunks["seq"].iloc[0]) <= last:
-            lines, pending = [bytes(pending)] if self.keep_cut else [], b""
-        *whole, rest = (bytes(pending) + b"".join(bytes(d) for d in chunks["data"])).split(b"\n")
-        if rest:
-            self.tail.update((rest, int(chunks["seq"].iloc[-1])))
+        stored, self.last = self.place.get() if self.place.exists() else (0, None)
+        self.tail.open(stored)
+        yield from _batched(key[0], self._lines(self.runs.ordered(rows)), "line")
+        self.tail.store()
+        if self.tail.stored:
+            self.place.update((self.tail.stored, self.last))
         else:
-            self.tail.clear()
-        lines += whole
-        if lines:
-            yield pd.DataFrame({"stream": [key[0]] * len(lines), "line": lines})
+            self.place.clear()
+
+    def _lines(self, chunks: Iterator[tuple[int, bytes]]) -> Iterator[bytes]:
+        before, first = self.last, True
+        for seq, data in chunks:
+            if first and before is not None and seq <= before:
+                if self.keep_cut:
+                    yield self.tail.take()
+                else:
+                    self.tail.drop()
+            first, self.last = False, seq
+            *whole, rest = data.split(b"\n")
+            for line in whole:
+                self.tail.add(line)
+                yield self.tail.take()
+            self.tail.add(rest)
 
     def close(self) -> None:
         pass

@@ -63,6 +63,39 @@ def test_tail_waits_for_missing_file_and_sees_new_ones(spark, tmp_path):
     assert text_of(run(stream, tmp_path, "out")) == b"deep"
 
 
+def test_backlog_is_read_in_bounded_batches(spark, tmp_path):
+    rng = random.Random(8)
+    want = {f"{i}.log": rng.randbytes(rng.choice([0, 1, 700, 5000])) for i in range(8)}
+    for name, data in want.items():
+        (tmp_path / name).write_bytes(data)
+    total = sum(map(len, want.values()))
+    stream = tailing(spark, tmp_path / "*.log", max_bytes="900", row_bytes="100")
+    for taken in range(1, 60):  # each run starts anew from the checkpoint
+        out = run(stream, tmp_path, "out")
+        size = out.agg(F.sum(F.length("data"))).first()[0] or 0
+        assert size == min(total, 900 * taken)
+        if taken == 3:  # no file waits for a larger one
+            assert out.select("file_path").distinct().count() == sum(bool(d) for d in want.values())
+        if size == total:
+            break
+    assert {n: text_of(out.filter(F.col("file_path").endswith("/" + n))) for n in want} == want
+
+
+def test_files_that_go_or_shrink_while_read(spark, tmp_path):
+    reader = tail.TailStreamReader({"path": str(tmp_path / "*.log")})
+    log = tmp_path / "a.log"
+    log.write_bytes(b"0123456789")
+    end = reader.latestOffset()
+    assert end == {str(log): [10, 10]}
+    log.write_bytes(b"new")
+    data = lambda start, stop: b"".join(b.column("data")[0].as_py() for p in reader.partitions(start, stop) for b in reader.read(p))
+    assert data({}, end) == b"new"
+    later = reader.latestOffset()
+    assert later == {str(log): [3, 3]} and data(end, later) == b"new"
+    log.unlink()
+    assert data({}, end) == b""
+
+
 def test_batch_range_read(spark, tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"0123456789")
@@ -107,6 +140,37 @@ def test_stream_frames_equal_batch(spark, tmp_path):
     assert frames.decode(out).filter("reject IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 3000, 1 << 25])
+def test_backlog_of_one_connection_is_ordered_by_runs(spark, tmp_path, held):
+    rng = random.Random(held)
+    whole = [wire(1, i, rng.randbytes(rng.choice([0, 10, 4000]))) for i in range(60)] + [wire(1, 99, rng.randbytes(2_500_000))]
+    rng.shuffle(whole)
+    parts = chop(rng, b"".join(whole), 150)
+    rows = [("c", i * 3, p) for i, p in enumerate(parts)]
+    half = len(rows) // 2
+    early, late = rows[:half], rows[half:]
+    rng.shuffle(early)
+    rng.shuffle(late)
+    chunks = feed(spark, tmp_path / "in", early + late, "c string, i bigint, data binary", 1 if held == 3000 else 2)
+    got = [bytes(r.raw) for r in run(jobs.frames(chunks, "c", "i", "data", held=held), tmp_path, "f").collect()]
+    assert sorted(got) == sorted(whole)
+    text = b"\n".join(rng.randbytes(rng.choice([0, 5, 900])).replace(b"\n", b"") for _ in range(200)) + b"\n" + b"y" * 2_300_000 + b"\nrest"
+    rows = [("c", i, p) for i, p in enumerate(chop(rng, text, 90))]
+    chunks = feed(spark, tmp_path / "in2", rows[:40][::-1] + rows[40:][::-1], "c string, i bigint, data binary", 1)
+    out = jobs._keyed(chunks, "c", "i", "data").transformWithStateInPandas(
+        jobs.LineAssembler(True, held), "stream string, line binary", "append", "none")
+    assert sorted(bytes(r.line) for r in run(out, tmp_path, "l").collect()) == sorted(text.split(b"\n")[:-1])
+
+
+def test_frames_too_long_for_a_row_end_their_stream(spark, tmp_path):
+    huge = wire(1, 1, b"")[:8] + (1 << 30).to_bytes(4, "little") + wire(1, 1, b"")[12:]
+    rows = [("c", 0, wire(1, 0, b"ok") + huge), ("c", 1, b"x" * 100 + wire(1, 2, b"lost"))]
+    chunks = feed(spark, tmp_path / "in", rows, "c string, i bigint, data binary", 2)
+    assert [bytes(r.raw) for r in run(jobs.frames(chunks, "c", "i", "data"), tmp_path, "f").collect()] == [wire(1, 0, b"ok")]
+    batch = bytestreams.frames(spark.createDataFrame(rows, "c string, i bigint, data binary"), "c", "i", "data", size=64)
+    assert [bytes(r.raw) for r in batch.collect()] == [wire(1, 0, b"ok")]
+
+
 def test_stream_shedding_equals_batch(spark, tmp_path):
     rows = [("s", i, i * 1_000_000, 50 if i % 3 else -60 if i else 0) for i in range(120)]
     schema = "s string, i bigint, us bigint, n bigint"
