@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillworks.llm import shared
+
 LEDGER = "blob string, rules array<string>, found array<struct<rule: string, start: int, end: int>>"
 
 
@@ -118,7 +120,8 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     current = F.filter(F.flatten(F.collect_list("found")), lambda f: rule(f).isNotNull())
     placed = F.array_distinct(F.array_sort(F.transform(current, lambda f: F.struct(f["start"].alias("start"), rule(f)["i"].alias("i"), rule(f)["kind"].alias("kind"), f["end"].alias("end")))))
     spans = F.transform(placed, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    known = ledger.groupBy("blob").agg(spans.alias("spans"))
+    # written, so that the join shuffles both sides and can split a content that a large share of the versions has
+    known = shared.stored(ledger.groupBy("blob").agg(spans.alias("spans")))
     return versions.drop("blob", "spans").withColumn("blob", address(text)).join(known, "blob", "left").select(*[c for c in versions.columns if c not in ("blob", "spans")], "blob", "spans")
 
 

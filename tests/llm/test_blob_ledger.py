@@ -67,7 +67,7 @@ def test_half_written_scan_goes_on(spark, tmp_path):
 
 
 def test_added_rules(spark, tmp_path):
-    texts = {"pem": "-----BEGIN RSA PRIVATE KEY-----", "github": "ghp_" + "a" * 36, "slack": "xoxb-123456-abcdef", "jwt": "eyJhbGciOiJ9.eyJzdWIiOiIx.c2lnbmF0dXJl"[:12] + ".eyJzdWIiOiIxMjM.c2lnbmF0dXJl", "login": "db://u:pass@h"}
+    texts = {"pem": "-----BEGIN RSA PRIVATE KEY-----", "github": "ghp_" + "Q1z" * 12, "slack": "xoxb-123456-abcdef", "jwt": "eyJhbGciOiJ9.eyJzdWIiOiIx.c2lnbmF0dXJl"[:12] + ".eyJzdWIiOiIxMjM.c2lnbmF0dXJl", "login": "db://u:pass@h"}
     docs = spark.createDataFrame([(k, 0, f"see {v} there") for k, v in texts.items()] + [("clean", 0, "http://host:80/a@b, a: b@c.d, +1 (286) 555-5136, eyJ.eyJ")], SCHEMA)
     found = {r.path: [s.kind for s in r.spans] for r in L.findings(docs, L.scan(docs, str(tmp_path / "l"))).collect()}
     assert found == {**{k: [k] for k in texts}, "clean": []}
