@@ -39,11 +39,6 @@ KAFKA_SCHEMA = T.StructType([
 
 CHUNK_SCHEMA = "task_id STRING, file_path STRING, offset BIGINT, data BINARY"
 
-CHECKPOINT_STRUCT = (
-    "STRUCT<offset: BIGINT, file_path: STRING, inode: BIGINT, "
-    "file_size: BIGINT, last_modified: STRING>"
-)
-
 JSON_LOG_STRUCT = (
     "STRUCT<timestamp: STRING, level: STRING, message: STRING, service: STRING, "
     "host: STRING, request_id: STRING, user_id: STRING, duration_ms: BIGINT, "

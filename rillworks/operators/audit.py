@@ -109,17 +109,38 @@ def late_messages(messages: DataFrame) -> DataFrame:
 
 def validation_summary(classified: DataFrame) -> DataFrame:
     """Totals per topic plus one row over all topics (`topic` NULL)."""
-    count = lambda cond: F.count_if(cond)
-    totals = classified.rollup("topic").agg(
-        F.count(F.lit(1)).alias("total_messages"),
-        count(F.col("reason") == "valid").alias("valid_messages"),
-        count(F.col("reason") != "valid").alias("invalid_messages"),
-        count(F.col("reason") == "duplicate").alias("duplicate_messages"),
-        count(F.col("late")).alias("late_messages"),
-    )
+    counts = {
+        "total_messages": F.lit(True), "valid_messages": F.col("reason") == "valid", "invalid_messages": F.col("reason") != "valid",
+        "duplicate_messages": F.col("reason") == "duplicate", "late_messages": F.col("late")}
+    per_topic = classified.groupBy("topic").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    totals = per_topic.rollup("topic").agg(*[F.sum(n).alias(n) for n in counts])
     return totals.withColumn("success_rate", percent("valid_messages", "total_messages"))
 
 
+def report(classified: DataFrame, messages: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The whole audit as one nested row, or one per `by`: validation_summary, performance_metrics, error_breakdown.
+
+    `classified` is what `classify` gives for `messages`, with the `by` columns. Rows of no messages give a row of zeros if there is
+    no `by`. error_breakdown maps each reason to its messages."""
+    by = by or []
+    reasons = classified.groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("_n"), F.count_if("late").alias("_late"))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
+    reason = F.col("reason")
+    tallied = reasons.groupBy(*by).agg(
+        n(F.lit(True)).alias("total_messages"), n(reason == "valid").alias("valid_messages"), n(reason != "valid").alias("invalid_messages"),
+        n(reason == "duplicate").alias("duplicate_messages"), F.coalesce(F.sum("_late"), F.lit(0)).alias("late_messages"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(reason != "valid", F.struct("reason", "_n"))))).alias("error_breakdown"))
+    summary = F.struct("total_messages", "valid_messages", "invalid_messages", "duplicate_messages", "late_messages",
+                       percent("valid_messages", "total_messages").alias("success_rate")).alias("validation_summary")
+    timed = throughput(messages, by)
+    columns = ["duration_seconds", "throughput_msgs_per_sec", "bytes_received", "bytes_per_sec", "avg_msg_size"]
+    speed = timed.select(*by, F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) if c == "duration_seconds" else F.col(c) for c in columns]).alias("performance_metrics"))
+    if not by:  # both are one row
+        return tallied.select(summary, "error_breakdown", F.lit(0).alias("_one")).join(speed.withColumn("_one", F.lit(0)), "_one").select(
+            "validation_summary", "performance_metrics", "error_breakdown")
+    return tallied.select(*by, summary, "error_breakdown").join(speed, by).select(*by, "validation_summary", "performance_metrics", "error_breakdown")
+
+
 def percent(part: str, whole: str) -> Column:
     """part / whole x 100, 0 when the whole is 0."""
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole) * 100).otherwise(F.lit(0.0))
@@ -206,21 +227,38 @@ def run_rollup(runs: DataFrame, by: list[str]) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("average_throughput"))
 
 
-def verdicts(runs: DataFrame, rate: Column, high_rate: float, stress_floor: float = 1000.0) -> DataFrame:
+def verdicts(runs: DataFrame, rate: Column, stress_floor: float = 1000.0) -> DataFrame:
     """Advice and verdict columns per run.
 
     Rows: (success_rate, throughput, ...); `rate` is the offered rate of the run."""
     advice = F.array_compact(F.array(
         F.when(F.col("success_rate") < PASS_RATE, "low_success_rate"),
-        F.when(F.col("throughput") < rate * 0.8, "low_throughput"),
-        F.when(F.col("throughput") < high_rate, "peak_below_high_rate")))
-    tier = (F.when(F.col("success_rate") == 100, "good").when(F.col("success_rate") >= 75, "mostly_good")
-            .otherwise("poor"))
+        F.when(F.col("throughput") < rate * 0.8, "low_throughput")))
     return runs.select(
         "*", F.array_join(advice, ",").alias("advice"),
         (F.col("success_rate") >= PASS_RATE).alias("passed"),
-        (F.floor("throughput") >= stress_floor).alias("stress_passed"),
-        tier.alias("tier"))
+        (F.floor("throughput") >= stress_floor).alias("stress_passed"))
+
+
+def session_verdict(runs: DataFrame, by: list[str], high_rate: float) -> DataFrame:
+    """Totals and advice over a set of runs, one row per `by`.
+
+    Rows: (total_messages, valid_messages, duration_seconds) per run. The success rate is the mean over the runs, each counting
+    alike; the average throughput is that of all messages over all run time; the peak is that of the best run."""
+    rated = runs.select(*by, "total_messages", "duration_seconds", percent("valid_messages", "total_messages").alias("_rate"),
+                        F.when(F.col("duration_seconds") > 0, F.col("total_messages") / F.col("duration_seconds")).otherwise(0.0).cast("double").alias("_speed"))
+    seconds = F.sum(F.col("duration_seconds").cast("decimal(20,6)")).cast("double")
+    out = rated.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("total_messages").alias("total_messages"), F.avg(F.col("_rate").cast("decimal(20,12)")).cast("double").alias("average_success_rate"),
+        F.when(seconds > 0, F.sum("total_messages") / seconds).otherwise(0.0).alias("average_throughput"), F.max("_speed").alias("peak_throughput"))
+    advice = F.array_compact(F.array(F.when(F.col("average_success_rate") < PASS_RATE, "low_success_rate"),
+                                     F.when(F.col("peak_throughput") < high_rate, "peak_below_high_rate")))
+    return out.withColumn("advice", F.array_join(advice, ","))
+
+
+def suite_verdict(tally: DataFrame) -> DataFrame:
+    """Adds `tier` by the share of tests that passed to rows of `result_tally`: all, three quarters, or fewer."""
+    return tally.withColumn("tier", F.when(F.col("success_rate") == 100, "good").when(F.col("success_rate") >= 75, "mostly_good").otherwise("poor"))
 
 
 def result_tally(results: DataFrame, by: list[str]) -> DataFrame:

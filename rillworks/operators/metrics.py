@@ -1,10 +1,10 @@
 """Collection counters, gauges, reports and their text and JSON forms."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillworks.functions import jsontext
-from rillworks.operators.ordered import neighbour, running_sums, time_block
+from rillworks.operators.ordered import neighbour, running, running_sums, time_block
 
 COUNTERS = ["lines_collected", "bytes_collected", "error_count"]
 GAUGES = ["fast_files", "slow_files"]
@@ -102,6 +102,34 @@ def liveness(beats: DataFrame, agent: str, time: str, seq: str, gap_seconds: int
         F.max(time).alias("last_seen"))
 
 
+def life_events(beats: DataFrame, agent: str, time: str, seq: str, info: Column, now: Column, gap_seconds: int = 60,
+                block_seconds: int = 3600) -> DataFrame:
+    """(agent, event, us, info): when agents came up, registered anew, and went silent.
+
+    Every row is a beat; one with `info` (text, NULL for a plain beat) registers. An agent is `up` at its first beat and at the first after
+    a silence longer than `gap_seconds`; `changed` at a beat in between with an info other than the one before; `down`, at its
+    last beat, once it has been silent that long, up to `now`. Each event has the info in force."""
+    gap = gap_seconds * 1_000_000
+    rows = beats.select(F.col(agent), F.col(time), F.col(seq), F.unix_micros(time).alias("_us"), info.alias("_told"))
+    block = time_block(time, block_seconds)
+    known = running(rows, [agent], [time, seq], {"_before": ("last", F.col("_us")), "_old": ("last", F.col("_told"))}, block)
+    linked = neighbour(known, [agent], [time, seq], {"_next": F.col("_us")}, block, ahead=True)
+    came = F.col("_before").isNull() | (F.col("_us") - F.col("_before") > gap)
+    changed = F.col("_told").isNotNull() & ~F.col("_told").eqNullSafe(F.col("_old"))
+    gone = F.coalesce("_next", F.unix_micros(now)) - F.col("_us") > gap
+    event = lambda when, name: F.when(when, F.lit(name))
+    told = F.array_compact(F.array(F.when(came, "up").when(changed, "changed"), event(gone, "down")))
+    return linked.select(agent, F.explode(told).alias("event"), F.col("_us").alias("us"), F.coalesce("_told", "_old").alias("info"))
+
+
+def registered(events: DataFrame, agent: str) -> DataFrame:
+    """(agent, info, since) of the agents that are up, from the events of `life_events` or of the stream that tells them."""
+    rank = F.when(F.col("event") == "down", 1).otherwise(0)
+    last = events.groupBy(agent).agg(F.max_by(F.struct("event", "info"), F.struct("us", rank)).alias("_last"),
+                                     F.max(F.when(F.col("event") == "up", F.col("us"))).alias("since"))
+    return last.filter("_last.event <> 'down'").select(agent, F.col("_last.info").alias("info"), "since")
+
+
 def registry(registrations: DataFrame, alive: DataFrame, agent: str, order: list[str], now: Column,
              columns: list[str], gap_seconds: int = 60) -> DataFrame:
     """Latest registration per agent; an agent whose last beat is too old is gone (status row absent)."""
@@ -112,21 +140,31 @@ def registry(registrations: DataFrame, alive: DataFrame, agent: str, order: list
 
 
 def exposition(metrics: DataFrame, families: dict[str, tuple[str, str]], labels: list[str]) -> DataFrame:
+    """Text exposition of one table, see `exposition_of`."""
+    return exposition_of(metrics.sparkSession, [(metrics, families, labels)])
+
+
+def exposition_of(spark: SparkSession, sources: list[tuple[DataFrame, dict[str, tuple[str, str]], list[str]]]) -> DataFrame:
     """Text exposition, one row per line: (family_no, line_no, line).
 
-    `families` maps a metric column to (kind, help). HELP and TYPE lines come first in each family;
-    samples are ordered by their label text, so no row needs a global number: sort by
-    (family_no, line_no, line)."""
-    names = list(families)
-    shown = F.concat(F.lit("{"), F.concat_ws(",", *[
-        F.concat(F.lit(f'{n}="'), _escaped(F.col(n)), F.lit('"')) for n in labels]), F.lit("}"))
-    stacked = metrics.select(shown.alias("_labels"), F.posexplode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("value")) for n in names])).alias("family_no", "_m"))
-    samples = stacked.select("family_no", F.lit(2).alias("line_no"), F.concat(
-        "_m.name", "_labels", F.lit(" "), F.col("_m.value").cast("string")).alias("line"))
-    heads = [(i, j, text) for i, (name, (kind, text_help)) in enumerate(families.items())
-             for j, text in enumerate([f"# HELP {name} {text_help}", f"# TYPE {name} {kind}"])]
-    return metrics.sparkSession.createDataFrame(heads, "family_no INT, line_no INT, line STRING").unionByName(samples)
+    Each source is (table, families, labels): `families` maps a column, which names the family, to (kind, help), and its samples carry
+    the label columns. HELP and TYPE lines come first in each family, families in the order given; samples are ordered by
+    their label text, so no row needs a global number: sort by (family_no, line_no, line)."""
+    heads, parts, number = [], [], 0
+    for table, families, labels in sources:
+        pairs = [F.concat(F.lit(f'{n}="'), _escaped(F.coalesce(F.col(n).cast("string"), F.lit(""))), F.lit('"')) for n in labels]
+        shown = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if labels else F.lit("")
+        values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("value")) for n in families])
+        stacked = table.select(shown.alias("_labels"), F.posexplode(values).alias("_no", "_m"))
+        parts.append(stacked.select((F.col("_no") + number).alias("family_no"), F.lit(2).alias("line_no"), F.concat(
+            "_m.name", "_labels", F.lit(" "), F.coalesce("_m.value", F.lit(0)).cast("string")).alias("line")))
+        heads += [(number + i, j, text) for i, (name, (kind, text_help)) in enumerate(families.items())
+                  for j, text in enumerate([f"# HELP {name} {text_help}", f"# TYPE {name} {kind}"])]
+        number += len(families)
+    lines = spark.createDataFrame(heads, "family_no INT, line_no INT, line STRING")
+    for part in parts:
+        lines = lines.unionByName(part)
+    return lines
 
 
 def _escaped(value: Column) -> Column:

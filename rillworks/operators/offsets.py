@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillworks.functions.jsontext import kind, with_document
-from rillworks.model import CHECKPOINT_STRUCT, ROLL_BYTES, ROLL_SECONDS
+from rillworks.functions.once import once
+from rillworks.model import ROLL_BYTES, ROLL_SECONDS
 from rillworks.operators.ordered import block_of, neighbour, running_sums
 
 
@@ -63,16 +64,28 @@ def checkpoint_documents(checkpoints: DataFrame, agent: str, key: str) -> DataFr
 
 
 def parse_checkpoint_documents(documents: DataFrame, agent: str, document: str) -> DataFrame:
-    """Checkpoint rows from the documents; missing members get their defaults, and a document that
-    does not parse gives one row with `failed`."""
+    """Checkpoint rows from the documents. A missing member has its default; a document that is no JSON object, or has
+    an entry or a member of a wrong type (a JSON null too), gives one row with `failed` and no entry of it counts."""
     strict = with_document(documents.select(agent, document), F.col(document))
-    whole = F.col("_doc").isNotNull() & (kind(F.col("_doc")) == "OBJECT")
-    parsed = strict.select(agent, F.when(whole, F.from_json(document, f"MAP<STRING, {CHECKPOINT_STRUCT}>")).alias("_map"))
-    opened = parsed.select(agent, F.col("_map").isNull().alias("failed"), F.explode_outer("_map").alias("key", "_c"))
-    number = lambda name: F.coalesce(F.col(f"_c.{name}"), F.lit(0)).cast("bigint").alias(name)
-    text = lambda name: F.coalesce(F.col(f"_c.{name}"), F.lit("")).alias(name)
-    return opened.select(agent, "failed", "key", number("offset"), text("file_path"), number("inode"),
-                         number("file_size"), text("last_modified"))
+    entries = F.when(F.col("_doc").isNotNull() & (kind(F.col("_doc")) == "OBJECT"), F.try_variant_get("_doc", "$", "map<string, variant>"))
+    shape = lambda v, name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    is_text = lambda v, name: F.coalesce(shape(v, name) == "STRING", F.lit(True))
+    is_number = lambda v, name: F.coalesce(shape(v, name).isin("BIGINT", "DOUBLE", "BOOLEAN") | shape(v, name).startswith("DECIMAL"), F.lit(True))
+    numbers, texts = ["offset", "inode", "file_size"], ["file_path", "last_modified"]
+
+    def sound(v: Column) -> Column:
+        ok = F.schema_of_variant(v).startswith("OBJECT")
+        for name in numbers:
+            ok = ok & is_number(v, name)
+        for name in texts:
+            ok = ok & is_text(v, name)
+        return ok
+
+    opened = once(strict.select(agent, entries.alias("_map")), _ok=F.coalesce(F.forall(F.map_values("_map"), sound), F.lit(False)))
+    rows = opened.select(agent, (~F.col("_ok")).alias("failed"), F.explode_outer(F.when(F.col("_ok"), F.col("_map"))).alias("key", "_c"))
+    member = lambda name, type_name, default: F.coalesce(F.try_variant_get("_c", f"$.{name}", type_name), F.lit(default)).alias(name)
+    number, text = lambda name: member(name, "bigint", 0).cast("bigint").alias(name), lambda name: member(name, "string", "")
+    return rows.select(agent, "failed", "key", number("offset"), text("file_path"), number("inode"), number("file_size"), text("last_modified"))
 
 
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:

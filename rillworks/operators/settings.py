@@ -3,38 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Documented defaults.
-DEFAULTS = {
-    "agent.id": "unknown-agent",
-    "agent.checkpoint_file_path": "/var/lib/agent/offsets.json",
-    "metrics.report_interval_sec": "10",
-    "router.id": "router-001",
-    "server.listen_host": "0.0.0.0",
-    "server.listen_port": "9090",
-    "server.io_threads": "8",
-    "control.platform.host": "127.0.0.1",
-    "control.platform.port": "8080",
-    "monitor.host": "127.0.0.1",
-    "monitor.port": "9200",
-    "monitor.send_interval_sec": "10",
-    "kafka.enable_compression": "true",
-    "backpressure.session_buffer_high_watermark_mb": "64",
-    "backpressure.session_buffer_low_watermark_mb": "32",
-    "metrics.prometheus_listen": "0.0.0.0:9101",
-    "load_shedding.max_buffer_full_time_sec": "30",
-}
-# Environment variables and the keys they override.
-ENVIRONMENT = {
-    "ROUTER_ID": "router.id",
-    "LISTEN_HOST": "server.listen_host",
-    "LISTEN_PORT": "server.listen_port",
-    "IO_THREADS": "server.io_threads",
-    "CONTROL_PLATFORM_HOST": "control.platform.host",
-    "CONTROL_PLATFORM_PORT": "control.platform.port",
-    "KAFKA_BROKERS": "mq.kafka.cluster.kafka-cluster-1.brokers",
-    "MONITOR_HOST": "monitor.host",
-    "MONITOR_PORT": "monitor.port",
-}
 ENDPOINT_KEYS = ["brokers", "hosts", "url"]
 
 
@@ -73,19 +41,45 @@ def with_prefix(settings: DataFrame, prefix: str) -> DataFrame:
         "key", F.substring("key", F.lit(len(prefix) + 1), F.length("key")))
 
 
-def effective(environment: DataFrame, files: DataFrame, host: str) -> DataFrame:
-    """(host, key, value, layer): environment over file over default, for every host with a file.
-
-    Rows: environment (host, name, value), files (host, key, value)."""
-    names = F.create_map(*[F.lit(x) for pair in ENVIRONMENT.items() for x in pair])
-    env = environment.filter(F.col("value") != "").select(
-        host, F.element_at(names, F.col("name")).alias("key"), "value", F.lit(1).alias("_rank")).filter("key IS NOT NULL")
-    own = files.select(host, "key", "value", F.lit(2).alias("_rank"))
-    defaults = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in DEFAULTS.items()])
-    base = files.select(host).distinct().select(host, F.inline(defaults)).withColumn("_rank", F.lit(3))
-    layer = F.element_at(F.array(F.lit("env"), F.lit("file"), F.lit("default")), F.min("_rank"))
-    return env.unionByName(own).unionByName(base).groupBy(host, "key").agg(
-        F.min_by("value", "_rank").alias("value"), layer.alias("layer"))
+def typed(settings: DataFrame, host: str, wanted: dict[str, tuple[str, object]], prefixes: list[str] | None = None,
+          hosts: DataFrame | None = None) -> DataFrame:
+    """One row per host: a column per wanted key, and a map (key without prefix -> value) per prefix, in one pass.
+
+    `wanted` maps a key to (kind, default) with kind `int`, `bool`, `text` or `list`. A key that a host doesn't have, or whose number can't
+    be read, has its default (a list: no parts). `hosts` names hosts that may have no settings at all; NULL hosts are left out."""
+    rows = settings.select(host, "key", "value")
+    if hosts is not None:
+        rows = rows.unionByName(hosts.select(host, F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    of = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    read = {"int": as_int, "bool": as_bool, "text": lambda v, default: F.coalesce(v, F.lit(default)), "list": lambda v, _: as_list(v)}
+    under = lambda prefix: F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("key").startswith(prefix), F.struct(
+        F.substring("key", F.lit(len(prefix) + 1), F.length("key")).alias("key"), F.col("value").alias("value"))))))
+    return rows.filter(F.col(host).isNotNull()).groupBy(host).agg(
+        *[read[kind](of(key), default).alias(key) for key, (kind, default) in wanted.items()], *[under(p).alias(p) for p in prefixes or []])
+
+
+def effective(environment: DataFrame, files: DataFrame, host: str, names: dict[str, str], defaults: dict[str, str],
+              hosts: DataFrame | None = None) -> DataFrame:
+    """(host, key, value, layer): environment over file over default, for every host that any of the tables names.
+
+    Rows: environment (host, name, value), files (host, key, value), hosts (host); `names` maps variables to the keys they override,
+    `defaults` keys to values. An empty variable counts as unset. Of several values of one layer the least counts.
+    The settings of one host are one row on the way: they come from one file."""
+    override = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    key = F.element_at(override, F.col("name")) if names else F.lit(None).cast("string")
+    entry = lambda key, rank, value: F.struct(key.alias("key"), F.lit(rank).alias("rank"), value.alias("value"))
+    set_there = (F.col("value") != "") & key.isNotNull()
+    env = environment.select(host, F.when(set_there, entry(key, 1, F.col("value"))).alias("_e"))
+    own = files.select(host, F.when(F.col("key").isNotNull(), entry(F.col("key"), 2, F.col("value"))).alias("_e"))
+    rows = env.unionByName(own)
+    if hosts is not None:
+        rows = rows.unionByName(hosts.select(host), allowMissingColumns=True)
+    base = F.array(*[entry(F.lit(k), 3, F.lit(v)) for k, v in defaults.items()]) if defaults else F.array()
+    entries = F.col("_entries")
+    held = rows.filter(F.col(host).isNotNull()).groupBy(host).agg(F.array_sort(F.concat(F.collect_list("_e"), base) if defaults else F.collect_list("_e")).alias("_entries"))
+    first = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
+    layer = F.element_at(F.array(F.lit("env"), F.lit("file"), F.lit("default")), F.col("rank"))
+    return held.select(host, F.inline(first)).select(host, "key", "value", layer.alias("layer"))
 
 
 def clusters(settings: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,6 +35,14 @@ def error_breakdown(spark, sf):
     return audit.error_breakdown(audit.classify(messages(spark, sf)), ["topic"])
 
 
+def validation_report(spark, sf):
+    """The nested report of each topic, its parts as columns; the breakdown as text."""
+    rows = messages(spark, sf)
+    out = audit.report(audit.classify(rows), rows, ["topic"])
+    pairs = F.transform(F.array_sort(F.map_entries("error_breakdown")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("topic", "validation_summary.*", "performance_metrics.*", F.array_join(pairs, ",").alias("errors"))
+
+
 def throughput(spark, sf):
     return audit.throughput(messages(spark, sf), ["topic"])
 
@@ -50,6 +58,7 @@ QUERIES = {
     "late": late,
     "validation_summary": validation_summary,
     "error_breakdown": error_breakdown,
+    "validation_report": validation_report,
     "throughput": throughput,
     "bounded_read": bounded_read,
 }
@@ -80,6 +89,14 @@ SELECT coalesce(topic, 'ALL') AS topic, count(*) AS total_messages,
 FROM classified GROUP BY ROLLUP (topic)""",
     "error_breakdown": _CLASSIFIED + """
 SELECT topic, reason, count(*) AS messages FROM classified WHERE reason <> 'valid' GROUP BY topic, reason""",
+    "validation_report": _CLASSIFIED + """,
+t AS (SELECT topic, count(*) AS total_messages, cast(sum(n) AS bigint) AS bytes_received, (max(arrival_us) - min(arrival_us)) / 1e6 AS duration_seconds,
+  count(*) FILTER (reason = 'valid') AS valid_messages, count(*) FILTER (reason <> 'valid') AS invalid_messages,
+  count(*) FILTER (reason = 'duplicate') AS duplicate_messages, count(*) FILTER (late) AS late_messages FROM classified GROUP BY topic),
+e AS (SELECT topic, string_agg(reason || '=' || c, ',' ORDER BY reason) AS errors FROM (
+  SELECT topic, reason, count(*) AS c FROM classified WHERE reason <> 'valid' GROUP BY ALL) GROUP BY topic)
+SELECT t.*, valid_messages / total_messages * 100 AS success_rate, total_messages / duration_seconds AS throughput_msgs_per_sec,
+  bytes_received / duration_seconds AS bytes_per_sec, bytes_received / total_messages AS avg_msg_size, errors FROM t JOIN e USING (topic)""",
     "throughput": ctes("v_messages") + """
 , t AS (SELECT topic, count(*) AS messages, cast(sum(strlen(value)) AS bigint) AS bytes_received,
   (max(arrival_us) - min(arrival_us)) / 1e6 AS duration_seconds FROM v_messages GROUP BY topic)

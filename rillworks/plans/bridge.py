@@ -153,8 +153,8 @@ FROM documents WHERE doc_id % 17 <> 1""",
   WHEN 2 THEN '00' || (o_custkey + 1) WHEN 3 THEN '18446744073709551616' ELSE 'task-' || o_custkey END AS task_id FROM orders""",
     "v_task_sets": """SELECT o_orderkey, 'agent-' || o_custkey AS agent, 't-' || o_orderkey AS task_id,
   '/var/log/' || o_orderkey || '.log' AS log_path_pattern, 'topic-' || o_orderstatus AS kafka_topic, o_orderstatus FROM orders""",
-    "v_prop_files": """SELECT c_custkey, c_nationkey, c_name AS host, '# Router ' || c_custkey || @lf || @lf ||
-  'router.id = router-' || c_custkey || @lf || 'server.io_threads = 1' || @lf || '  server.io_threads =  ' ||
+    "v_prop_files": """SELECT c_custkey, c_nationkey, c_name AS host, '# Relay ' || c_custkey || @lf || @lf ||
+  'relay.id = relay-' || c_custkey || @lf || 'server.io_threads = 1' || @lf || '  server.io_threads =  ' ||
   CASE c_custkey % 4 WHEN 0 THEN '16x' WHEN 1 THEN 'abc' WHEN 2 THEN '4' ELSE '99999999999' END || '  ' || @lf ||
   '! note' || @lf || 'noequals' || @lf || 'kafka.enable_compression = ' ||
   CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN '0' ELSE 'TRUE' END || @lf || 'zookeeper.hosts = a:1, b:2,,c' || c_nationkey ||
@@ -173,7 +173,7 @@ FROM documents WHERE doc_id % 17 <> 1""",
     ELSE 'Default log entry ' || event_id END AS line FROM ev""",
     "v_ops_lines": """SELECT event_id, us, task_id, CASE event_id % 11 WHEN 0 THEN 'Backpressure applied to session'
   WHEN 1 THEN 'send BUFFER is now full' WHEN 2 THEN 'slow kafka consumer group' WHEN 3 THEN 'kafka too slow, reconnecting'
-  WHEN 4 THEN 'Reconnect attempt ' || k WHEN 5 THEN 'Connection to router lost' WHEN 6 THEN 'connection was restored'
+  WHEN 4 THEN 'Reconnect attempt ' || k WHEN 5 THEN 'Connection to relay lost' WHEN 6 THEN 'connection was restored'
   WHEN 7 THEN 'buffer low' WHEN 8 THEN 'full buffer' ELSE line END AS line FROM v_lines""",
 }
 

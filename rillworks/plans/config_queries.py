@@ -66,15 +66,21 @@ def props_scan(spark, sf):
     return _settings(spark, sf)
 
 
+def _hosts(spark, sf):
+    """All hosts; one in ten has no file."""
+    return view(spark, sf, "v_prop_files").select("host", "c_custkey")
+
+
 def props_typed(spark, sf):
-    rows = _settings(spark, sf)
-    value = F.col("value")
-    pick = lambda name: rows.filter(F.col("key") == name).select("host", "key", value)
-    ints = pick("server.io_threads").select("host", "key", settings.as_int(value, 8).cast("string").alias("typed"))
-    bools = pick("kafka.enable_compression").select("host", "key", settings.as_bool(value, True).cast("string").alias("typed"))
-    lists = pick("zookeeper.hosts").select("host", "key", F.array_join(settings.as_list(value), "|").alias("typed"))
-    prefixed = settings.with_prefix(rows, "kafka.default_props.").select("host", "key", value.alias("typed"))
-    return ints.unionByName(bools).unionByName(lists).unionByName(prefixed)
+    rows = view(spark, sf, "v_prop_files").filter("c_custkey % 10 <> 0")
+    prefix = "kafka.default_props."
+    wide = settings.typed(settings.parse_properties(rows, "host", "content"), "host", {
+        "server.io_threads": ("int", 8), "server.backlog": ("int", 128), "relay.id": ("text", "relay-0"),
+        "kafka.enable_compression": ("bool", True), "zookeeper.hosts": ("list", None)}, [prefix], _hosts(spark, sf))
+    shown = lambda key: F.array_join(F.col(f"`{key}`"), "|") if key == "zookeeper.hosts" else F.col(f"`{key}`").cast("string")
+    single = F.array(*[F.struct(F.lit(k).alias("key"), shown(k).alias("typed")) for k in wide.columns if k not in ("host", prefix)])
+    under = F.transform(F.map_entries(F.col(f"`{prefix}`")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("typed")))
+    return wide.select("host", F.inline(F.concat(single, under)))
 
 
 def cluster_dim(spark, sf):
@@ -82,13 +88,20 @@ def cluster_dim(spark, sf):
     return out.withColumn("endpoints", F.array_join("endpoints", "|")).withColumn("options", pairs_text("options"))
 
 
+#: Defaults of the layered settings, and the variables that override keys.
+DEFAULTS = {"relay.id": "relay-001", "server.io_threads": "8", "server.listen_port": "9090", "monitor.host": "127.0.0.1", "kafka.enable_compression": "true"}
+VARIABLES = {"RELAY_ID": "relay.id", "IO_THREADS": "server.io_threads", "MONITOR_HOST": "monitor.host"}
+
+
 def config_layers(spark, sf):
-    hosts = view(spark, sf, "v_prop_files")
-    env = hosts.select("host", F.inline(F.array(
+    """Hosts without a file have their variables and the defaults; some have neither file nor variable."""
+    hosts = _hosts(spark, sf)
+    env = hosts.filter("c_custkey % 3 <> 0").select("host", F.inline(F.array(
         F.struct(F.lit("IO_THREADS").alias("name"), F.when(F.col("c_custkey") % 4 == 0, "16").alias("value")),
-        F.struct(F.lit("ROUTER_ID").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise("r-env").alias("value")),
+        F.struct(F.lit("RELAY_ID").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise("r-env").alias("value")),
         F.struct(F.lit("HOME").alias("name"), F.lit("/root").alias("value")))))
-    return settings.effective(env, _settings(spark, sf), "host")
+    files = settings.parse_properties(view(spark, sf, "v_prop_files").filter("c_custkey % 10 <> 0"), "host", "content")
+    return settings.effective(env, files, "host", VARIABLES, DEFAULTS, hosts)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -103,7 +116,7 @@ _SETTINGS = ctes("v_prop_files") + """,
 wide AS (SELECT host, c_custkey, c_nationkey, CASE c_custkey % 4 WHEN 0 THEN '16x' WHEN 1 THEN 'abc' WHEN 2 THEN '4' ELSE '99999999999' END AS io,
   CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN '0' ELSE 'TRUE' END AS comp FROM v_prop_files),
 kv AS (SELECT host, c_custkey, unnest([
-    {'key': 'router.id', 'value': 'router-' || c_custkey}, {'key': 'server.io_threads', 'value': io},
+    {'key': 'relay.id', 'value': 'relay-' || c_custkey}, {'key': 'server.io_threads', 'value': io},
     {'key': 'kafka.enable_compression', 'value': comp}, {'key': 'zookeeper.hosts', 'value': 'a:1, b:2,,c' || c_nationkey || ':3'},
     {'key': 'kafka.default_props.acks', 'value': '1=x'},
     {'key': 'mq.kafka.cluster.kc-' || c_nationkey || '.brokers', 'value': 'k1:9092,k2:9092'},
@@ -112,8 +125,6 @@ kv AS (SELECT host, c_custkey, unnest([
     {'key': 'mq.rabbitmq.cluster.rb-1.hosts', 'value': 'rabbit1:5672'}], recursive := true) FROM wide)
 """
 
-from rillworks.operators.settings import DEFAULTS  # noqa: E402
-
 ORACLE = {
     "tasks_agent": ctes("v_task_docs") + """,
 ok AS (SELECT * FROM v_task_docs WHERE o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 17 <> 0)
@@ -149,19 +160,22 @@ UNION ALL SELECT agent, task_id, 'kept' FROM (SELECT agent, task_id FROM new INT
 SELECT 't' || user_id AS task_id, max(seq) AS cversion, arg_max(k, seq) AS k, arg_max(event_type, seq) AS event_type
 FROM v_reports WHERE seq > 2000 GROUP BY user_id""",
     "props_scan": _SETTINGS + "SELECT host, key, value FROM kv",
-    "props_typed": _SETTINGS + """
-SELECT host, 'server.io_threads' AS key, CASE io WHEN '16x' THEN '16' WHEN '4' THEN '4' ELSE '8' END AS typed FROM wide
-UNION ALL SELECT host, 'kafka.enable_compression', CASE comp WHEN '0' THEN 'false' ELSE 'true' END FROM wide
-UNION ALL SELECT host, 'zookeeper.hosts', 'a:1|b:2|c' || c_nationkey || ':3' FROM wide
-UNION ALL SELECT host, 'acks', '1=x' FROM wide""",
+    "props_typed": _SETTINGS + """,
+h AS (SELECT *, c_custkey % 10 <> 0 AS has FROM wide)
+SELECT host, 'server.io_threads' AS key, CASE WHEN has AND io = '16x' THEN '16' WHEN has AND io = '4' THEN '4' ELSE '8' END AS typed FROM h
+UNION ALL SELECT host, 'server.backlog', '128' FROM h
+UNION ALL SELECT host, 'relay.id', CASE WHEN has THEN 'relay-' || c_custkey ELSE 'relay-0' END FROM h
+UNION ALL SELECT host, 'kafka.enable_compression', CASE WHEN has AND comp = '0' THEN 'false' ELSE 'true' END FROM h
+UNION ALL SELECT host, 'zookeeper.hosts', CASE WHEN has THEN 'a:1|b:2|c' || c_nationkey || ':3' ELSE '' END FROM h
+UNION ALL SELECT host, 'acks', '1=x' FROM h WHERE has""",
     "cluster_dim": _SETTINGS + """
 SELECT host, 'kafka' AS kind, 'kc-' || c_nationkey AS cluster_id, '3.x' AS version, 'k1:9092|k2:9092' AS endpoints,
   'compression.type=snappy' AS options FROM wide
 UNION ALL SELECT host, 'rabbitmq', 'rb-1', NULL, 'rabbit1:5672', '' FROM wide""",
     "config_layers": _SETTINGS + ", defaults(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in DEFAULTS.items()) + """),
-env AS (SELECT host, 'server.io_threads' AS key, '16' AS value FROM wide WHERE c_custkey % 4 = 0
-  UNION ALL SELECT host, 'router.id', 'r-env' FROM wide WHERE c_custkey % 5 <> 0),
-layered AS (SELECT host, key, value, 'env' AS layer, 1 AS r FROM env UNION ALL SELECT host, key, value, 'file', 2 FROM kv
+env AS (SELECT host, 'server.io_threads' AS key, '16' AS value FROM wide WHERE c_custkey % 4 = 0 AND c_custkey % 3 <> 0
+  UNION ALL SELECT host, 'relay.id', 'r-env' FROM wide WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0),
+layered AS (SELECT host, key, value, 'env' AS layer, 1 AS r FROM env UNION ALL SELECT host, key, value, 'file', 2 FROM kv WHERE c_custkey % 10 <> 0
   UNION ALL SELECT host, d.key, d.value, 'default', 3 FROM wide, defaults d)
 SELECT host, key, arg_min(value, r) AS value, arg_min(layer, r) AS layer FROM layered GROUP BY host, key""",
 }

@@ -7,6 +7,7 @@ from rillworks.operators import audit, metrics
 from rillworks.operators.ordered import block_of
 from rillworks.plans.bridge import ctes, view
 
+GAP_SECONDS = 12 * 3600  # longer silences end an agent's life
 NOW_US = 1706659200_000000  # 2024-01-31, the end of the event period
 
 
@@ -94,6 +95,17 @@ def agent_registry(spark, sf):
                             gap_seconds=5 * 86_400).withColumn("last_seen", F.unix_micros("last_seen"))
 
 
+def agent_events(spark, sf):
+    """Every report is a beat; those of some kinds carry the host and its state."""
+    rows = reports(spark, sf).select("agent_id", "seq", F.timestamp_micros("us").alias("ts"), "event_type", "k")
+    info = F.when(F.col("event_type").isin("signup", "view"), F.concat(F.lit("host-"), (F.col("k") % 3).cast("string")))
+    return metrics.life_events(rows, "agent_id", "ts", "seq", info, F.timestamp_micros(F.lit(NOW_US)), GAP_SECONDS, 86_400)
+
+
+def agents_up(spark, sf):
+    return metrics.registered(agent_events(spark, sf), "agent_id")
+
+
 FAMILIES = {
     "agent_lines_collected_total": ("counter", "Lines read so far per agent and task"),
     "agent_bytes_collected_total": ("counter", "Bytes read so far per agent and task"),
@@ -109,6 +121,23 @@ def exposition_lines(spark, sf):
     return metrics.exposition(named, FAMILIES, ["agent_id", "task_id"])
 
 
+RELAY_FAMILIES = {"relay_active_connections": ("gauge", "Agent connections open now"), "relay_connections_opened_total": ("counter", "Agent connections opened so far")}
+QUEUE_FAMILIES = {"queue_messages_sent_total": ("counter", "Messages the queue confirmed, per cluster"), "queue_messages_failed_total": ("counter", "Messages the queue refused, per cluster")}
+WATCH_FAMILIES = {"agent_files_watched": ("gauge", "Files watched now, per polling kind")}
+
+
+def exposition_fleet(spark, sf):
+    """Connections per relay, queue counts per cluster, and files watched per agent, task and kind."""
+    rows = reports(spark, sf)
+    relays = active_connections(spark, sf).select("relay_id", F.col("active").alias("relay_active_connections"), F.col("opened").alias("relay_connections_opened_total"))
+    queues = rows.groupBy(F.col("task_id").alias("cluster_id")).agg(
+        F.count_if("ok").alias("queue_messages_sent_total"), F.count_if(~F.col("ok")).alias("queue_messages_failed_total"))
+    watched = counters(spark, sf).select("agent_id", "task_id", F.inline(F.array(
+        F.struct(F.lit("fast").alias("kind"), F.col("fast_files").alias("agent_files_watched")),
+        F.struct(F.lit("slow").alias("kind"), F.col("slow_files").alias("agent_files_watched")))))
+    return metrics.exposition_of(spark, [(relays, RELAY_FAMILIES, ["relay_id"]), (queues, QUEUE_FAMILIES, ["cluster_id"]), (watched, WATCH_FAMILIES, ["agent_id", "task_id", "kind"])])
+
+
 def metrics_json(spark, sf):
     """A document per relay and page of 500 users."""
     keys = ["relay_id", "page"]
@@ -151,7 +180,19 @@ def verdicts(spark, sf):
     rated = runs(spark, sf).select(
         "run", audit.percent("valid_messages", "total_messages").alias("success_rate"),
         (F.col("total_messages") * 5).cast("double").alias("throughput"))
-    return audit.verdicts(rated, F.lit(2100.0), 1000.0)
+    return audit.verdicts(rated, F.lit(2100.0))
+
+
+def session_verdict(spark, sf):
+    """The runs of each week as one set."""
+    week = F.concat(F.lit("w"), F.expr("cast(substr(run, 9, 2) AS int) div 7"))
+    return audit.session_verdict(runs(spark, sf).withColumn("week", week), ["week"], 0.0039)
+
+
+def suite_verdict(spark, sf):
+    """Tests named by agent: some pass always, some fail."""
+    rows = reports(spark, sf).select(F.col("agent_id").alias("suite"), F.when(F.col("k") < 90 + F.col("user_id") % 11, "PASS").otherwise("FAIL").alias("result"))
+    return audit.suite_verdict(audit.result_tally(rows, ["suite"]))
 
 
 def result_tally(spark, sf):
@@ -162,7 +203,7 @@ def result_tally(spark, sf):
 QUERIES = {f.__name__: f for f in (
     delta_reports, metrics_doc, metrics_accumulate, metrics_last, active_connections, status_30s, report_window,
     agent_liveness, agent_registry, exposition_lines, metrics_json, topic_positions, completeness, run_rollup,
-    verdicts, result_tally)}
+    verdicts, result_tally, agent_events, agents_up, exposition_fleet, session_verdict, suite_verdict)}
 
 _REPORTS = ctes("v_reports")
 _COUNTERS = _REPORTS + """,
@@ -173,7 +214,7 @@ _RUNS = _REPORTS + """,
 runs AS (SELECT d AS run, count(*) AS total, count(*) FILTER (k % 30 <> 4) AS valid,
   cast(max(us) - min(us) AS decimal(20,0)) / 1000000 AS secs FROM v_reports GROUP BY d)
 """
-_CONNECTIONS = _REPORTS + """,
+_GAUGE = """,
 changes AS (SELECT user_id % 3 AS relay_id, seq, us, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS change
   FROM v_reports WHERE event_type IN ('signup', 'error')),
 gauge AS (SELECT *, cast(sum(change) OVER (PARTITION BY relay_id ORDER BY seq) AS bigint) AS active FROM changes)
@@ -185,6 +226,17 @@ alive AS (SELECT agent_id, count(*) AS beats, count(*) FILTER (silence > 8640000
   coalesce(max(silence), 0) AS longest_silence_us, max(us) AS last_seen FROM beats GROUP BY ALL)
 """
 
+_CONNECTIONS = _REPORTS + _GAUGE
+_LIFE = _REPORTS + f""",
+told AS (SELECT agent_id, us, seq, CASE WHEN event_type IN ('signup', 'view') THEN 'host-' || (k % 3) END AS info FROM v_reports),
+linked AS (SELECT *, lag(us) OVER w AS before, lead(us) OVER w AS after, last_value(info IGNORE NULLS) OVER (PARTITION BY agent_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS known,
+  last_value(info IGNORE NULLS) OVER (PARTITION BY agent_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old
+  FROM told WINDOW w AS (PARTITION BY agent_id ORDER BY us, seq)),
+events AS (SELECT agent_id, CASE WHEN before IS NULL OR us - before > {GAP_SECONDS * 1_000_000} THEN 'up' ELSE 'changed' END AS event, us, known AS info FROM linked
+  WHERE before IS NULL OR us - before > {GAP_SECONDS * 1_000_000} OR (info IS NOT NULL AND info IS DISTINCT FROM old)
+  UNION ALL SELECT agent_id, 'down', us, known FROM linked WHERE coalesce(after, {NOW_US}) - us > {GAP_SECONDS * 1_000_000})
+"""
+
 ORACLE = {
     "delta_reports": _REPORTS + """,
 numbered AS (SELECT *, cast(coalesce(sum(cast(ok AS int)) OVER (PARTITION BY agent_id, task_id ORDER BY seq
@@ -256,9 +308,34 @@ SELECT 'w' || (cast(substr(run, 9, 2) AS int) // 7) AS week, count(*) AS runs, c
     "verdicts": _RUNS + """,
 r AS (SELECT run, valid / total * 100 AS success_rate, cast(total * 5 AS double) AS throughput FROM runs)
 SELECT *, array_to_string(list_filter([CASE WHEN success_rate < 95 THEN 'low_success_rate' END,
-    CASE WHEN throughput < 1680 THEN 'low_throughput' END, CASE WHEN throughput < 1000 THEN 'peak_below_high_rate' END],
-    lambda x: x IS NOT NULL), ',') AS advice, success_rate >= 95 AS passed, floor(throughput) >= 1000 AS stress_passed,
-  CASE WHEN success_rate = 100 THEN 'good' WHEN success_rate >= 75 THEN 'mostly_good' ELSE 'poor' END AS tier FROM r""",
+    CASE WHEN throughput < 1680 THEN 'low_throughput' END], lambda x: x IS NOT NULL), ',') AS advice, success_rate >= 95 AS passed,
+  floor(throughput) >= 1000 AS stress_passed FROM r""",
+    "session_verdict": _RUNS + """,
+w AS (SELECT 'w' || (cast(substr(run, 9, 2) AS int) // 7) AS week, count(*) AS runs, cast(sum(total) AS bigint) AS total_messages,
+  avg(valid / total * 100) AS average_success_rate, cast(sum(total) / cast(sum(cast(secs AS decimal(20,6))) AS double) AS double) AS average_throughput,
+  cast(max(total / secs) AS double) AS peak_throughput FROM runs GROUP BY ALL)
+SELECT *, array_to_string(list_filter([CASE WHEN average_success_rate < 95 THEN 'low_success_rate' END,
+  CASE WHEN peak_throughput < 0.0039 THEN 'peak_below_high_rate' END], lambda x: x IS NOT NULL), ',') AS advice FROM w""",
+    "suite_verdict": _REPORTS + """,
+t AS (SELECT agent_id AS suite, count(*) AS total_tests, count(*) FILTER (k < 90 + user_id % 11) AS passed_tests,
+  count(*) FILTER (NOT k < 90 + user_id % 11) AS failed_tests, count(*) FILTER (k < 90 + user_id % 11) / count(*) * 100 AS success_rate FROM v_reports GROUP BY ALL)
+SELECT *, CASE WHEN success_rate = 100 THEN 'good' WHEN success_rate >= 75 THEN 'mostly_good' ELSE 'poor' END AS tier FROM t""",
+    "agent_events": _LIFE + "SELECT * FROM events",
+    "agents_up": _LIFE + """
+SELECT agent_id, arg_max(info, us * 2 + CASE WHEN event = 'down' THEN 1 ELSE 0 END) AS info, max(us) FILTER (event = 'up') AS since
+FROM events GROUP BY agent_id HAVING arg_max(event, us * 2 + CASE WHEN event = 'down' THEN 1 ELSE 0 END) <> 'down'""",
+    "exposition_fleet": _COUNTERS + _GAUGE + ", heads(i, name, kind, help) AS (VALUES " + ", ".join(
+        f"({i}, '{n}', '{k}', '{h}')" for i, (n, (k, h)) in enumerate((RELAY_FAMILIES | QUEUE_FAMILIES | WATCH_FAMILIES).items())) + """),
+relays AS (SELECT relay_id, count(*) FILTER (change > 0) AS opened, arg_max(active, seq) AS active FROM gauge GROUP BY relay_id),
+queues AS (SELECT task_id, count(*) FILTER (ok) AS sent, count(*) FILTER (NOT ok) AS failed FROM v_reports GROUP BY task_id)
+SELECT cast(i AS int) AS family_no, 0 AS line_no, '# HELP ' || name || ' ' || help AS line FROM heads
+UNION ALL SELECT cast(i AS int), 1, '# TYPE ' || name || ' ' || kind FROM heads
+UNION ALL SELECT 0, 2, 'relay_active_connections{relay_id="' || relay_id || '"} ' || active FROM relays
+UNION ALL SELECT 1, 2, 'relay_connections_opened_total{relay_id="' || relay_id || '"} ' || opened FROM relays
+UNION ALL SELECT 2, 2, 'queue_messages_sent_total{cluster_id="' || task_id || '"} ' || sent FROM queues
+UNION ALL SELECT 3, 2, 'queue_messages_failed_total{cluster_id="' || task_id || '"} ' || failed FROM queues
+UNION ALL SELECT 4, 2, 'agent_files_watched{agent_id="' || agent_id || '",task_id="' || task_id || '",kind="fast"} ' || ff FROM counters
+UNION ALL SELECT 4, 2, 'agent_files_watched{agent_id="' || agent_id || '",task_id="' || task_id || '",kind="slow"} ' || sf FROM counters""",
     "result_tally": _REPORTS + """
 SELECT task_id AS test_name, count(*) AS total_tests, count(*) FILTER (ok) AS passed_tests, count(*) FILTER (NOT ok) AS failed_tests,
   count(*) FILTER (ok) / count(*) * 100 AS success_rate FROM v_reports GROUP BY task_id""",

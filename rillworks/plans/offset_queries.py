@@ -63,11 +63,12 @@ def checkpoint_doc(spark, sf):
 
 
 def checkpoint_parse(spark, sf):
-    """Documents written and read back; one in seven agents has a cut-off document."""
+    """Documents written and read back; one in seven agents has a cut-off document, one in five a member of a wrong type."""
     docs = offsets.checkpoint_documents(checkpoint_rows(spark, sf), "agent", "key")
     number = F.substring("agent", F.lit(7), F.length("agent")).cast("bigint")
     cut = F.when(number % 7 == 3, F.substring("document", F.lit(1), F.length("document") - 1)).otherwise(F.col("document"))
-    return offsets.parse_checkpoint_documents(docs.withColumn("document", cut), "agent", "document")
+    wrong = F.when(number % 5 == 1, F.replace(cut, F.lit('"inode":0'), F.lit('"inode":"0"'))).otherwise(cut)
+    return offsets.parse_checkpoint_documents(docs.withColumn("document", wrong), "agent", "document")
 
 
 def file_changes(spark, sf):
@@ -208,8 +209,8 @@ SELECT agent, '{' || string_agg('"' || key || '":{"offset":' || "offset" || ',"f
 FROM cp GROUP BY agent""",
     "checkpoint_parse": _CHECKPOINTS + """
 SELECT agent, false AS failed, key, "offset", file_path, cast(0 AS bigint) AS inode, file_size, last_modified
-FROM cp WHERE number % 7 <> 3
-UNION ALL SELECT DISTINCT agent, true, NULL, cast(0 AS bigint), '', cast(0 AS bigint), cast(0 AS bigint), '' FROM cp WHERE number % 7 = 3""",
+FROM cp WHERE number % 7 <> 3 AND number % 5 <> 1
+UNION ALL SELECT DISTINCT agent, true, NULL, cast(0 AS bigint), '', cast(0 AS bigint), cast(0 AS bigint), '' FROM cp WHERE number % 7 = 3 OR number % 5 = 1""",
     "file_changes": _CHANGES + "SELECT * FROM changes",
     "listing_changes": _CHANGES + """
 SELECT c.path, event, from_path, CASE event WHEN 'DELETED' THEN NULL WHEN 'CREATED' THEN 0 WHEN 'MOVED' THEN n.size

@@ -9,7 +9,7 @@ from rillworks.operators import metrics, routing
 from rillworks.operators.audit import content_checks
 from rillworks.operators.shedding import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
 from rillworks.sources import sinks
-from rillworks.streaming.processors import HELD_BYTES, FrameAssembler, LineAssembler, Shedder
+from rillworks.streaming.processors import HELD_BYTES, AgentLife, FrameAssembler, LineAssembler, Shedder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -71,6 +71,15 @@ def live_sessions(beats: DataFrame, agent: str, time: str, gap: str = "60 second
         F.count(F.lit(1)).alias("beats")).select(agent, F.col("_w.start").alias("alive_from"), F.col("_w.end").alias("alive_to"), "beats")
 
 
+def agent_life(beats: DataFrame, agent: str, time: str, seq: str, info: str | Column, gap_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
+    """(agent, event, us, info): `up`, `changed` and `down` of agents, as `metrics.life_events` has them; `metrics.registered` of what
+    came so far is the registry, from which a silent agent is gone once the watermark has passed its last beat by the gap."""
+    told = F.col(info) if isinstance(info, str) else info
+    rows = beats.withWatermark(time, delay).select(F.col(agent).cast("string").alias("agent"), F.col(seq).cast("bigint").alias("seq"),
+                                                   F.unix_micros(time).alias("us"), told.alias("told"), time)
+    return rows.groupBy("agent").transformWithStateInPandas(AgentLife(gap_seconds), "agent string, event string, us bigint, info string", "append", "eventTime")
+
+
 def first_contents(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Accepted messages without repeats of the same content within the watermark delay. State holds
     digests of that period only; the exact rule over all time is the batch audit."""

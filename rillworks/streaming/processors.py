@@ -21,7 +21,7 @@ _OUT_BYTES = 4 << 20
 _ROW_BYTES = 64  # besides its data, about
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+def _ordered(rows: Iterator[pd.DataFrame], by: str | list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by)
 
 
@@ -242,3 +242,54 @@ class Shedder(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class AgentLife(StatefulProcessor):
+    """(agent, event, us, info) as `metrics.life_events` tells them, from beats (agent, seq, us, told); `down` comes from a timer in
+    event time, so an agent that falls silent is told without a further row of its own.
+
+    Beats of an agent may come in any order within a micro-batch; one that is older than a beat of an earlier batch changes nothing."""
+
+    def __init__(self, gap_seconds: int):
+        self.gap_us = gap_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "us long, seq long, info string, up boolean, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        us, seq, info, up, timer = self.seen.get() if self.seen.exists() else (-1, -1, None, False, -1)
+        out = []
+        for now, n, told in _ordered(rows, ["us", "seq"])[["us", "seq", "told"]].itertuples(index=False):
+            now, n, told = int(now), int(n), told if isinstance(told, str) else None
+            if (now, n) <= (us, seq):
+                continue
+            if up and now - us > self.gap_us:
+                out.append((key[0], "down", us, info))
+                up = False
+            if not up or (told is not None and told != info):
+                info = info if told is None else told
+                out.append((key[0], "changed" if up else "up", now, info))
+            us, seq, up = now, n, True
+        # the first millisecond by which the silence is too long
+        ends = (us + self.gap_us) // 1000 + 1
+        if up and ends != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ends)
+            timer = ends
+        self.seen.update((us, seq, info, up, timer))
+        yield from _life(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        us, seq, info, up, _ = self.seen.get()
+        self.seen.update((us, seq, info, False, -1))
+        yield from _life([(key[0], "down", us, info)] if up else [])
+
+    def close(self) -> None:
+        pass
+
+
+def _life(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame(rows, columns=["agent", "event", "us", "info"])
