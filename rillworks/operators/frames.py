@@ -29,20 +29,22 @@ def type_label(code: Column) -> Column:
     return label
 
 
-def message(kind: str, task_id: Column | None = None, offset: Column | None = None,
+def message(kind: str | Column, task_id: Column | None = None, offset: Column | None = None,
             payload: Column | None = None) -> Column:
-    """Message struct of one kind: DATA takes everything, ACK no payload, METRICS only a payload,
-    HEARTBEAT nothing."""
-    zero = F.lit(0).cast("decimal(20,0)")
-    addressed = kind in ("DATA", "ACK")
-    body = payload.cast("binary") if kind in ("DATA", "METRICS") else F.lit(b"")
+    """Message struct of one kind, or of the kind that a column of type codes names: DATA takes everything, ACK no
+    payload, METRICS only a payload, HEARTBEAT nothing."""
+    code = F.lit(TYPE_CODES[kind]) if isinstance(kind, str) else kind
+    none, zero = F.lit(b""), F.lit(0).cast("decimal(20,0)")
+    of = lambda names, value, default: default if value is None else F.when(code.isin(*[TYPE_CODES[n] for n in names]), value).otherwise(default)
+    body = of(("DATA", "METRICS"), None if payload is None else payload.cast("binary"), none)
+    number = lambda value: of(("DATA", "ACK"), None if value is None else value.cast("decimal(20,0)"), zero)
     return F.struct(
         F.lit(MAGIC).cast("bigint").alias("magic"),
         F.lit(VERSION).alias("version"),
-        F.lit(TYPE_CODES[kind]).alias("type"),
+        code.cast("int").alias("type"),
         F.octet_length(body).cast("bigint").alias("length"),
-        (task_id.cast("decimal(20,0)") if addressed else zero).alias("task_id"),
-        (offset.cast("decimal(20,0)") if addressed else zero).alias("offset"),
+        number(task_id).alias("task_id"),
+        number(offset).alias("offset"),
         body.alias("payload"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rillworks.functions.jsontext import kind, with_document
 from rillworks.functions.once import once
 from rillworks.model import ROLL_BYTES, ROLL_SECONDS
-from rillworks.operators.ordered import block_of, neighbour, running_sums
+from rillworks.operators.ordered import block_of, neighbour, running, running_sums
 
 
 def line_offsets(lines: DataFrame, key: str, seq: str, text: str, block: Column | None = None) -> DataFrame:
@@ -185,13 +185,12 @@ def files_watched(files: DataFrame, by: list[str], now: Column, fast_seconds: in
 
 def roll_index(lines: DataFrame, keys: list[str], order: list[str], epoch_seconds: Column, size: Column,
                block: Column, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Adds the output file of each line: hours since the key's first line, and bytes written before
+    """Adds the output file of each line: hours since the key's first line in order, and bytes written before
     it in units of the rolling size."""
-    first = lines.groupBy(*keys).agg(F.min(epoch_seconds).alias("_start"))
-    written = running_sums(lines, keys, order, {"_written": size}, block)
-    return written.join(first, keys).withColumn(
-        "hour_index", F.floor((epoch_seconds - F.col("_start")) / ROLL_SECONDS)).withColumn(
-        "size_index", F.floor(F.col("_written") / roll_bytes)).drop("_start", "_written")
+    written = running(lines, keys, order, {"_written": ("sum", size), "_start": ("first", epoch_seconds)}, block)
+    start, before = F.coalesce("_start", epoch_seconds), F.coalesce("_written", F.lit(0))
+    return written.withColumn("hour_index", F.floor((epoch_seconds - start) / ROLL_SECONDS)).withColumn(
+        "size_index", F.floor(before / roll_bytes)).drop("_start", "_written")
 
 
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, shares: int = 64) -> DataFrame:
@@ -211,7 +210,7 @@ def cut_by_share(df: DataFrame, keys: list[str], order: list[Column], n: int, nu
     return few.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(number) <= n)
 
 
-def since_start(samples: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
-    """Adds the value minus the first value of its key."""
-    first = samples.groupBy(*keys).agg(F.min_by(value, order).alias("_first"))
-    return samples.join(first, keys).withColumn(out, F.col(value) - F.col("_first")).drop("_first")
+def since_start(samples: DataFrame, keys: list[str], order: str, value: str, out: str, block: Column | None = None) -> DataFrame:
+    """Adds the value minus the first value of its key that is not NULL."""
+    first = running(samples, keys, [order], {"_first": ("first", F.col(value))}, block_of(order) if block is None else block, inclusive=True)
+    return first.withColumn(out, F.col(value) - F.col("_first")).drop("_first")

@@ -9,6 +9,8 @@ inside (key, block), one small row per block is combined over the key, and the t
 keys must not be NULL.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +53,30 @@ _COMBINE = {
     "min": (F.min, F.least),
     "max": (F.max, F.greatest),
     "last": (lambda v: F.last(v, ignorenulls=True), F.coalesce),
+    "first": (lambda v: F.first(v, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
 }
+_AT_END = {"last": F.max_by, "first": F.min_by}
 
 
 def _total(kind: str, value: Column, order: list[str]) -> Column:
-    """The value of a whole block; the last one is that of the greatest order that has one."""
-    return F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if kind == "last" else _COMBINE[kind][0](value)
+    """The value of a whole block; the last (first) one is that of the greatest (least) order that has one."""
+    return _AT_END[kind](value, F.when(value.isNotNull(), F.struct(*order))) if kind in _AT_END else _COMBINE[kind][0](value)
+
+
+def _placed(df: DataFrame, part: list[str], block: Column) -> tuple[DataFrame, Column]:
+    """Rows by (key, block), and a hash of all their columns (maps have none; with them the input is read twice).
+
+    Rows and block totals both start from this one exchange. They share it only if both need the same columns of it,
+    so each has a condition on the hash that always holds. Give rows without columns that aren't needed."""
+    known = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in part])  # Spark would add it to one of the two
+    placed = df.withColumn(BLOCK, block).filter(known).repartition(*part)
+    hashable = [f.name for f in placed.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return placed, F.xxhash64(*hashable)
+
+
+def _whole(hashed: Column) -> Column:
+    """Always true, which Spark doesn't know."""
+    return hashed.bitwiseOR(F.lit(1)) != 0
 
 
 def _bounds(order: list[str]) -> list[Column]:
@@ -66,20 +86,21 @@ def _bounds(order: list[str]) -> list[Column]:
 def _checked_block(keys: list[str]) -> Column:
     """The block number, or an error where an earlier block reaches beyond this block's start."""
     earlier = F.max("_high").over(Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
-    return F.when(earlier > F.col("_low"), F.raise_error(F.lit("blocks do not follow the order of the rows"))).otherwise(F.col(BLOCK))
+    wrong = (earlier > F.col("_low")) | F.col("_sum").isNull()
+    return F.when(wrong, F.raise_error(F.lit("blocks do not follow the order of the rows"))).otherwise(F.col(BLOCK))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
             block: Column, inclusive: bool = False) -> DataFrame:
-    """Adds the sum, min, max or last non-NULL of each value over the rows before (or up to) the row, within the keys.
+    """Adds the sum, min, max, first or last non-NULL of each value over the rows before (or up to) the row, within the keys.
 
     `values` maps a new column to (kind, value)."""
     part = [*keys, BLOCK]
-    tagged = df.withColumn(BLOCK, block)
+    tagged, hashed = _placed(df, part, block)
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = tagged.select("*", *[_COMBINE[k][0](v).over(inside).alias(f"_in_{n}") for n, (k, v) in values.items()])
-    totals = tagged.groupBy(*part).agg(*_bounds(order), *[_total(k, v, order).alias(f"_of_{n}") for n, (k, v) in values.items()])
+    rows = tagged.select("*", *[_COMBINE[k][0](v).over(inside).alias(f"_in_{n}") for n, (k, v) in values.items()]).filter(_whole(hashed))
+    totals = tagged.groupBy(*part).agg(F.bit_xor(hashed).alias("_sum"), *_bounds(order), *[_total(k, v, order).alias(f"_of_{n}") for n, (k, v) in values.items()])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, _checked_block(keys).alias(BLOCK), *[_COMBINE[k][0](f"_of_{n}").over(before).alias(f"_at_{n}") for n, (k, _) in values.items()])
     return rows.join(starts, part).select(
@@ -98,9 +119,9 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str
     part = [*keys, BLOCK]
     shift, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    tagged = df.withColumn(BLOCK, block)
-    rows = tagged.select("*", shift(packed).over(Window.partitionBy(*part).orderBy(*order)).alias("_near"))
-    edges = tagged.groupBy(*part).agg(*_bounds(order), edge(packed, F.struct(*order)).alias("_edge"))
+    tagged, hashed = _placed(df, part, block)
+    rows = tagged.select("*", shift(packed).over(Window.partitionBy(*part).orderBy(*order)).alias("_near")).filter(_whole(hashed))
+    edges = tagged.groupBy(*part).agg(F.bit_xor(hashed).alias("_sum"), *_bounds(order), edge(packed, F.struct(*order)).alias("_edge"))
     far = edges.select(*keys, _checked_block(keys).alias(BLOCK), shift("_edge").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_far"))
     found = F.coalesce("_near", "_far")
     return rows.join(far, part).select(*df.columns, *[found.getField(n).alias(n) for n in values])

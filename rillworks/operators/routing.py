@@ -63,6 +63,13 @@ def acks(routed: DataFrame, mode: str = "on_route", delivered: str | Column = "d
     return kept.select("task_id", "offset")
 
 
+def acks_of_modes(routed: DataFrame, delivered: Column) -> DataFrame:
+    """(mode, task_id, offset): what each mode acknowledges, in one pass over the routed frames."""
+    known, done = F.col("status") != "no_task", (F.col("status") == "ok") & delivered
+    modes = F.array_compact(F.array(F.when(known, "on_route"), F.when(done, "on_delivery")))
+    return routed.select(F.explode(modes).alias("mode"), "task_id", "offset")
+
+
 def unacked(sent: DataFrame, acked: DataFrame, keys: list[str]) -> DataFrame:
     """Sent rows without an acknowledgement; the keys are unique per sent row, so none is hot."""
     return sent.join(acked.select(*keys), keys, "left_anti")

@@ -147,11 +147,11 @@ def diff(current: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 def id_sets(current: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, membership): removed, added or kept ids."""
-    old, new = current.select(*keys).distinct(), wanted.select(*keys).distinct()
-    parts = [(old.join(new, keys, "left_anti"), "removed"), (new.join(old, keys, "left_anti"), "added"),
-             (old.join(new, keys, "left_semi"), "kept")]
-    tagged = [df.withColumn("membership", F.lit(name)) for df, name in parts]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    side = lambda df, name: df.select(*keys, F.lit(name).alias("_side"))
+    both = side(current, "old").unionByName(side(wanted, "new")).groupBy(*keys).agg(
+        F.bool_or(F.col("_side") == "old").alias("_old"), F.bool_or(F.col("_side") == "new").alias("_new"))
+    membership = F.when(~F.col("_new"), "removed").when(~F.col("_old"), "added").otherwise("kept")
+    return both.select(*keys, membership.alias("membership"))
 
 
 def changed_since(history: DataFrame, key: str, version: str, current: int, columns: list[str]) -> DataFrame:

@@ -35,10 +35,8 @@ def delivered():
 def frames_built(spark, sf):
     parts = view(spark, sf, "v_frame_parts")
     task, offset = F.col("wire_task").cast("decimal(20,0)"), F.col("wire_offset")
-    kinds = [("DATA", 1), ("ACK", 2), ("HEARTBEAT", 3), ("METRICS", 4)]
-    built = [parts.filter(F.col("mtype") == code).select(
-        "event_id", frames.message(kind, task, offset, F.col("payload")).alias("m")) for kind, code in kinds]
-    rows = built[0].unionByName(built[1]).unionByName(built[2]).unionByName(built[3])
+    known = parts.filter(F.col("mtype").isin(*frames.TYPE_CODES.values()))
+    rows = known.select("event_id", frames.message(F.col("mtype"), task, offset, F.col("payload")).alias("m"))
     return rows.select("event_id", "m.magic", "m.version", "m.type", "m.length",
                        F.col("m.task_id").cast("string").alias("task_id"),
                        F.col("m.offset").cast("string").alias("offset"), F.col("m.payload").cast("string").alias("payload"))
@@ -132,10 +130,8 @@ def unroutable(spark, sf):
 
 
 def acks(spark, sf):
-    r = routed(spark, sf)
-    tagged = lambda mode: routing.acks(r, mode, delivered()).select(
-        F.lit(mode).alias("mode"), F.col("task_id").cast("string").alias("task_id"), F.col("offset").cast("string").alias("offset"))
-    return tagged("on_route").unionByName(tagged("on_delivery"))
+    told = routing.acks_of_modes(routed(spark, sf), delivered())
+    return told.select("mode", F.col("task_id").cast("string").alias("task_id"), F.col("offset").cast("string").alias("offset"))
 
 
 def unacked(spark, sf):

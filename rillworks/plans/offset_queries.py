@@ -18,7 +18,7 @@ def lines(spark, sf):
 
 
 def line_offsets(spark, sf):
-    return offsets.line_offsets(lines(spark, sf), "file_path", "event_id", "line").select(
+    return offsets.line_offsets(lines(spark, sf).select("file_path", "event_id", "line"), "file_path", "event_id", "line").select(
         "file_path", "event_id", "byte_offset")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rillworks.operators import metrics, routing
 from rillworks.operators.audit import content_checks
 from rillworks.operators.shedding import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
-from rillworks.sources import sinks
+from rillworks.sources import fanout, sinks
+from rillworks.streaming.ledger import ConfigLedger
 from rillworks.streaming.processors import HELD_BYTES, AgentLife, FrameAssembler, LineAssembler, Shedder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,15 +94,25 @@ def late_flags(messages: DataFrame) -> DataFrame:
 
 
 def route_batches(read_tasks: Callable[[], DataFrame], read_clusters: Callable[[], DataFrame],
-                  writers_for: Callable[[int], dict[str, sinks.Writer]]) -> Callable[[DataFrame, int], None]:
+                  writers_for: Callable[[int], dict[str, sinks.Writer]] | None = None, ledger: ConfigLedger | None = None,
+                  deliver_to: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that routes frames with the configuration as it is at that batch.
 
-    A batch that runs again after a failure has the same number, so writers that key their output by it
-    replace what the first run left."""
+    A batch that runs again after a failure has the same number. With a `ledger` it meets the configuration of its first run,
+    whatever changed since; without one it meets the current. Rows go to the writers of each cluster's kind,
+    which replace what the first run left if they key their output by the number; or, with `deliver_to`, to the `fanout`
+    sink there, which publishes all clusters in one step."""
+    if (writers_for is None) == (deliver_to is None):
+        raise ValueError("give either writers_for or deliver_to")
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        clusters = read_clusters()
-        routed = routing.route(batch, read_tasks(), clusters)
-        known = [row.asDict(recursive=True) for row in clusters.collect()]
-        sinks.fan_out(routed, known, writers_for(batch_id))
+        read = {"tasks": read_tasks, "clusters": read_clusters}
+        config = ledger.at(batch_id, read) if ledger else {name: f() for name, f in read.items()}
+        routed = routing.route(batch, config["tasks"], config["clusters"])
+        if deliver_to is not None:
+            fanout.deliver(routing.queue_rows(routed), deliver_to, batch_id)
+        else:
+            known = [row.asDict(recursive=True) for row in config["clusters"].collect()]
+            sinks.fan_out(routed, known, writers_for(batch_id))
 
     return run
