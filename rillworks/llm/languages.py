@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillworks.llm import samples
+from rillworks.llm import samples, shared
 from rillworks.llm.words import raw
 
 #: Language families by ISO 639 code. A language that is not listed is a family of its own.
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     chosen = samples.sampled(labelled, docs.select(key, text), key, lang, max(1, sample // len(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.slices(batches):
             found = [profile(t or b"").tobytes() for t in raw(b.column("t"))]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("l"), pa.array(found, pa.binary())], ["k", "l", "x"])
 
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared_model.value
-        for b in batches:
+        for b in shared.slices(batches):
             column = b.column(b.schema.get_field_index(text))
             said = [m.predict(r) if t and any(c.isalpha() for c in t) else (UNKNOWN, 0.0) for t, r in zip(column.to_pylist(), raw(column))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])

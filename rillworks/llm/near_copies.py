@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     """(key, fp): one row per row of `docs`, fp the fingerprint as a signed long. NULL texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.slices(batches):
             fps = np.array([fingerprint(words_of(t and t.translate(LOWER)), shingle) for t in raw(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
 
@@ -165,6 +165,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
             yield found(*held)
+        shared.trim()
 
     placed = keyed.repartition("slot", "part").sortWithinPartitions("slot", "part", "rep")
     return placed.mapInArrow(run, "u long, v long").distinct()

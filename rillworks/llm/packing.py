@@ -49,6 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, cuts: str, key: str = "doc_id", text
                             ids.append(np.frombuffer(part, "<i4"))
                 columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), [f.name for f in fields])
+        shared.trim()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, T.StructType(fields))
 

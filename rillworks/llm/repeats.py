@@ -199,10 +199,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     base = docs.withColumn("_grp", shared.spread(groups, key, text))
 
     def first(keys, table):
+        shared.trim()
         g = keys[0].as_py()
         return _Group(table, key, text, window, parts).ask_anchors(g)
 
     def second(keys, table, told):
+        shared.trim()
         if not table.num_rows:
             return pa.table({"grp": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("a", "b", "least")}})
         return _Group(table, key, text, window, parts).ask_windows(keys[0].as_py(), _told(told, "anchor"))
@@ -211,6 +213,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
 
     def last(keys, table, told):
+        shared.trim()
         group = _Group(table, key, text, window, parts)
         gone = group.removed(_told(told, "anchor"), _told(told, "window"))
         texts = table.column(text).to_pylist()
