@@ -7,6 +7,10 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from rillworks.operators.carried import as_batches, rows_of
 
 
 def codec_name(column: Column) -> Column:
@@ -99,6 +103,59 @@ def decompress(df: DataFrame, codec: str, data: str, max_bytes: int | None = Non
     return _job(df, partial(_inflate, most=max_bytes), codec, data, 0)
 
 
+#: Raw snappy data can't grow further than this: a copy of 64 bytes takes 3.
+_SNAPPY_GROWTH = 64
+
+
+def _parts(codec: str | None, data: bytes | None, size: int, snappy) -> Iterator[bytes]:
+    """The output of one payload in parts of at most `size` bytes, without more than one of them in memory for zlib."""
+    if not data:
+        return
+    if codec == "ZLIB":
+        stream = zlib.decompressobj()
+        while not stream.eof:
+            out = stream.decompress(data, size)
+            data = stream.unconsumed_tail
+            if out:
+                yield out
+            elif not data and not stream.eof:
+                raise ValueError("incomplete")
+        return
+    if codec == "SNAPPY":
+        if _snappy_size(data) > _SNAPPY_GROWTH * len(data):
+            raise ValueError("impossible length")
+        data = _inflate(codec, data, 0, snappy, None)
+    for at in range(0, len(data), size):
+        yield data[at:at + size]
+
+
+def decompress_parts(df: DataFrame, keys: list[str], codec: str, data: str, part_bytes: int = 1 << 20) -> DataFrame:
+    """(keys, part, status, bytes): the output of each payload in numbered parts of at most `part_bytes`, so that an output of any
+    size takes no memory of its size.
+
+    A row without bytes comes last and says how it ended: `ok`, or `damaged` after the parts that could be read. A NULL or empty
+    payload has that row alone. Raw snappy data can be no more than 64 times its size, and is opened whole."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, part int, status string, bytes binary"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    n = len(keys)
+
+    def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
+        snappy = pa.Codec("snappy")
+        for row in rows:
+            part, status = 0, "ok"
+            try:
+                for piece in _parts(row[n], row[n + 1], part_bytes, snappy):
+                    yield (*row[:n], part, None, piece)
+                    part += 1
+            except (ValueError, OSError, zlib.error):
+                status = "damaged"
+            yield (*row[:n], part, status, None)
+
+    chosen = df.select(*keys, codec_name(F.col(codec)), F.col(data))
+    return chosen.mapInArrow(lambda batches: as_batches(opened(rows_of(batches)), out), schema)
+
+
 def compression_ratio(df: DataFrame, by: list[str], original: Column, compressed: Column) -> DataFrame:
     """Compressed size as a percentage of the original size."""
     sums = df.groupBy(*by).agg(F.sum(original).alias("original_bytes"), F.sum(compressed).alias("compressed_bytes"))

@@ -111,6 +111,17 @@ def codec_roundtrip(spark, sf):
         F.sum(F.octet_length("payload")).alias("bytes"))
 
 
+def codec_parts(spark, sf):
+    """Compressed documents opened in parts of 256 bytes, every seventh without its last bytes."""
+    packed = codecs.compress(codec_rows(spark, sf), "codec", "payload").select("doc_id", "codec", F.when(
+        (F.col("doc_id") % 7 == 0) & (F.col("codec_used") == "ZLIB"), F.substring("output", F.lit(1), F.octet_length("output") - 6)).otherwise(F.col("output")).alias("packed"))
+    parts = codecs.decompress_parts(packed, ["doc_id"], "codec", "packed", 256)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), F.struct("part", F.hex("bytes").alias("h"))))), lambda p: p["h"]), "")
+    out = parts.groupBy("doc_id").agg(F.max("status").alias("status"), F.count("bytes").alias("parts"), F.sha2(F.unhex(whole), 256).alias("digest"))
+    sound = F.col("status") == "ok"
+    return out.select("doc_id", "status", F.when(sound, F.col("parts")).alias("parts"), F.when(sound, F.col("digest")).alias("digest"))
+
+
 def codec_ratio(spark, sf):
     packed = codecs.compress(codec_rows(spark, sf), "codec", "payload")
     sums = codecs.compression_ratio(packed, ["codec_used"], F.octet_length("payload"), F.octet_length("output"))
@@ -251,7 +262,7 @@ def task_id_rejects(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     frames_built, frame_roundtrip, frame_decode, frame_rejects, type_dispatch, frame_reassembly, chunk_lines,
-    codec_roundtrip, codec_ratio, route, route_status, unroutable, acks, unacked, mq_rows, mq_rows_keyed,
+    codec_roundtrip, codec_ratio, codec_parts, route, route_status, unroutable, acks, unacked, mq_rows, mq_rows_keyed,
     fanout_counts, mq_counts, route_asof, active_tasks, duplicate_delivery, delivered_ranges, unacked_ranges, repeated_ranges, delivery_accounts,
     ack_frames, frame_metrics, task_wire_ids, task_id_rejects)}
 
@@ -312,6 +323,9 @@ SELECT task_id, file_path, row_number() OVER (PARTITION BY task_id, file_path OR
     "codec_ratio": """
 SELECT codec_used, cast(sum(strlen(text)) AS bigint) AS original_bytes, codec_used <> 'NONE' AS smaller, CASE WHEN codec_used = 'NONE' THEN 100.0::double END AS none_ratio
 FROM (SELECT text, ['ZLIB', 'SNAPPY', 'NONE', 'NONE', 'NONE'][doc_id % 5 + 1] AS codec_used FROM documents) GROUP BY codec_used""",
+    "codec_parts": """
+SELECT doc_id, CASE WHEN bad THEN 'damaged' ELSE 'ok' END AS status, CASE WHEN NOT bad THEN cast((strlen(text) + 255) // 256 AS bigint) END AS parts,
+  CASE WHEN NOT bad THEN sha256(text) END AS digest FROM (SELECT *, doc_id % 7 = 0 AND doc_id % 5 = 0 AS bad FROM documents)""",
     "codec_roundtrip": """
 SELECT codec, CASE codec WHEN 'zlib' THEN 'ZLIB' WHEN 'Snappy' THEN 'SNAPPY' ELSE 'NONE' END AS codec_used,
   codec = 'gzip' AS warned, count(*) AS payloads, count(*) AS lossless, cast(sum(strlen(text)) AS bigint) AS bytes

@@ -94,3 +94,25 @@ def test_classify_reads_the_messages_once(spark):
     out = audit.classify(messages(spark, ["a", "b"]))
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_is_one_nested_row(spark):
+    rows = messages(spark, [doc("2024-01-01T00:00:00"), "", "plain", "plain", "{}"])
+    r = audit.report(audit.classify(rows), rows).first()
+    assert r.validation_summary.asDict() == {"total_messages": 5, "valid_messages": 2, "invalid_messages": 3, "duplicate_messages": 1,
+                                             "late_messages": r.validation_summary.late_messages, "success_rate": 40.0}
+    assert r.error_breakdown == {"duplicate": 1, "empty": 1, "missing:timestamp": 1}
+    assert r.performance_metrics.duration_seconds == 4.0 and r.performance_metrics.throughput_msgs_per_sec == 1.25
+    none = rows.limit(0)
+    r = audit.report(audit.classify(none), none).first()
+    assert (r.validation_summary.total_messages, r.validation_summary.success_rate, r.error_breakdown, r.performance_metrics.duration_seconds) == (0, 0.0, {}, 0.0)
+    assert audit.report(audit.classify(none), none, ["topic"]).count() == 0
+
+
+def test_verdicts_over_a_set_of_runs(spark):
+    runs = spark.createDataFrame([("s", 100, 100, 10.0), ("s", 300, 270, 10.0), ("t", 10, 10, 0.0)], "s string, total_messages bigint, valid_messages bigint, duration_seconds double")
+    out = {r.s: r for r in audit.session_verdict(runs, ["s"], 40.0).collect()}
+    assert (out["s"].runs, out["s"].total_messages, out["s"].average_success_rate, out["s"].average_throughput, out["s"].peak_throughput, out["s"].advice) == (2, 400, 95.0, 20.0, 30.0, "peak_below_high_rate")
+    assert (out["t"].average_throughput, out["t"].peak_throughput) == (0.0, 0.0)
+    tests = spark.createDataFrame([("a", "PASS")] * 4 + [("b", "PASS")] * 3 + [("b", "FAIL"), ("c", "FAIL")], "k string, result string")
+    assert {r.k: r.tier for r in audit.suite_verdict(audit.result_tally(tests, ["k"])).collect()} == {"a": "good", "b": "mostly_good", "c": "poor"}

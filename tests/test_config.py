@@ -80,3 +80,23 @@ def test_valid_empty_documents_are_not_failed(spark):
     docs = [(1, '{"tasks": []}'), (2, '{"tasks": [{"log_path_pattern": "/a"}]}'), (3, "{}"), (4, "nope"), (5, '{"tasks": []} x'), (6, '{"tasks": 5}'), (7, '{"tasks": [{"task_id": 5}]}'), (8, "[]"), (9, None)]
     got = {r["n"]: r["status"] for r in tasks.document_status(spark.createDataFrame(docs, "n int, d string"), "n", "d").collect()}
     assert got == {1: "ok", 2: "ok", 3: "ok", 4: "not_json", 5: "not_json", 6: "wrong_type", 7: "wrong_type", 8: "wrong_type", 9: "not_json"}
+
+
+def test_layers_reach_hosts_without_a_file(spark):
+    env = spark.createDataFrame([("a", "N", "env"), ("a", "N", "env2"), ("b", "N", ""), ("envonly", "N", "e"), ("a", "OTHER", "x"), (None, "N", "x")], "host string, name string, value string")
+    files = spark.createDataFrame([("a", "n", "file"), ("a", "own", "1"), ("b", "m", "2")], "host string, key string, value string")
+    hosts = spark.createDataFrame([("bare",), ("a",), (None,)], "host string")
+    out = settings.effective(env, files, "host", {"N": "n"}, {"n": "dn", "m": "dm"}, hosts)
+    got = sorted((r.host, r.key, r.value, r.layer) for r in out.collect())
+    assert got == [("a", "m", "dm", "default"), ("a", "n", "env", "env"), ("a", "own", "1", "file"), ("b", "m", "2", "file"), ("b", "n", "dn", "default"),
+                   ("bare", "m", "dm", "default"), ("bare", "n", "dn", "default"), ("envonly", "m", "dm", "default"), ("envonly", "n", "e", "env")]
+    plain = settings.effective(env, files, "host", {}, {})
+    assert sorted((r.host, r.key, r.layer) for r in plain.collect()) == [("a", "n", "file"), ("a", "own", "file"), ("b", "m", "file")]
+
+
+def test_typed_settings_of_absent_keys_and_hosts(spark):
+    rows = spark.createDataFrame([("a", "n", "12"), ("a", "p.x", "1"), ("a", "p.y", "2"), ("b", "n", "no"), ("b", "f", "off")], "host string, key string, value string")
+    out = {r.host: r for r in settings.typed(rows, "host", {"n": ("int", 8), "f": ("bool", True), "t": ("text", "d"), "l": ("list", None)}, ["p."], spark.createDataFrame([("bare",)], "host string")).collect()}
+    assert (out["a"].n, out["a"].f, out["a"].t, out["a"].l, out["a"]["p."]) == (12, True, "d", [], {"x": "1", "y": "2"})
+    assert (out["b"].n, out["b"].f, out["b"]["p."]) == (8, False, {})
+    assert (out["bare"].n, out["bare"].f, out["bare"].t, out["bare"].l) == (8, True, "d", [])

@@ -160,3 +160,32 @@ def test_decompress_has_no_cap_unless_asked_and_says_why(spark):
     assert (opened[4]["output"], opened[4]["output_reason"]) == (None, None) and opened[5]["output_reason"] == "damaged"
     capped = {r["n"]: r["output_reason"] for r in codecs.decompress(packed, "codec", "packed", max_bytes=1000).collect()}
     assert capped[1] == capped[2] == "too_large"
+
+
+def test_payloads_opened_in_parts(spark):
+    whole = {"zlib": bytes(range(256)) * 40, "snappy": b"ab" * 3000, "none": b"x" * 2500}
+    rows = [(c, c, v) for c, v in whole.items()] + [("empty", "zlib", b""), ("null", "zlib", None)]
+    packed = codecs.compress(spark.createDataFrame(rows, "n string, codec string, data binary"), "codec", "data").select("n", "codec", F.col("output").alias("packed"))
+    cut = packed.filter("n = 'zlib'").select(F.lit("cut").alias("n"), "codec", F.expr("substring(packed, 1, octet_length(packed) - 5)"))
+    junk = spark.createDataFrame([("junk", "zlib", b"junk"), ("lie", "snappy", b"\xff\xff\xff\x7f\x00")], "n string, codec string, packed binary")
+    out = codecs.decompress_parts(packed.unionByName(cut.toDF(*packed.columns)).unionByName(junk), ["n"], "codec", "packed", 1000).collect()
+    parts, status = {}, {}
+    for r in sorted(out, key=lambda r: r.part):
+        if r.bytes is None:
+            assert r.part == len(parts.get(r.n, []))
+            status[r.n] = r.status
+        else:
+            assert r.status is None and 0 < len(r.bytes) <= 1000
+            parts.setdefault(r.n, []).append(bytes(r.bytes))
+    assert status == {**dict.fromkeys([*whole, "empty", "null"], "ok"), "cut": "damaged", "junk": "damaged", "lie": "damaged"}
+    assert {n: b"".join(p) for n, p in parts.items() if n in whole} == whole and set(parts) == {*whole, "cut"}
+
+
+def test_zeros_take_no_memory_of_their_size():
+    import tracemalloc
+    import zlib
+    packed = zlib.compress(bytes(64 << 20), 9)
+    tracemalloc.start()
+    assert sum(len(p) for p in codecs._parts("ZLIB", packed, 1 << 20, None)) == 64 << 20
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()

@@ -87,3 +87,13 @@ def test_repeated_checkpoint_keys_and_trailing_text(spark):
     assert [r["offset"] for r in offsets.parse_checkpoint_documents(docs, "agent", "document").collect()] == [7]
     junk = docs.withColumn("document", F.concat("document", F.lit(" junk")))
     assert [r["failed"] for r in offsets.parse_checkpoint_documents(junk, "agent", "document").collect()] == [True]
+
+
+def test_checkpoint_documents_with_a_wrong_type_fail_whole(spark):
+    texts = ['{"k": {"offset": 5}}', '{"k": {"offset": "5"}}', '{"k": {"offset": null}}', '{"k": {"file_path": 7}}', '{"k": 5}', '{"a": {"offset": 1}, "k": {"inode": []}}',
+             '{"k": {"offset": 2.5, "inode": true, "last_modified": "x"}}', "{}", "[]", None, '{"k": {}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, d string")
+    rows = offsets.parse_checkpoint_documents(df, "n", "d").collect()
+    assert {r.n for r in rows if r.failed} == {1, 2, 3, 4, 5, 8, 9} and all(r.key is None for r in rows if r.failed)
+    got = {r.n: (r.key, r["offset"], r.inode, r.file_path, r.last_modified) for r in rows if not r.failed}
+    assert got == {0: ("k", 5, 0, "", ""), 6: ("k", 2, 1, "", "x"), 7: (None, 0, 0, "", ""), 10: ("k", 0, 0, "", "")}
