@@ -35,9 +35,8 @@ def segments(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SE
         F.greatest("at", F.col("segment") * size).alias("lo"),
         F.least(F.col("at") + F.col("n"), (F.col("segment") + 1) * size + halo).alias("hi"))
     piece = F.substring("data", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
-    parts = ends.select("stream", "segment", F.struct("lo", F.hex(piece).alias("digits")).alias("part"))
-    return parts.groupBy("stream", "segment").agg(F.unhex(F.array_join(
-        F.transform(F.array_sort(F.collect_list("part")), lambda p: p["digits"]), "")).alias("body"))
+    parts = ends.select("stream", "segment", "lo", piece.alias("piece"))
+    return parts.groupBy("stream", "segment").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY lo)").alias("body"))
 
 
 def _frame_end(body: bytes, at: int) -> int | None:
@@ -129,9 +128,9 @@ def frames(chunks: DataFrame, stream: str, seq: str, data: str, size: int = SEGM
     hi = F.least("leave", (F.col("segment") + 1) * size)
     piece = F.substring("body", (lo - F.col("segment") * size + 1).cast("int"), (hi - lo).cast("int"))
     joined = (cut.join(crossing, ["stream", "segment"])
+              .select("stream", "position", "leave", "segment", piece.alias("piece"))
               .groupBy("stream", "position", "leave")
-              .agg(F.array_sort(F.collect_list(F.struct("segment", F.hex(piece).alias("digits")))).alias("parts"))
-              .withColumn("raw", F.unhex(F.array_join(F.transform("parts", lambda p: p["digits"]), "")))
+              .agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY segment)").alias("raw"))
               .filter(F.octet_length("raw") == F.col("leave") - F.col("position")))
     columns = [F.col("stream").alias(stream), "position", "raw"]
     return inside.select(*columns).unionByName(joined.select(*columns))

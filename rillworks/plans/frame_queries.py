@@ -43,9 +43,10 @@ def frames_built(spark, sf):
 
 
 def frame_roundtrip(spark, sf):
-    parts = view(spark, sf, "v_frame_parts").filter("mtype = 1")
-    built = parts.select("event_id", frames.message(
-        "DATA", F.col("wire_task").cast("decimal(20,0)"), F.col("wire_offset"), F.col("payload")).alias("m"))
+    parts = view(spark, sf, "v_frame_parts")
+    known = parts.filter(F.col("mtype").isin(*frames.TYPE_CODES.values()))
+    built = known.select("event_id", frames.message(
+        F.col("mtype"), F.col("wire_task").cast("decimal(20,0)"), F.col("wire_offset"), F.col("payload")).alias("m"))
     encoded = built.select("event_id", frames.encode(F.col("m")).alias("raw"))
     return frames.accepted(frames.decode(encoded)).select(
         "event_id", F.hex("raw").alias("raw_hex"), F.col("task_id").cast("string").alias("task_id"),
@@ -306,7 +307,7 @@ SELECT file_path, cast(coalesce(sum(stop - start) FILTER (sent > 0), 0) AS bigin
     "frames_built": _GOOD + f"SELECT {_FIELDS} FROM expected WHERE mtype <= 4",
     "frame_roundtrip": ctes("v_frame_hex") + """
 SELECT event_id, clean_hex AS raw_hex, wire_task AS task_id, cast(wire_offset AS varchar) AS "offset", payload
-FROM v_frame_hex WHERE mtype = 1""",
+FROM v_frame_hex WHERE mtype <= 4""",
     "frame_decode": _GOOD + f"SELECT {_FIELDS} FROM good".replace("mtype AS type", "cast(mtype AS bigint) AS type").replace("256 AS", "cast(256 AS bigint) AS"),
     "frame_rejects": _GOOD + "SELECT event_id, reject FROM expected WHERE reject IS NOT NULL",
     "type_dispatch": _GOOD + """

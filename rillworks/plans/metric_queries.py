@@ -55,10 +55,8 @@ def metrics_last(spark, sf):
 
 
 def connections(spark, sf):
-    moved = reports(spark, sf).filter("event_type IN ('signup', 'error')")
-    changes = moved.select(
-        (F.col("user_id") % 3).alias("relay_id"), "seq", "us",
-        F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("change"))
+    changes = reports(spark, sf).select(
+        (F.col("user_id") % 3).alias("relay_id"), "seq", "us", F.when(F.col("k") % 2 == 0, 1).otherwise(-1).alias("change"))
     return metrics.connection_gauge(changes, "relay_id", ["seq"], block_of("seq"))
 
 
@@ -83,16 +81,16 @@ def agent_liveness(spark, sf):
 
 
 def _alive(spark, sf):
-    beats = reports(spark, sf).filter("event_type = 'click'").select("agent_id", "seq", F.timestamp_micros("us").alias("ts"))
-    return metrics.liveness(beats, "agent_id", "ts", "seq", gap_seconds=86_400)
+    beats = reports(spark, sf).select("agent_id", "seq", F.timestamp_micros("us").alias("ts"))
+    return metrics.liveness(beats, "agent_id", "ts", "seq", gap_seconds=GAP_SECONDS)
 
 
 def agent_registry(spark, sf):
-    rows = reports(spark, sf).filter("event_type IN ('signup', 'view')").select(
+    rows = reports(spark, sf).select(
         "agent_id", "seq", F.concat(F.lit("host-"), F.col("k")).alias("hostname"), F.lit("active").alias("status"))
     now = F.timestamp_micros(F.lit(NOW_US))
     return metrics.registry(rows, _alive(spark, sf), "agent_id", ["seq"], now, ["hostname", "status"],
-                            gap_seconds=5 * 86_400).withColumn("last_seen", F.unix_micros("last_seen"))
+                            gap_seconds=GAP_SECONDS).withColumn("last_seen", F.unix_micros("last_seen"))
 
 
 def agent_events(spark, sf):
@@ -215,14 +213,13 @@ runs AS (SELECT d AS run, count(*) AS total, count(*) FILTER (k % 30 <> 4) AS va
   cast(max(us) - min(us) AS decimal(20,0)) / 1000000 AS secs FROM v_reports GROUP BY d)
 """
 _GAUGE = """,
-changes AS (SELECT user_id % 3 AS relay_id, seq, us, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS change
-  FROM v_reports WHERE event_type IN ('signup', 'error')),
+changes AS (SELECT user_id % 3 AS relay_id, seq, us, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS change FROM v_reports),
 gauge AS (SELECT *, cast(sum(change) OVER (PARTITION BY relay_id ORDER BY seq) AS bigint) AS active FROM changes)
 """
-_BEATS = _REPORTS + """,
+_BEATS = _REPORTS + f""",
 beats AS (SELECT agent_id, us, us - lag(us) OVER (PARTITION BY agent_id ORDER BY us, seq) AS silence
-  FROM v_reports WHERE event_type = 'click'),
-alive AS (SELECT agent_id, count(*) AS beats, count(*) FILTER (silence > 86400000000) AS silences,
+  FROM v_reports),
+alive AS (SELECT agent_id, count(*) AS beats, count(*) FILTER (silence > {GAP_SECONDS * 1_000_000}) AS silences,
   coalesce(max(silence), 0) AS longest_silence_us, max(us) AS last_seen FROM beats GROUP BY ALL)
 """
 
@@ -274,7 +271,7 @@ SELECT task_id, us // 10000000 * 10 AS interval_start, cast(sum(lines) AS bigint
     "agent_liveness": _BEATS + "SELECT * FROM alive",
     "agent_registry": _BEATS + f"""
 SELECT r.agent_id, 'host-' || arg_max(k, seq) AS hostname, 'active' AS status, last_seen
-FROM v_reports r JOIN alive USING (agent_id) WHERE event_type IN ('signup', 'view') AND {NOW_US} - last_seen <= 432000000000
+FROM v_reports r JOIN alive USING (agent_id) WHERE {NOW_US} - last_seen <= {GAP_SECONDS * 1_000_000}
 GROUP BY r.agent_id, last_seen""",
     "exposition_lines": _COUNTERS + ", heads(i, name, kind, help) AS (VALUES " + ", ".join(
         f"({i}, '{n}', '{k}', '{h}')" for i, (n, (k, h)) in enumerate(FAMILIES.items())) + """)
