@@ -32,7 +32,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         resize = getattr(self._tokenizer.model, "_resize_cache", None)
         if resize:  # words are cached here; the library's own cache only costs time for words seen once
             resize(0)

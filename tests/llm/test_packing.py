@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from rillworks.llm import packing
 from rillworks.llm.tokens import Encoder
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "a\tb", "\n", "it's we'll 'tis", "x y z", "x 　y", "<|endoftext|> <|startoftext|>",
+ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "a\tb", "\n", "it's we'll 'tis", "x y z", "x 　y", "<|endoftext|> <|startoftext|>", "x<|endoftext|>y", "a\n<|endoftext|>\nb", "a <|endoftext|>", "<|endoftext|><|endoftext|> it's", "<| endoftext|>",
        "Größe éte ́x ΣΑΣ Σ", "12 345 6.7 #$% **", "a\x1cb \x85c", "tail \n", "word " * 300 + "long" * 200, "日本 語", "🙂 🙂a", "\r\nab \r\n cd"]
 
 
@@ -20,7 +20,6 @@ def test_cached_ids_are_the_ids_of_whole_texts(spark, name, cuts):
     path = public_tokenizers.path(name)
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ODD + ["".join(x) for x in product([" ", "\n", "a", "#", "\t"], repeat=4)]
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     encoder = Encoder(path, cuts)
     for _ in range(2):
