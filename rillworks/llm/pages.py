@@ -4,7 +4,9 @@ Every block of text belongs to the path of block tags from the root to it. Text
 summed per path and divided by the path's blocks; each block gets its path's ratios, smoothed over its
 neighbours on the page. Both ratios are fused by multiplication, and paths whose fused value reaches a share
 of the page's best are content. The element around most content is the article; what stands in it is kept,
-but for the parts that tags, roles or names mark as something else and for blocks that are mostly links.
+but for blocks that are mostly links and for parts that are marked as something else: by their tag, as hidden, or
+by words in class, id or role. Such words are hints: they don't count around an article element, and are
+dropped one by one while they leave next to nothing of the page.
 """
 
 from __future__ import annotations
@@ -20,17 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillworks.llm import shared
+
 THRESHOLD = 0.1
 LINKS = 0.5
 _WEIGHTS = np.array([0.25, 0.5, 0.25])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z|[^<]+|<", re.S)
-_NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = ("class", "id", "role", "aria-label")
+_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，،।]")
 #: HTML elements by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select button option audio video".split())
+_RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in "script style noscript template textarea title iframe".split()}  # end at their own closing tag only
+_MUTE = frozenset("svg math object canvas select button option audio video".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _OTHER = frozenset("nav header footer aside form menu dialog fieldset".split())
 _CLOSED_BY_BLOCK = frozenset("p".split())
@@ -42,12 +48,16 @@ _MARKS = frozenset("""ad ads adv advert advertisement advertising sponsor sponso
 _HEADS = frozenset(("header", "head", "page-header", "site-header"))
 
 
+#: A name's mark is dropped if it leaves less than LEFT of the page's text and covers at least COVERED characters.
+LEFT, COVERED = 0.1, 140
+
+
 @dataclass
 class _Element:
     tag: str
     path: str
-    out: bool
     number: int
+    mute: bool = False
 
 
 @dataclass
@@ -57,21 +67,28 @@ class Block:
     path: str
     text: str
     linked: int
-    out: bool
     within: tuple[int, ...] = field(default=())
 
 
-def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in _OTHER and not (tag == "header" and inside_article):
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    for m in _NAMES.finditer(attributes):
-        name = (m[1] or m[2] or m[3] or "").lower()
+@dataclass
+class _Marks:
+    """Numbers of elements that tags or hidden properties exclude, and of those that only names do."""
+
+    fixed: set[int] = field(default_factory=set)
+    named: set[int] = field(default_factory=set)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(_ATTRIBUTE.finditer(text)))}
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_INVISIBLE.search(attributes.get("style", "")))
+
+
+def _named(attributes: dict[str, str], inside_article: bool) -> bool:
+    for key in _NAMED:
+        name = attributes.get(key, "").lower()
         if any(w in _HEADS for w in name.split()) and not inside_article or _MARKS.intersection(re.split(r"[^a-z]+", name)):
             return True
     return False
@@ -79,28 +96,33 @@ def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with decoded text and single spaces; markup, scripts and the like leave none."""
-    stack = [_Element("", "", False, 0)]
+    return _parsed(page)[0]
+
+
+def _parsed(page: str) -> tuple[list[Block], _Marks]:
+    stack = [_Element("", "", 0)]
     found: list[Block] = []
+    marks = _Marks()
     text: list[str] = []
-    linked, number, links = 0, 0, 0
-    skip = None
+    linked, number, links, at = 0, 0, 0, 0
 
     def close_block() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            found.append(Block(stack[-1].path, joined, linked, stack[-1].out, tuple(e.number for e in stack)))
+            found.append(Block(stack[-1].path, joined, linked, tuple(e.number for e in stack)))
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    def muted() -> bool:
+        return stack[-1].mute
+
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         whole, tag = m[0], m[2]
-        if skip:
-            if tag and m[1] and tag.lower() == skip:
-                skip = None
-            continue
         if tag is None:
-            if whole[0] != "<" or whole == "<":
+            if (whole[0] != "<" or whole == "<") and not muted():
                 plain = html.unescape(whole)
                 text.append(plain)
                 if links:
@@ -108,41 +130,76 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not m[1]:
+            closed = m[3].endswith("/")
             if tag in _RAW:
-                if not m[3].endswith("/"):
-                    skip = tag
+                end = None if closed else _RAW[tag].search(page, at)
+                at = at if closed else end.start() if end else len(page)
                 continue
             if tag in ("br", "hr", "wbr"):
-                if tag == "hr":
+                if tag == "hr" and not muted():
                     close_block()
-                else:
-                    text.append(" " if tag == "br" else "")
+                elif tag == "br":
+                    text.append(" ")
                 continue
             if tag in _VOID:
                 continue
             if tag in _INLINE:
                 links += tag == "a"
                 continue
-            close_block()
-            links = 0
-            ends = _SAME.get(tag, frozenset()) | _CLOSED_BY_BLOCK
+            mute = muted() or tag in _MUTE
+            if mute and closed:
+                continue
+            if not mute:
+                close_block()
+                links = 0
+            ends = _SAME.get(tag, frozenset()) | (frozenset() if mute else _CLOSED_BY_BLOCK)
             while len(stack) > 1 and stack[-1].tag in ends:
                 stack.pop()
             number += 1
             top = stack[-1]
-            out = top.out or _marked(tag, m[3], any(e.tag in ("article", "main") for e in stack))
-            stack.append(_Element(tag, f"{top.path}/{tag}", out, number))
+            attributes = _attributes(m[3]) if m[3] else {}
+            inside = any(e.tag in ("article", "main") for e in stack)
+            if _hidden(attributes) or tag in _OTHER and tag != "form" and not (tag == "header" and inside):
+                marks.fixed.add(number)
+            elif tag == "form" or tag not in ("html", "body", "article", "main") and _named(attributes, inside):
+                marks.named.add(number)
+            if tag in ("article", "main") and not mute:  # a name says nothing of what is around the article
+                marks.named.difference_update(e.number for e in stack)
+            stack.append(_Element(tag, f"{top.path}/{tag}", number, mute))
         elif tag in _INLINE:
             links = max(0, links - (tag == "a"))
-        elif tag not in _VOID:
-            close_block()
-            links = 0
+        elif tag not in _VOID and tag not in _RAW:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    if not stack[i].mute:
+                        close_block()
+                        links = 0
                     del stack[i:]
                     break
+            else:
+                if not muted():
+                    close_block()
+                    links = 0
     close_block()
-    return found
+    return found, marks
+
+
+def _unmarked(found: list[Block], marks: _Marks) -> list[Block]:
+    """Blocks outside marked elements. Names are hints: while they leave next to nothing, the one over most text is dropped."""
+    visible = [b for b in found if not marks.fixed.intersection(b.within)]
+    named, total = set(marks.named), sum(len(b.text) for b in visible)
+    while True:
+        kept = [b for b in visible if not named.intersection(b.within)]
+        if sum(len(b.text) for b in kept) >= LEFT * total or not named:
+            return kept
+        covered: dict[int, int] = dict.fromkeys(sorted(named), 0)
+        for b in visible:
+            for n in named.intersection(b.within):
+                covered[n] += len(b.text)
+        most = max(covered, key=covered.get)
+        if covered[most] < COVERED:
+            return kept
+        named.remove(most)
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -162,7 +219,7 @@ def ratios(found: list[Block]) -> np.ndarray:
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
-    found = [b for b in blocks(page or "") if not b.out and b.linked <= LINKS * len(b.text)]
+    found = [b for b in _unmarked(*_parsed(page or "")) if b.linked <= LINKS * len(b.text)]
     if not found:
         return ""
     fused = ratios(found)
@@ -189,7 +246,7 @@ def extract(pages: DataFrame, html_column: str = "html", threshold: float = THRE
     NULL, empty and markup-only pages have an empty text. Whole pages are read; nothing is capped.
     """
     rest = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
-    rows = pages.select(*rest, F.col(html_column).alias("_html"))
+    rows = pages.select(*rest, F.col(html_column).alias(shared.fresh("_html", rest)))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     trim()
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of `columns` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,6 +19,14 @@ CASES = {
     "cut off": (f"<html><body><article><p>{LONG}</p><p>{LONG} and th<b cla", [LONG, LONG + " and th"]),
     "inline tags don't break": (page(f"<article><p>one <b>two</b><i>three</i> <a href='x'>four</a> {LONG}</p></article>"), ["one twothree four " + LONG]),
     "comment with tags": (page(f"<!-- <p>no, not this.</p> --><article><p>{LONG}</p></article>"), [LONG]),
+    "script with a less-than": (page(f"<script>for(var i=0;i<n;i++)f(i)</script><article><p>{LONG}</p><script>if(a<b){{x='</scripty>'}}</SCRIPT ><p>{LONG}</p></article>"), [LONG, LONG]),
+    "names on a wrapper": (page(f"<div class='container has-sidebar'><div class='content share-enabled'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>Side, text.</p></div></div>"), [LONG, LONG]),
+    "names around an article": (page(f"<div class='col-side-8 share'><article><p>{LONG}</p><div class='share'>Tell a friend, now.</div></article></div>"), [LONG]),
+    "hidden is a property": (page(f"<div style='overflow:hidden' data-x='hidden'><p>{LONG}</p><p hidden>no, no.</p><p style='color:red; display: none'>no, no.</p><p aria-hidden='true'>no, no.</p></div>"), [LONG]),
+    "unclosed controls": (page(f"<article><div><p>{LONG}</p><button>Go<svg><p>x</div><p>{LONG}</p><p>a <svg><path d='M0'/></svg>b <select><option>one<option>two</select>c, {LONG}</p></article>"), [LONG, LONG, "a b c, " + LONG]),
+    "form around the page": (page(f"<form action='x'><div><p>{LONG}</p><p>{LONG}</p></div></form>"), [LONG, LONG]),
+    "many comments": (page(f"<div class='post'><p>{LONG}</p><p>{LONG}</p></div><div class='comments'>" + f"<p>{LONG} said one.</p>" * 9 + "</div>"), [LONG, LONG]),
+    "stray tags": (page(f"</div></p></button></article><article></section><p>{LONG}</span></p></b></article></div><footer>f, g.</footer>"), [LONG]),
     "cookie notice": (page(f"<div class='cookie-notice'><p>{LONG}</p></div><article><p>{LONG}</p><aside><p>{LONG}</p></aside></article>"), [LONG]),
 }
 
@@ -44,6 +52,8 @@ def test_nulls_empty_pages_clashing_columns_and_long_pages(spark):
     found = sorted(((r["page_id"] or 0, r["n_chars"], len(r["text"])) for r in got.collect()))
     assert found == sorted([(1, 0, 0), (2, 0, 0), (3, 0, 0), (0, n := 5000 * len(LONG) + 4999 * 2, n), (4, 16, 16), (4, 16, 16)])
     assert pages.extract(df.limit(0)).count() == 0
+    clash = pages.extract(df.withColumnRenamed("url", "_html"))
+    assert clash.columns == ["page_id", "_html", "text", "n_chars"] and {r["_html"] for r in clash.collect()} == {"u", None}
 
 
 def test_given_pages_keep_every_paragraph(spark):
