@@ -223,8 +223,9 @@ def _consistent(pairs: DataFrame, shifts: DataFrame, coverage: float) -> DataFra
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of `docs` whose text holds no item; other rows of the same key, NULL or not, stay."""
+    """The rows and columns of `docs`, whatever their names, whose text holds no item; other rows of the same key, NULL or not, stay."""
     bad = _text_pairs(docs, benchmark, text, item_key, item_text, window, coverage).select("id").distinct()
-    bad = shared.stored(bad).select(F.col("id.a").alias("_a"), F.col("id.b").alias("_b"))
-    rows = docs.withColumn("_id", _text_id(text))
-    return rows.join(bad, (F.col("_id.a") == F.col("_a")) & (F.col("_id.b") == F.col("_b")), "left_anti").drop("_id")
+    own, a, b = (shared.fresh(n, docs.columns) for n in ("_id", "_a", "_b"))
+    bad = shared.stored(bad).select(F.col("id.a").alias(a), F.col("id.b").alias(b))
+    rows = docs.withColumn(own, _text_id(text))
+    return rows.join(bad, (F.col(own)["a"] == F.col(a)) & (F.col(own)["b"] == F.col(b)), "left_anti").drop(own)

@@ -99,7 +99,7 @@ def _opened(path: str) -> list[tuple]:
     return [(sha256(left.encode()), left.encode(), right.encode()) for left, right in steps]
 
 
-def _placed(rows: DataFrame, tree: str, order: list[Column]) -> DataFrame:
+def places(rows: DataFrame, tree: str, order: list[Column]) -> DataFrame:
     """Adds `pos`, the place of a row within its tree, and `count`, the rows of the tree.
 
     Rows are range-partitioned, so the places of a tree come from the row counts of partitions; rows that tie in
@@ -122,9 +122,11 @@ def _cut(nodes: DataFrame, arity: int) -> DataFrame:
 
 def _lifted(nodes: DataFrame, arity: int) -> DataFrame:
     """(tree, pos, count, digest) one tier up."""
+    height = _height(arity)
+
     def step(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         counts, digests = zip(*rows)
-        levels = min(_height(arity), _levels(counts[0], arity))
+        levels = min(height, _levels(counts[0], arity))
         yield key[0], key[1], -(-counts[0] // arity ** levels), _Block(list(digests), levels, arity).top
 
     return walk(_cut(nodes, arity), ["tree", "block"], ["pos"], ["count", "digest"], step, "tree string, pos bigint, count bigint, digest string")
@@ -146,12 +148,13 @@ def _led(nodes: DataFrame, above: DataFrame, arity: int) -> DataFrame:
 
 def _lowered(nodes: DataFrame, above: DataFrame, arity: int) -> DataFrame:
     """(tree, pos, path) of a tier from those of the tier above."""
-    width = arity ** _height(arity)
+    height = _height(arity)
+    width = arity ** height
 
     def step(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         path = next(rows)[2]
         counts, digests, _ = zip(*rows)
-        block = _Block(list(digests), min(_height(arity), _levels(counts[0], arity)), arity)
+        block = _Block(list(digests), min(height, _levels(counts[0], arity)), arity)
         for i in range(len(digests)):
             yield key[0], key[1] * width + i, _shown(block.way(i)) + path
 
@@ -165,7 +168,7 @@ def _tree_key(tree: str) -> Column:
 
 def _roots(tops: DataFrame, arity: int) -> tuple[str, list[DataFrame]]:
     """The root over the trees' own roots, and the tiers between."""
-    roots = _placed(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "tree", [F.col("name")])
+    roots = places(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "tree", [F.col("name")])
     tiers = _tiers(roots, arity)
     last = tiers[-1].select("digest").first()
     return (last[0] if last else sha256().hexdigest()), tiers
@@ -176,7 +179,7 @@ def manifest(rows: DataFrame, tree: str, order: list[str], leaf: str, arity: int
 
     Leaves ascend by `order` (NULL first), ties by digest. The root of no rows is the hash of nothing."""
     digests = rows.select(_tree_key(tree).alias("tree"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(leaf).alias("digest"))
-    leaves = _placed(digests, "tree", [*[F.col(f"o{i}") for i in range(len(order))], F.col("digest")])
+    leaves = places(digests, "tree", [*[F.col(f"o{i}") for i in range(len(order))], F.col("digest")])
     counts = leaves.groupBy("tree").agg(F.max("count").alias("leaves"))
     tops = _tiers(leaves.select("tree", "pos", "count", "digest"), arity)[-1].select("tree", "digest")
     root, _ = _roots(tops, arity)
@@ -196,7 +199,7 @@ def proofs(rows: DataFrame, tree: str, key: str, leaf: str, claim: str | None =
     claimed = F.lit(None).cast("string") if claim is None else F.col(claim)
     kind = rows.schema[key].dataType.simpleString()
     given = rows.select(_tree_key(tree).alias("tree"), F.col(key).alias("key"), F.col(leaf).alias("digest"), claimed.alias("claim"))
-    leaves = _placed(given, "tree", [F.col("key"), F.col("digest"), F.col("claim")])
+    leaves = places(given, "tree", [F.col("key"), F.col("digest"), F.col("claim")])
     tiers = _tiers(leaves, arity)
     root, upper = _roots(tiers[-1].select("tree", "digest"), arity)
 
@@ -209,10 +212,12 @@ def proofs(rows: DataFrame, tree: str, key: str, leaf: str, claim: str | None =
     for tier in reversed(tiers[1:-1]):
         way = _lowered(tier, way, arity)
 
+    height = _height(arity)
+
     def step(_: tuple, block_rows: Iterator[tuple]) -> Iterator[tuple]:
         inner, outer = map(_opened, next(block_rows)[4].split("|"))
         counts, digests, keys, claims, _ = zip(*block_rows)
-        block = _Block(list(digests), min(_height(arity), _levels(counts[0], arity)), arity)
+        block = _Block(list(digests), min(height, _levels(counts[0], arity)), arity)
         subroot, above = _resumed(inner, block.top), inner + outer
         for i, (name, digest, claim) in enumerate(zip(keys, digests, claims)):
             way = [*block.way(i), *above]

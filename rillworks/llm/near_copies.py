@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rillworks.llm import components, shared
 from rillworks.llm.words import LOWER, SEED, raw, words_of
@@ -142,13 +143,15 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     keyed = fps.select("rep", "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("slot", "mask"))
     keyed = keyed.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "rep", "fp")
 
+    kind = to_arrow_type(fps.schema["rep"].dataType)  # any that can be ordered
+
     def found(slot, part, rep, fp):
         change = np.flatnonzero((slot[1:] != slot[:-1]) | (part[1:] != part[:-1])) + 1
         starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(slot)]])
         many = ends - starts > 1
         label = close_within(fp.view(np.uint64), starts[many], ends[many], radius)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(rep[moved], kind), pa.array(rep[label[moved]], kind)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -167,8 +170,9 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
             yield found(*held)
         shared.trim()
 
+    ddl = fps.schema["rep"].dataType.simpleString()
     placed = keyed.repartition("slot", "part").sortWithinPartitions("slot", "part", "rep")
-    return placed.mapInArrow(run, "u long, v long").distinct()
+    return placed.mapInArrow(run, f"u {ddl}, v {ddl}").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -189,7 +193,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
 
 
 def grouped(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """All columns of `docs`, number (a stored number of each row) and component, the least number of its class; keys play no part."""
-    numbered = shared.stored(docs.withColumn("number", F.monotonically_increasing_id()))
+    """All columns of `docs`, number (a stored number of each row) and component, the least number of its class; keys play no part.
+
+    Columns of `docs` with these two names are replaced."""
+    numbered = shared.stored(docs.drop("number", "component").withColumn("number", F.monotonically_increasing_id()))
     named = classes(numbered, "number", text, shingle, radius).select(F.col("key").alias("number"), "component")
     return numbered.join(named, "number")

@@ -169,16 +169,18 @@ def placed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, lengt
 
     Pieces are dealt to groups of about `group`; each is packed alone, with its size bounded at any input.
     What stands in bins of less than 15/16 of the capacity is then dealt and packed once more across groups.
+    Columns named sequence_id or offset are replaced; any other name may occur.
     """
     parts = parts.drop("sequence_id", "offset")
     parts = shared.stored(parts)
-    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_full", T.BooleanType())])
+    place, dealt_to, done = (shared.fresh(n, parts.columns) for n in ("_row", "_grp", "_full"))
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(done, T.BooleanType())])
 
     def packed(df: DataFrame, turn: int) -> DataFrame:
         groups = max(1, -(-df.count() // group))
 
         def run(keys, table):
-            table = table.drop_columns(["_grp", "_row"]).take(pc.sort_indices(table.column("_row")))
+            table = table.drop_columns([dealt_to, place]).take(pc.sort_indices(table.column(place)))
             lengths = table.column(length).to_pylist()
             seq, offset, full = (np.zeros(len(lengths), np.int64) for _ in range(3))
             for n, members in enumerate(pack(lengths, capacity)):
@@ -186,14 +188,14 @@ def placed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, lengt
                 for i in members:
                     seq[i], offset[i], at = (turn << 56) + (keys[0].as_py() << 20) + n, at, at + lengths[i]
                 full[members] = 16 * at >= 15 * capacity
-            return table.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset)).append_column("_full", pa.array(full.astype(bool)))
+            return table.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset)).append_column(done, pa.array(full.astype(bool)))
 
-        dealt = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_grp", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-        return dealt.groupBy("_grp").applyInArrow(run, schema)
+        dealt = df.withColumn(place, F.monotonically_increasing_id()).withColumn(dealt_to, F.pmod(F.xxhash64(place), F.lit(groups)))
+        return dealt.groupBy(dealt_to).applyInArrow(run, schema)
 
     first = shared.stored(packed(parts, 0))
-    again = packed(first.filter("NOT _full").drop("sequence_id", "offset", "_full"), 1)
-    return first.filter("_full").union(again).drop("_full")
+    again = packed(first.filter(~F.col(done)).drop("sequence_id", "offset", done), 1)
+    return first.filter(F.col(done)).union(again).drop(done)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = shared.training("doc_id", 10)
     subwords = scoring.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = scoring.scores(docs, learn, subwords, scoring.fit(docs, learn, subwords))
-    return rows.select(F.col("key").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.select(F.col("key").alias("doc_id"), shared.held_out("key", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillworks.llm import shared
+from rillworks.llm import merkle, shared
 from rillworks.llm.words import hashes, mixed, raw, rolling, words_of
 
 WINDOW = 50
@@ -188,15 +188,27 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     with a smaller key; windows are judged on the input. Texts that lose nothing stay as they are; of others
     the kept words remain, joined by one space. `removed` lists [from, to) word spans. NULL texts have no
     words and stay NULL; rows with a NULL key neither lose words nor make others lose any; rows that share
-    a key don't count as earlier than one another. Columns named like the added ones are replaced.
+    a key don't count as earlier than one another. Keys may be of any type that can be ordered. Columns named like
+    the added ones are replaced; any other name may occur.
     """
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, T.LongType):
+        number = shared.fresh("_number", docs.columns)
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+            numbered = docs.withColumn(number, F.col(key).cast("long"))
+        else:  # the places of the keys in their order stand for them
+            keys = docs.select(F.col(key).alias("k"), F.lit("").alias("tree")).filter("k IS NOT NULL").distinct()
+            ranks = shared.stored(merkle.places(keys, "tree", [F.col("k")]).select(F.col("k").alias(number + "k"), F.col("pos").alias(number)))
+            numbered = docs.join(ranks, F.col(key) == F.col(number + "k"), "left").drop(number + "k")
+        return without_repeats(numbered, number, text, window).drop(number)
     if window < 2 or window % 2:
         raise ValueError("a window is an even number of words")
     spark = docs.sparkSession
     parts = shared.partitions(spark)
     groups = GROUPS_PER_PARTITION * parts
     docs = docs.drop("n_words", "n_removed", "removed")
-    base = docs.withColumn("_grp", shared.spread(groups, key, text))
+    grp = shared.fresh("_grp", docs.columns)
+    base = docs.withColumn(grp, shared.spread(groups, key, text))
 
     def first(keys, table):
         shared.trim()
@@ -224,12 +236,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             cuts.append([] if mask is None else np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2).tolist())
             if mask is not None:
                 texts[i] = b" ".join([w for w, m in zip(words, mask) if not m]).decode()
-        names = [n for n in table.column_names if n != "_grp"]
+        names = [n for n in table.column_names if n != grp]
         out = {n: table.column(n) for n in names} | {text: pa.array(texts, table.schema.field(text).type)}
         return pa.table({**out, "n_words": pa.array([len(w) for w in group.words], pa.int64()), "n_removed": pa.array(lost, pa.int64()),
                          "removed": pa.array(cuts, pa.list_(pa.list_(pa.int64())))})
 
-    grouped = base.groupBy("_grp")
+    grouped = base.groupBy(grp)
     anchors = grouped.applyInArrow(first, "grp int, bucket int, asked binary").groupBy("bucket").applyInArrow(_shared_anchors, _REPLY)
     anchors = shared.stored(anchors)
     windows = grouped.cogroup(anchors.groupBy("grp")).applyInArrow(second, "grp int, bucket int, a binary, b binary, least binary")
