@@ -10,7 +10,7 @@ from rillworks.operators.audit import content_checks
 from rillworks.operators.shedding import FULL_SECONDS, HIGH_WATERMARK_BYTES, LOW_WATERMARK_BYTES
 from rillworks.sources import fanout, sinks
 from rillworks.streaming.ledger import ConfigLedger
-from rillworks.streaming.processors import HELD_BYTES, AgentLife, FrameAssembler, LineAssembler, Shedder
+from rillworks.streaming.processors import HELD_BYTES, AgentLife, FirstContents, FrameAssembler, LineAssembler, Shedder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -88,6 +88,18 @@ def first_contents(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return sound.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["topic", "digest"])
 
 
+def duplicate_flags(messages: DataFrame, delay: str = "10 minutes", retention_seconds: int | None = None, shards: int = 64) -> DataFrame:
+    """(topic, partition, offset, duplicate) of accepted messages, by the exact rule of the batch audit: of equal contents of a topic
+    the first by (arrival, partition, offset) is none. A message is judged when the watermark has passed it; only later ones than
+    `delay` are left out. Digests stay for `retention_seconds`, for ever if None. A topic's contents are dealt to `shards`."""
+    sound = content_checks(messages).filter("problem IS NULL AND arrival IS NOT NULL").withWatermark("arrival", delay)
+    rows = sound.select("topic", F.pmod(F.xxhash64("value"), F.lit(shards)).cast("int").alias("shard"), F.col("partition").cast("int").alias("partition"),
+                        F.col("offset").cast("bigint").alias("offset"), F.unix_micros("arrival").alias("us"), F.sha2("value", 256).alias("digest"), "arrival")
+    return rows.groupBy("topic", "shard").transformWithStateInPandas(
+        FirstContents(None if retention_seconds is None else retention_seconds * 1_000_000),
+        "topic string, partition int, offset bigint, duplicate boolean", "append", "eventTime")
+
+
 def late_flags(messages: DataFrame) -> DataFrame:
     """Messages with their lateness flag; late ones are kept."""
     return content_checks(messages)

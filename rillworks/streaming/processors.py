@@ -293,3 +293,50 @@ class AgentLife(StatefulProcessor):
 def _life(rows: list[tuple]) -> Iterator[pd.DataFrame]:
     if rows:
         yield pd.DataFrame(rows, columns=["agent", "event", "us", "info"])
+
+
+class FirstContents(StatefulProcessor):
+    """(topic, partition, offset, duplicate) for rows (topic, shard, partition, offset, us, digest): whether an earlier row has the content.
+
+    A row is judged once the watermark has passed it: until then an earlier one may come. Then nothing before it is missing, so
+    rows are judged in the order of (us, partition, offset) whatever micro-batches they came in. Digests stay for `retention_us` after
+    their first arrival, or for ever."""
+
+    def __init__(self, retention_us: int | None = None):
+        self.retention_us = retention_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us long, partition int, offset long", "digest string")
+        self.seen = handle.getMapState("seen", "digest string", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = -1
+        for frame in rows:
+            for us, partition, offset, digest in frame[["us", "partition", "offset", "digest"]].itertuples(index=False):
+                self.waiting.updateValue((int(us), int(partition), int(offset)), (digest,))
+                last = max(last, int(us))
+        if last >= 0:
+            self.handle.registerTimer(last // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        ripe = sorted((place, value[0]) for place, value in self.waiting.iterator() if place[0] < until)
+        out = []
+        for place, digest in ripe:
+            us, partition, offset = place
+            first = self.seen.getValue((digest,))[0] if self.seen.containsKey((digest,)) else None
+            repeated = first is not None and (self.retention_us is None or us - first <= self.retention_us)
+            if not repeated:
+                self.seen.updateValue((digest,), (us,))
+            self.waiting.removeKey(place)
+            out.append((key[0], partition, offset, repeated))
+        if self.retention_us is not None:
+            for digest in [d for d, value in self.seen.iterator() if value[0] < until - self.retention_us]:
+                self.seen.removeKey(digest)
+        if out:
+            yield pd.DataFrame(out, columns=["topic", "partition", "offset", "duplicate"])
+
+    def close(self) -> None:
+        pass

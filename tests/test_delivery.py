@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_streams import feed, run
 
-from rillworks.operators import metrics, ordered, routing
+from rillworks.operators import audit, metrics, ordered, routing
 from rillworks.operators.ordered import block_of
 from rillworks.sources import fanout
 from rillworks.streaming import jobs
@@ -103,6 +105,32 @@ def test_agents_that_fall_silent_are_told_by_timers(spark, tmp_path, step):
     assert [tuple(r)[:2] for r in metrics.registered(out, "agent").collect()] == [("clock", None)]
 
 
+def test_exact_duplicates_whatever_the_batches(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice("xy"), i % 2, i, 1000 + i // 2, rng.choice(["a", "b", "c", "d", "", None, f"once {i}"])) for i in range(90)]
+    schema = "topic string, partition int, offset bigint, t bigint, value string"
+    dated = lambda df: df.withColumn("arrival", F.timestamp_seconds("t"))
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    stream = feed(spark, tmp_path / "in", mixed, schema, 2)
+    for n, t in ((900, 10**6), (901, 2 * 10**6)):
+        spark.createDataFrame([("clock", 0, n, t, "tick")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = run(jobs.duplicate_flags(dated(stream), "10 minutes", shards=2), tmp_path, "out").filter("topic <> 'clock'")
+    got = sorted((r.topic, r.offset) for r in out.filter("duplicate").collect())
+    want = sorted((r.topic, r.offset) for r in audit.duplicates(dated(spark.createDataFrame(rows, schema))).collect())
+    assert got == want and len(want) > 20
+    assert out.count() == sum(1 for r in rows if r[4])
+    kept = run(jobs.duplicate_flags(dated(stream), "10 minutes", retention_seconds=5, shards=1), tmp_path, "kept").filter("topic <> 'clock'")
+    first, flags = {}, set()
+    for topic, partition, offset, t, value in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if value:
+            if t - first.get((topic, value), -10**9) <= 5:
+                flags.add((topic, offset))
+            else:
+                first[topic, value] = t
+    assert {(r.topic, r.offset) for r in kept.filter("duplicate").collect()} == flags
+
+
 def test_ordered_operators_read_their_input_once(spark, tmp_path):
     spark.range(500).select(F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.col("id").alias("i"), (F.col("id") * 7 % 50).alias("v"), F.lit("unused").alias("w")).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
