@@ -1,6 +1,6 @@
 """Benchmark items in documents, also with other numbers, names and units, in built-in expressions only.
 
-Texts become templates: numbers, names and units turn into typed placeholders, other words are folded. Runs of
+Texts become templates: numbers in digits or words, names and units, also glued to a number, turn into typed placeholders, other words are folded. Runs of
 template words are joined by hash; for the pairs found, the words that stand in an item's slots are lined up
 with the document's, and a pair counts only if equal slot words of the item are equal words of the document.
 """
@@ -27,15 +27,31 @@ UNITS = """mm cm m km in ft yd mi mile miles meter meters metre metres kilometer
  % percent $ € £ ¥ usd eur gbp dollar dollars cent cents euro euros kb mb gb tb""".split()
 
 NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
+#: English number words; tens also take one of the first nine, with or without a hyphen.
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = "zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split()
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&$%+-_/\\~^`=@«»„“”‘’…"
 _AROUND = "\\p{Punct}«»„“”‘’…"
+_WHITE = "\\x20\\x09-\\x0D"
+_BOUNDARY = f"(?=[{_WHITE}{_AROUND}]|$)"
 #: A capital after a word that doesn't end a sentence; a number as a word of its own, perhaps within punctuation; a unit right after one.
 #: Each begins with what is rare and looks back only from there.
-_NAME_AT = "\\p{Lu}(?<=[^\\s.!?:…][\\x20\\x09-\\x0D]\\p{Lu})[^\\x20\\x09-\\x0D]*+"
-_NUMBER_AT = f"[0-9](?<![^\\x20\\x09-\\x0D{_AROUND}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+(?=[\\x20\\x09-\\x0D{_AROUND}]|$)"
+_NAME_AT = f"\\p{{Lu}}(?<=[^\\s.!?:…][{_WHITE}]\\p{{Lu}})[^{_WHITE}]*+"
+_DIGITS = f"[0-9](?<![^{_WHITE}{_AROUND}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+"
+_NUMBER_AT = f"{_DIGITS}{_BOUNDARY}"
+_UNIT = f"(?i:{'|'.join(re.escape(u) for u in UNITS)})"
+_GLUED_AT = f"({_DIGITS})({_UNIT}){_BOUNDARY}"
+_UNIT_AT = f"({NUMBER}[{_WHITE}]){_UNIT}{_BOUNDARY}"
+#: Number words as they stand without punctuation.
+_SPELLED = ONES + TENS + [t + o for t in TENS for o in ONES] + NUMBER_WORDS
 #: Any other word with a capital: it begins a text or sentence or stands behind a quote or bracket, and may be a name.
-_CAPITAL_AT = "\\p{Lu}(?<![^\\x20\\x09-\\x0D]\\p{Lu})[^\\x20\\x09-\\x0D]*+"
-_UNIT_AT = f"(?i)({NUMBER}[\\x20\\x09-\\x0D])(?:{'|'.join(re.escape(u) for u in UNITS)})(?=[\\x20\\x09-\\x0D{_AROUND}]|$)"
+_CAPITAL = "^\\p{Lu}"
+
+
+def spaced(text: Column) -> Column:
+    """The text, NULL as empty, with a space between a number and the unit glued to it."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _GLUED_AT, "$1 $2")
 
 
 def marked(text: Column) -> Column:
@@ -54,23 +70,58 @@ def plain(text: Column) -> Column:
     return F.translate(text, _PUNCTUATION, "")
 
 
-def templates(rows: DataFrame, text: str, with_words: bool = True) -> DataFrame:
+def _plain_words(text: Column) -> Column:
+    """The words of a text without punctuation, by one translation and a split at single spaces."""
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r" + _PUNCTUATION, " " * 5), " "), "")
+
+
+def templates(rows: DataFrame, text: str) -> DataFrame:
     """Adds tokens and named, the words of the template, and words, those of the text in the same places.
 
     Words with a capital that may or may not be names are words in tokens and names in named.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    if not with_words:
-        made = once(rows, _plain=plain(marked(t)))
-        made = once(made, _low=F.lower("_plain"), _named=F.lower(F.regexp_replace("_plain", _CAPITAL_AT, NAME)))
-        made = once(made, tokens=split_words(F.col("_low")), named=split_words(F.col("_named")))
-        return made.drop("_plain", "_low", "_named")
     # one split of the text: placeholders leave its white space, so both arrays have the same places
-    made = once(once(rows, _text_marked=marked(t), _t=t), _marked=F.transform(split_words(F.col("_text_marked")), plain), _raw=split_words(F.col("_t")))
+    made = once(rows, _t=spaced(F.col(text)))
+    made = once(made, _marked=F.transform(split_words(marked(F.col("_t"))), plain), _raw=split_words(F.col("_t")))
     both = F.zip_with("_marked", "_raw", lambda m, w: F.struct(m.alias("m"), F.lower(F.coalesce(F.nullif(plain(w), F.lit("")), w)).alias("w")))
     made = once(made, _both=F.filter(both, lambda x: x["m"] != ""))
-    made = once(made, tokens=F.transform("_both", lambda x: F.lower(x["m"])), named=F.transform("_both", lambda x: F.lower(F.regexp_replace(x["m"], _CAPITAL_AT, NAME))), words=F.col("_both.w"))
-    return made.drop("_text_marked", "_t", "_marked", "_raw", "_both")
+    made = once(made, _low=F.transform("_both", lambda x: F.lower(x["m"])), words=F.col("_both.w"))
+    made = once(made, tokens=_with_number_words("_low"))
+    named = F.zip_with("_both", "tokens", lambda x, t: F.when(x["m"].rlike(_CAPITAL) & (t != NUMBER), NAME).otherwise(t))
+    return once(made, named=named).drop("_t", "_marked", "_raw", "_both", "_low")
+
+
+def _with_number_words(low: str) -> Column:
+    """Words in small letters with placeholders for number words and for units right after one."""
+    before = F.concat(F.array(F.lit("")), F.slice(low, 1, F.greatest(F.size(low) - 1, F.lit(0))))
+    told = F.zip_with(low, before, lambda w, b: F.when(w.isin(_SPELLED), NUMBER).when(b.isin(_SPELLED) & w.isin(UNITS), UNIT).otherwise(w))
+    return F.when(F.size(low) > 0, told).otherwise(F.col(low))
+
+
+def _hashed_templates(rows: DataFrame, text: str) -> DataFrame:
+    """Adds tokens_1 and named_1: the hashes of the words that `templates` gives, without these. named_1 is empty if both readings are the same."""
+    made = once(rows, _words=_plain_words(marked(spaced(F.col(text)))))
+    made = once(made, _low=F.transform("_words", F.lower))
+    made = once(made, _tokens=_with_number_words("_low"))
+    made = once(made, tokens_1=_word_hashes("_tokens"))
+    number, name = F.xxhash64(F.lit(NUMBER)), F.xxhash64(F.lit(NAME))
+    named = F.zip_with("_words", "tokens_1", lambda w, h: F.when(w.rlike(_CAPITAL) & (h != number), name).otherwise(h))
+    named = F.when(F.exists("_words", lambda w: w.rlike(_CAPITAL)), named).otherwise(F.array().cast("array<bigint>"))
+    return once(made, named_1=named).drop("_words", "_low", "_tokens")
+
+
+def _runs(rows: DataFrame, of: str, length: int) -> DataFrame:
+    """Adds {of}_{length}: the hashes of all runs of `length` words, from those of single words in {of}_1.
+
+    A run's hash is that of its two halves' hashes, so the work grows with the logarithm of the length.
+    """
+    if f"{of}_{length}" in rows.columns:
+        return rows
+    left, right = length // 2, length - length // 2
+    rows = _runs(_runs(rows, of, left), of, right)
+    n = F.greatest(F.size(f"{of}_1") - (length - 1), F.lit(0))
+    halves = F.slice(f"{of}_{left}", 1, n), F.slice(f"{of}_{right}", 1 + left, n)
+    return once(rows, **{f"{of}_{length}": F.zip_with(*halves, lambda a, b: F.xxhash64(a, b))})
 
 
 def _starts(words: str, window: int) -> Column:
@@ -78,18 +129,17 @@ def _starts(words: str, window: int) -> Column:
     return F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(tokens: str, window: int) -> Column:
-    """Hashes of all runs of template words."""
-    return F.transform(_starts(tokens, window), lambda i: F.xxhash64(F.slice(tokens, i, window)))
+def _word_hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _exact_windows(words: str, length: int) -> Column:
-    """Hashes of all runs of `length` words as they are, other than those of any template."""
-    return F.transform(_starts(words, length), lambda i: F.xxhash64(F.lit(f"exact {length}"), F.slice(words, i, length)))
+def _exact_hashes(words: str) -> Column:
+    """Hashes of words as they are, other than those of any template."""
+    return F.transform(words, lambda w: F.xxhash64(F.lit("exact"), F.lower(w)))
 
 
 def _exact_words(text: str) -> Column:
-    return split_words(F.lower(plain(F.coalesce(F.col(text), F.lit("")))))
+    return _plain_words(F.coalesce(F.col(text), F.lit("")))
 
 
 def _usable(tokens: Column, window: int) -> Column:
@@ -104,7 +154,12 @@ def items(benchmark: DataFrame, key: str, text: str, window: int) -> DataFrame:
     (reading 2), `window` words each or all if there are fewer; length is that of the runs.
     """
     one = benchmark.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.min(key).alias("item_id"))
-    made = shared.stored(templates(one, "_text").withColumn("exact", _exact_words("_text")).drop("_text"))
+    made = once(once(templates(one, "_text"), tokens_1=_word_hashes("tokens"), named_1=_word_hashes("named"), _exact=_exact_words("_text")), exact_1=_exact_hashes("_exact"))
+    for of in ("tokens", "named"):
+        made = _runs(made, of, window)
+    for n in range(1, window + 1):
+        made = _runs(made, "exact", n)
+    made = shared.stored(made.drop("_text", "_exact"))
 
     def reading(number: int, tokens: str) -> Column:
         def window_at(i: Column) -> Column:
@@ -112,17 +167,17 @@ def items(benchmark: DataFrame, key: str, text: str, window: int) -> DataFrame:
             slots = F.zip_with(run, F.slice("words", i, window), lambda t, w: F.struct(t.alias("t"), w.alias("w")))
             slots = F.transform(slots, lambda s, j: F.struct(j.alias("i"), s["w"].alias("own"), s["t"].startswith("\x01").alias("slot")))
             slots = F.transform(F.filter(slots, lambda s: s["slot"]), lambda s: F.struct(s["i"].alias("i"), s["own"].alias("own")))
-            return F.struct((i - 1).alias("place"), F.lit(number).alias("reading"), F.xxhash64(run).alias("h"), F.xxhash64(F.slice("tokens", i, window)).alias("wid"), slots.alias("slots"), _usable(run, window).alias("usable"))
+            return F.struct((i - 1).alias("place"), F.lit(number).alias("reading"), F.get(f"{tokens}_{window}", i - 1).alias("h"), F.get(f"tokens_{window}", i - 1).alias("wid"), slots.alias("slots"), _usable(run, window).alias("usable"))
         return F.transform(_starts(tokens, window), window_at)
 
     read = made.select("item_id", F.inline(F.concat(reading(0, "tokens"), reading(1, "named")))).filter("usable").drop("usable").withColumn("length", F.lit(window))
     read = read.filter("reading = 0 OR h <> wid")
-    rest = made.join(read.select("item_id").distinct(), "item_id", "left_anti").filter(F.size("exact") > 0)
-    lengths = F.least(F.size("exact"), F.lit(window))
+    rest = made.join(read.select("item_id").distinct(), "item_id", "left_anti").filter(F.size("exact_1") > 0)
+    lengths = F.least(F.size("exact_1"), F.lit(window))
     no_slots = F.array().cast(read.schema["slots"].dataType)
     runs = None
     for n in range(1, window + 1):
-        part = rest.filter(lengths == n).select("item_id", F.posexplode(_exact_windows("exact", n)).alias("place", "h"))
+        part = rest.filter(lengths == n).select("item_id", F.posexplode(f"exact_{n}").alias("place", "h"))
         part = part.select("item_id", "place", F.lit(2).alias("reading"), "h", F.col("h").alias("wid"), no_slots.alias("slots"), F.lit(n).alias("length"))
         runs = part if runs is None else runs.union(part)
     every = read.union(runs)
@@ -162,10 +217,13 @@ def _text_pairs(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str,
     index = shared.stored(items(benchmark, item_key, item_text, window))
     exact = sorted(r[0] for r in index.filter("reading = 2").select("length").distinct().collect())
     rows = docs.select(_text_id(text).alias("id"), F.col(text).alias("_text"))
-    made = templates(rows, "_text", with_words=False)
+    made = _hashed_templates(rows, "_text")
     if exact:
-        made = once(made, _exact=_exact_words("_text"))
-    hashed = made.select("id", F.array_distinct(F.concat(_windows("tokens", window), _windows("named", window), *[_exact_windows("_exact", n) for n in exact])).alias("hs"))
+        made = once(once(made, _exact=_exact_words("_text")), exact_1=_exact_hashes("_exact"))
+    asked = [("tokens", window), ("named", window), *(("exact", n) for n in exact)]
+    for of, n in asked:
+        made = _runs(made, of, n)
+    hashed = made.select("id", F.array_distinct(F.concat(*[f"{of}_{n}" for of, n in asked])).alias("hs"))
     met = hashed.select("id", F.explode("hs").alias("h")).join(index.select("item_id", "h", "wid", "n_windows", (F.col("reading") == 2).alias("exact")).distinct(), "h")
     shares = met.groupBy("id", "item_id").agg((F.countDistinct("wid") / F.first("n_windows")).alias("coverage"), F.first("exact").alias("exact")).filter(F.col("coverage") >= coverage)
     found_pairs = shared.stored(shares)
@@ -174,9 +232,13 @@ def _text_pairs(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str,
 
     # the documents of pairs only are read once more and lined up with their items
     again = rows.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    lined = templates(again, "_text")
-    each = [F.transform(_starts(tokens, window), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, window)).alias("h"), F.slice("words", i, window).alias("others"))) for tokens in ("tokens", "named")]
-    lined = lined.select("id", F.inline(F.concat(*each)))
+    lined = once(templates(again, "_text"), tokens_1=_word_hashes("tokens"), named_1=_word_hashes("named"))
+    lined = _runs(_runs(lined, "tokens", window), "named", window)
+
+    def places(of: str) -> Column:
+        return F.transform(_starts(of, window), lambda i: F.struct((i - 1).alias("at"), F.get(f"{of}_{window}", i - 1).alias("h"), F.slice("words", i, window).alias("others")))
+
+    lined = lined.select("id", F.inline(F.concat(places("tokens"), places("named"))))
     found = lined.join(index.filter("reading < 2"), "h")
     found = found.join(pairs.select("id", "item_id"), ["id", "item_id"], "left_semi")
     slots = F.transform("slots", lambda s: F.struct((F.col("place") + s["i"]).alias("p"), s["own"].alias("own"), F.get("others", s["i"]).alias("other")))

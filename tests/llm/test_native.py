@@ -85,6 +85,32 @@ def test_leaks_behind_free_standing_signs(spark):
     assert pairs(spark, list(enumerate(texts)), [(1, ITEM)]) == {(0, 1), (1, 1)}
 
 
+def test_leaks_with_glued_units_and_number_words(spark):
+    around = " ".join(f"other{i}" for i in range(40))
+    glued = "Along the long river they walked 5km before lunch and then another 12 km until the evening came"
+    spelled = "The old baker waits thirty minutes for the dough and then twenty-five minutes for the bread to cool"
+    items = [(1, glued), (2, spelled)]
+    docs = [(1, f"{around}. {glued.replace('5km', '9 km').replace('12 km', '7km')} {around}"), (2, f"{around}. {spelled.replace('thirty', '45').replace('twenty-five', 'ten')} {around}"),
+            (3, f"{around}. {spelled.replace('thirty minutes', '3h').replace('twenty-five', 'Ninety-one')} {around}"), (4, f"{around} 5km 12 km thirty minutes {around}"), (5, "5km"), (6, "5% of 7km, 3$ (4kg)")]
+    assert pairs(spark, docs, items) == {(1, 1), (2, 2), (3, 2)}
+
+
+def test_window_hashes_are_those_of_templates(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Rates rose by 5 % again. " + ITEM, "one", "", None, "Tom has 5km. Tom's \t twenty-five\x0bdogs - % ΟΔΟΣ", "a b c d e f g", "a b c d e f g h", ITEM * 300]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for length in (1, 3, 8):
+        made = leaks._runs(leaks._runs(leaks._hashed_templates(frame, "t"), "tokens", length), "named", length)
+        want = leaks.templates(frame, "t").withColumn("tokens_1", leaks._word_hashes("tokens")).withColumn("named_1", leaks._word_hashes("named"))
+        want = leaks._runs(leaks._runs(want, "tokens", length), "named", length)
+        for row, other in zip(made.orderBy("t").collect(), want.orderBy("t").collect()):
+            tokens, named = other[f"tokens_{length}"], other[f"named_{length}"]
+            assert row[f"tokens_{length}"] == tokens and len(tokens) == max(0, len(other["tokens"]) - length + 1)
+            assert row[f"named_{length}"] in (named, []) and {*row[f"tokens_{length}"], *row[f"named_{length}"]} == {*tokens, *named}
+    assert leaks._hashed_templates(frame, "t").filter(F.col("tokens_1").isNull()).count() == 0
+
+
 def test_leaks_of_rows_that_share_a_key(spark):
     words, around = ITEM.split(), " ".join(f"other{i}" for i in range(40))
     halves = [f"{around}. {' '.join(words[:12])}", f"{around}. {' '.join(words[12:])}"]
