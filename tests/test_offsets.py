@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rillworks.operators import offsets
@@ -37,6 +38,16 @@ def test_file_changes(spark):
                    "twin1": ("DELETED", None), "twin2": ("DELETED", None), "twin3": ("CREATED", None)}
 
 
+@pytest.mark.parametrize("name", ["content", "digest"])
+def test_a_moved_file_has_its_size_and_a_known_content(spark, name):
+    schema = f"path string, size bigint, mtime bigint, {name} string"
+    old = frame(spark, [("short", 3, 1, "grew"), ("unread", 4, 1, None), ("unsized", None, 1, "x"), ("from", 4, 1, "move")], schema)
+    new = frame(spark, [("long", 4, 1, "grew"), ("unknown", 4, 1, None), ("sizeless", None, 1, "x"), ("to", 4, 1, "move")], schema)
+    find = offsets.file_changes if name == "content" else offsets.listing_changes
+    out = {r.path: (r.event, r.from_path) for r in find(old, new).collect()}
+    assert out == {**{p: ("DELETED", None) for p in ("short", "unread", "unsized")}, **{p: ("CREATED", None) for p in ("long", "unknown", "sizeless")}, "to": ("MOVED", "from")}
+
+
 def test_digests_of_wanted_files_only(spark):
     files = frame(spark, [(str(i), str(i)) for i in range(20)], "path string, content string")
     wanted = frame(spark, [(str(i), "CREATED" if i % 2 else "DELETED") for i in range(5)], "path string, event string")
