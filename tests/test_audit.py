@@ -116,3 +116,10 @@ def test_verdicts_over_a_set_of_runs(spark):
     assert (out["t"].average_throughput, out["t"].peak_throughput) == (0.0, 0.0)
     tests = spark.createDataFrame([("a", "PASS")] * 4 + [("b", "PASS")] * 3 + [("b", "FAIL"), ("c", "FAIL")], "k string, result string")
     assert {r.k: r.tier for r in audit.suite_verdict(audit.result_tally(tests, ["k"])).collect()} == {"a": "good", "b": "mostly_good", "c": "poor"}
+
+
+def test_verdicts_of_single_runs(spark):
+    runs = spark.createDataFrame([("a", 100.0, 3000.0), ("b", 80.0, 1200.0), ("c", 50.0, 900.0)], "run string, success_rate double, throughput double")
+    out = {r.run: (r.advice, r.passed, r.stress_passed, r.tier) for r in audit.verdicts(runs, F.lit(2000.0), 1000.0).collect()}
+    assert out == {"a": ("", True, True, "good"), "b": ("low_success_rate,low_throughput", False, True, "mostly_good"),
+                   "c": ("low_success_rate,low_throughput,peak_below_high_rate", False, False, "poor")}
