@@ -94,14 +94,14 @@ VARIABLES = {"RELAY_ID": "relay.id", "IO_THREADS": "server.io_threads", "MONITOR
 
 
 def config_layers(spark, sf):
-    """Hosts without a file have their variables and the defaults; some have neither file nor variable."""
-    hosts = _hosts(spark, sf)
-    env = hosts.filter("c_custkey % 3 <> 0").select("host", F.inline(F.array(
+    """All files and variables; listed hosts of their own have no file, half of them no variable either."""
+    filed = _hosts(spark, sf)
+    bare = filed.filter("c_custkey % 10 = 0").select(F.concat("host", F.lit("-new")).alias("host"), "c_custkey")
+    env = filed.unionByName(bare.filter("c_custkey % 20 = 0")).select("host", F.inline(F.array(
         F.struct(F.lit("IO_THREADS").alias("name"), F.when(F.col("c_custkey") % 4 == 0, "16").alias("value")),
         F.struct(F.lit("RELAY_ID").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise("r-env").alias("value")),
         F.struct(F.lit("HOME").alias("name"), F.lit("/root").alias("value")))))
-    files = settings.parse_properties(view(spark, sf, "v_prop_files").filter("c_custkey % 10 <> 0"), "host", "content")
-    return settings.effective(env, files, "host", VARIABLES, DEFAULTS, hosts)
+    return settings.effective(env, _settings(spark, sf), "host", VARIABLES, DEFAULTS, bare)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -173,9 +173,11 @@ SELECT host, 'kafka' AS kind, 'kc-' || c_nationkey AS cluster_id, '3.x' AS versi
   'compression.type=snappy' AS options FROM wide
 UNION ALL SELECT host, 'rabbitmq', 'rb-1', NULL, 'rabbit1:5672', '' FROM wide""",
     "config_layers": _SETTINGS + ", defaults(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in DEFAULTS.items()) + """),
-env AS (SELECT host, 'server.io_threads' AS key, '16' AS value FROM wide WHERE c_custkey % 4 = 0 AND c_custkey % 3 <> 0
-  UNION ALL SELECT host, 'relay.id', 'r-env' FROM wide WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0),
-layered AS (SELECT host, key, value, 'env' AS layer, 1 AS r FROM env UNION ALL SELECT host, key, value, 'file', 2 FROM kv WHERE c_custkey % 10 <> 0
-  UNION ALL SELECT host, d.key, d.value, 'default', 3 FROM wide, defaults d)
+env AS (SELECT host, 'server.io_threads' AS key, '16' AS value FROM wide WHERE c_custkey % 4 = 0
+  UNION ALL SELECT host, 'relay.id', 'r-env' FROM wide WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT host || '-new', 'server.io_threads', '16' FROM wide WHERE c_custkey % 20 = 0),
+layered AS (SELECT host, key, value, 'env' AS layer, 1 AS r FROM env UNION ALL SELECT host, key, value, 'file', 2 FROM kv
+  UNION ALL SELECT host, d.key, d.value, 'default', 3 FROM wide, defaults d
+  UNION ALL SELECT host || '-new', d.key, d.value, 'default', 3 FROM wide, defaults d WHERE c_custkey % 10 = 0)
 SELECT host, key, arg_min(value, r) AS value, arg_min(layer, r) AS layer FROM layered GROUP BY host, key""",
 }

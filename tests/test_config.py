@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillworks.operators import settings, tasks
+from rillworks.plans import config_queries
 
 
 def docs(spark, *values):
@@ -100,3 +101,15 @@ def test_typed_settings_of_absent_keys_and_hosts(spark):
     assert (out["a"].n, out["a"].f, out["a"].t, out["a"].l, out["a"]["p."]) == (12, True, "d", [], {"x": "1", "y": "2"})
     assert (out["b"].n, out["b"].f, out["b"]["p."]) == (8, False, {})
     assert (out["bare"].n, out["bare"].f, out["bare"].t, out["bare"].l) == (8, True, "d", [])
+
+
+def test_layers_of_all_files_and_variables(spark):
+    rows = {(r.host, r.key): (r.value, r.layer) for r in config_queries.config_layers(spark, "/root/testdata/sf0.001").collect()}
+    customers = [(r.c_custkey, r.c_name) for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", "c_name").collect()]
+    assert {h for h, _ in rows} == {n for _, n in customers} | {f"{n}-new" for k, n in customers if k % 10 == 0}
+    for k, host in customers:
+        assert rows[host, "zookeeper.hosts"][1] == "file"
+        assert rows[host, "relay.id"] == ((f"relay-{k}", "file") if k % 5 == 0 else ("r-env", "env"))
+        if k % 10 == 0:
+            assert rows[f"{host}-new", "relay.id"] == ("relay-001", "default")
+            assert rows[f"{host}-new", "server.io_threads"] == (("16", "env") if k % 20 == 0 else ("8", "default"))
