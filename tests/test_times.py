@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillworks.operators import logparse, metrics
 from rillworks.operators.ordered import block_of, neighbour, running
+from rillworks.plans import bridge
 
 
 def beats(spark, n=300):
@@ -78,3 +79,14 @@ def test_status_of_quiet_intervals(spark):
 def test_lines_of_nothing(spark):
     gauge = spark.createDataFrame([], "relay string, seq bigint, ts timestamp, active bigint")
     assert metrics.status_rows(gauge, "relay", "ts", ["seq"]).count() == 0
+
+
+def test_large_tables_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(bridge, "TASK_ROWS", 100)
+    try:
+        assert bridge.spread(spark.range(1000, numPartitions=8)).rdd.getNumPartitions() == 10
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "10"
+        assert bridge.spread(spark.range(50, numPartitions=1)).rdd.getNumPartitions() == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
