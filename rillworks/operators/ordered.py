@@ -3,7 +3,8 @@
 One file, session or relay may hold a large share of all rows, so a window over the key alone would
 sort that share in a single task. Here each key is cut into blocks that follow the order: a window runs
 inside (key, block), one small row per block is combined over the key, and the two are joined on
-(key, block), which the rows are already partitioned by.
+(key, block), which the rows are already partitioned by. There may be many blocks, so they are never
+broadcast whatever size Spark takes them for.
 
 `block` must not decrease along the order (blocks whose first order column overlaps fail the job), and
 keys must not be NULL.
@@ -63,13 +64,18 @@ def _total(kind: str, value: Column, order: list[str]) -> Column:
     return _AT_END[kind](value, F.when(value.isNotNull(), F.struct(*order))) if kind in _AT_END else _COMBINE[kind][0](value)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions. Given as a number it is kept: what one task holds is not added up to fewer tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _placed(df: DataFrame, part: list[str], block: Column) -> tuple[DataFrame, Column]:
     """Rows by (key, block), and a hash of all their columns (maps have none; with them the input is read twice).
 
     Rows and block totals both start from this one exchange. They share it only if both need the same columns of it,
     so each has a condition on the hash that always holds. Give rows without columns that aren't needed."""
     known = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in part])  # Spark would add it to one of the two
-    placed = df.withColumn(BLOCK, block).filter(known).repartition(*part)
+    placed = df.withColumn(BLOCK, block).filter(known).repartition(shuffle_partitions(df), *part)
     hashable = [f.name for f in placed.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     return placed, F.xxhash64(*hashable)
 
@@ -103,7 +109,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     totals = tagged.groupBy(*part).agg(F.bit_xor(hashed).alias("_sum"), *_bounds(order), *[_total(k, v, order).alias(f"_of_{n}") for n, (k, v) in values.items()])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, _checked_block(keys).alias(BLOCK), *[_COMBINE[k][0](f"_of_{n}").over(before).alias(f"_at_{n}") for n, (k, _) in values.items()])
-    return rows.join(starts, part).select(
+    return rows.join(starts.hint("merge"), part).select(
         *df.columns, *[_COMBINE[k][1](F.col(f"_in_{n}"), F.col(f"_at_{n}")).alias(n) for n, (k, _) in values.items()])
 
 
@@ -124,4 +130,4 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str
     edges = tagged.groupBy(*part).agg(F.bit_xor(hashed).alias("_sum"), *_bounds(order), edge(packed, F.struct(*order)).alias("_edge"))
     far = edges.select(*keys, _checked_block(keys).alias(BLOCK), shift("_edge").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_far"))
     found = F.coalesce("_near", "_far")
-    return rows.join(far, part).select(*df.columns, *[found.getField(n).alias(n) for n in values])
+    return rows.join(far.hint("merge"), part).select(*df.columns, *[found.getField(n).alias(n) for n in values])

@@ -51,3 +51,10 @@ def test_running_extremes(spark, bits):
         if v % 2:
             before.append(v)
     assert {r.i: (r.lo, r.hi) for r in out.collect()} == want
+
+
+def test_blocks_are_not_broadcast(spark):
+    df = spark.createDataFrame(rows_with_hot_key(), "k string, i bigint, v bigint")
+    for out in (running_sums(df, ["k"], ["i"], {"s": F.col("v")}, block_of("i", 3)), neighbour(df, ["k"], ["i"], {"n": F.col("v")}, block_of("i", 3))):
+        out.collect()
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
