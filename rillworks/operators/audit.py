@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillworks.functions import jsontext
 from rillworks.operators.offsets import cut_by_share
+from rillworks.operators.ordered import shuffle_partitions
 from rillworks.functions.once import once
 from rillworks.functions.clock import iso_instant
 from rillworks.model import LATE_SECONDS, MAX_MESSAGE_CHARS, PASS_RATE, REQUIRED_FIELDS
@@ -72,13 +73,14 @@ def classify(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     its unique position, and both uses below take all of its columns so that they share that one
     exchange. First arrivals are found by a partial aggregation per task, so a content that makes up
     a large share of the rows is reduced before it is shuffled, and rows meet the first arrivals on
-    the position, never on the content.
+    the position, never on the content. There are about as many first arrivals as messages, so they are never
+    broadcast: the size of the files says little about them.
     """
     carried = [c for c in keep or [] if c not in POSITION]
     checked = content_checks(messages)
     digest = F.when(F.col("problem").isNull(), F.sha2("value", 256)).alias("digest")
     flags = ["problem", "oversize", "late", *[c for c in carried if c != "arrival"]]
-    placed = checked.select(*POSITION, "arrival", *flags, digest).repartition(*POSITION)
+    placed = checked.select(*POSITION, "arrival", *flags, digest).repartition(shuffle_partitions(messages), *POSITION)
 
     order = F.struct("arrival", "partition", "offset", *flags, "topic")
     firsts = (
@@ -87,14 +89,15 @@ def classify(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
         .filter(F.col("_p").isNotNull())
         .select(*[F.col(f"_p.{c}").alias(c) for c in POSITION], F.lit(True).alias("_first"))
     )
-    repeats = F.col("_first").isNull() & F.col("arrival").isNotNull() & F.col("digest").isNotNull()
+    whole = F.xxhash64("arrival", *flags, "digest").bitwiseOR(F.lit(1)) != 0  # always true: a caller that drops columns reads the exchange too
+    repeats = F.col("_first").isNull() & F.col("digest").isNotNull() & whole
     reason = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(repeats, "duplicate")
         .when(F.col("oversize"), "oversize")
         .otherwise("valid")
     )
-    return placed.join(firsts, POSITION, "left").select(
+    return placed.join(firsts.hint("merge"), POSITION, "left").select(
         *POSITION, *carried, "late", reason.alias("reason"))
 
 

@@ -123,3 +123,11 @@ def test_verdicts_of_single_runs(spark):
     out = {r.run: (r.advice, r.passed, r.stress_passed, r.tier) for r in audit.verdicts(runs, F.lit(2000.0), 1000.0).collect()}
     assert out == {"a": ("", True, True, "good"), "b": ("low_success_rate,low_throughput", False, True, "mostly_good"),
                    "c": ("low_success_rate,low_throughput,peak_below_high_rate", False, False, "poor")}
+
+
+def test_first_arrivals_are_not_broadcast_and_dropped_columns_cost_no_second_read(spark):
+    rows = messages(spark, ["a", "b", "a"])
+    for out in (audit.classify(rows).drop("late"), audit.duplicates(rows), audit.error_breakdown(audit.classify(rows), ["topic"])):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "ReusedExchange" in plan
