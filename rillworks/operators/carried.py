@@ -1,5 +1,6 @@
 """Ordered walks over rows in Python, with only a small state carried from row to row."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -29,6 +30,14 @@ def as_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
         yield _batch(held, schema)
 
 
+def give_back() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on through later stages and hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from rillworks.operators.carried import as_batches, rows_of
+from rillworks.operators.carried import BATCH_BYTES, as_batches, give_back, rows_of
 
 
 def codec_name(column: Column) -> Column:
@@ -62,23 +62,31 @@ def _inflate(codec: str, data: bytes, level: int, snappy, most: int | None) -> b
 
 
 def _apply(step, codec_col: str, data_col: str, level: int):
+    """Rows leave in batches of about BATCH_BYTES of payloads and outputs, so that memory follows these and not the batches that come in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         snappy = pa.Codec("snappy")
         for batch in batches:
             out: list[bytes | None] = []
             reasons: list[str | None] = []
-            for codec, data in zip(batch.column(codec_col).to_pylist(), batch.column(data_col).to_pylist()):
-                result, reason = None, None
+            codecs, payloads, start, size = batch.column(codec_col), batch.column(data_col), 0, 0
+            for i in range(batch.num_rows):
+                data, result, reason = payloads[i].as_py(), None, None
                 try:
-                    result = None if data is None else step(codec, data, level, snappy)
+                    result = None if data is None else step(codecs[i].as_py(), data, level, snappy)
                 except _TooLarge:
                     reason = "too_large"
                 except (ValueError, OSError, zlib.error):
                     reason = "damaged"
                 out.append(result)
                 reasons.append(reason)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.binary()), pa.array(reasons, pa.string())], names=[*batch.schema.names, "output", "output_reason"])
+                size += len(data or b"") + len(result or b"")
+                if size > BATCH_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(start, len(out))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(out, pa.binary()), pa.array(reasons, pa.string())], names=[*batch.schema.names, "output", "output_reason"])
+                    start, size, out, reasons = i + 1, 0, [], []
+        give_back()
 
     return run
 

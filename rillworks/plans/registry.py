@@ -4,13 +4,16 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillworks.operators.carried import BATCH_BYTES
+
 _MODULES = ["audit_queries", "frame_queries", "offset_queries", "metric_queries", "config_queries", "log_queries"]
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the results depend on."""
+    """Session settings the results depend on, and the size of what a Python worker gets at once."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def _prepared(query):

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,12 @@ def test_zeros_take_no_memory_of_their_size():
     assert sum(len(p) for p in codecs._parts("ZLIB", packed, 1 << 20, None)) == 64 << 20
     assert tracemalloc.get_traced_memory()[1] < 4 << 20
     tracemalloc.stop()
+
+
+def test_codecs_give_out_rows_in_batches_of_bounded_size():
+    data = [b"a" * (3 << 20), None, b""] * 5
+    whole = pa.RecordBatch.from_pydict({"id": list(range(15)), "codec": ["NONE"] * 15, "p": data})
+    parts = list(codecs._apply(codecs._deflate, "codec", "p", 6)(iter([whole, whole.slice(0, 0)])))
+    assert len(parts) > 2 and max(p.nbytes for p in parts) < 32 << 20
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(15))
+    assert [x for p in parts for x in p.column("output").to_pylist()] == data
