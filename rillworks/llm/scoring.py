@@ -1,6 +1,7 @@
 """Log probabilities of texts: a smoothed word unigram, and a causal self-attention model over subword ids.
 
-The attention model is one layer of masked self-attention, trained in numpy. It predicts the class of the next
+The attention model is one layer of masked self-attention, trained in numpy: a start on few texts, then one pass in which
+each task goes on with its share of all training texts, every id a target once; the weights are averaged. It predicts the class of the next
 id; classes are bands of ids of equal frequency, and within a class an id has its share in the corpus. Texts
 are scored in overlapping windows, each id once, with at least `OVERLAP` ids of context but at the beginning.
 """
@@ -28,6 +29,8 @@ FREQUENT = 2048
 SAMPLE_DOCS = 800
 SAMPLE_WINDOWS = 32
 SMOOTHING = 0.1
+#: Groups of tasks whose weights are added up before the driver gets them.
+AVERAGED = 16
 GROUPS_PER_PARTITION = 4
 _BATCH = 1024
 
@@ -180,14 +183,47 @@ def train(model: Model, sequences: list[np.ndarray], rounds: int = 4, batch: int
                 model.w[name] = (model.w[name] - rate * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def _gradients(model: Model, rows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+class Pass:
+    """One pass of Adam over the ids of whole texts, begun at the weights of `model`; `n` counts the ids."""
+
+    def __init__(self, model: Model, rate: float = 0.003, batch: int = 256):
+        self.model, self.rate, self.batch = Model(model.band, model.share, model.row, {k: v.copy() for k, v in model.w.items()}), rate, batch
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
+        self.n = self.t = 0
+
+    def learn(self, texts: list[np.ndarray]) -> None:
+        """Windows stand side by side; the places behind the end of a text count for nothing."""
+        model, w = self.model, self.model.w
+        sizes = np.array([len(t) for t in texts])
+        ids = np.concatenate(texts).astype(np.int64)
+        rows = np.concatenate([[model.begin], model.row[ids[:-1]]])
+        rows[np.cumsum(sizes) - sizes] = model.begin
+        limit = np.repeat(np.cumsum(sizes), sizes)
+        at, _ = windows(sizes, WINDOW, 0)
+        for i in range(0, len(at), self.batch):
+            place = at[i:i + self.batch, None] + np.arange(WINDOW)
+            inside = place < limit[at[i:i + self.batch], None]
+            place = np.minimum(place, len(ids) - 1)
+            self.t += 1
+            for name, g in _gradients(model, rows[place], model.band[ids[place]], inside).items():
+                self.first[name] += np.float32(0.1) * (g - self.first[name])
+                self.second[name] += np.float32(0.001) * (g * g - self.second[name])
+                step = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+                w[name] = (w[name] - step * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
+        self.n += len(ids)
+
+
+def _gradients(model: Model, rows: np.ndarray, target: np.ndarray, counted: np.ndarray | None = None) -> dict[str, np.ndarray]:
     w = model.w
     logits, (x, q, k, v, a, c, h) = model.forward(rows)
     logits = logits - logits.max(axis=2, keepdims=True)
     d = np.exp(logits)
     d /= d.sum(axis=2, keepdims=True)
     np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], 2) - 1, 2)
-    d /= target.size
+    if counted is None:
+        d /= target.size
+    else:
+        d *= (counted / counted.sum()).astype(d.dtype)[..., None]
     flat = lambda y: y.reshape(-1, y.shape[-1])
     g = {"u": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
     dx = (d @ w["u"].T) * (1 - h * h)
@@ -201,49 +237,83 @@ def _gradients(model: Model, rows: np.ndarray, target: np.ndarray) -> dict[str,
     dx = dx + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
     g["p"] = np.zeros_like(w["p"])
     g["p"][:rows.shape[1]] = dx.sum(axis=0)
-    g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], rows.reshape(-1), flat(dx))
+    g["e"] = np.stack([np.bincount(rows.reshape(-1), x, len(w["e"])) for x in flat(dx).T], axis=1).astype(w["e"].dtype)
     return g
 
 
 def fit(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
-    """Counts the ids of all rows that `learn` marks, and trains on a bounded sample of them.
+    """Fits the model to all rows that `learn` marks: counts of all ids, and weights trained on all texts.
 
-    The counts (one per id of the vocabulary) are summed over tasks. The sample is the `sample_docs` keys with
-    the least hashes, and of each whole text at most `sample_windows` windows, evenly spread.
+    Ids are cut once and stored; the counts (one per id of the vocabulary) are summed over tasks. The common start of the
+    weights comes from the `sample_docs` keys with the least hashes, and of each of these texts at most `sample_windows` windows,
+    evenly spread. From there each task trains on all of its texts, and the weights of the tasks are averaged by their ids, within
+    AVERAGED groups of tasks first, so that the driver gets that many at most.
     """
     rows = docs.filter(learn).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = "<u2" if subwords.end < 1 << 16 else "<u4"
+
+    def cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.slices(batches):
+            ids = [subwords.ids(t).astype(kind).tobytes() for t in raw(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
+
+    def lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x, kind).astype(np.int64) for x in batch.column("ids").to_pylist()]
+
+    cut_rows = shared.stored(rows.mapInArrow(cut_ids, f"key {rows.schema['key'].dataType.simpleString()}, ids binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(subwords.end + 1, np.int64)
-        for b in batches:
-            for t in raw(b.column(0)):
-                np.add.at(total, subwords.ids(t), 1)
+        for b in shared.slices(batches):
+            total += np.bincount(np.concatenate(lists(b)), minlength=subwords.end + 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    sums = cut_rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(subwords.end + 1)
     for r in sums:
         counts[r["id"]] = r["n"]
     model = Model.of_counts(counts)
-    chosen = rows.select("key").filter("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_docs)
+    chosen = cut_rows.select("key").filter("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_docs)
     row, band, begin = model.row, model.band, model.begin
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in raw(b.column("text")):
-                ids = subwords.ids(t)
+        for b in shared.slices(batches):
+            for ids in lists(b):
                 inputs = np.concatenate([[begin], row[ids[:-1]]])
                 starts = np.unique(np.linspace(0, max(0, len(ids) - WINDOW), sample_windows).astype(np.int64))
                 found = [np.stack([inputs[s:s + WINDOW], band[ids[s:s + WINDOW]]]).astype("<i4").tobytes() for s in starts]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
 
-    got = sorted(bytes(r["w"]) for r in rows.join(F.broadcast(chosen), "key").mapInArrow(cut, "w binary").collect())
+    got = sorted(bytes(r["w"]) for r in cut_rows.join(F.broadcast(chosen), "key").mapInArrow(cut, "w binary").collect())
     train(model, [np.frombuffer(g, "<i4").reshape(2, -1).astype(np.int64) for g in got])
+    begun = docs.sparkSession.sparkContext.broadcast(model)
+    names = list(model.w)
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = Pass(begun.value)
+        for b in shared.slices(batches):
+            run.learn(lists(b))
+        if run.n:
+            yield _weights([(np.concatenate([run.model.w[k].reshape(-1) for k in names]) * np.float64(run.n)).astype("<f8")], [run.n])
+
+    def added(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("n").to_pylist(), table.column("w").to_pylist()))
+        return pa.Table.from_batches([_weights([sum(np.frombuffer(w, "<f8") for _, w in parts)], [sum(n for n, _ in parts)])])
+
+    tasks = cut_rows.select("ids").mapInArrow(learned, "n long, w binary").withColumn("grp", F.pmod(F.spark_partition_id(), F.lit(AVERAGED)))
+    groups = sorted((r["n"], bytes(r["w"])) for r in tasks.groupBy("grp").applyInArrow(lambda t: added(t), "n long, w binary").collect())
+    if groups:
+        mean = sum(np.frombuffer(w, "<f8") for _, w in groups) / sum(n for n, _ in groups)
+        for name, part in zip(names, np.split(mean, np.cumsum([model.w[k].size for k in names])[:-1])):
+            model.w[name] = part.reshape(model.w[name].shape).astype(np.float32)
     return model
 
 
+def _weights(weights: list[np.ndarray], n: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([w.tobytes() for w in weights], pa.binary())], ["n", "w"])
+
+
 def _ask(keys, table):
     words = [words_of(t and t.translate(LOWER)) for t in raw(table.column("_text"))]
     learn = np.repeat(table.column("_learn").to_numpy(), [len(w) for w in words])

@@ -85,3 +85,27 @@ def test_base_scores_and_a_model_that_learns(spark):
     assert sum(model.score(held)) > 0.95 * sum(untrained.score(held)) and sum(untrained.score(held)) < -1000
     assert scoring.scores(docs.limit(0), learn, SUBWORDS, model).count() == 0
     assert docs.agg(F.count("*")).first()[0] == len(got)
+
+
+def test_weights_learn_from_all_texts(spark, monkeypatch):
+    """Texts that are not in the sample of the start, short ones too, change the weights."""
+    common, other = "the and of to in a is that it was for on are as with his they at be this", "0 1 2 3 4 5 6 7 8 9"
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = []
+    for n in (1, 2, 40):
+        docs = frame([common] * 3 + [other] * 3 * n)
+        monkeypatch.setattr(scoring.Model, "of_counts", classmethod(lambda cls, counts, seed=11, real=scoring.Model.of_counts.__func__: real(cls, np.ones(SUBWORDS.end + 1), seed)))
+        got.append(scoring.fit(docs, F.lit(True), SUBWORDS, sample_docs=1))
+        monkeypatch.undo()
+    ids = [SUBWORDS.ids(other.encode())]
+    scores = [float(m.score(ids)[0]) for m in got]
+    assert scores[0] != scores[1] != scores[2] and len(ids[0]) < scoring.WINDOW
+
+
+def test_a_pass_counts_each_id_once():
+    rng = np.random.default_rng(3)
+    model = scoring.Model.of_counts(rng.integers(0, 50, 3000).astype(float))
+    texts = [rng.integers(0, 40, n) for n in (1, 31, 32, 33, 200)] * 40
+    run = scoring.Pass(model)
+    run.learn(texts)
+    assert run.n == sum(map(len, texts)) and run.model.score(texts).sum() > model.score(texts).sum()
