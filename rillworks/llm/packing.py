@@ -17,7 +17,7 @@ from rillworks.llm.tokens import encoder
 
 CAPACITY = 2048
 GROUP = 8192
-_BATCH = 256
+_BATCH = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, cuts: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:

@@ -23,7 +23,7 @@ from rillworks.llm.tokens import encoder
 MAGIC = b"RWID"
 VERSION = 1
 FRAME_IDS = 1 << 22
-_BATCH = 256
+_BATCH = 2048
 _HEAD = struct.Struct("<4sHHIQQQ")
 _CRC = struct.Struct("<I")
 

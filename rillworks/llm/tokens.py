@@ -1,7 +1,9 @@
-"""Token ids of whole texts by a public tokenizer's file, with a cache of words.
+"""Token ids of whole texts by a public tokenizer's file, with a cache of pieces.
 
 Texts are cut where the tokenizer never joins what stands on both sides, so the ids of the pieces, one
-after the other, are the ids of the text; frequent pieces are encoded once.
+after the other, are the ids of the text; frequent pieces are encoded once. Each different word of some texts is looked up once,
+as two pieces if it is letters and punctuation behind them: new words are mostly known letters with other punctuation.
+New pieces are encoded many at a time.
 """
 
 from __future__ import annotations
@@ -12,14 +14,34 @@ import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: How texts may be cut. `before_space`: byte-level BPE whose pieces take one space in front; `white_space`: white space is dropped; `whole`: not at all.
 CUTS = ("before_space", "white_space", "whole")
-CACHED_WORDS = 1 << 19
+#: Pieces in the cache, and bytes of known words with their ids, at which either is begun anew.
+CACHED_PIECES = 3 << 17
+CACHED_BYTES = 1 << 25
 CACHED_LENGTH = 64
+_TOGETHER = 256
+#: Texts are cut into words so many characters at a time.
+_CHARS = 1 << 22
+
+
+#: A text with none of these, and without spaces or line feeds next to each other or at its ends, may be cut before each.
+_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+_WIDE = re.compile("[^\0-\xff]")
+#: Letters of Latin-1 and the ASCII punctuation behind them but for the apostrophe, which begins contractions; else the whole word.
+_STEMS = re.compile("(?:(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++)([!-&(-/:-@\\[-`{-~]*+)|([^ ]*)) ").findall
+#: Stands between pieces that are encoded together.
+_SEPARATORS = {"before_space": "\n", "white_space": " \x01 ", "whole": ""}
+#: The pre-tokenizer has to cut these as given before stems stand apart.
+_CUT_AS = {"ab": ["ab"], "Ab,-": ["Ab", ",-"], "\xe9\xdfX_[]": ["\xe9\xdfX", "_[]"], "a<|": ["a", "<|"]}
 
 
-#: A text with none of these has single spaces and line feeds between other characters only: it may be cut before each.
-_UNSAFE = re.compile("^[ \n]|[ \n]{2}|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+def _safe(t: str) -> bool:
+    return not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or _ODD.search(t))
 
 
 class Encoder:
@@ -33,12 +55,23 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         resize = getattr(self._tokenizer.model, "_resize_cache", None)
-        if resize:  # words are cached here; the library's own cache only costs time for words seen once
+        if resize:  # pieces are cached here; the library's own cache only costs time for words seen once
             resize(0)
         self._cuts = cuts
-        self._inner: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
-        self._long: list[tuple[dict, str]] = []
+        self._cache: dict[str, bytes] = {"": b""}
+        self._known, self._known_ids, self._known_at = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        if cuts == "whole":
+            return
+        cut = self._tokenizer.pre_tokenizer
+        self._apart = cut is not None and all([t[i:j] for _, (i, j) in cut.pre_tokenize_str(t)] == parts for t, parts in _CUT_AS.items())
+        self._space = " " if cuts == "before_space" else ""
+        self._feed = self._one("\n") if self._space else b""
+        self._separator = _SEPARATORS[cuts]
+        mark = self._tokenizer.encode(self._separator, None, False, False).ids
+        self._mark = mark[0] if len(mark) == 1 else None
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        #: Whether small and capital letters have the same ids.
+        self._lower = self._one("aB\xc9") == self._one("ab\xe9") == self._one("AB\xe9")
 
     @property
     def vocabulary(self) -> int:
@@ -50,15 +83,80 @@ class Encoder:
             ids.byteswap()
         return ids.tobytes()
 
-    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> None:
-        """Encodes the words that the cache lacks, each behind the prefix unless it begins with a line feed."""
-        if len(cache) > CACHED_WORDS:
+    def _small(self, t: str) -> str:
+        """The text with small letters, where that has the same ids: not if special strings come about, which are found before."""
+        if _WIDE.search(t):
+            return t
+        small = t.lower()
+        return t if any(x in small for x in self._special) else small
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes pieces that the cache lacks, many in one call with a piece of one known id between them."""
+        cache = self._cache
+        alone = [p for p in pieces if self._mark is None or "\n" in p or "\x01" in p or "<" in p]
+        for p in alone:
+            cache[p] = self._one(p)
+        together = list(pieces.difference(alone))
+        for i in range(0, len(together), _TOGETHER):
+            part = together[i:i + _TOGETHER]
+            ids = np.array(self._tokenizer.encode_batch_fast([self._separator.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            marks = np.flatnonzero(ids == self._mark).tolist()
+            if len(marks) != len(part) - 1:
+                cache.update((p, self._one(p)) for p in part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, [*marks, len(ids)]):
+                cache[p] = raw[4 * at:4 * end]
+                at = end + 1
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, each behind a space where words take one, unless it begins with a line feed."""
+        cache, space = self._cache, self._space
+        rows = _STEMS(" ".join(words) + " ") if self._apart else [("", "", "", w) for w in words]
+        if space:
+            heads = [(stem if feed else " " + stem) if stem else other if other[0] == "\n" else " " + other for feed, stem, _, other in rows]
+        else:
+            heads = [stem or other for _, stem, _, other in rows]
+        if len(cache) > CACHED_PIECES:
             cache.clear()
-        encode = self._one
-        for w in words.difference(cache):
-            cache[w] = encode(w if w[:1] == "\n" else prefix + w)
-            if len(w) > CACHED_LENGTH:
-                self._long.append((cache, w))
+            cache[""] = b""
+        pieces = {*heads, *[tail for _, _, tail, _ in rows]}.difference(cache)
+        self._learn(pieces)
+        out = [(self._feed if row[0] else b"") + cache[head] + cache[row[2]] for row, head in zip(rows, heads, strict=True)]
+        for p in pieces:
+            if len(p) > CACHED_LENGTH:
+                del cache[p]
+        return out
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of different words begin in `_known_ids`, and how many they are; words not known yet are added."""
+        if self._known.nbytes + self._known_ids.nbytes > CACHED_BYTES:
+            self._known, self._known_ids, self._known_at = self._known[:0], self._known_ids[:0], self._known_at[:1]
+        at = pc.index_in(words, value_set=self._known)
+        missing = at.is_null()
+        new = words.filter(missing)
+        ids = self._words(new.to_pylist()) if len(new) else []
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[missing.to_numpy(zero_copy_only=False)] = len(self._known) + np.arange(len(new))
+        self._known = pa.concat_arrays([self._known, new])
+        self._known_at = np.concatenate([self._known_at, self._known_at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+        self._known_ids = np.concatenate([self._known_ids, np.frombuffer(b"".join(ids), "<u4")])
+        return self._known_at[place], self._known_at[place + 1] - self._known_at[place]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut at their spaces. A line feed is put in front of each where it has ids of its own, and left out again."""
+        spaced = ["\n" + t.replace("\n", " \n") if self._space else t.replace("\n", " ") for t in texts]
+        lists = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()
+        start, size = self._places(words.dictionary)
+        code = words.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        from_ = np.repeat((start[code] - (ends - n)).astype(np.int32), n)
+        from_ += np.arange(len(from_), dtype=np.int32)
+        raw = self._known_ids[from_].tobytes()
+        edges = 4 * np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return [raw[a + len(self._feed):z] for a, z in zip(edges.tolist(), edges[1:].tolist())]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; NULL has none."""
@@ -66,18 +164,20 @@ class Encoder:
         if self._cuts == "whole":
             return [self._one(t) for t in texts]
         if self._cuts == "white_space":
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self._inner, set().union(*parts), "")
-            out = [b"".join(map(self._inner.__getitem__, p)) for p in parts]
+            out: list[bytes | None] = [None] * len(texts)
+            if self._lower:
+                texts = list(map(self._small, texts))
         else:
-            parts = [t.replace("\n", " \n").split(" ") if t and not _UNSAFE.search(t) else None for t in texts]
-            self._learn(self._first, {p[0] for p in parts if p}, "")
-            self._learn(self._inner, set().union(*(p[1:] for p in parts if p)), " ")
-            inner = self._inner.__getitem__
-            out = [self._one(t) if p is None else self._first[p[0]] + b"".join(map(inner, p[1:])) for t, p in zip(texts, parts)]
-        for cache, w in self._long:
-            cache.pop(w, None)
-        self._long.clear()
+            out = [None if t and _safe(t) else self._one(t) for t in texts]
+        part, chars = [], 0
+        for i, x in enumerate([*out, None]):
+            if part and (i == len(out) or chars > _CHARS):
+                for j, ids in zip(part, self._cut([texts[j] for j in part])):
+                    out[j] = ids
+                part, chars = [], 0
+            if i < len(out) and x is None:
+                part.append(i)
+                chars += len(texts[i])
         return out
 
 

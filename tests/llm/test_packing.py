@@ -27,6 +27,26 @@ def test_cached_ids_are_the_ids_of_whole_texts(spark, name, cuts):
     assert encoder.encode([None]) == [b""]
 
 
+@pytest.mark.parametrize("name, cuts", [("byte_bpe_50k.json", "before_space"), ("word_bpe_49k.json", "white_space")])
+def test_new_words_take_few_calls_of_the_tokenizer(name, cuts):
+    """Letters are encoded once, whatever punctuation is behind them, and new ones many in one call."""
+    stems = ["".join(x) for x in product("aQz", "eé", "rn", "ßt", "iou")]
+    marks = ["", ".", ",%%%", "...", "<|", "_-", "'s", "'", "9"]
+    texts = [" ".join(s + m + ("\n" + s if i % 5 == 0 else "") for i, s in enumerate(stems)) for m in marks] + [" ".join(marks[1:])]
+    encoder = Encoder(public_tokenizers.path(name), cuts)
+    plain, calls = encoder._tokenizer, []
+
+    class Counted:
+        def __getattr__(self, attribute):
+            calls.append(attribute)
+            return getattr(plain, attribute)
+
+    encoder._tokenizer = Counted()
+    got = [np.frombuffer(b, "<u4").tolist() for t in texts for b in encoder.encode([t])]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 40 < len(stems)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_is_valid_and_not_worse_than_best_fit(seed):
     rng = random.Random(seed)
