@@ -72,7 +72,8 @@ def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learn = shared.training("doc_id", 10)
     subwords = scoring.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = scoring.scores(docs, learn, subwords, scoring.fit(docs, learn, subwords))
+    cut_rows = scoring.cut_texts(docs, learn, subwords)
+    rows = scoring.scores(docs, learn, subwords, scoring.fit(docs, learn, subwords, cut_rows=cut_rows), cut_rows=cut_rows)
     return rows.select(F.col("key").alias("doc_id"), shared.held_out("key", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

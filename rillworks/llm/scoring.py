@@ -9,17 +9,19 @@ are scored in overlapping windows, each id once, with at least `OVERLAP` ids of
 from __future__ import annotations
 
 import base64
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.llm import shared
-from rillworks.llm.words import LOWER, hashes, raw, words_of
+from rillworks.llm.words import LOWER, hashes, raw
 
 WINDOW = 32
 OVERLAP = 8
@@ -32,7 +34,8 @@ SMOOTHING = 0.1
 #: Groups of tasks whose weights are added up before the driver gets them.
 AVERAGED = 16
 GROUPS_PER_PARTITION = 4
-_BATCH = 1024
+_BATCH = 256
+_SPACED = bytes(32 if 9 <= i <= 13 else x for i, x in enumerate(LOWER))
 
 
 @lru_cache(maxsize=2)
@@ -71,6 +74,23 @@ def windows(sizes: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP) ->
     return np.repeat(start, count) + number * step, np.where(number > 0, overlap, 0)
 
 
+class _Room(threading.local):
+    """Arrays by name that are written again in every batch: fresh ones of this size cost more than what is computed in them."""
+
+    def __init__(self):
+        self._kept: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        kept = self._kept.get((name, kind))
+        if kept is None or len(kept) < size:
+            kept = self._kept[name, kind] = np.empty(size, kind)
+        return kept[:size].reshape(shape)
+
+
+_ROOM = _Room()
+
+
 @dataclass
 class Model:
     """`band` and `share`: class of each id and log10 of its share there; `row`: its embedding; the rest are weights."""
@@ -116,29 +136,30 @@ class Model:
     def log_p(self, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target class, as `forward` gives it, with as few passes over the windows as it takes.
 
-        Exponents are held below 60 instead of being shifted by each row's maximum; the sums of attention come
-        from a column of ones beside the values.
+        Exponents are held below 60 and above -60 instead of being shifted by each row's maximum.
         """
         w = self.w
         b, n = rows.shape
-        x = w["e"][rows] + w["p"][:n]
-        flat = x.reshape(-1, WIDTH)
-        q = (flat @ (w["q"] * np.float32(WIDTH**-0.5))).reshape(b, n, WIDTH)
-        k = (flat @ w["k"]).reshape(b, n, WIDTH)
-        v = np.ones((b * n, WIDTH + 1), np.float32)
-        v[:, :WIDTH] = flat @ w["v"]
-        a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, 60, out=a)
-        a += _mask(n)
+        m, kind = b * n, w["e"].dtype
+        x = w["e"].take(rows.reshape(-1), axis=0, out=_ROOM("x", kind, m, WIDTH), mode="clip")
+        xs = x.reshape(b, n, WIDTH)
+        xs += w["p"][:n]
+        y = np.matmul(x, w["q"] @ w["k"].T * kind.type(WIDTH**-0.5), out=_ROOM("y", kind, m, WIDTH))
+        a = np.matmul(y.reshape(b, n, WIDTH), xs.transpose(0, 2, 1), out=_ROOM("a", kind, b, n, n))
+        np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        c = (a @ v.reshape(b, n, WIDTH + 1)).reshape(-1, WIDTH + 1)
-        h = np.tanh(flat + (c[:, :WIDTH] / c[:, WIDTH:]) @ w["o"])
-        logits = h @ w["u"]
+        a *= _before(n, kind)
+        c = np.matmul(a, xs, out=_ROOM("c", kind, b, n, WIDTH)).reshape(m, WIDTH)
+        c /= (a.reshape(m, n) @ np.ones(n, kind))[:, None]
+        h = np.matmul(c, w["v"] @ w["o"], out=_ROOM("h", kind, m, WIDTH))
+        h += x
+        np.tanh(h, out=h)
+        logits = np.matmul(h, w["u"], out=_ROOM("d", kind, m, CLASSES))
         logits += w["b"]
-        np.minimum(logits, 60, out=logits)
-        chosen = logits[np.arange(b * n), target.reshape(-1)]
+        np.clip(logits, -60, 60, out=logits)
+        chosen = logits[np.arange(m), target.reshape(-1)]
         np.exp(logits, out=logits)
-        return (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(b, n)
+        return (chosen - np.log(logits @ np.ones(CLASSES, kind))).reshape(b, n)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each sequence of ids, its end included."""
@@ -205,63 +226,126 @@ class Pass:
             inside = place < limit[at[i:i + self.batch], None]
             place = np.minimum(place, len(ids) - 1)
             self.t += 1
+            rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
             for name, g in _gradients(model, rows[place], model.band[ids[place]], inside).items():
-                self.first[name] += np.float32(0.1) * (g - self.first[name])
-                self.second[name] += np.float32(0.001) * (g * g - self.second[name])
-                step = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-                w[name] = (w[name] - step * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
+                first, second = self.first[name], self.second[name]
+                first += np.float32(0.1) * (g - first)
+                g *= g
+                g -= second
+                g *= np.float32(0.001)
+                second += g
+                np.sqrt(second, out=g)
+                g += np.float32(1e-8)
+                np.divide(first, g, out=g)
+                g *= rate
+                w[name] -= g
         self.n += len(ids)
 
 
 def _gradients(model: Model, rows: np.ndarray, target: np.ndarray, counted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over the counted places, by as few passes over the windows as it takes.
+
+    As in `Model.log_p` exponents are held, below 60 and above -60, instead of being shifted by each row's maximum, and sums of
+    attention are products with ones. Attention stays unscaled; its sums divide the gradients of what it made. Two
+    products of weights, queries by keys and values by outputs, stand for the four.
+    """
     w = model.w
-    logits, (x, q, k, v, a, c, h) = model.forward(rows)
-    logits = logits - logits.max(axis=2, keepdims=True)
-    d = np.exp(logits)
-    d /= d.sum(axis=2, keepdims=True)
-    np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], 2) - 1, 2)
-    if counted is None:
-        d /= target.size
-    else:
-        d *= (counted / counted.sum()).astype(d.dtype)[..., None]
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"u": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
-    dx = (d @ w["u"].T) * (1 - h * h)
-    g["o"] = flat(c).T @ flat(dx)
-    dc = dx @ w["o"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * WIDTH**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dx + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    b, n = rows.shape
+    m = b * n
+    kind = w["e"].dtype
+    room = _ROOM
+    every = rows.reshape(-1)
+    ones = np.ones(max(m, n, CLASSES), kind)
+    scale = kind.type(WIDTH**-0.5)
+    meet, pass_on = w["q"] @ w["k"].T * scale, w["v"] @ w["o"]
+    flat = lambda name, x, y, width=WIDTH: np.matmul(x, y, out=room(name, kind, m, width))
+    deep = lambda name, x, y: np.matmul(x, y, out=room(name, kind, b, x.shape[1], y.shape[2]))
+    by_window = lambda x: x.reshape(b, n, -1)
+    x = w["e"].take(every, axis=0, out=room("x", kind, m, WIDTH), mode="clip")
+    xs = by_window(x)
+    xs += w["p"][:n]
+    y = by_window(flat("y", x, meet))
+    a = deep("a", y, xs.transpose(0, 2, 1))
+    np.clip(a, -60, 60, out=a)
+    np.exp(a, out=a)
+    a *= _before(n, kind)
+    part = 1 / (a.reshape(m, n) @ ones[:n])[:, None]
+    c = deep("c", a, xs).reshape(m, WIDTH)
+    c *= part
+    h = flat("h", c, pass_on)
+    h += x
+    np.tanh(h, out=h)
+    d = flat("d", h, w["u"], CLASSES)
+    d += w["b"]
+    np.clip(d, -60, 60, out=d)
+    np.exp(d, out=d)
+    weight = np.full(m, 1 / m, kind) if counted is None else (counted / counted.sum()).astype(kind).reshape(-1)
+    d *= (weight / (d @ ones[:CLASSES]))[:, None]
+    d[np.arange(m), target.reshape(-1)] -= weight
+    g = {"u": h.T @ d, "b": ones[:m] @ d}
+    dx = flat("dx", d, w["u"].T)
+    h *= h
+    np.subtract(1, h, out=h)
+    dx *= h
+    passed = c.T @ dx
+    g["o"], g["v"] = w["v"].T @ passed, passed @ w["o"].T
+    dc = flat("dc", dx, pass_on.T)
+    dc *= part
+    mean = np.einsum("ij,ij->i", dc, c).reshape(b, n, 1)
+    dc = by_window(dc)
+    ds = deep("ds", dc, xs.transpose(0, 2, 1))
+    ds -= mean
+    ds *= a
+    dy = deep("dy", ds, xs).reshape(m, WIDTH)
+    met = x.T @ dy * scale
+    g["q"], g["k"] = met @ w["k"], met.T @ w["q"]
+    dx += flat("back", dy, meet.T)
+    dxs = by_window(dx)
+    dxs += deep("back", ds.transpose(0, 2, 1), y)
+    dxs += deep("back", a.transpose(0, 2, 1), dc)
     g["p"] = np.zeros_like(w["p"])
-    g["p"][:rows.shape[1]] = dx.sum(axis=0)
-    g["e"] = np.stack([np.bincount(rows.reshape(-1), x, len(w["e"])) for x in flat(dx).T], axis=1).astype(w["e"].dtype)
+    g["p"][:n] = dxs.sum(axis=0)
+    cell = np.add(every[:, None] * WIDTH, np.arange(WIDTH), out=room("cell", np.dtype(np.int64), m, WIDTH))
+    g["e"] = np.bincount(cell.reshape(-1), dx.reshape(-1), w["e"].size).astype(kind).reshape(w["e"].shape)
     return g
 
 
-def fit(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
+@lru_cache(maxsize=4)
+def _before(n: int, kind: np.dtype) -> np.ndarray:
+    return np.tri(n, dtype=kind)
+
+
+def cut_texts(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, learn, at, ids) of every row, stored: ids are cut once for `fit` and `scores`. `at` is a hash of key and text."""
+    rows = docs.select(F.col(key).alias("key"), learn.alias("learn"), F.xxhash64(key, text).alias("at"), F.col(text).alias("text"))
+    kind = _kind(subwords)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.slices(batches):
+            ids = [subwords.ids(t).astype(kind).tobytes() for t in raw(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["key", "learn", "at", "ids"])
+
+    return shared.stored(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, learn boolean, at long, ids binary"))
+
+
+def _kind(subwords: Subwords) -> str:
+    return "<u2" if subwords.end < 1 << 16 else "<u4"
+
+
+def fit(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, cut_rows: DataFrame | None = None) -> Model:
     """Fits the model to all rows that `learn` marks: counts of all ids, and weights trained on all texts.
 
-    Ids are cut once and stored; the counts (one per id of the vocabulary) are summed over tasks. The common start of the
+    Ids are those of `cut_rows`, from `cut_texts`; the counts (one per id of the vocabulary) are summed over tasks. The common start of the
     weights comes from the `sample_docs` keys with the least hashes, and of each of these texts at most `sample_windows` windows,
     evenly spread. From there each task trains on all of its texts, and the weights of the tasks are averaged by their ids, within
     AVERAGED groups of tasks first, so that the driver gets that many at most.
     """
-    rows = docs.filter(learn).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = "<u2" if subwords.end < 1 << 16 else "<u4"
-
-    def cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.slices(batches):
-            ids = [subwords.ids(t).astype(kind).tobytes() for t in raw(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
+    cut_rows = (cut_texts(docs, learn, subwords, key, text) if cut_rows is None else cut_rows).filter("learn")
+    kind = _kind(subwords)
 
     def lists(batch: pa.RecordBatch) -> list[np.ndarray]:
         return [np.frombuffer(x, kind).astype(np.int64) for x in batch.column("ids").to_pylist()]
 
-    cut_rows = shared.stored(rows.mapInArrow(cut_ids, f"key {rows.schema['key'].dataType.simpleString()}, ids binary"))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(subwords.end + 1, np.int64)
         for b in shared.slices(batches):
@@ -314,10 +398,22 @@ def _weights(weights: list[np.ndarray], n: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([w.tobytes() for w in weights], pa.binary())], ["n", "w"])
 
 
+def _distinct(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different words in ascending order, each word's place there, number of words of each text); each different word is hashed once."""
+    lists = pc.split_pattern(pa.array([(t or b"").translate(_SPACED) for t in texts], pa.large_string()), " ")
+    words = lists.flatten().dictionary_encode()
+    filled = pc.greater(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)
+    h, place = np.unique(hashes(words.dictionary.cast(pa.large_binary()).filter(pa.array(filled)).to_pylist()), return_inverse=True)
+    of = np.zeros(len(filled), np.int64)
+    of[filled] = place
+    code = words.indices.to_numpy()
+    real = filled[code]
+    return h, of[code[real]], np.diff(np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()])
+
+
 def _ask(keys, table):
-    words = [words_of(t and t.translate(LOWER)) for t in raw(table.column("_text"))]
-    learn = np.repeat(table.column("_learn").to_numpy(), [len(w) for w in words])
-    h, inverse = np.unique(hashes([x for w in words for x in w]), return_inverse=True)
+    h, inverse, size = _distinct(raw(table.column("_text")))
+    learn = np.repeat(table.column("_learn").to_numpy(), size)
     n = np.bincount(inverse, learn, len(h)).astype("<u4")
     bucket = ((h >> np.uint64(40)) * np.uint64(table.column("_buckets")[0].as_py()) >> np.uint64(24)).astype(np.int32)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -338,19 +434,20 @@ def _count(table):
                      "distinct": pa.array([int((total > 0).sum())] + [0] * (len(part) - 1), pa.int64()), "total": pa.array([int(total.sum())] + [0] * (len(part) - 1), pa.int64())})
 
 
-def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key: str = "doc_id", text: str = "text", cut_rows: DataFrame | None = None) -> DataFrame:
     """(key, learn, n_tokens, n_known, train_tokens, base_score, score) of every whole text, NULL as empty.
 
     Tokens are words with A to Z as small letters, and one end. base_score is the sum of
     log10((c + 0.1) / (N + 0.1 (V + 1))), with c, N and V from the rows that `learn` marks; score is the
     attention model's. Word counts are exact but for equal 64-bit hashes of different words: groups of
     documents ask buckets of hashes once per distinct word, so a frequent word is one row per group. NULL keys
-    and repeated rows stay, and count as often as they occur.
+    and repeated rows stay, and count as often as they occur. The model scores the ids of `cut_rows`, from `cut_texts`,
+    where they are; its scores meet the base scores by key and hash of key and text.
     """
     spark = docs.sparkSession
     parts = shared.partitions(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"), learn.alias("_learn"))
-    rows = rows.withColumn("_buckets", F.lit(parts)).withColumn("_grp", shared.spread(GROUPS_PER_PARTITION * parts, "key", "_text"))
+    rows = rows.withColumn("_at", F.xxhash64("key", "_text")).withColumn("_buckets", F.lit(parts)).withColumn("_grp", shared.spread(GROUPS_PER_PARTITION * parts, "key", "_text"))
     grouped = rows.groupBy("_grp")
     asked = grouped.applyInArrow(_ask, "grp int, bucket int, h binary, n binary")
     told = shared.stored(asked.groupBy("bucket").applyInArrow(_count, "grp int, bucket int, c binary, distinct long, total long"))
@@ -362,20 +459,27 @@ def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key
     floor = np.log10(tokens + SMOOTHING * (kinds + 1))
     kind = docs.schema[key].dataType.simpleString()
 
-    def score(keys, table, told):
-        texts = raw(table.column("_text"))
-        lists = [words_of(t and t.translate(LOWER)) for t in texts]
-        h, inverse = np.unique(hashes([x for w in lists for x in w]), return_inverse=True)
+    kind_of_ids = _kind(subwords)
+
+    def base_score(keys, table, told):
+        h, inverse, size = _distinct(raw(table.column("_text")))
         answers = dict(zip(told.column("bucket").to_pylist(), told.column("c").to_pylist()))
         c = np.frombuffer(b"".join(answers[b] for b in sorted(answers)), "<i8")[inverse] if len(h) else np.zeros(0)
-        size = np.array([len(w) for w in lists], np.int64)
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
         each = np.log10(c + SMOOTHING) - floor
         base = np.array([part.sum() for part in np.split(each, np.cumsum(size)[:-1])]) + np.log10(ends + SMOOTHING) - floor
-        got = [shared_model.value.score([subwords.ids(t) for t in texts[i:i + 64]]) for i in range(0, len(texts), 64)]
-        n = len(texts)
-        return pa.table({"key": table.column("key"), "learn": table.column("_learn"), "n_tokens": pa.array(size + 1), "n_known": pa.array(sums(c > 0).astype(np.int64) + (ends > 0)),
-                         "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(got), pa.float64())})
-
-    schema = f"key {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return grouped.cogroup(told.groupBy("grp")).applyInArrow(score, schema)
+        n = len(size)
+        return pa.table({"key": table.column("key"), "at": table.column("_at"), "learn": table.column("_learn"), "n_tokens": pa.array(size + 1), "n_known": pa.array(sums(c > 0).astype(np.int64) + (ends > 0)),
+                         "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64())})
+
+    def model_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.slices(batches, 64):
+            got = shared_model.value.score([np.frombuffer(x, kind_of_ids).astype(np.int64) for x in b.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("at"), pa.array(got, pa.float64())], ["key", "at", "score"])
+
+    schema = f"key {kind}, at long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+    bases = grouped.cogroup(told.groupBy("grp")).applyInArrow(base_score, schema)
+    cut_rows = cut_texts(docs, learn, subwords, key, text) if cut_rows is None else cut_rows
+    scored = cut_rows.select("key", "at", "ids").mapInArrow(model_score, f"key {kind}, at long, score double").groupBy("key", "at").agg(F.max("score").alias("score"))
+    met = bases.alias("b").join(scored.alias("m"), F.col("b.key").eqNullSafe(F.col("m.key")) & (F.col("b.at") == F.col("m.at")))
+    return met.select("b.key", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score")

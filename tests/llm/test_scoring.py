@@ -109,3 +109,19 @@ def test_a_pass_counts_each_id_once():
     run = scoring.Pass(model)
     run.learn(texts)
     assert run.n == sum(map(len, texts)) and run.model.score(texts).sum() > model.score(texts).sum()
+
+
+def test_texts_are_cut_once_and_words_hashed_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "The same \x0b words\tagain. " * 50 if i % 2 else None) for i in range(12)], "doc_id long, text string")
+    learn = F.col("doc_id") > 2
+    cut_rows = scoring.cut_texts(docs, learn, SUBWORDS)
+    monkeypatch.setattr(scoring, "cut_texts", None)
+    model = scoring.fit(docs, learn, SUBWORDS, cut_rows=cut_rows)
+    got = {r["key"]: r for r in scoring.scores(docs, learn, SUBWORDS, model, cut_rows=cut_rows).collect()}
+    for i in range(12):
+        text = b"The same \x0b words\tagain. " * 50 if i % 2 else b""
+        assert got[i]["n_tokens"] == 200 * (i % 2) + 1 and math.isclose(got[i]["score"], model.score([SUBWORDS.ids(text)])[0], rel_tol=1e-4)
+    hashed = []
+    monkeypatch.setattr(scoring, "hashes", lambda words, real=scoring.hashes: real(hashed.extend(words) or words))
+    h, place, size = scoring._distinct([b"B a\x0cb", None, b" a\r\n", b"\t"])
+    assert sorted(hashed) == [b"a", b"b"] and len(h) == 2 and size.tolist() == [3, 0, 1, 0] and place[0] == place[2] != place[1] == place[3]
