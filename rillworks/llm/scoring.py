@@ -9,7 +9,9 @@ are scored in overlapping windows, each id once, with at least `OVERLAP` ids of
 from __future__ import annotations
 
 import base64
+import sys
 import threading
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -60,9 +62,17 @@ class Subwords:
 
     def ids(self, text: bytes | None) -> np.ndarray:
         """Ids of a whole text, A to Z as small letters, and the end."""
+        return np.frombuffer(self.coded(text), _kind(self)).astype(np.int64)
+
+    def coded(self, text: bytes | None) -> bytes:
+        """`ids` as little-endian bytes, 16 bits each if the end fits."""
         encoding, end = _encoding(self.path, self.pattern)
         found = encoding.encode_ordinary(text.translate(LOWER).decode()) if text else []
-        return np.array([*found, end], np.int64)
+        found.append(end)
+        ids = array("H" if end < 1 << 16 else "I", found)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def windows(sizes: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
@@ -133,23 +143,28 @@ class Model:
         h = np.tanh(x + c @ w["o"])
         return h @ w["u"] + w["b"], (x, q, k, v, a, c, h)
 
-    def log_p(self, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target class, as `forward` gives it, with as few passes over the windows as it takes.
+    def log_p(self, rows: np.ndarray, target: np.ndarray, since: int = 0) -> np.ndarray:
+        """Natural log probability of each target class from column `since` on, as `forward` gives it, with as few passes over the windows as it takes.
 
         Exponents are held below 60 and above -60 instead of being shifted by each row's maximum.
         """
         w = self.w
         b, n = rows.shape
-        m, kind = b * n, w["e"].dtype
-        x = w["e"].take(rows.reshape(-1), axis=0, out=_ROOM("x", kind, m, WIDTH), mode="clip")
-        xs = x.reshape(b, n, WIDTH)
+        here, kind = n - since, w["e"].dtype
+        m = b * here
+        xs = w["e"].take(rows.reshape(-1), axis=0, out=_ROOM("x", kind, b * n, WIDTH), mode="clip").reshape(b, n, WIDTH)
         xs += w["p"][:n]
+        x = xs.reshape(-1, WIDTH)
+        if since:
+            x = _ROOM("since", kind, b, here, WIDTH)
+            x[:] = xs[:, since:]
+            x = x.reshape(m, WIDTH)
         y = np.matmul(x, w["q"] @ w["k"].T * kind.type(WIDTH**-0.5), out=_ROOM("y", kind, m, WIDTH))
-        a = np.matmul(y.reshape(b, n, WIDTH), xs.transpose(0, 2, 1), out=_ROOM("a", kind, b, n, n))
+        a = np.matmul(y.reshape(b, here, WIDTH), xs.transpose(0, 2, 1), out=_ROOM("a", kind, b, here, n))
         np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        a *= _before(n, kind)
-        c = np.matmul(a, xs, out=_ROOM("c", kind, b, n, WIDTH)).reshape(m, WIDTH)
+        a *= _before(n, kind)[since:]
+        c = np.matmul(a, xs, out=_ROOM("c", kind, b, here, WIDTH)).reshape(m, WIDTH)
         c /= (a.reshape(m, n) @ np.ones(n, kind))[:, None]
         h = np.matmul(c, w["v"] @ w["o"], out=_ROOM("h", kind, m, WIDTH))
         h += x
@@ -157,9 +172,9 @@ class Model:
         logits = np.matmul(h, w["u"], out=_ROOM("d", kind, m, CLASSES))
         logits += w["b"]
         np.clip(logits, -60, 60, out=logits)
-        chosen = logits[np.arange(m), target.reshape(-1)]
+        chosen = logits[np.arange(m), target[:, since:].reshape(-1)]
         np.exp(logits, out=logits)
-        return (chosen - np.log(logits @ np.ones(CLASSES, kind))).reshape(b, n)
+        return (chosen - np.log(logits @ np.ones(CLASSES, kind))).reshape(b, here)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each sequence of ids, its end included."""
@@ -171,13 +186,16 @@ class Model:
         limit = np.repeat(np.cumsum(sizes), sizes)
         at, scored = windows(sizes)
         out = self.share[ids]
-        for i in range(0, len(at), _BATCH):
-            place = at[i:i + _BATCH, None] + np.arange(WINDOW)
-            inside = place < limit[at[i:i + _BATCH], None]
-            place = np.minimum(place, len(ids) - 1)
-            log_p = self.log_p(rows[place], self.band[ids[place]]) * 0.4342944819032518
-            take = inside & (np.arange(WINDOW) >= scored[i:i + _BATCH, None])
-            out[place[take]] += log_p[take]
+        band = self.band[ids]
+        for since in np.unique(scored).tolist():
+            of = at[scored == since]
+            end = limit[of] - of
+            for i in range(0, len(of), _BATCH):
+                place = of[i:i + _BATCH, None] + np.arange(WINDOW)
+                inside = np.arange(since, WINDOW) < end[i:i + _BATCH, None]
+                np.minimum(place, len(ids) - 1, out=place)
+                log_p = self.log_p(rows.take(place), band.take(place), since)
+                out[place[:, since:][inside]] += log_p[inside] * 0.4342944819032518
         return np.add.reduceat(out, first)
 
 
@@ -305,8 +323,11 @@ def _gradients(model: Model, rows: np.ndarray, target: np.ndarray, counted: np.n
     dxs += deep("back", a.transpose(0, 2, 1), dc)
     g["p"] = np.zeros_like(w["p"])
     g["p"][:n] = dxs.sum(axis=0)
-    cell = np.add(every[:, None] * WIDTH, np.arange(WIDTH), out=room("cell", np.dtype(np.int64), m, WIDTH))
-    g["e"] = np.bincount(cell.reshape(-1), dx.reshape(-1), w["e"].size).astype(kind).reshape(w["e"].shape)
+    order = np.argsort(every.astype(np.uint16), kind="stable")  # as 16-bit numbers, which are sorted by radix
+    sorted_ = every[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    g["e"] = np.zeros_like(w["e"])
+    g["e"][sorted_[first]] = np.add.reduceat(dx.take(order, axis=0, out=room("turned", kind, m, WIDTH), mode="clip"), first, axis=0)
     return g
 
 
@@ -318,11 +339,10 @@ def _before(n: int, kind: np.dtype) -> np.ndarray:
 def cut_texts(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, learn, at, ids) of every row, stored: ids are cut once for `fit` and `scores`. `at` is a hash of key and text."""
     rows = docs.select(F.col(key).alias("key"), learn.alias("learn"), F.xxhash64(key, text).alias("at"), F.col(text).alias("text"))
-    kind = _kind(subwords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.slices(batches):
-            ids = [subwords.ids(t).astype(kind).tobytes() for t in raw(b.column("text"))]
+            ids = list(map(subwords.coded, raw(b.column("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["key", "learn", "at", "ids"])
 
     return shared.stored(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, learn boolean, at long, ids binary"))

@@ -125,3 +125,14 @@ def test_texts_are_cut_once_and_words_hashed_once(spark, monkeypatch):
     monkeypatch.setattr(scoring, "hashes", lambda words, real=scoring.hashes: real(hashed.extend(words) or words))
     h, place, size = scoring._distinct([b"B a\x0cb", None, b" a\r\n", b"\t"])
     assert sorted(hashed) == [b"a", b"b"] and len(h) == 2 and size.tolist() == [3, 0, 1, 0] and place[0] == place[2] != place[1] == place[3]
+
+
+def test_scores_from_a_column_on_are_those_of_whole_windows():
+    rng = np.random.default_rng(4)
+    model = scoring.Model.of_counts(rng.integers(0, 50, 3000).astype(float))
+    rows, target = rng.integers(0, 2000, (5, scoring.WINDOW)), rng.integers(0, scoring.CLASSES, (5, scoring.WINDOW))
+    whole = model.log_p(rows, target).copy()
+    for since in (0, scoring.OVERLAP, scoring.WINDOW - 1):
+        assert np.allclose(model.log_p(rows, target, since), whole[:, since:], atol=1e-4)
+    ids = SUBWORDS.ids(b"Some text A")
+    assert np.frombuffer(SUBWORDS.coded(b"Some text A"), "<u2").tolist() == ids.tolist() and SUBWORDS.ids(None).tolist() == [SUBWORDS.end]
