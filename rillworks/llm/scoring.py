@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillworks.llm import shared
-from rillworks.llm.words import LOWER, hashes, raw
+from rillworks.llm.words import LOWER, hashes, raw, values
 
 WINDOW = 32
 OVERLAP = 8
@@ -181,12 +181,12 @@ class Model:
         sizes = np.array([len(t) for t in texts])
         ids = np.concatenate(texts)
         first = np.cumsum(sizes) - sizes
-        rows = np.concatenate([[self.begin], self.row[ids[:-1]]])
+        rows = np.empty(len(ids), np.int64)
+        self.row.take(ids[:-1], out=rows[1:], mode="clip")
         rows[first] = self.begin
         limit = np.repeat(np.cumsum(sizes), sizes)
         at, scored = windows(sizes)
-        out = self.share[ids]
-        band = self.band[ids]
+        out, band = self.share.take(ids), self.band.take(ids)
         for since in np.unique(scored).tolist():
             of = at[scored == since]
             end = limit[of] - of
@@ -234,20 +234,22 @@ class Pass:
         """Windows stand side by side; the places behind the end of a text count for nothing."""
         model, w = self.model, self.model.w
         sizes = np.array([len(t) for t in texts])
-        ids = np.concatenate(texts).astype(np.int64)
-        rows = np.concatenate([[model.begin], model.row[ids[:-1]]])
+        ids = np.concatenate(texts)
+        rows, band = np.empty(len(ids), np.int64), model.band.take(ids)
+        model.row.take(ids[:-1], out=rows[1:], mode="clip")
         rows[np.cumsum(sizes) - sizes] = model.begin
-        limit = np.repeat(np.cumsum(sizes), sizes)
         at, _ = windows(sizes, WINDOW, 0)
+        end = np.repeat(np.cumsum(sizes), -(-sizes // WINDOW)) - at
         for i in range(0, len(at), self.batch):
             place = at[i:i + self.batch, None] + np.arange(WINDOW)
-            inside = place < limit[at[i:i + self.batch], None]
-            place = np.minimum(place, len(ids) - 1)
+            inside = np.arange(WINDOW) < end[i:i + self.batch, None]
+            np.minimum(place, len(ids) - 1, out=place)
             self.t += 1
             rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-            for name, g in _gradients(model, rows[place], model.band[ids[place]], inside).items():
+            for name, g in _gradients(model, rows.take(place), band.take(place), inside).items():
                 first, second = self.first[name], self.second[name]
-                first += np.float32(0.1) * (g - first)
+                first *= np.float32(0.9)
+                first += np.multiply(g, np.float32(0.1), out=_ROOM("step", g.dtype, *g.shape))
                 g *= g
                 g -= second
                 g *= np.float32(0.001)
@@ -364,7 +366,7 @@ def fit(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "doc_id",
     kind = _kind(subwords)
 
     def lists(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(x, kind).astype(np.int64) for x in batch.column("ids").to_pylist()]
+        return [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(subwords.end + 1, np.int64)
@@ -423,7 +425,7 @@ def _distinct(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     lists = pc.split_pattern(pa.array([(t or b"").translate(_SPACED) for t in texts], pa.large_string()), " ")
     words = lists.flatten().dictionary_encode()
     filled = pc.greater(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)
-    h, place = np.unique(hashes(words.dictionary.cast(pa.large_binary()).filter(pa.array(filled)).to_pylist()), return_inverse=True)
+    h, place = np.unique(hashes([w for w in values(words.dictionary) if w]), return_inverse=True)
     of = np.zeros(len(filled), np.int64)
     of[filled] = place
     code = words.indices.to_numpy()
@@ -494,7 +496,7 @@ def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key
 
     def model_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.slices(batches, 64):
-            got = shared_model.value.score([np.frombuffer(x, kind_of_ids).astype(np.int64) for x in b.column("ids").to_pylist()])
+            got = shared_model.value.score([np.frombuffer(x, kind_of_ids) for x in b.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("at"), pa.array(got, pa.float64())], ["key", "at", "score"])
 
     schema = f"key {kind}, at long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double"

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rillworks.llm.words import values
+
 #: How texts may be cut. `before_space`: byte-level BPE whose pieces take one space in front; `white_space`: white space is dropped; `whole`: not at all.
 CUTS = ("before_space", "white_space", "whole")
 #: Pieces in the cache, and bytes of known words with their ids, at which either is begun anew.
@@ -135,7 +137,7 @@ class Encoder:
         at = pc.index_in(words, value_set=self._known)
         missing = at.is_null()
         new = words.filter(missing)
-        ids = self._words(new.to_pylist()) if len(new) else []
+        ids = self._words([w.decode() for w in values(new)]) if len(new) else []
         place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[missing.to_numpy(zero_copy_only=False)] = len(self._known) + np.arange(len(new))
         self._known = pa.concat_arrays([self._known, new])

@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rillworks.llm import scoring, shared
+from rillworks.llm.words import values
 
 SUBWORDS = scoring.Subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
@@ -136,3 +138,9 @@ def test_scores_from_a_column_on_are_those_of_whole_windows():
         assert np.allclose(model.log_p(rows, target, since), whole[:, since:], atol=1e-4)
     ids = SUBWORDS.ids(b"Some text A")
     assert np.frombuffer(SUBWORDS.coded(b"Some text A"), "<u2").tolist() == ids.tolist() and SUBWORDS.ids(None).tolist() == [SUBWORDS.end]
+
+
+def test_values_of_string_arrays():
+    column = pa.array(["", "a", "\u00e9\u00e8", "", "b c"], pa.large_string())
+    assert values(column) == [b"", b"a", "\u00e9\u00e8".encode(), b"", b"b c"] and values(column[1:3]) == [b"a", "\u00e9\u00e8".encode()]
+    assert values(column[:0]) == values(pa.array([], pa.large_string())) == [] and values(pa.array(["", ""], pa.large_string())) == [b"", b""]
