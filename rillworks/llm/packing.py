@@ -17,7 +17,7 @@ from rillworks.llm.tokens import encoder
 
 CAPACITY = 2048
 GROUP = 8192
-_BATCH = 2048
+_BATCH = 1024
 
 
 def pieces(docs: DataFrame, tokenizer: str, cuts: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -171,8 +171,8 @@ def placed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, lengt
     What stands in bins of less than 15/16 of the capacity is then dealt and packed once more across groups.
     Columns named sequence_id or offset are replaced; any other name may occur.
     """
-    parts = parts.drop("sequence_id", "offset")
-    parts = shared.stored(parts)
+    with shared.few_at_once(parts.sparkSession, _BATCH):
+        parts = shared.stored(parts.drop("sequence_id", "offset"))
     place, dealt_to, done = (shared.fresh(n, parts.columns) for n in ("_row", "_grp", "_full"))
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(done, T.BooleanType())])
 

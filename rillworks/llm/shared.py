@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,18 @@ def new_path(spark: SparkSession) -> str:
     return f"{folder(spark)}/rillworks-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def few_at_once(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Jobs that run inside hand Python workers at most `rows` rows at once: whole texts otherwise stand in batches of 10,000, in the executor and in each worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, before) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and returns a reader of it.
 

@@ -22,13 +22,14 @@ from rillworks.llm.words import values
 
 #: How texts may be cut. `before_space`: byte-level BPE whose pieces take one space in front; `white_space`: white space is dropped; `whole`: not at all.
 CUTS = ("before_space", "white_space", "whole")
-#: Pieces in the cache, and bytes of known words with their ids, at which either is begun anew.
-CACHED_PIECES = 3 << 17
-CACHED_BYTES = 1 << 25
+#: Pieces in the cache, and bytes of known words with their ids, at which either is begun anew: every worker has its own.
+CACHED_PIECES = 1 << 17
+CACHED_BYTES = 1 << 24
 CACHED_LENGTH = 64
 _TOGETHER = 256
-#: Texts are cut into words so many characters at a time.
+#: Texts are cut into words so many characters at a time, and new words become Python objects so many at a time.
 _CHARS = 1 << 22
+_WORDS = 1 << 14
 
 
 #: A text with none of these, and without spaces or line feeds next to each other or at its ends, may be cut before each.
@@ -137,11 +138,14 @@ class Encoder:
         at = pc.index_in(words, value_set=self._known)
         missing = at.is_null()
         new = words.filter(missing)
-        ids = self._words([w.decode() for w in values(new)]) if len(new) else []
+        ids, sizes = [], []
+        for i in range(0, len(new), _WORDS):
+            part = self._words([w.decode() for w in values(new[i:i + _WORDS])])
+            ids.append(b"".join(part)), sizes.extend(len(x) // 4 for x in part)
         place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[missing.to_numpy(zero_copy_only=False)] = len(self._known) + np.arange(len(new))
         self._known = pa.concat_arrays([self._known, new])
-        self._known_at = np.concatenate([self._known_at, self._known_at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+        self._known_at = np.concatenate([self._known_at, self._known_at[-1] + np.cumsum(np.array(sizes, np.int64))])
         self._known_ids = np.concatenate([self._known_ids, np.frombuffer(b"".join(ids), "<u4")])
         return self._known_at[place], self._known_at[place + 1] - self._known_at[place]
 

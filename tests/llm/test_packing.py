@@ -4,11 +4,12 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillworks.llm import packing
+from rillworks.llm import packing, tokens
 from rillworks.llm.tokens import Encoder
 
 ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "a\tb", "\n", "it's we'll 'tis", "x y z", "x 　y", "<|endoftext|> <|startoftext|>", "x<|endoftext|>y", "a\n<|endoftext|>\nb", "a <|endoftext|>", "<|endoftext|><|endoftext|> it's", "<| endoftext|>",
@@ -47,6 +48,22 @@ def test_new_words_take_few_calls_of_the_tokenizer(name, cuts):
     assert len(calls) < 40 < len(stems)
 
 
+def test_memory_of_a_worker_is_bounded(spark, monkeypatch):
+    """Texts come few at once, new words become Python objects few at once, and the cache of pieces is small."""
+    sizes, encode = [], tokens.Encoder._words
+    monkeypatch.setattr(tokens.Encoder, "_words", lambda self, words: sizes.append(len(words)) or encode(self, words))
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "before_space")
+    words = [f"{'ab' * (i % 7)}{i}" for i in range(1, 40001)]
+    got = encoder.encode([" ".join(words)])[0]
+    assert got == b"".join(encoder.encode([" ".join(words)])) == encoder._one(" ".join(words))
+    assert sum(sizes) == 40000 and max(sizes) <= 1 << 14 and tokens.CACHED_PIECES <= 1 << 17 and tokens.CACHED_BYTES <= 1 << 24
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["id"]) for b in batches), "id long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    placed = packing.placed(rows.withColumn("length", F.lit(1)))
+    assert placed.agg(F.max("id")).first()[0] <= 1024 and placed.count() == 5 and spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_is_valid_and_not_worse_than_best_fit(seed):
     rng = random.Random(seed)
