@@ -9,6 +9,7 @@ are scored in overlapping windows, each id once, with at least `OVERLAP` ids of
 from __future__ import annotations
 
 import base64
+import re
 import sys
 import threading
 from array import array
@@ -36,11 +37,14 @@ SMOOTHING = 0.1
 #: Groups of tasks whose weights are added up before the driver gets them.
 AVERAGED = 16
 GROUPS_PER_PARTITION = 4
-_BATCH = 256
+_BATCH = 128
+#: Where white space never stands twice, splitting patterns need no look behind it to find its last one.
+_TWO_SPACES = re.compile(r"\s\s").search
+_LAST_SPACE = r"|\s+(?!\S)"
 _SPACED = bytes(32 if 9 <= i <= 13 else x for i, x in enumerate(LOWER))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _encoding(path: str, pattern: str):
     import tiktoken
 
@@ -67,7 +71,12 @@ class Subwords:
     def coded(self, text: bytes | None) -> bytes:
         """`ids` as little-endian bytes, 16 bits each if the end fits."""
         encoding, end = _encoding(self.path, self.pattern)
-        found = encoding.encode_ordinary(text.translate(LOWER).decode()) if text else []
+        found: list[int] = []
+        if text:
+            small = text.translate(LOWER).decode()
+            if not _TWO_SPACES(small):  # the same ids, by a pattern that is matched without going back
+                encoding, _ = _encoding(self.path, self.pattern.replace(_LAST_SPACE, ""))
+            found = encoding.encode_ordinary(small)
         found.append(end)
         ids = array("H" if end < 1 << 16 else "I", found)
         if sys.byteorder == "big":
@@ -161,18 +170,24 @@ class Model:
             x = x.reshape(m, WIDTH)
         y = np.matmul(x, w["q"] @ w["k"].T * kind.type(WIDTH**-0.5), out=_ROOM("y", kind, m, WIDTH))
         a = np.matmul(y.reshape(b, here, WIDTH), xs.transpose(0, 2, 1), out=_ROOM("a", kind, b, here, n))
-        np.clip(a, -60, 60, out=a)
-        np.exp(a, out=a)
+        _held_exp(a)
         a *= _before(n, kind)[since:]
         c = np.matmul(a, xs, out=_ROOM("c", kind, b, here, WIDTH)).reshape(m, WIDTH)
         c /= (a.reshape(m, n) @ np.ones(n, kind))[:, None]
         h = np.matmul(c, w["v"] @ w["o"], out=_ROOM("h", kind, m, WIDTH))
         h += x
-        np.tanh(h, out=h)
+        _tanh(h)
         logits = np.matmul(h, w["u"], out=_ROOM("d", kind, m, CLASSES))
+        wanted = target[:, since:].reshape(-1)
+        places = np.arange(0, m * CLASSES, CLASSES)
+        places += wanted
+        if (np.abs(w["u"]).sum(axis=0) + np.abs(w["b"])).max() < 60:  # what is added to all rows is a factor of their sums; h is between -1 and 1
+            chosen = logits.reshape(-1).take(places) + w["b"].take(wanted)
+            np.exp(logits, out=logits)
+            return (chosen - np.log(logits @ np.exp(w["b"]))).reshape(b, here)
         logits += w["b"]
         np.clip(logits, -60, 60, out=logits)
-        chosen = logits[np.arange(m), target[:, since:].reshape(-1)]
+        chosen = logits.reshape(-1).take(places)
         np.exp(logits, out=logits)
         return (chosen - np.log(logits @ np.ones(CLASSES, kind))).reshape(b, here)
 
@@ -286,22 +301,22 @@ def _gradients(model: Model, rows: np.ndarray, target: np.ndarray, counted: np.n
     xs += w["p"][:n]
     y = by_window(flat("y", x, meet))
     a = deep("a", y, xs.transpose(0, 2, 1))
-    np.clip(a, -60, 60, out=a)
-    np.exp(a, out=a)
+    _held_exp(a)
     a *= _before(n, kind)
     part = 1 / (a.reshape(m, n) @ ones[:n])[:, None]
     c = deep("c", a, xs).reshape(m, WIDTH)
     c *= part
     h = flat("h", c, pass_on)
     h += x
-    np.tanh(h, out=h)
+    _tanh(h)
     d = flat("d", h, w["u"], CLASSES)
     d += w["b"]
-    np.clip(d, -60, 60, out=d)
-    np.exp(d, out=d)
+    _held_exp(d)
     weight = np.full(m, 1 / m, kind) if counted is None else (counted / counted.sum()).astype(kind).reshape(-1)
     d *= (weight / (d @ ones[:CLASSES]))[:, None]
-    d[np.arange(m), target.reshape(-1)] -= weight
+    places = np.arange(0, m * CLASSES, CLASSES)
+    places += target.reshape(-1)
+    d.reshape(-1)[places] -= weight
     g = {"u": h.T @ d, "b": ones[:m] @ d}
     dx = flat("dx", d, w["u"].T)
     h *= h
@@ -333,6 +348,23 @@ def _gradients(model: Model, rows: np.ndarray, target: np.ndarray, counted: np.n
     return g
 
 
+def _tanh(x: np.ndarray) -> None:
+    """tanh in place as 1 - 2 / (exp(2 x) + 1), which takes two thirds of the time of numpy's."""
+    x += x
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+
+
+def _held_exp(x: np.ndarray) -> None:
+    """exp of values held below 60 and above -60, in place; the pass that holds them is left out where they are."""
+    if max(x.max(), -x.min()) > 60:
+        np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+
+
 @lru_cache(maxsize=4)
 def _before(n: int, kind: np.dtype) -> np.ndarray:
     return np.tri(n, dtype=kind)
@@ -347,7 +379,7 @@ def cut_texts(docs: DataFrame, learn: Column, subwords: Subwords, key: str = "do
             ids = list(map(subwords.coded, raw(b.column("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["key", "learn", "at", "ids"])
 
-    return shared.stored(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, learn boolean, at long, ids binary"))
+    return shared.stored(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, learn boolean, at long, ids binary"), "zstd")
 
 
 def _kind(subwords: Subwords) -> str:
@@ -433,15 +465,28 @@ def _distinct(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return h, of[code[real]], np.diff(np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 as their lowest bytes, then their second ones and so on: the high ones, nearly all alike, are stored and moved as next to nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _ask(keys, table):
+    """A group's distinct words by bucket, and in one more row, of bucket -1, its documents with the place of each of their words there."""
     h, inverse, size = _distinct(raw(table.column("_text")))
     learn = np.repeat(table.column("_learn").to_numpy(), size)
     n = np.bincount(inverse, learn, len(h)).astype("<u4")
     bucket = ((h >> np.uint64(40)) * np.uint64(table.column("_buckets")[0].as_py()) >> np.uint64(24)).astype(np.int32)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(cut[1:], len(h)) if len(cut) else cut
-    return pa.table({"grp": pa.array([keys[0].as_py()] * len(cut), pa.int32()), "bucket": pa.array(bucket[cut]),
-                     "h": pa.array([h[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())})
+    nothing = [None] * len(cut)
+    whole = lambda name: pa.array([*nothing, table.column(name).to_pylist()], pa.list_(table.schema.field(name).type))
+    return pa.table({"grp": pa.array([keys[0].as_py()] * (len(cut) + 1), pa.int32()), "bucket": pa.array(np.append(bucket[cut], np.int32(-1))),
+                     "h": pa.array([*[h[i:j].tobytes() for i, j in zip(cut, ends)], None], pa.binary()), "n": pa.array([*[n[i:j].tobytes() for i, j in zip(cut, ends)], None], pa.binary()),
+                     "key": whole("key"), "at": whole("_at"), "learn": whole("_learn"), "size": pa.array([*nothing, size.astype("<u4").tobytes()], pa.binary()), "place": pa.array([*nothing, _planes(inverse)], pa.binary())})
 
 
 def _count(table):
@@ -462,7 +507,7 @@ def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key
     Tokens are words with A to Z as small letters, and one end. base_score is the sum of
     log10((c + 0.1) / (N + 0.1 (V + 1))), with c, N and V from the rows that `learn` marks; score is the
     attention model's. Word counts are exact but for equal 64-bit hashes of different words: groups of
-    documents ask buckets of hashes once per distinct word, so a frequent word is one row per group. NULL keys
+    documents ask buckets of hashes once per distinct word, so a frequent word is one row per group; texts are moved and cut into words once. NULL keys
     and repeated rows stay, and count as often as they occur. The model scores the ids of `cut_rows`, from `cut_texts`,
     where they are; its scores meet the base scores by key and hash of key and text.
     """
@@ -470,28 +515,27 @@ def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key
     parts = shared.partitions(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"), learn.alias("_learn"))
     rows = rows.withColumn("_at", F.xxhash64("key", "_text")).withColumn("_buckets", F.lit(parts)).withColumn("_grp", shared.spread(GROUPS_PER_PARTITION * parts, "key", "_text"))
-    grouped = rows.groupBy("_grp")
-    asked = grouped.applyInArrow(_ask, "grp int, bucket int, h binary, n binary")
-    told = shared.stored(asked.groupBy("bucket").applyInArrow(_count, "grp int, bucket int, c binary, distinct long, total long"))
+    kind = docs.schema[key].dataType.simpleString()
+    asked = shared.stored(rows.groupBy("_grp").applyInArrow(_ask, f"grp int, bucket int, h binary, n binary, key array<{kind}>, at array<bigint>, learn array<boolean>, size binary, place binary"), "zstd")
+    told = shared.stored(asked.filter("bucket >= 0").select("grp", "bucket", "h", "n").groupBy("bucket").applyInArrow(_count, "grp int, bucket int, c binary, distinct long, total long"))
     known, words = told.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     shared_model = spark.sparkContext.broadcast(model)
     ends = docs.filter(learn).count()
     tokens = words + ends
     kinds = known + (ends > 0)
     floor = np.log10(tokens + SMOOTHING * (kinds + 1))
-    kind = docs.schema[key].dataType.simpleString()
-
     kind_of_ids = _kind(subwords)
 
     def base_score(keys, table, told):
-        h, inverse, size = _distinct(raw(table.column("_text")))
+        size, place = np.frombuffer(table.column("size")[0].as_py(), "<u4").astype(np.int64), _of_planes(table.column("place")[0].as_py())
         answers = dict(zip(told.column("bucket").to_pylist(), told.column("c").to_pylist()))
-        c = np.frombuffer(b"".join(answers[b] for b in sorted(answers)), "<i8")[inverse] if len(h) else np.zeros(0)
+        c = np.frombuffer(b"".join(answers[b] for b in sorted(answers)), "<i8")[place]
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
         each = np.log10(c + SMOOTHING) - floor
         base = np.array([part.sum() for part in np.split(each, np.cumsum(size)[:-1])]) + np.log10(ends + SMOOTHING) - floor
         n = len(size)
-        return pa.table({"key": table.column("key"), "at": table.column("_at"), "learn": table.column("_learn"), "n_tokens": pa.array(size + 1), "n_known": pa.array(sums(c > 0).astype(np.int64) + (ends > 0)),
+        key, at, learn = (table.column(x).combine_chunks().flatten() for x in ("key", "at", "learn"))
+        return pa.table({"key": key, "at": at, "learn": learn, "n_tokens": pa.array(size + 1), "n_known": pa.array(sums(c > 0).astype(np.int64) + (ends > 0)),
                          "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64())})
 
     def model_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,7 +544,8 @@ def scores(docs: DataFrame, learn: Column, subwords: Subwords, model: Model, key
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("at"), pa.array(got, pa.float64())], ["key", "at", "score"])
 
     schema = f"key {kind}, at long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double"
-    bases = grouped.cogroup(told.groupBy("grp")).applyInArrow(base_score, schema)
+    words_of = asked.filter("bucket < 0").select("grp", "key", "at", "learn", "size", "place")
+    bases = words_of.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(base_score, schema)
     cut_rows = cut_texts(docs, learn, subwords, key, text) if cut_rows is None else cut_rows
     scored = cut_rows.select("key", "at", "ids").mapInArrow(model_score, f"key {kind}, at long, score double").groupBy("key", "at").agg(F.max("score").alias("score"))
     met = bases.alias("b").join(scored.alias("m"), F.col("b.key").eqNullSafe(F.col("m.key")) & (F.col("b.at") == F.col("m.at")))

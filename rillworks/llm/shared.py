@@ -38,13 +38,13 @@ def few_at_once(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and returns a reader of it.
 
     The lineage ends there: executors lost later cost nothing of what went before.
     """
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

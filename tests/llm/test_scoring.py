@@ -144,3 +144,37 @@ def test_values_of_string_arrays():
     column = pa.array(["", "a", "\u00e9\u00e8", "", "b c"], pa.large_string())
     assert values(column) == [b"", b"a", "\u00e9\u00e8".encode(), b"", b"b c"] and values(column[1:3]) == [b"a", "\u00e9\u00e8".encode()]
     assert values(column[:0]) == values(pa.array([], pa.large_string())) == [] and values(pa.array(["", ""], pa.large_string())) == [b"", b""]
+
+
+def test_texts_are_moved_and_cut_into_words_once(spark):
+    """Base scores come from stored places of words: the plan that is left doesn't read the texts again."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}" if i % 3 else None) for i in range(40)], "doc_id long, text string")
+    path = shared.new_path(spark)
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = scoring.scores(docs, F.lit(True), SUBWORDS, scoring.Model.of_counts(np.ones(SUBWORDS.end + 1)))
+    assert path.rsplit("/", 1)[1] not in rows._jdf.queryExecution().optimizedPlan().toString() and "text" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["n_tokens"] for r in rows.collect()) == [1] * 14 + [6] * 26
+
+
+def test_ids_without_the_look_behind_spaces_are_the_same():
+    plain, _ = scoring._encoding(SUBWORDS.path, SUBWORDS.pattern)
+    for text in ("a  b", "a \n b", " a ", "\n", "a\xa0 b", "\x1c x\x85 y\u3000\u3000z", "a\r\nb", "it's 12 !? a b", "x \u2028 y"):
+        assert SUBWORDS.ids(text.encode()).tolist() == [*plain.encode_ordinary(text), SUBWORDS.end]
+    before = scoring._encoding.cache_info().currsize
+    assert SUBWORDS.ids(b"one space each") is not None and before >= 2
+
+
+def test_planes_of_numbers():
+    for x in ([], [7], [0, 1, 255, 256, 70000, 2**32 - 1]):
+        assert scoring._of_planes(scoring._planes(np.array(x, np.int64))).tolist() == x
+
+
+def test_held_values_and_tanh():
+    x = np.array([-1e9, -100, -3, -1e-4, 0, 0.5, 20, 100, 1e9], np.float32)
+    got = x.copy()
+    scoring._tanh(got)
+    assert np.allclose(got, np.tanh(x), atol=2e-7)
+    got = x.copy()
+    scoring._held_exp(got)
+    assert np.array_equal(got, np.exp(np.clip(x, -60, 60)))
