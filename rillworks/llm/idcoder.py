@@ -1,11 +1,14 @@
 """A context-mixing range coder for token ids, many blocks side by side.
 
-Each block of ids starts from an empty model and stands alone. Within a block an id is a slot: its number in
+Each block of ids starts from an empty model and stands alone. Within a block an id is a slot: its number, from 1, in
 order of first appearance. Three orders predict the next slot: order 2 from the two slots before, order 1
 from one, order 0 from how often each slot occurred. Counts of what came true, by the confidence of each
 order, are mixed into the probabilities of four events: order 2 was right, order 1 was right, another known
 slot, an escape. The event, then a slot by order 0 or the escaped id, drive the range coder. All blocks of a
 batch advance together, one id at a time, as numpy lanes; encoder and decoder run the same integer model.
+
+What a lane does is chosen by arithmetic with 0 and 1, as the processor can't foresee a choice between two values.
+The range coder's integers stay below 2^53 and are doubles, which are divided and rounded down exactly.
 """
 
 from __future__ import annotations
@@ -15,225 +18,296 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-_REFRESH = 32
+_FIRST, _GROWTH = 32, 2
 _PAIRS = 1024
-_TOP, _BOTTOM = 48, 32
-_LOW = np.int64((1 << _TOP) - 1)
+_CHUNK = 256
+_TOP, _BOTTOM, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
+#: Above so many ids, words leave the span between an event and an id too, or it gets too narrow.
+_WIDE = 1 << 17
 _ONES = np.uint64(0x0001000100010001)
 _FIELD = np.uint64(1) << np.arange(0, 64, 16, dtype=np.uint64)
-_U1, _U2, _U16, _FIELD_MASK = np.uint64(1), np.uint64(2), np.uint64(16), np.uint64(0xFFFF)
+_U1, _U2, _U16, _U48 = (np.uint64(x) for x in (1, 2, 16, 48))
+_NEXT, _HASH1, _HASH2, _MASK = (np.uint16(x) for x in (1, 40503, 9973, _PAIRS - 1))
 
 
 class Damaged(ValueError):
     """The bytes aren't what was written."""
 
 
+def _zeros(shape: int | tuple[int, int], kind: type) -> np.ndarray:
+    """Zeros in the large pages that numpy asks for in np.empty: every lane is on a page of its own otherwise."""
+    out = np.empty(shape, kind)
+    out.fill(0)
+    return out
+
+
 class _Mixer:
-    """Adaptive state of all lanes; a table entry holds (slot + 1) * 4 + confidence, 0 if nothing was seen.
+    """Adaptive state of all lanes. Entries of order 1 and, behind them, order 2 hold slot * 4 + confidence, 0 if nothing was seen.
 
     The counts of the four events are fields of 16 bits of one integer: a block is short enough that their
-    mixed sums stay below 2^16, so one multiplication gives all cumulative frequencies.
+    mixed sums stay below 2^16, so one multiplication gives all cumulative frequencies. Order 0 is counted anew after
+    32, 64, 128 .. ids; a slot that is new since then counts once.
     """
 
-    def __init__(self, lanes: int, block: int):
+    def __init__(self, lanes: int, block: int, vocabulary: int, inverse: bool):
         if 7 * block + 4 >= 1 << 16:
             raise ValueError("a block is too long for the event counts")
-        self.lane = np.arange(lanes)
-        self.base1, self.base2, self.base4, self.base_count = self.lane * (block + 1), self.lane * _PAIRS, self.lane * 4, self.lane * block
-        self.one, self.two = np.zeros(lanes * (block + 1), np.int32), np.zeros(lanes * _PAIRS, np.int32)
-        self.events0, self.events1, self.events2 = np.zeros(lanes, np.uint64), np.zeros(lanes * 4, np.uint64), np.zeros(lanes * 4, np.uint64)
-        self.count = np.zeros(lanes * block, np.int32)
-        self.width, self.base_cum = 1, self.lane
-        self.cum = np.zeros(lanes, np.int64)
-        self.last = np.full(lanes, block)
-        self.pair = np.zeros(lanes, np.int64)
-        self.known, self.slots, self.mass = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.step = 0
-
-    def predict(self) -> np.ndarray:
-        """Cumulative frequencies of the events: field k has the sum of the events up to k."""
-        self.i1, self.i2 = self.base1 + self.last, self.base2 + self.pair
-        self.v1, self.v2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.p1, self.p2 = (self.v1 >> 2) - 1, (self.v2 >> 2) - 1
-        self.c1, self.c2 = self.v1 & 3, self.v2 & 3
-        self.e1, self.e2 = self.base4 + self.c1, self.base4 + self.c2
-        self.f1, self.f2 = self.events1.take(self.e1), self.events2.take(self.e2)
-        return (self.events0 + (self.f1 << _U1) + (self.f2 << _U2) + _ONES) * _ONES
-
-    def learn(self, slot: np.ndarray, event: np.ndarray) -> None:
+        self.lanes, self.block, self.inverse = lanes, block, inverse
+        lane = np.arange(lanes)
+        self.base = np.concatenate([lane * (block + 1), lanes * (block + 1) + lane * _PAIRS])
+        self.base_event, self.base_trust = lane * 4, np.arange(2 * lanes) * 4
+        self.seen = _zeros(lanes * (block + 1 + _PAIRS), np.uint16)
+        self.events0, self.events = np.full(lanes, _ONES), np.zeros(lanes * 8, np.uint64)
+        self.context, self.slots = np.zeros(2 * lanes, np.uint16), np.zeros(lanes, np.uint16)
+        self.totals = np.ones(lanes * 4)  # by event: of what stands behind it
+        self.totals[3::4] = vocabulary
+        self.table, self.count = np.empty(lanes * (block + 1), np.int32), _zeros((lanes, block + 1), np.uint16)
+        self.base_place = np.empty(lanes, np.int64)
+        self.step = self.counted = 0
+
+    def predict(self) -> None:
+        """Sets the slots that order 1 and order 2 expect, and the events' frequencies: field k of `cum` has the sum up to event k."""
+        self.at = self.base + self.context
+        self.entry = self.seen.take(self.at)
+        self.guess = (self.entry >> 2).reshape(2, -1)
+        self.trust = self.entry & 3
+        self.at_trust = self.base_trust + self.trust
+        self.found = self.events.take(self.at_trust)
+        self.mixed = self.events0 + (self.found[:self.lanes] << _U1) + (self.found[self.lanes:] << _U2)
+        self.cum = self.mixed * _ONES
+
+    def span_of(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of an event's interval."""
+        self.at_event = self.base_event + event
+        return _fields(self.cum << _U16).take(self.at_event), _fields(self.mixed).take(self.at_event)
+
+    def learn(self, slot: np.ndarray, event: np.ndarray, new: np.ndarray, history: np.ndarray) -> None:
         more = _FIELD.take(event)
         self.events0 += more
-        self.events1[self.e1] = self.f1 + more
-        self.events2[self.e2] = self.f2 + more
-        slot32 = slot.astype(np.int32)
-        fresh = (slot32 << 2) + np.int32(5)
-        self.one[self.i1] = np.where(self.p1 == slot32, self.v1 + (self.c1 < 3), np.where(self.c1 > 1, self.v1 - 1, fresh))
-        self.two[self.i2] = np.where(self.p2 == slot32, self.v2 + (self.c2 < 3), np.where(self.c2 > 1, self.v2 - 1, fresh))
-        self.count[self.base_count + slot] += 1
-        self.pair = (slot * 40503 + self.last * 9973) & (_PAIRS - 1)
-        self.last = slot
-        np.maximum(self.slots, slot + 1, out=self.slots)
+        self.events[self.at_trust] = (self.found.reshape(2, -1) + more).reshape(-1)
+        hit = (self.guess == slot).reshape(-1)
+        stays = hit | (self.trust > 1)
+        changed = self.entry + (hit & (self.trust < 3)) - (stays ^ hit)
+        fresh = (slot << 2) + _NEXT
+        self.seen[self.at] = ((changed.reshape(2, -1) - fresh) * stays.reshape(2, -1) + fresh).reshape(-1)
+        self.context[self.lanes:] = (slot * _HASH1 + self.context[:self.lanes] * _HASH2) & _MASK
+        self.context[:self.lanes] = slot
+        self.slots += new
+        self.totals[2::4] += new
         self.step += 1
-        if self.step % _REFRESH == 0:
-            most = int(self.slots.max())
-            cum = np.zeros((len(self.lane), most + 1), np.int64)
-            np.cumsum(self.count.reshape(len(self.lane), -1)[:, :most], axis=1, out=cum[:, 1:])
-            self.cum, self.width, self.base_cum = cum.reshape(-1), most + 1, self.lane * (most + 1)
-            self.mass, self.known = cum[:, -1].copy(), self.slots.copy()
-
-
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a // b for 0 <= a < 2^48 and b > 0: the quotient of doubles is never rounded up to the next integer."""
-    return (a / b).astype(np.int64)
-
-
-def _slots(ids: np.ndarray) -> np.ndarray:
-    """Each id's number in order of first appearance in its row."""
+        if self.step == self.due:
+            self.refresh(history)
+
+    def refresh(self, history: np.ndarray) -> None:
+        """Order 0 over the slots so far: start and width of each in `table`, and for the decoder the slot at each place."""
+        t = self.step
+        self.due = min(max(t + _FIRST, t * _GROWTH), self.block)
+        most = int(self.slots.max())
+        wide = most + self.due - t
+        self.base_table = np.arange(self.lanes) * (wide + 1)
+        numbers, places, before = np.arange(wide + 1, dtype=np.uint16), [], 0
+        for i in range(0, self.lanes, _CHUNK):
+            count = self.count[i:i + _CHUNK]
+            n = len(count)
+            part = history[self.counted:t, i:i + n].T + (np.arange(n) * (most + 1))[:, None]
+            count[:, :most + 1] += np.bincount(part.reshape(-1), minlength=n * (most + 1)).reshape(n, -1).astype(np.uint16)
+            each = np.ones((n, wide + 1), np.int32)
+            each[:, 0] = 0
+            np.maximum(count[:, 1:most + 1], 1, out=each[:, 1:most + 1])
+            end = np.cumsum(each, axis=1, dtype=np.int32)
+            table = self.table[i * (wide + 1):(i + n) * (wide + 1)].reshape(n, -1)
+            np.subtract(end, each, out=table)
+            table |= each << 16
+            table[:, 0] = 1 << 16  # for lanes without an order 0 slot
+            if self.inverse:
+                places.append(np.repeat(np.broadcast_to(numbers, each.shape).reshape(-1), each.reshape(-1)))
+                size = end[:, -1].astype(np.int64)
+                self.base_place[i:i + n] = before + np.cumsum(size) - size
+                before += int(size.sum())
+        if self.inverse:
+            self.by_place = np.concatenate(places)
+        self.counted = t
+        self.totals[2::4] = max(t, 1)
+
+
+def _fields(x: np.ndarray) -> np.ndarray:
+    """The 16-bit fields of 64-bit integers, low ones first."""
+    return x.astype("<u8", copy=False).view("<u2")
+
+
+def _event(past2: np.ndarray, past1: np.ndarray, new: np.ndarray) -> np.ndarray:
+    return (past2.view(np.int8) + past1.view(np.int8) + new.view(np.int8)).astype(np.intp)
+
+
+def _slots(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By step and row: each id's number in order of first appearance in its row, whether it appears first, and then the id, else 0."""
     lanes, n = ids.shape
-    order = np.argsort(ids, axis=1, kind="stable")
-    by_id = np.take_along_axis(ids, order, axis=1)
-    new = np.ones((lanes, n), bool)
-    new[:, 1:] = by_id[:, 1:] != by_id[:, :-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
-    first = np.empty((lanes, n), np.int64)
-    np.put_along_axis(first, order, np.take_along_axis(order, start, axis=1), axis=1)
-    rank = np.cumsum(first == np.arange(n), axis=1) - 1
-    return np.take_along_axis(rank, first, axis=1)
+    slots, new, escapes = np.empty((n, lanes), np.uint16), np.empty((n, lanes), bool), np.empty((n, lanes), np.uint32)
+    group = max(1, min(8, (1 << 22) // vocabulary))
+    steps = np.tile(np.arange(n, dtype=np.uint16), group).reshape(group, n)
+    first = np.empty(group * min(vocabulary, 1 << 22), np.uint16)
+    for i in range(0, lanes, group):
+        part = ids[i:i + group]
+        k = len(part)
+        if vocabulary > 1 << 22:  # a row at a time; a number for each different id
+            key = np.unique(part, return_inverse=True)[1].reshape(part.shape)
+        else:
+            key = part + (np.arange(k) * vocabulary)[:, None]
+        first[key[:, ::-1].reshape(-1)] = steps[:k, ::-1].reshape(-1)
+        at = first.take(key)
+        fresh = at == steps[:k]
+        rank = np.cumsum(fresh, axis=1, dtype=np.uint16)
+        slots[:, i:i + k] = rank.take(at + (np.arange(k) * n)[:, None]).T
+        new[:, i:i + k] = fresh.T
+        escapes[:, i:i + k] = (part * fresh).T
+    return slots, new, escapes
 
 
 def _encode_lanes(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     lanes, n = ids.shape
-    slots = _slots(ids)
-    m = _Mixer(lanes, n)
-    lane = m.lane
-    out = np.zeros((lanes, 3 * n + 8), np.int64)
-    at = np.zeros(lanes, np.int64)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _LOW)
-
-    def put(cum, freq, total):
-        nonlocal low, span
-        unit = _ratio(span, total)
-        low = low + unit * cum
-        span = unit * freq
-        over = np.flatnonzero(low > _LOW)
-        if len(over):
-            out[over, at[over] - 1] += 1  # carried further when the block ends
-            low[over] &= _LOW
-        while len(small := np.flatnonzero(span < 1 << _BOTTOM)):
-            out[small, at[small]] = low[small] >> _BOTTOM
-            at[small] += 1
-            low[small] = (low[small] & ((1 << _BOTTOM) - 1)) << 16
-            span[small] <<= 16
-
-    by_step, ids_by_step = np.ascontiguousarray(slots.T), np.ascontiguousarray(ids.T)
+    slots, news, escapes = _slots(ids, vocabulary)
+    m = _Mixer(lanes, n, vocabulary, False)
+    m.refresh(slots)
+    room = (2 if vocabulary <= _WIDE else 4) * n + 4
+    out = _zeros(lanes * room, np.uint16)
+    base = np.arange(lanes) * room
+    at = base.copy()
+    low, span = np.zeros(lanes), np.full(lanes, _TOP - 1)
+
+    def carry(over):
+        low[over] -= _TOP
+        back = at[over] - 1
+        while len(back):
+            out[back] += _NEXT
+            back = back[out[back] == 0] - 1
+
+    def narrow(low, span):
+        small = span < _BOTTOM
+        word = np.floor(low * (1 / _BOTTOM))
+        out[at] = word.astype(np.uint16)
+        factor = small * (_WORD - 1) + 1
+        low = (low - word * small * _BOTTOM) * factor
+        span = span * factor
+        np.add(at, small, out=at)
+        while len(left := np.flatnonzero(span < _BOTTOM)):
+            word = np.floor(low[left] * (1 / _BOTTOM))
+            out[at[left]] = word.astype(np.uint16)
+            at[left] += 1
+            low[left] = (low[left] - word * _BOTTOM) * _WORD
+            span[left] *= _WORD
+        return low, span
+
     for t in range(n):
-        slot, number = by_step[t], ids_by_step[t]
-        cum = m.predict()
-        event = np.where(slot == m.p2, 0, np.where(slot == m.p1, 1, np.where(slot < m.known, 2, 3)))
-        start, freq = _span_of(cum, event)
-        put(start, freq, (cum >> np.uint64(48)).astype(np.int64))
-        known = np.minimum(slot, m.width - 2 if m.width > 1 else 0)
-        at_slot = m.base_cum + known
-        start = m.cum.take(at_slot)
-        recent = m.slots - m.known
-        by_count, escape = event == 2, event == 3
-        freq = np.where(by_count, m.cum.take(at_slot + (m.width > 1)) - start, 1)
-        start = np.where(by_count, start, np.where(escape, np.where(slot < m.slots, slot - m.known, recent + number), 0))
-        put(start, freq, np.where(by_count, m.mass, np.where(escape, recent + vocabulary, 1)))
-        m.learn(slot, event)
-    for shift in (32, 16, 0):
-        out[lane, at] = low >> shift & 0xFFFF
+        slot, new = slots[t], news[t]
+        m.predict()
+        past2 = slot != m.guess[1]
+        past1 = past2 & (slot != m.guess[0])
+        event = _event(past2, past1, new)
+        start, freq = m.span_of(event)
+        unit = np.floor(span / (m.cum >> _U48))
+        low += unit * start
+        span = unit * freq
+        if vocabulary > _WIDE:
+            carry(np.flatnonzero(low >= _TOP))
+            low, span = narrow(low, span)
+        place = m.table.take(m.base_table + slot * (past1 ^ new), mode="clip")
+        unit = np.floor(span / m.totals.take(m.at_event))
+        low += unit * ((place & 0xFFFF) + escapes[t])
+        span = unit * (place >> 16)
+        if len(over := np.flatnonzero(low >= _TOP)):
+            carry(over)
+        low, span = narrow(low, span)
+        m.learn(slot, event, new, slots)
+    value = np.ceil(low * (1 / _WORD))  # the upper 32 bits, rounded up: it stays in the span whatever follows
+    low = value * _WORD
+    if len(over := np.flatnonzero(low >= _TOP)):
+        carry(over)
+    for _ in range(2):
+        word = np.floor(low * (1 / _BOTTOM))
+        out[at] = word.astype(np.uint16)
         at += 1
-    for j in range(out.shape[1] - 1, 0, -1):
-        out[:, j - 1] += out[:, j] >> 16
-    words = (out & 0xFFFF).astype("<u2")
-    return [words[i, :at[i]].tobytes() for i in range(lanes)]
+        low = (low - word * _BOTTOM) * _WORD
+    return [out[a:z].astype("<u2", copy=False).tobytes() for a, z in zip(base.tolist(), at.tolist())]
 
 
 def _decode_lanes(coded: list[bytes], n: int, vocabulary: int) -> np.ndarray:
     lanes = len(coded)
-    words = np.frombuffer(b"".join(coded) + bytes(16), "<u2").astype(np.int64)
+    words = np.frombuffer(b"".join(coded) + bytes(16), "<u2")
     size = np.array([len(c) // 2 for c in coded])
     at = np.cumsum(size) - size
-    end = len(words) - 1
-    m = _Mixer(lanes, n)
-    lane = m.lane
-    code = words[np.minimum(at, end)] << 32 | words[np.minimum(at + 1, end)] << 16 | words[np.minimum(at + 2, end)]
-    at = at + 3
-    span = np.full(lanes, _LOW)
-    ids, names = np.zeros((lanes, n), np.int64), np.zeros((lanes, n + 1), np.int64)
-
-    def found(total):
-        nonlocal unit
-        unit = _ratio(span, total)
-        return np.minimum(_ratio(code, unit), total - 1)
-
-    def consume(cum, freq):
-        nonlocal code, span, at
-        code = code - unit * cum
-        span = unit * freq
-        while len(small := np.flatnonzero(span < 1 << _BOTTOM)):
-            code[small] = code[small] << 16 | words[np.minimum(at[small], end)]
-            at[small] += 1
-            span[small] <<= 16
+    history, news, names = np.empty((n, lanes), np.uint16), np.empty((n, lanes), bool), np.empty((n, lanes), np.uint32)
+    m = _Mixer(lanes, n, vocabulary, True)
+    m.refresh(history)
+    code, span = np.zeros(lanes), np.full(lanes, _TOP - 1)
+    for _ in range(3):
+        code = code * _WORD + words.take(at, mode="clip")
+        at += 1
+
+    def narrow(code, span):
+        small = span < _BOTTOM
+        factor = small * (_WORD - 1) + 1
+        code = code * factor + words.take(at, mode="clip") * small
+        span = span * factor
+        np.add(at, small, out=at)
+        while len(left := np.flatnonzero(span < _BOTTOM)):
+            code[left] = code[left] * _WORD + words.take(at[left], mode="clip")
+            at[left] += 1
+            span[left] *= _WORD
+        return code, span
 
-    unit = span
     for t in range(n):
-        cum = m.predict()
-        v = found((cum >> np.uint64(48)).astype(np.int64)).astype(np.uint64)
-        event = (v >= (cum & _FIELD_MASK)).astype(np.int64) + (v >= (cum >> _U16 & _FIELD_MASK)) + (v >= (cum >> np.uint64(32) & _FIELD_MASK))
-        consume(*_span_of(cum, event))
-        slot = np.where(event == 0, m.p2, m.p1).astype(np.int64)
-        recent = m.slots - m.known
-        by_count, escape = event == 2, event == 3
-        v = found(np.where(by_count, np.maximum(1, m.mass), np.where(escape, recent + vocabulary, 1)))
-        start, freq = np.where(escape, v, 0), np.ones(lanes, np.int64)
-        k = np.flatnonzero(by_count)
-        a, value, base = np.zeros(len(k), np.int64), v[k], m.base_cum[k]
-        bit = 1 << max(0, (m.width - 1).bit_length() - 1)
-        while bit:  # the last slot whose cumulative count is not above the value
-            step = np.minimum(a + bit, m.width - 1)
-            a = np.where(m.cum.take(base + step) <= value, step, a)
-            bit >>= 1
-        slot[k] = a
-        start[k] = m.cum.take(base + a)
-        freq[k] = np.maximum(1, m.cum.take(base + np.minimum(a + 1, m.width - 1)) - start[k])
-        e = np.flatnonzero(escape)
-        slot[e] = np.where(v[e] < recent[e], m.known[e] + v[e], m.slots[e])
-        new = e[v[e] >= recent[e]]
-        names[new, m.slots[new]] = v[new] - recent[new]
-        consume(start, freq)
-        if (slot < 0).any() or (slot >= n).any():
-            raise Damaged("a block's bytes don't decode")
-        ids[:, t] = names[lane, slot]
-        m.learn(slot, event)
+        m.predict()
+        ends = _fields(m.cum)
+        unit = np.floor(span / ends[3::4])
+        v = np.floor(code / unit)
+        past2, past1, new = v >= ends[0::4], v >= ends[1::4], v >= ends[2::4]
+        event = _event(past2, past1, new)
+        start, freq = m.span_of(event)
+        code -= unit * start
+        span = unit * freq
+        if vocabulary > _WIDE:
+            code, span = narrow(code, span)
+        known = past1 ^ new
+        total = m.totals.take(m.at_event)
+        unit = np.floor(span / total)
+        v = np.minimum(np.floor(code / unit), total - 1).astype(np.int64)
+        slot = m.by_place.take(m.base_place + v * known, mode="clip") * known + (m.slots + _NEXT) * new + m.guess[1] * ~past2 + m.guess[0] * (past2 ^ past1)
+        place = m.table.take(m.base_table + slot * known, mode="clip")
+        code -= unit * ((place & 0xFFFF) + v * new)
+        span = unit * (place >> 16)
+        history[t], news[t], names[t] = slot, new, v
+        code, span = narrow(code, span)
+        m.learn(slot, event, new, history)
+    if not history.all():
+        raise Damaged("a block's bytes don't decode")
+    ids = np.empty((lanes, n), np.uint32)
+    for i in range(0, lanes, _CHUNK):
+        own, new = np.ascontiguousarray(history[:, i:i + _CHUNK].T), np.ascontiguousarray(news[:, i:i + _CHUNK].T)
+        at = own + (np.arange(len(own)) * (n + 1))[:, None]
+        by_slot = np.zeros(len(own) * (n + 1), np.uint32)
+        by_slot[at[new]] = np.ascontiguousarray(names[:, i:i + _CHUNK].T)[new]
+        by_slot.take(at, out=ids[i:i + _CHUNK], mode="clip")
     return ids
 
 
-def _span_of(cum: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of an event's interval."""
-    shift = event.astype(np.uint64) << np.uint64(4)
-    start = (cum << _U16) >> shift & _FIELD_MASK
-    return start.astype(np.int64), ((cum >> shift & _FIELD_MASK) - start).astype(np.int64)
-
-
-def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK, lanes: int = 4096) -> tuple[list[bytes], list[int]]:
+def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK, lanes: int = 8192) -> tuple[list[bytes], list[int]]:
     """Coded bytes and crc32 of each block of `block` ids. The last block is filled up by its last id before it is coded."""
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError("an id is not in the vocabulary")
     count = -(-len(ids) // block)
-    full = np.concatenate([ids, np.repeat(ids[-1:], count * block - len(ids))]).astype(np.int64).reshape(count, block)
+    full = np.concatenate([ids, np.repeat(ids[-1:], count * block - len(ids))]).astype("<u4").reshape(count, block)
     coded: list[bytes] = []
     for i in range(0, count, lanes):
         coded += _encode_lanes(full[i:i + lanes], vocabulary)
-    return coded, [zlib.crc32(row.astype("<u4").tobytes()) for row in full]
+    return coded, [zlib.crc32(row) for row in full]
 
 
-def decode(coded: list[bytes], crcs: list[int], length: int, vocabulary: int, block: int = BLOCK, lanes: int = 4096) -> np.ndarray:
-    """The ids again; Damaged if a block doesn't have its checksum."""
-    rows = [_decode_lanes(coded[i:i + lanes], block, vocabulary) for i in range(0, len(coded), lanes)]
-    full = np.concatenate(rows) if rows else np.zeros((0, block), np.int64)
+def decode(coded: list[bytes], crcs: list[int], length: int, vocabulary: int, block: int = BLOCK, lanes: int = 8192) -> np.ndarray:
+    """The ids again, as unsigned 32-bit integers; Damaged if a block doesn't have its checksum."""
+    with np.errstate(all="ignore"):  # of damaged bytes, found below
+        rows = [_decode_lanes(coded[i:i + lanes], block, vocabulary) for i in range(0, len(coded), lanes)]
+    full = np.concatenate(rows).astype("<u4", copy=False) if rows else np.zeros((0, block), "<u4")
     for row, crc in zip(full, crcs):
-        if zlib.crc32(row.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(row) != crc:
             raise Damaged("a block's checksum is wrong")
     return full.reshape(-1)[:length]

@@ -65,7 +65,7 @@ def op6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark)
     tokenfiles.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), "white_space", 2)
-    return tokenfiles.read(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return tokenfiles.read(spark, path, with_ids=False).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

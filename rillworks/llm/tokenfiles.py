@@ -21,7 +21,7 @@ from rillworks.llm import idcoder, shared
 from rillworks.llm.tokens import encoder
 
 MAGIC = b"RWID"
-VERSION = 1
+VERSION = 2
 FRAME_IDS = 1 << 22
 _BATCH = 2048
 _HEAD = struct.Struct("<4sHHIQQQ")
@@ -41,6 +41,12 @@ def pack_frame(rows: list[bytes], vocabulary: int, block: int = idcoder.BLOCK) -
 
 def unpack_frame(data: bytes) -> list[np.ndarray]:
     """The ids of each row; idcoder.Damaged if the frame isn't whole."""
+    flat, sizes = _unpacked(data)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and how many are each row's."""
     if len(data) < _HEAD.size:
         raise idcoder.Damaged("a frame is too short")
     magic, version, block, vocabulary, rows, ids, blocks = _HEAD.unpack_from(data)
@@ -56,8 +62,7 @@ def unpack_frame(data: bytes) -> list[np.ndarray]:
     if int(sizes.sum()) != ids or int(lengths.sum()) != len(data) - front - _CRC.size:
         raise idcoder.Damaged("a frame's lengths don't fit")
     coded = [data[e - n:e] for e, n in zip(ends.tolist(), lengths.tolist())]
-    flat = idcoder.decode(coded, crcs.tolist(), ids, vocabulary, block)
-    return np.split(flat, np.cumsum(sizes)[:-1].astype(np.int64)) if rows else []
+    return idcoder.decode(coded, crcs.tolist(), ids, vocabulary, block), sizes.astype(np.int64)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, cuts: str, end_id: int, key: str = "doc_id", text: str = "text", frame_ids: int = FRAME_IDS) -> None:
@@ -99,9 +104,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, cuts: str, end_id: int, ke
     placed.select(F.spark_partition_id().alias("part"), "key", "text").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32, ids) of every row written at `path`; start counts the ids of all rows before it.
 
+    Without `with_ids` all ids are decoded for their checksums, but they don't leave the Python workers.
+
     Places come from the frames' counts: summed per part, then running over the parts (one row per written
     partition) and within each part. Reading fails with `idcoder.Damaged` if a block's checksum is wrong.
     """
@@ -111,20 +118,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = counts.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("at", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part").select("part", "frame", (F.col("at") + F.col("part_start")).alias("start"))
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("frame", T.IntegerType()), T.StructField("key", kind), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("frame", T.IntegerType()), T.StructField("key", kind), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                rows = [r.astype("<u4") for r in unpack_frame(b.column(3)[i].as_py())]
-                sizes = np.array([len(r) for r in rows], np.int64)
+                flat, sizes = _unpacked(b.column(3)[i].as_py())
                 at = np.cumsum(sizes) - sizes
+                raw = memoryview(flat.tobytes())
+                crcs = [zlib.crc32(raw[4 * x:4 * y]) for x, y in zip(at.tolist(), (at + sizes).tolist())]
                 keys = b.column(2).slice(i, 1).flatten()
-                for j in range(0, len(rows), _BATCH):
-                    part = rows[j:j + _BATCH]
-                    n = len(part)
-                    columns = [b.column(0).take(pa.array([i] * n)), b.column(1).take(pa.array([i] * n)), keys.slice(j, n), pa.array(at[j:j + n]), pa.array(sizes[j:j + n]), pa.array([zlib.crc32(r.tobytes()) for r in part], pa.int64()), pa.array([r.view("<i4") for r in part], pa.list_(pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["part", "frame", "key", "at", "n_tokens", "ids_crc32", "ids"])
+                for j in range(0, len(sizes), _BATCH):
+                    n = len(sizes[j:j + _BATCH])
+                    columns = [b.column(0).take(pa.array([i] * n)), b.column(1).take(pa.array([i] * n)), keys.slice(j, n), pa.array(at[j:j + n]), pa.array(sizes[j:j + n]), pa.array(crcs[j:j + n], pa.int64())]
+                    if with_ids:
+                        ends = np.append(at[j:j + n], at[j + n - 1] + sizes[j + n - 1])
+                        own = flat[ends[0]:ends[-1]].astype(np.uint32, copy=False).view(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(own)))
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     rows = frames.select("part", "frame", "keys", "data").mapInArrow(run, schema)
-    return rows.join(starts, ["part", "frame"]).select("key", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return rows.join(starts, ["part", "frame"]).select("key", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

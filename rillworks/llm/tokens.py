@@ -3,7 +3,8 @@
 Texts are cut where the tokenizer never joins what stands on both sides, so the ids of the pieces, one
 after the other, are the ids of the text; frequent pieces are encoded once. Each different word of some texts is looked up once,
 as two pieces if it is letters and punctuation behind them: new words are mostly known letters with other punctuation.
-New pieces are encoded many at a time.
+New pieces are encoded many at a time; where words end in ids of their own, those of letters alone without the tokenizer's
+normalizer and patterns, which leave them as they are.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028
 _WIDE = re.compile("[^\0-\xff]")
 #: Letters of Latin-1 and the ASCII punctuation behind them but for the apostrophe, which begins contractions; else the whole word.
 _STEMS = re.compile("(?:(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++)([!-&(-/:-@\\[-`{-~]*+)|([^ ]*)) ").findall
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+#: Words that have to have the same ids without normalizer and patterns before others are encoded so.
+_PROBES = ["a", "ab", "Zebra", "stra\xdfe", "\xe0\xed\xff", "\xc0\xcd\xdf\xd8\xfe", "\xe9t\xe9", "donaudampfschiff", "qxzjkvw", "ll", "s"]
 #: Stands between pieces that are encoded together.
 _SEPARATORS = {"before_space": "\n", "white_space": " \x01 ", "whole": ""}
 #: The pre-tokenizer has to cut these as given before stems stand apart.
@@ -73,9 +77,40 @@ class Encoder:
         mark = self._tokenizer.encode(self._separator, None, False, False).ids
         self._mark = mark[0] if len(mark) == 1 else None
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._plain = None
+        self._prepare_plain()
         #: Whether small and capital letters have the same ids.
         self._lower = self._one("aB\xc9") == self._one("ab\xe9") == self._one("AB\xe9")
 
+    def _prepare_plain(self) -> None:
+        """The model behind a cut at spaces, if words of Latin-1 letters have the same ids so and end where an id of the end of a word stands."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        model = self._tokenizer.model
+        suffix = getattr(model, "end_of_word_suffix", None)
+        if self._cuts != "white_space" or not suffix or not self._apart or any(x.isalpha() for x in self._special):
+            return
+        self._final = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._final[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._as_bytes = [(c.encode()[1:].decode("latin-1"), by_bytes.pre_tokenize_str(c)[0][0][1:]) for c in "\xdf\xe0\xed"]
+        self._plain = Tokenizer(model)
+        self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        if self._letters(_PROBES) != [self._one(p) for p in _PROBES]:
+            self._plain = None
+
+    def _letters(self, words: list[str]) -> list[bytes] | None:
+        """The ids of words of Latin-1 letters by the model alone, which sees bytes as letters; None if they can't be told apart."""
+        text = " ".join(words).lower().encode().decode("latin-1")
+        for byte, letter in self._as_bytes:
+            text = text.replace(byte, letter)
+        ids = np.array(self._plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self._final[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return None
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * z] for a, z in zip([0, *ends], ends)]
+
     @property
     def vocabulary(self) -> int:
         return self._tokenizer.get_vocab_size()
@@ -96,6 +131,12 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Encodes pieces that the cache lacks, many in one call with a piece of one known id between them."""
         cache = self._cache
+        if self._plain:
+            letters = [p for p in pieces if p.isalpha() and (p.isascii() or _LATIN(p))]
+            for i in range(0, len(letters), _TOGETHER):
+                part = letters[i:i + _TOGETHER]
+                cache.update(zip(part, self._letters(part) or map(self._one, part)))
+            pieces = pieces.difference(letters)
         alone = [p for p in pieces if self._mark is None or "\n" in p or "\x01" in p or "<" in p]
         for p in alone:
             cache[p] = self._one(p)
