@@ -20,7 +20,7 @@ import numpy as np
 BLOCK = 1024
 _FIRST, _GROWTH = 32, 2
 _PAIRS = 1024
-_CHUNK = 256
+_CHUNK = 64
 _TOP, _BOTTOM, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 #: Above so many ids, words leave the span between an event and an id too, or it gets too narrow.
 _WIDE = 1 << 17
@@ -61,8 +61,11 @@ class _Mixer:
         self.context, self.slots = np.zeros(2 * lanes, np.uint16), np.zeros(lanes, np.uint16)
         self.totals = np.ones(lanes * 4)  # by event: of what stands behind it
         self.totals[3::4] = vocabulary
-        self.table, self.count = np.empty(lanes * (block + 1), np.int32), _zeros((lanes, block + 1), np.uint16)
-        self.base_place = np.empty(lanes, np.int64)
+        self.count = _zeros((lanes, block + 1), np.uint16)
+        if inverse:
+            self.table, self.base_place = np.empty(lanes * (block + 1), np.int32), np.empty(lanes, np.int64)
+        else:
+            self.intervals = np.empty((block, lanes), np.int32)
         self.step = self.counted = 0
 
     def predict(self) -> None:
@@ -99,12 +102,17 @@ class _Mixer:
             self.refresh(history)
 
     def refresh(self, history: np.ndarray) -> None:
-        """Order 0 over the slots so far: start and width of each in `table`, and for the decoder the slot at each place."""
+        """Order 0 over the slots so far: start and width - 1 << 16 of each slot's interval.
+
+        The decoder gets them in `table` by slot, where slot 0 has those of other events, and the slot at each place; the encoder, whose
+        history goes on, in `intervals` by step.
+        """
         t = self.step
         self.due = min(max(t + _FIRST, t * _GROWTH), self.block)
         most = int(self.slots.max())
         wide = most + self.due - t
-        self.base_table = np.arange(self.lanes) * (wide + 1)
+        if self.inverse:
+            self.base_table = np.arange(self.lanes) * (wide + 1)
         numbers, places, before = np.arange(wide + 1, dtype=np.uint16), [], 0
         for i in range(0, self.lanes, _CHUNK):
             count = self.count[i:i + _CHUNK]
@@ -115,11 +123,12 @@ class _Mixer:
             each[:, 0] = 0
             np.maximum(count[:, 1:most + 1], 1, out=each[:, 1:most + 1])
             end = np.cumsum(each, axis=1, dtype=np.int32)
-            table = self.table[i * (wide + 1):(i + n) * (wide + 1)].reshape(n, -1)
-            np.subtract(end, each, out=table)
-            table |= each << 16
-            table[:, 0] = 1 << 16  # for lanes without an order 0 slot
-            if self.inverse:
+            table = end + each * 0xFFFF - (1 << 16)
+            table[:, 0] = 0
+            if not self.inverse:
+                self.intervals[t:self.due, i:i + n] = table.take(history[t:self.due, i:i + n] + np.arange(n) * (wide + 1))
+            else:
+                self.table[i * (wide + 1):(i + n) * (wide + 1)] = table.reshape(-1)
                 places.append(np.repeat(np.broadcast_to(numbers, each.shape).reshape(-1), each.reshape(-1)))
                 size = end[:, -1].astype(np.int64)
                 self.base_place[i:i + n] = before + np.cumsum(size) - size
@@ -210,10 +219,10 @@ def _encode_lanes(ids: np.ndarray, vocabulary: int) -> list[bytes]:
         if vocabulary > _WIDE:
             carry(np.flatnonzero(low >= _TOP))
             low, span = narrow(low, span)
-        place = m.table.take(m.base_table + slot * (past1 ^ new), mode="clip")
+        place = m.intervals[t] * (past1 ^ new)
         unit = np.floor(span / m.totals.take(m.at_event))
         low += unit * ((place & 0xFFFF) + escapes[t])
-        span = unit * (place >> 16)
+        span = unit * ((place >> 16) + 1)
         if len(over := np.flatnonzero(low >= _TOP)):
             carry(over)
         low, span = narrow(low, span)
@@ -274,19 +283,18 @@ def _decode_lanes(coded: list[bytes], n: int, vocabulary: int) -> np.ndarray:
         slot = m.by_place.take(m.base_place + v * known, mode="clip") * known + (m.slots + _NEXT) * new + m.guess[1] * ~past2 + m.guess[0] * (past2 ^ past1)
         place = m.table.take(m.base_table + slot * known, mode="clip")
         code -= unit * ((place & 0xFFFF) + v * new)
-        span = unit * (place >> 16)
+        span = unit * ((place >> 16) + 1)
         history[t], news[t], names[t] = slot, new, v
         code, span = narrow(code, span)
         m.learn(slot, event, new, history)
-    if not history.all():
+    if not (history.all() and news[0].all()):
         raise Damaged("a block's bytes don't decode")
     ids = np.empty((lanes, n), np.uint32)
     for i in range(0, lanes, _CHUNK):
         own, new = np.ascontiguousarray(history[:, i:i + _CHUNK].T), np.ascontiguousarray(news[:, i:i + _CHUNK].T)
-        at = own + (np.arange(len(own)) * (n + 1))[:, None]
-        by_slot = np.zeros(len(own) * (n + 1), np.uint32)
-        by_slot[at[new]] = np.ascontiguousarray(names[:, i:i + _CHUNK].T)[new]
-        by_slot.take(at, out=ids[i:i + _CHUNK], mode="clip")
+        escaped = np.ascontiguousarray(names[:, i:i + _CHUNK].T)[new]  # row by row in the order of their slots
+        known = np.count_nonzero(new, axis=1)
+        escaped.take(own + (np.cumsum(known) - known - 1)[:, None], out=ids[i:i + _CHUNK], mode="clip")
     return ids
 
 

@@ -54,7 +54,8 @@ def _safe(t: str) -> bool:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, cuts: str):
+    def __init__(self, path: str, cuts: str, room: int = 1):
+        """`room`: how many times the usual bounds of known words, cached pieces and characters at a time this encoder has."""
         if cuts not in CUTS:
             raise ValueError(f"unknown cuts: {cuts}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +65,7 @@ class Encoder:
         resize = getattr(self._tokenizer.model, "_resize_cache", None)
         if resize:  # pieces are cached here; the library's own cache only costs time for words seen once
             resize(0)
-        self._cuts = cuts
+        self._cuts, self._room = cuts, room
         self._cache: dict[str, bytes] = {"": b""}
         self._known, self._known_ids, self._known_at = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
         if cuts == "whole":
@@ -161,7 +162,7 @@ class Encoder:
             heads = [(stem if feed else " " + stem) if stem else other if other[0] == "\n" else " " + other for feed, stem, _, other in rows]
         else:
             heads = [stem or other for _, stem, _, other in rows]
-        if len(cache) > CACHED_PIECES:
+        if len(cache) > CACHED_PIECES * self._room:
             cache.clear()
             cache[""] = b""
         pieces = {*heads, *[tail for _, _, tail, _ in rows]}.difference(cache)
@@ -174,7 +175,7 @@ class Encoder:
 
     def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of different words begin in `_known_ids`, and how many they are; words not known yet are added."""
-        if self._known.nbytes + self._known_ids.nbytes > CACHED_BYTES:
+        if self._known.nbytes + self._known_ids.nbytes > CACHED_BYTES * self._room:
             self._known, self._known_ids, self._known_at = self._known[:0], self._known_ids[:0], self._known_at[:1]
         at = pc.index_in(words, value_set=self._known)
         missing = at.is_null()
@@ -218,7 +219,7 @@ class Encoder:
             out = [None if t and _safe(t) else self._one(t) for t in texts]
         part, chars = [], 0
         for i, x in enumerate([*out, None]):
-            if part and (i == len(out) or chars > _CHARS):
+            if part and (i == len(out) or chars > _CHARS * self._room):
                 for j, ids in zip(part, self._cut([texts[j] for j in part])):
                     out[j] = ids
                 part, chars = [], 0
@@ -229,6 +230,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cuts: str) -> Encoder:
+def encoder(path: str, cuts: str, room: int = 1) -> Encoder:
     """The worker's own encoder: tasks that run in it one after the other share its cache."""
-    return Encoder(path, cuts)
+    return Encoder(path, cuts, room)
