@@ -155,20 +155,22 @@ def _slots(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np
     group = max(1, min(8, (1 << 22) // vocabulary))
     steps = np.tile(np.arange(n, dtype=np.uint16), group).reshape(group, n)
     first = np.empty(group * min(vocabulary, 1 << 22), np.uint16)
-    for i in range(0, lanes, group):
-        part = ids[i:i + group]
-        k = len(part)
-        if vocabulary > 1 << 22:  # a row at a time; a number for each different id
-            key = np.unique(part, return_inverse=True)[1].reshape(part.shape)
-        else:
-            key = part + (np.arange(k) * vocabulary)[:, None]
-        first[key[:, ::-1].reshape(-1)] = steps[:k, ::-1].reshape(-1)
-        at = first.take(key)
-        fresh = at == steps[:k]
-        rank = np.cumsum(fresh, axis=1, dtype=np.uint16)
-        slots[:, i:i + k] = rank.take(at + (np.arange(k) * n)[:, None]).T
-        new[:, i:i + k] = fresh.T
-        escapes[:, i:i + k] = (part * fresh).T
+    for i in range(0, lanes, _CHUNK):
+        some = ids[i:i + _CHUNK]
+        own, fresh = np.empty(some.shape, np.uint16), np.empty(some.shape, bool)
+        for j in range(0, len(some), group):
+            part = some[j:j + group]
+            k = len(part)
+            if vocabulary > 1 << 22:  # a row at a time; a number for each different id
+                key = np.unique(part, return_inverse=True)[1].reshape(part.shape)
+            else:
+                key = part + (np.arange(k) * vocabulary)[:, None]
+            first[key[:, ::-1].reshape(-1)] = steps[:k, ::-1].reshape(-1)
+            at = first.take(key)
+            appears = np.equal(at, steps[:k], out=fresh[j:j + k])
+            rank = np.cumsum(appears, axis=1, dtype=np.uint16)
+            rank.take(at + (np.arange(k) * n)[:, None], out=own[j:j + k], mode="clip")
+        slots[:, i:i + _CHUNK], new[:, i:i + _CHUNK], escapes[:, i:i + _CHUNK] = own.T, fresh.T, (some * fresh).T
     return slots, new, escapes
 
 

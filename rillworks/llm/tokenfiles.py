@@ -25,8 +25,8 @@ MAGIC = b"RWID"
 VERSION = 2
 FRAME_IDS = 1 << 23
 _BATCH = 2048
-#: Texts are encoded so many bytes at a time, by an encoder with twice the usual bounds: knowing a word is cheaper than learning it again.
-_BYTES, _ROOM = 1 << 24, 2
+#: Texts are encoded so many bytes at a time, by an encoder with three times the usual bounds: knowing a word is cheaper than learning it again.
+_BYTES, _ROOM = 3 << 22, 3
 _HEAD = struct.Struct("<4sHHIQQQ")
 _CRC = struct.Struct("<I")
 
@@ -90,7 +90,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, cuts: str, end_id: int, ke
 
         for whole in batches:
             schema_keys = pa.list_(whole.schema.field(1).type)
-            group = np.cumsum(pc.binary_length(whole.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // _BYTES
+            ends = np.cumsum(pc.binary_length(whole.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            group = ends * -(-ends[-1] // _BYTES) // (ends[-1] + 1) if len(ends) else ends
             edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), whole.num_rows]
             for at, edge in zip(edges, edges[1:]):
                 b = whole.slice(at, edge - at)

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rillworks.llm import idcoder, shared, tokenfiles
+from rillworks.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,3 +69,47 @@ def test_empty_table(spark):
     path = shared.new_path(spark)
     tokenfiles.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, "white_space", 2)
     assert tokenfiles.read(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", [1 << 17, (1 << 17) + 1, 1 << 23, 1 << 32])
+def test_wide_ids_come_back(vocabulary):
+    rng = random.Random(vocabulary)
+    ids = np.array([rng.randrange(vocabulary) for _ in range(300)] * 2 + [vocabulary - 1, 0] * 50)
+    coded, crcs = idcoder.encode(ids, vocabulary, 128)
+    assert np.array_equal(idcoder.decode(coded, crcs, len(ids), vocabulary, 128), ids)
+
+
+def test_slots_met_again_take_few_bytes():
+    rng = random.Random(5)
+    names = rng.sample(range(49408), 24)
+    ids = np.array([x for _ in range(300) for x in (*names[:8], *rng.choices(names, k=24))][:8 * 1024])
+    coded, crcs = idcoder.encode(ids, 49408)
+    assert np.array_equal(idcoder.decode(coded, crcs, len(ids), 49408), ids)
+    assert all(np.frombuffer(c, "<u2").size < 420 for c in coded)  # 6.6 bits an id
+    for at in (0, len(coded[1]) // 2):
+        broken = bytearray(coded[1])
+        broken[at] ^= 0x55
+        with pytest.raises(idcoder.Damaged):
+            idcoder.decode([coded[0], bytes(broken), *coded[2:]], crcs, len(ids), 49408)
+
+
+def test_words_of_letters_take_the_model_alone(monkeypatch):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ\xdf\xe0\xed\xe9\xff\xc0\xcd\xdc\xd8"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 14))) for _ in range(2000)]
+    texts = [" ".join(words[:1000]), " ".join(words[1000:]) + " ΣΩ 中 Áb \xaa\xb5"]
+    plain = Tokenizer.from_file(PATH)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert Encoder(PATH, "white_space").encode(texts) == want
+    own = Encoder(PATH, "white_space")
+    monkeypatch.setattr(own, "_tokenizer", None)
+    assert own.encode(texts[:1]) == want[:1]
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(i, "some words " * (i % 7)) for i in range(300)], "doc_id long, text string")
+    path = shared.new_path(spark)
+    tokenfiles.write(docs, path, PATH, "white_space", 2)
+    whole, bare = tokenfiles.read(spark, path), tokenfiles.read(spark, path, with_ids=False)
+    assert bare.columns == whole.columns[:-1]
+    assert sorted(map(tuple, bare.collect())) == sorted(tuple(r)[:-1] for r in whole.collect())
